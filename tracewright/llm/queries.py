@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from .bpe import op5_bpe
 from .packing import op2_packing
 
 QUERIES = {
     "op2_packing": op2_packing,
+    "op5_bpe": op5_bpe,
 }
 
 ORACLE_SQL: dict[str, str] = {}
