@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from .bpe import op5_bpe
 from .packing import op2_packing
+from .quality import op7_quality
 
 QUERIES = {
     "op2_packing": op2_packing,
     "op5_bpe": op5_bpe,
+    "op7_quality": op7_quality,
 }
 
 ORACLE_SQL: dict[str, str] = {}
