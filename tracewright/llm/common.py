@@ -89,6 +89,23 @@ def arrow_schema(ddl: str) -> pa.Schema:
     return to_arrow_schema(StructType.fromDDL(ddl))
 
 
+class Recent(dict):
+    """Values by key, made when first asked for; about the last `size` to twice as many are kept."""
+
+    def __init__(self, make: Callable, size: int) -> None:
+        self.make, self.size, self.older = make, size, {}
+
+    def __missing__(self, key):
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= self.size:
+            self.older = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
 MULT = np.uint64(0x9E3779B97F4A7C15)
 
 

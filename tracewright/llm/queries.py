@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .bpe import op5_bpe
+from .language_model import op10_language_model
 from .packing import op2_packing
 from .quality import op7_quality
 
@@ -10,6 +11,7 @@ QUERIES = {
     "op2_packing": op2_packing,
     "op5_bpe": op5_bpe,
     "op7_quality": op7_quality,
+    "op10_language_model": op10_language_model,
 }
 
 ORACLE_SQL: dict[str, str] = {}
