@@ -5,11 +5,13 @@ from __future__ import annotations
 from .bpe import op5_bpe
 from .language_model import op10_language_model
 from .packing import op2_packing
+from .pii import op6_pii
 from .quality import op7_quality
 
 QUERIES = {
     "op2_packing": op2_packing,
     "op5_bpe": op5_bpe,
+    "op6_pii": op6_pii,
     "op7_quality": op7_quality,
     "op10_language_model": op10_language_model,
 }
