@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .bpe import op5_bpe
 from .language_model import op10_language_model
+from .media import op8_media
 from .packing import op2_packing
 from .pii import op6_pii
 from .quality import op7_quality
@@ -13,6 +14,7 @@ QUERIES = {
     "op5_bpe": op5_bpe,
     "op6_pii": op6_pii,
     "op7_quality": op7_quality,
+    "op8_media": op8_media,
     "op10_language_model": op10_language_model,
 }
 
