@@ -8,6 +8,7 @@ from .media import op8_media
 from .packing import op2_packing
 from .pii import op6_pii
 from .quality import op7_quality
+from .url_filter import op9_url_filter
 
 QUERIES = {
     "op2_packing": op2_packing,
@@ -15,6 +16,7 @@ QUERIES = {
     "op6_pii": op6_pii,
     "op7_quality": op7_quality,
     "op8_media": op8_media,
+    "op9_url_filter": op9_url_filter,
     "op10_language_model": op10_language_model,
 }
 
