@@ -17,32 +17,49 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import over_texts, settled, table, tokenizer_path
+from .common import Recent, over_texts, settled, table, tokenizer_path
 
 WINDOW = 4096
 END_ID = 2
 #: Words kept with their ids in each Python worker; rarer ones are encoded anew.
-CACHED_WORDS = 200_000
+CACHED_WORDS = 300_000
+#: Fixed values of the vocabulary's format: its parts of words, and the characters that show bytes.
+PART = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+VISIBLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+SHOWN = {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - set(VISIBLE)))}
+PLAIN = regex.compile(r"[\x21-\x7e\xa1-\xff]*")
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
-class WordIds(dict):
-    """The ids of a run without white space, as little-endian unsigned 32-bit integers."""
+class WordIds(Recent):
+    """The ids of a run without white space, as little-endian unsigned 32-bit integers.
 
-    def __init__(self, path: str) -> None:
+    What the library does to runs of Latin-1 characters is put together from its BPE of their parts, which are far
+    fewer than the runs; any other run it encodes itself.
+    """
+
+    def __init__(self, path: str, size: int = CACHED_WORDS) -> None:
         from tokenizers import Tokenizer
 
+        super().__init__(self.encode, size)
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.model = self.tokenizer.model
+        self.parts = Recent(self.encode_part, size // 2)
+
+    def encode(self, word: bytes) -> bytes:
+        text = word.decode()
+        if PLAIN.fullmatch(text) and "<|" not in text:
+            return b"".join(map(self.parts.__getitem__, PART.findall(text.lower())))
+        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def __missing__(self, word: bytes) -> bytes:
-        ids = self.tokenizer.encode(word.decode(), add_special_tokens=False).ids
-        self[word] = out = np.asarray(ids, "<u4").tobytes()
-        return out
+    def encode_part(self, part: str) -> bytes:
+        return np.asarray([t.id for t in self.model.tokenize(part.encode().decode("latin-1").translate(SHOWN))], "<u4").tobytes()
 
 
 def pieces(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
@@ -58,8 +75,6 @@ def pieces(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_I
         def work(keys: list, texts: list[str]) -> dict:
             out: dict[str, list] = {k: [] for k in ("doc_id", "start", "length", "ids_crc32", "doc_tokens")}
             for key, text in zip(keys, texts, strict=True):
-                if len(ids) > CACHED_WORDS:
-                    ids.clear()
                 all_ids = b"".join(map(ids.__getitem__, text.encode().split())) + end
                 n = len(all_ids) // 4
                 for start in range(0, n, window):
@@ -176,7 +191,7 @@ def places(spark: SparkSession, patterns: list[tuple[dict[int, int], int]]) -> D
     return spark.createDataFrame(rows, "at_length long, low long, high long, repeats long, first long, base long")
 
 
-def pack(cut: DataFrame, window: int = WINDOW, group_rows: int = 50_000) -> DataFrame:
+def pack(cut: DataFrame, window: int = WINDOW, group_rows: int = 2_000) -> DataFrame:
     """cut with sequence_id and offset for each row, by its column length.
 
     Rows are ranked within their length in groups of about group_rows rows, dealt by hash, so that a length that a
