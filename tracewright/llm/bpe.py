@@ -24,8 +24,8 @@ from .common import over_texts, table, tokenizer_path
 WORD = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 VISIBLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 
-CACHED_WORDS = 500_000
-CACHED_RUNS = 300_000
+CACHED_WORDS = 250_000
+CACHED_RUNS = 200_000
 CACHED_PAIRS = 400_000
 NEVER = 1 << 40
 #: Texts are cut into stretches of about this many characters, at a space between two ASCII letters, where words end.
@@ -151,7 +151,9 @@ class Encoder:
         self.find_words = regex.compile(WORD).findall
         self.special = regex.compile("(" + "|".join(map(regex.escape, self.vocabulary.special)) + ")") if self.vocabulary.special else None
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.runs: dict[str, bytes] = {}
+        self.older_runs: dict[str, bytes] = {}
         self.library = None
 
     def words(self, text: str) -> list[str]:
@@ -166,18 +168,22 @@ class Encoder:
 
     def learn(self, words: set[str]) -> None:
         if new := words.difference(self.known):
+            kept = {w: ids for w in new if (ids := self.older.get(w))}
             if len(self.known) + len(new) > CACHED_WORDS:
-                self.known.clear()
-                new = words
-            self.known |= self.vocabulary.encode_words(new)
+                self.older = self.known
+                self.known = {w: self.known[w] for w in words.intersection(self.known)}
+            self.known |= kept
+            self.known |= self.vocabulary.encode_words(new.difference(kept))
 
     def learn_runs(self, runs: set[str]) -> None:
         """runs: what stands between single spaces. A space before it is part of its first word."""
         if new := runs.difference(self.runs):
+            kept = {r: ids for r in new if (ids := self.older_runs.get(r))}
             if len(self.runs) + len(new) > CACHED_RUNS:
-                self.runs.clear()
-                new = runs
-            cut = {run: self.words(f" {run}") for run in new}
+                self.older_runs = self.runs
+                self.runs = {r: self.runs[r] for r in runs.intersection(self.runs)}
+            self.runs |= kept
+            cut = {run: self.words(f" {run}") for run in new.difference(kept)}
             self.learn({w for words in cut.values() for w in words})
             self.runs |= {run: b"".join(map(self.known.__getitem__, words)) for run, words in cut.items()}
 
