@@ -5,12 +5,14 @@ from __future__ import annotations
 from .bpe import op5_bpe
 from .language_model import op10_language_model
 from .media import op8_media
+from .neighbours import op1_nearest
 from .packing import op2_packing
 from .pii import op6_pii
 from .quality import op7_quality
 from .url_filter import op9_url_filter
 
 QUERIES = {
+    "op1_nearest": op1_nearest,
     "op2_packing": op2_packing,
     "op5_bpe": op5_bpe,
     "op6_pii": op6_pii,
