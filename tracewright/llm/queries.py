@@ -9,11 +9,13 @@ from .neighbours import op1_nearest
 from .packing import op2_packing
 from .pii import op6_pii
 from .quality import op7_quality
+from .repeats import op3_repeats
 from .url_filter import op9_url_filter
 
 QUERIES = {
     "op1_nearest": op1_nearest,
     "op2_packing": op2_packing,
+    "op3_repeats": op3_repeats,
     "op5_bpe": op5_bpe,
     "op6_pii": op6_pii,
     "op7_quality": op7_quality,
