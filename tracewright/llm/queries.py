@@ -6,6 +6,7 @@ from .bpe import op5_bpe
 from .language_model import op10_language_model
 from .media import op8_media
 from .neighbours import op1_nearest
+from .near_duplicates import op4_near_duplicates
 from .packing import op2_packing
 from .pii import op6_pii
 from .quality import op7_quality
@@ -16,6 +17,7 @@ QUERIES = {
     "op1_nearest": op1_nearest,
     "op2_packing": op2_packing,
     "op3_repeats": op3_repeats,
+    "op4_near_duplicates": op4_near_duplicates,
     "op5_bpe": op5_bpe,
     "op6_pii": op6_pii,
     "op7_quality": op7_quality,
