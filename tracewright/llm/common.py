@@ -81,6 +81,33 @@ def over_texts(
     return docs.select(*columns).mapInArrow(run, schema)
 
 
+def rewrite_texts(docs: DataFrame, make: Callable[[], Callable[[list[str]], list[str | None]]]) -> DataFrame:
+    """docs with each text replaced by what make()'s function gives for it, and without the rows for which that is None.
+
+    All columns stay; n_chars, where there is one, follows the text. A null text counts as empty, and stays null if it
+    isn't changed.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work = make()
+        for batch in batches:
+            for start in range(0, batch.num_rows, 500):
+                part = batch.slice(start, 500)
+                old = part.column("text").to_pylist()
+                new = work([t or "" for t in old])
+                kept = [i for i, t in enumerate(new) if t is not None]
+                columns = {f.name: part.column(f.name).take(pa.array(kept, pa.int64())) for f in part.schema}
+                texts = [old[i] if new[i] == (old[i] or "") else new[i] for i in kept]
+                columns["text"] = pa.array(texts, part.schema.field("text").type)
+                if "n_chars" in columns:
+                    same = columns["n_chars"].to_pylist()
+                    sizes = [n if t is None or t == old[i] else len(t) for i, t, n in zip(kept, texts, same, strict=True)]
+                    columns["n_chars"] = pa.array(sizes, part.schema.field("n_chars").type)
+                yield pa.RecordBatch.from_arrays([columns[f.name] for f in part.schema], schema=part.schema)
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def arrow_schema(ddl: str) -> pa.Schema:
     """Made on the driver: parsing the text needs a session."""
     from pyspark.sql.pandas.types import to_arrow_schema

@@ -267,5 +267,18 @@ def near_duplicates(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, pie
     return named.join(least, "root").select("doc_id", "n_shingles", whose.alias("component_id"))
 
 
+def without_near_duplicates(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """docs with one row of each component, that with the least doc_id (nulls last), and all rows without shingles."""
+    rows = docs.select("doc_id", text_class().alias("_of"))
+    named = rows.join(classes(docs, k, percent).withColumnRenamed("of", "_of"), "_of")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("x"), F.col("doc_id").alias("id"), F.col("_of").alias("of")))
+    kept = named.where("n_shingles > 0").groupBy("root").agg(first.alias("m")).select(F.col("m.id").alias("_id"), F.col("m.of").alias("_of"), F.lit(True).alias("_chosen"))
+    bare = named.where("n_shingles = 0").select(F.col("doc_id").alias("_id"), "_of", F.lit(False).alias("_chosen")).distinct()
+    chosen = kept.unionByName(bare)
+    found = docs.withColumn("_class", text_class()).join(chosen, (F.col("_class") == F.col("_of")) & F.col("doc_id").eqNullSafe(F.col("_id")))
+    nth = F.row_number().over(Window.partitionBy("_class", "doc_id").orderBy(F.lit(0)))
+    return found.withColumn("_nth", nth).where(~F.col("_chosen") | (F.col("_nth") == 1)).select(*docs.columns)
+
+
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))

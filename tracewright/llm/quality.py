@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import over_texts, table
+from .common import over_texts, rewrite_texts, table
 
 #: A score from here on counts as good.
 THRESHOLD = 0.7
@@ -191,5 +191,19 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
     return score(docs, model).select("doc_id", held_out.alias("held_out"), "score", predicted.alias("predicted"))
 
 
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs that classify() predicts 1 for, with all their columns."""
+    model = fit(docs.select("doc_id", "text").where(learnable(F.col("doc_id"))), labels)
+
+    def make():
+        def work(texts: list[str]) -> list[str | None]:
+            scores = model.score(np.array([statistics(t) for t in texts]))
+            return [t if s >= threshold else None for t, s in zip(texts, scores.tolist(), strict=True)]
+
+        return work
+
+    return rewrite_texts(docs, make)
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

@@ -196,7 +196,10 @@ def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs with repeated passages taken out of text; texts that have none stay as they are."""
     found = remove(docs, window).select(F.col("of").alias("_of"), "kept")
     out = docs.withColumn("_of", text_class()).join(found, "_of", "left")
-    return out.select(*[F.coalesce("kept", "text").alias(c) if c == "text" else F.col(c) for c in docs.columns])
+    new = {"text": F.coalesce("kept", "text")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(F.col("kept").isNotNull(), F.length("kept")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
+    return out.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
 
 
 def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
