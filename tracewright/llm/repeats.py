@@ -63,6 +63,13 @@ def _slide(x: np.ndarray, k: int, best: np.ufunc) -> np.ndarray:
     return best(x[: len(x) - (k - width)], x[k - width :]) if width < k else x
 
 
+def _among(ordered: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Which of the values a sorted array holds."""
+    if not len(ordered):
+        return np.zeros(len(values), bool)
+    return ordered[np.minimum(np.searchsorted(ordered, values), len(ordered) - 1)] == values
+
+
 def anchors(words: np.ndarray, window: int, anchor: int) -> np.ndarray:
     """Places of phrases that are the least of some window."""
     phrases, k = windows(words, anchor), window - anchor + 1
@@ -97,11 +104,12 @@ def _automaton(phrases: list[list[bytes]]) -> tuple[ahocorasick.Automaton, dict[
 
 
 def recurring_windows(texts: list[bytes], recurring: np.ndarray, window: int, anchor: int) -> list[np.ndarray]:
-    """For each text, the starts of windows that hold a recurring anchor. The anchors' words come from the texts."""
+    """For each text, the starts of windows that hold a recurring anchor (recurring: sorted). The anchors' words come
+    from the texts."""
     hasher, phrases, known = WordHasher(lower=False), [], set()
     for text in texts:
         found = windows(hasher(text), anchor)
-        places = np.flatnonzero(np.isin(found, recurring))
+        places = np.flatnonzero(_among(recurring, found))
         new = [p for p, h in zip(places.tolist(), found[places].tolist(), strict=True) if h not in known and not known.add(h)]
         if new:
             words = text.split()
@@ -112,10 +120,10 @@ def recurring_windows(texts: list[bytes], recurring: np.ndarray, window: int, an
         words = text.split()
         at = np.zeros(max(0, len(words) - window + 1) + 1, np.int64)
         if len(automaton) and len(at) > 1:
-            for end, _ in automaton.iter("".join([letters.get(w, "\0") for w in words])):
-                p = end - anchor + 1
-                at[min(max(0, p - (window - anchor)), len(at) - 1)] += 1
-                at[min(p + 1, len(at) - 1)] -= 1
+            spelled = "".join([letters.get(w, "\0") for w in words])
+            places = np.fromiter((end for end, _ in automaton.iter(spelled)), np.int64) - (anchor - 1)
+            np.add.at(at, np.clip(places - (window - anchor), 0, len(at) - 1), 1)
+            np.add.at(at, np.minimum(places + 1, len(at) - 1), -1)
         out.append(np.flatnonzero(np.cumsum(at[:-1]) > 0))
     return out
 
@@ -147,7 +155,7 @@ def remove(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, with_tex
     def count_windows(rows: pa.Table, known: pa.Table) -> pa.Table:
         if not len(rows) or not len(known):
             return arrow_counts().empty_table()
-        recurring = np.unique(known.column("hash").to_numpy()).view(np.uint64)
+        recurring = np.unique(known.column("hash").to_numpy().view(np.uint64))
         texts = [t for _, t in _texts(rows)]
         hasher = WordHasher(lower=False)
         starts = recurring_windows(texts, recurring, window, anchor)
@@ -160,9 +168,8 @@ def remove(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, with_tex
         for of, text in _texts(rows) if len(rows) else ():
             words, found = text.split(), windows(hasher(text), window)
             at = np.zeros(len(words) + 1, np.int64)
-            if len(found) and len(recurring):
-                again = recurring[np.minimum(np.searchsorted(recurring, found), len(recurring) - 1)] == found
-                starts = np.flatnonzero(again)
+            if len(found):
+                starts = np.flatnonzero(_among(recurring, found))
                 at[starts] += 1
                 at[starts + window] -= 1
             left = np.cumsum(at[:-1]) == 0
