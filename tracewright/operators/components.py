@@ -5,10 +5,16 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Edges that a task folds at a time.
+BLOCK = 1 << 20
+
 
 def settled(df: DataFrame) -> DataFrame:
     """df, computed once and kept in the shared checkpoint folder, where a lost executor takes nothing with it."""
@@ -22,15 +28,52 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """node, least node of its component, for all nodes but the least ones."""
+    nodes, at = np.unique(np.concatenate((a, b)), return_inverse=True)
+    i, j, root = at[: len(a)], at[len(a) :], np.arange(len(nodes))
+    while len(i):
+        low, high = np.minimum(root[i], root[j]), np.maximum(root[i], root[j])
+        apart = low != high
+        i, j = i[apart], j[apart]
+        np.minimum.at(root, high[apart], low[apart])
+        while (root[root] != root).any():
+            root = root[root]
+    below = np.flatnonzero(root != np.arange(len(nodes)))
+    return nodes[below], nodes[root[below]]
+
+
+def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges to the same components, block by block: stars around their least nodes."""
+    held: list[pa.RecordBatch] = []
+
+    def fold() -> pa.RecordBatch:
+        a, b = (np.concatenate([x.column(c).to_numpy() for x in held]) for c in (0, 1))
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in forest(a, b)], ["a", "b"])
+
+    for batch in batches:
+        held.append(batch)
+        if sum(x.num_rows for x in held) >= BLOCK:
+            yield fold()
+            held = []
+    if held:
+        yield fold()
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """node, root: for every node of an undirected edge table, the same root for all nodes of its component.
 
-    The graph is contracted: each round maps a node to the foremost of itself and its neighbours, renames the edges and
-    drops loops and repeats. By turns foremost is by id, which folds a star at once, and by a hash, which halves any
-    path. Minima are summed up before the shuffle, so a hub with very many neighbours is one row from each task.
+    Nodes are longs. The graph is contracted: each task folds the edges that it has to stars, then a round maps a node
+    to the foremost of itself and its neighbours, renames the edges and drops loops and repeats. By turns foremost is by
+    id, which folds a star at once, and by a hash, which halves any path. Minima are summed up before the shuffle, so a
+    hub with very many neighbours is one row from each task.
     """
-    edges = settled(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b").distinct())
-    maps: list[DataFrame] = []
+
+    def fold(e: DataFrame) -> DataFrame:
+        return settled(e.mapInArrow(_folded, "a long, b long").distinct())
+
+    edges = fold(edges.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).where("a <> b"))
+    out: DataFrame | None = None
     for turn in range(max_rounds):
         if edges.isEmpty():
             break
@@ -39,18 +82,18 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         best = both.groupBy("a").agg(F.min(F.struct(rank("b").alias("r"), F.col("b").alias("v"))).alias("m"))
         own = F.struct(rank("a").alias("r"), F.col("a").alias("v"))
         step = settled(best.select(F.col("a").alias("node"), F.least(F.col("m"), own)["v"].alias("to")))
-        maps.append(step)
         moved = edges.join(step, edges["a"] == step["node"]).select(F.col("to").alias("a"), "b")
         moved = moved.join(step, moved["b"] == step["node"]).select("a", F.col("to").alias("b")).where("a <> b")
-        edges = settled(moved.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        edges = fold(moved)
+        later = step.select(F.col("node").alias("_n"), F.col("to").alias("_to"))
+        if out is None:
+            out = step.select("node", F.col("to").alias("root"))
+        else:
+            out = settled(out.join(later, F.col("root") == F.col("_n"), "left").select("node", F.coalesce("_to", "root").alias("root")))
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    if not maps:
+    if out is None:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    out = maps[0].select("node", F.col("to").alias("root"))
-    for step in maps[1:]:
-        later = step.select(F.col("node").alias("_n"), F.col("to").alias("_to"))
-        out = out.join(later, F.col("root") == F.col("_n"), "left").select("node", F.coalesce("_to", "root").alias("root"))
     return out
 
 
