@@ -30,6 +30,8 @@ WORDS, PERCENT = 5, 80
 #: Sets in a piece of a group; two pieces meet in a task.
 PIECE = 4096
 FAN = 8
+#: One in SPARE of a set's shingles, more or less, must be shared before a set is routed anywhere.
+SPARE = 8
 
 
 def shingles(words: np.ndarray, k: int) -> np.ndarray:
@@ -44,7 +46,7 @@ def least_overlap(size: int, percent: int) -> int:
 
 def spare(size: int) -> int:
     """How many shared first shingles a set of this size is asked for, if its partner is no smaller."""
-    return 1 + size // 16
+    return 1 + size // SPARE
 
 
 def first_shingles(found: np.ndarray, percent: int) -> np.ndarray:
@@ -172,26 +174,23 @@ def classes(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, piece: int
     once = named.mapInArrow(_once, "of binary, text string")
     dealt = once.withColumn("part", F.pmod(F.xxhash64("of"), F.lit(n_parts)).cast("int")).repartition(n_parts, "part")
 
-    firsts_schema = "hash long, name long"
+    firsts_schema = "hash long, least long, n long"
     firsts_arrow = arrow_schema(firsts_schema)
 
     def firsts(rows: pa.Table) -> pa.Table:
+        """Each hash once for the part: the least set that has it among its first, and how many have."""
         here = Part(rows, k)
         found = [first_shingles(x, percent) for x, _ in here.sets if len(x)]
         names = [here.name(i) for i, (x, _) in enumerate(here.sets) if len(x)]
         if not found:
             return firsts_arrow.empty_table()
         hashes, owner = np.concatenate(found), np.repeat(np.array(names), [len(f) for f in found])
-        order = np.lexsort((owner, hashes))
-        hashes, owner = hashes[order], owner[order]
-        edge = np.concatenate(([True], hashes[1:] != hashes[:-1]))
-        keep = edge | np.concatenate((edge[1:], [True]))  # the first and the last set that has it here
-        return pa.table({"hash": hashes[keep].view(np.int64), "name": owner[keep]}, schema=firsts_arrow)
+        hashes, at, n = np.unique(hashes, return_index=True, return_counts=True)  # names ascend, so that the first is the least
+        return pa.table({"hash": hashes.view(np.int64), "least": owner[at], "n": n}, schema=firsts_arrow)
 
     by_hash = Window.partitionBy("hash")
     shared = dealt.groupBy("part").applyInArrow(firsts, firsts_schema)
-    shared = shared.select("hash", "name", F.min("name").over(by_hash).alias("least"), F.max("name").over(by_hash).alias("most")).where("least < most")
-    shared = shared.select(F.shiftright("name", 32).cast("int").alias("part"), "hash", "least").distinct()
+    shared = shared.select("hash", F.shiftright("least", 32).cast("int").alias("part"), F.min("least").over(by_hash).alias("least"), F.sum("n").over(by_hash).alias("n")).where("n > 1")
 
     sets_schema = "name long, n long, ofs array<binary>, hashes binary, near array<long>"
     sets_arrow = arrow_schema(sets_schema)
@@ -200,7 +199,7 @@ def classes(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, piece: int
         here = Part(rows, k)
         order = np.argsort(known.column("hash").to_numpy().view(np.uint64)) if len(known) else np.empty(0, np.int64)
         hashes = known.column("hash").to_numpy().view(np.uint64)[order] if len(known) else np.empty(0, np.uint64)
-        least = known.column("least").to_numpy()[order] if len(known) else np.empty(0, np.int64)
+        least, sharers = ((known.column(c).to_numpy()[order] if len(known) else np.empty(0, np.int64)) for c in ("least", "n"))
         out: dict[str, list] = {name: [] for name in sets_arrow.names}
         for i, (found, ofs) in enumerate(here.sets):
             near: list[int] = []
@@ -208,8 +207,11 @@ def classes(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, piece: int
                 first = first_shingles(found, percent)
                 at = np.minimum(np.searchsorted(hashes, first), len(hashes) - 1)
                 at = at[hashes[at] == first]
-                if len(at) >= spare(least_overlap(len(found), percent)):
-                    near = np.unique(least[at]).tolist()
+                # A similar set shares `need` of these or more. If both leave out the need - 1 that most sets share, in
+                # one order for all, the rarest that they share stays: texts aren't joined by a passage that many have.
+                need = spare(least_overlap(len(found), percent))
+                rarest = at[np.lexsort((at, sharers[at]))][: max(0, len(at) - need + 1)]
+                near = np.unique(least[rarest]).tolist()
             for name, value in zip(sets_arrow.names, (here.name(i), len(found), ofs, found.tobytes() if near else None, near), strict=True):
                 out[name].append(value)
         return pa.table(out, schema=sets_arrow)
