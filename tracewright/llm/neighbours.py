@@ -18,13 +18,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import mix, table
+from .common import mix, settled, table
 
 TABLES, HASHES, PROBES = 8, 10, 200
 #: The width w, in standard deviations of the projections of a sample of SAMPLE vectors.
 WIDTH, SAMPLE = 2.5, 1000
 #: Index rows in a part, about; and in a piece of a bucket.
 PART_ROWS, PIECE_ROWS = 16_384, 2_048
+#: Buckets of more than one piece that are broadcast, at most; beyond, they are joined by a shuffle.
+BIG_BUCKETS = 10_000
 
 
 class Hashes:
@@ -101,36 +103,44 @@ def nearest(
     come where fewer were found; an empty table, or one without queries, gives none; other columns are ignored.
     """
     spark = vectors.sparkSession
-    rows = vectors.where(F.col("vec_id").isNotNull()).select("vec_id", F.col("embedding").cast("array<double>").alias("x")).where(usable(F.col("x")))
+    rows = vectors.where(F.col("vec_id").isNotNull()).select("vec_id", F.col("embedding").alias("x")).where(usable(F.col("x")))
     rows = rows.groupBy("vec_id").agg(F.min("x").alias("x"))
     lengths = rows.groupBy(F.size("x").alias("n")).count().orderBy(F.desc("count"), "n").first()
     size, total = (lengths["n"], lengths["count"]) if lengths else (1, 0)
     rows = rows.where(F.size("x") == size)
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toPandas()["x"]
+    kind = rows.schema["x"].dataType.simpleString()  # vectors move as they are stored, and are widened where they are used
     tool = spark.sparkContext.broadcast(Hashes(np.array(sample.tolist(), float).reshape(-1, size), tables, hashes, width))
 
     def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for d in batches:
             if len(d):
-                codes = tool.value.codes(np.stack(d["x"]))
+                codes = tool.value.codes(np.stack(d["x"]).astype(float))
                 yield pd.DataFrame({"vec_id": np.tile(d["vec_id"], tables), "x": [*d["x"]] * tables, "t": np.repeat(np.arange(tables), len(d)), "code": codes.ravel()})
 
     def visits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for d in batches:
             if len(d):
                 ids = d["vec_id"].to_numpy()
-                for t, row, codes in tool.value.probes(np.stack(d["x"]), probes):
+                for t, row, codes in tool.value.probes(np.stack(d["x"]).astype(float), probes):
                     yield pd.DataFrame({"query_id": ids[row], "t": t, "code": codes})
 
-    indexed = rows.mapInPandas(index, "vec_id long, x array<double>, t int, code long")
-    sizes = rows.mapInPandas(index, "vec_id long, x array<double>, t int, code long").groupBy("t", "code").agg(F.ceil(F.count("*") / PIECE_ROWS).cast("int").alias("pieces"))
+    def coded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for d in batches:
+            if len(d):
+                yield pd.DataFrame({"t": np.repeat(np.arange(tables), len(d)), "code": tool.value.codes(np.stack(d["x"]).astype(float)).ravel()})
+
+    indexed = rows.mapInPandas(index, f"vec_id long, x {kind}, t int, code long")
+    sizes = settled(rows.mapInPandas(coded, "t int, code long").groupBy("t", "code").agg(F.ceil(F.count("*") / PIECE_ROWS).cast("int").alias("pieces")))
+    big = sizes.where("pieces > 1")
+    big = F.broadcast(big) if big.count() <= BIG_BUCKETS else big
     parts = max(1, -(-total * tables // PART_ROWS))
     part = F.pmod(F.xxhash64("t", "code", "piece"), F.lit(parts)).alias("part")
-    stored = indexed.join(sizes, ["t", "code"]).withColumn("piece", F.pmod(F.xxhash64("vec_id"), F.col("pieces")).cast("int"))
+    stored = indexed.join(big, ["t", "code"], "left").withColumn("piece", F.pmod(F.xxhash64("vec_id"), F.coalesce("pieces", F.lit(1))).cast("int"))
     stored = stored.select(part, "t", "code", "vec_id", "x")
     queries = rows.where(is_query)
     # A query makes `probes` rows for each table: few of them are work for a task.
-    visited = queries.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "vec_id").mapInPandas(visits, "query_id long, t int, code long").join(sizes, ["t", "code"])
+    visited = queries.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "vec_id").mapInPandas(visits, "query_id long, t int, code long").join(sizes.hint("merge"), ["t", "code"])
     visited = visited.withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).select(part, "query_id", "t", "code").distinct()
     visited = visited.groupBy("part", "query_id").agg(F.collect_list("t").alias("t"), F.collect_list("code").alias("code"))  # a query's probes at most
     visited = visited.join(queries.select(F.col("vec_id").alias("query_id"), F.col("x").alias("q")), "query_id")
@@ -138,7 +148,7 @@ def nearest(
     def best(here: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         found = []
         if len(here) and len(asked):
-            x, ids = np.stack(here["x"]), here["vec_id"].to_numpy()
+            x, ids = np.stack(here["x"]).astype(float), here["vec_id"].to_numpy()
             buckets = pd.Series(np.arange(len(here))).groupby([here["t"].to_numpy(), here["code"].to_numpy()]).indices
             for query, ts, codes, q in zip(asked["query_id"], asked["t"], asked["code"], asked["q"], strict=True):
                 at = [b for key in zip(ts, codes, strict=True) if (b := buckets.get(key)) is not None]
