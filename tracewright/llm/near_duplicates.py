@@ -3,8 +3,8 @@
 1. Routing. Sets are ordered by their shingles' hashes. Two sets as similar as asked for share some of their first
    shingles; how many follows from their sizes. Equal texts count once, texts are dealt to parts of bounded size, and a
    part names each of these shingles once, so that a shingle that a third of all texts have is a row from each part.
-   Sets that share too few with any others are done. The rest are joined through the shingles they share into groups
-   that no similar pair can straddle.
+   Sets that share too few with any others are done. The rest are joined, through the rarer of the shingles they
+   share, into groups that no similar pair can straddle; the most shared ones are passages of many unlike texts.
 2. Signature trees. A group's sets, large groups in pieces, are the leaves of a tree whose nodes hold the OR of their
    sets' token bitmaps and the range of their sizes. Two trees (or one with itself) are traversed together; a pair of
    nodes goes no further if no pair of sets below it can overlap enough. What is left is compared exactly, but for pairs

@@ -140,7 +140,7 @@ def nearest(
     stored = stored.select(part, "t", "code", "vec_id", "x")
     queries = rows.where(is_query)
     # A query makes `probes` rows for each table: few of them are work for a task.
-    visited = queries.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "vec_id").mapInPandas(visits, "query_id long, t int, code long").join(sizes.hint("merge"), ["t", "code"])
+    visited = queries.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))).mapInPandas(visits, "query_id long, t int, code long").join(sizes.hint("merge"), ["t", "code"])
     visited = visited.withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).select(part, "query_id", "t", "code").distinct()
     visited = visited.groupBy("part", "query_id").agg(F.collect_list("t").alias("t"), F.collect_list("code").alias("code"))  # a query's probes at most
     visited = visited.join(queries.select(F.col("vec_id").alias("query_id"), F.col("x").alias("q")), "query_id")
