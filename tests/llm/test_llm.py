@@ -316,6 +316,30 @@ def test_neighbours(spark):
     assert neighbours.nearest(df.limit(0), F.col("vec_id") % 100 == 0).count() == 0
 
 
+@pytest.mark.parametrize(("n", "far", "block"), [(1, 1, 16384), (2, 1, 16384), (5, 1, 16384), (11, 1, 16384), (400, 4, 16384), (400, 1e6, 60)])
+def test_neighbours_are_never_short(spark, monkeypatch, n, far, block):
+    """Small tables, and queries far from all rows; far: by how much their norms exceed the others'."""
+    monkeypatch.setattr(neighbours, "PART_ROWS", block)
+    monkeypatch.setattr(neighbours, "SCAN_QUERIES", 7)
+    r = np.random.default_rng(6)
+    x = r.standard_normal((n, 64))
+    asked = np.arange(n) % (20 if n > 20 else 1) == 0
+    x[asked] *= far
+    df = spark.createDataFrame([(i, [float(v) for v in x[i]]) for i in range(n)], "vec_id long, embedding array<double>")
+    got = collections.defaultdict(list)
+    for m in neighbours.nearest(df, F.col("vec_id") % (20 if n > 20 else 1) == 0).orderBy("query_id", "rank").collect():
+        assert m["rank"] == len(got[m["query_id"]]) + 1
+        got[m["query_id"]].append((m["vec_id"], m["score"]))
+    assert set(got) == (set(np.flatnonzero(asked)) if n > 1 else set())
+    hits = 0
+    for q, found in got.items():
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        want = [v for v in np.lexsort((np.arange(n), d)) if v != q][:10]
+        assert len(found) == min(10, n - 1) and q not in dict(found)
+        hits += len(set(want) & set(dict(found)))
+    assert hits >= 0.9 * sum(map(len, got.values()))
+
+
 def test_language_model(docs, none):
     rows = [(r["doc_id"], r["text"] or "") for r in docs.collect()]
     held = lambda i: i is None or zlib.crc32(str(i).encode()) % 7 == 2

@@ -6,6 +6,9 @@ they hold a near vector: the smaller the summed squared distances to the bucket
 
 Index rows and probes meet by bucket. Buckets are dealt to parts of bounded size, a large bucket to several, each of
 which its probes visit; a part gives each query's nearest rows of its own, so that pairs never leave their task.
+
+Queries whose probes meet fewer rows than asked for (a small table, a query far from all rows) are answered by an exact
+scan: blocks of rows against blocks of such queries, each pair of blocks giving its nearest.
 """
 
 from __future__ import annotations
@@ -27,6 +30,8 @@ WIDTH, SAMPLE = 2.5, 1000
 PART_ROWS, PIECE_ROWS = 16_384, 2_048
 #: Buckets of more than one piece that are broadcast, at most; beyond, they are joined by a shuffle.
 BIG_BUCKETS = 10_000
+#: Queries that one task of the exact scan compares with its PART_ROWS rows, about.
+SCAN_QUERIES = 1_024
 
 
 class Hashes:
@@ -99,8 +104,9 @@ def nearest(
     """query_id, rank, vec_id, score: for each row with is_query the k nearest other rows found, by Euclidean distance.
 
     Vectors that are null, zero, not finite, or of another length than most take no part, neither do rows with a null
-    vec_id. Of rows with the same vec_id one counts, the least vector. Ties go to the smaller vec_id. Fewer than k rows
-    come where fewer were found; an empty table, or one without queries, gives none; other columns are ignored.
+    vec_id. Of rows with the same vec_id one counts, the least vector. Ties go to the smaller vec_id. Each query gets k
+    rows, or all others where the table has fewer; an empty table, or one without queries, gives none; other columns are
+    ignored.
     """
     spark = vectors.sparkSession
     rows = vectors.where(F.col("vec_id").isNotNull()).select("vec_id", F.col("embedding").alias("x")).where(usable(F.col("x")))
@@ -163,9 +169,46 @@ def nearest(
         return pd.concat(found) if found else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
 
     local = stored.groupBy("part").cogroup(visited.groupBy("part")).applyInPandas(best, "query_id long, vec_id long, score double")
+    found = settled(_ranked(local.dropDuplicates(["query_id", "vec_id"]), k))
+    # The union of the parts' nearest has fewer than k rows only if a query's probes met fewer.
+    full = found.where(F.col("rank") == min(k, total - 1)).select(F.col("query_id").alias("vec_id"))
+    short = settled(queries.join(full, "vec_id", "left_anti").select(F.col("vec_id").alias("query_id"), F.col("x").alias("q")))
+    n = short.count()
+    if not n or total < 2:
+        return found
+    rest = _ranked(scanned(rows, short, k, total, n), k)
+    return found.join(short.select("query_id"), "query_id", "left_anti").select(*rest.columns).unionByName(rest)
+
+
+def _ranked(pairs: DataFrame, k: int) -> DataFrame:
+    """query_id, rank, vec_id, score of each query's first k pairs."""
     by = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    ranked = local.dropDuplicates(["query_id", "vec_id"]).withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+    return pairs.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def scanned(rows: DataFrame, asked: DataFrame, k: int, total: int, n: int) -> DataFrame:
+    """query_id, vec_id, score: of each block of rows (vec_id, x; `total` of them) the k nearest to each of the n asked
+    (query_id, q), among them the k nearest of all."""
+    blocks, chunks = -(-total // PART_ROWS), -(-n // SCAN_QUERIES)
+    every = lambda m: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long")))
+    here = rows.select("vec_id", "x", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).alias("block"), every(chunks).alias("chunk"))
+    there = asked.select("query_id", "q", every(blocks).alias("block"), F.pmod(F.xxhash64("query_id"), F.lit(chunks)).alias("chunk"))
+
+    def best(here: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"query_id": [], "vec_id": [], "score": []})]
+        if len(here) and len(asked):
+            x, ids = np.stack(here["x"]).astype(float), here["vec_id"].to_numpy()
+            for query, q in zip(asked["query_id"], asked["q"], strict=True):
+                score = np.sqrt(((x - q) ** 2).sum(1))
+                score[ids == query] = np.inf
+                at = np.flatnonzero(score <= np.partition(score, min(k, len(score)) - 1)[min(k, len(score)) - 1])
+                order = at[np.lexsort((ids[at], score[at]))]
+                order = order[ids[order] != query][:k]
+                out.append(pd.DataFrame({"query_id": query, "vec_id": ids[order], "score": score[order]}))
+        return pd.concat(out)
+
+    by = ["block", "chunk"]
+    return here.groupBy(*by).cogroup(there.groupBy(*by)).applyInPandas(best, "query_id long, vec_id long, score double")
 
 
 def op1_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
