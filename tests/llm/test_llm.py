@@ -233,6 +233,23 @@ def test_disguised_identifiers(text, kind, found):
     assert (found or "\0") not in pii.masked(text)
 
 
+@pytest.mark.parametrize(
+    ("text", "kind", "found"),
+    [
+        ("mail alice at example.com now", "email", "alice at example.com"),
+        ("mail ALICE AT example.com now", "email", "ALICE AT example.com"),
+        ("host one nine two dot one six eight dot one dot one up", "ip", "one nine two dot one six eight dot one dot one"),
+        ("One two seven dot zero dot zero dot one", "ip", "One two seven dot zero dot zero dot one"),
+        ("we met at noon and left at ten", None, None),
+        ("one dot two and three", None, None),
+    ],
+)
+def test_disguises_without_other_hints(text, kind, found):
+    base, every = pii.find(text)
+    assert base == [] and [(pii.KINDS[k], text[a:b]) for a, k, b in every] == ([(kind, found)] if kind else [])
+    assert pii.masked(text) == (text.replace(found, f"[{kind}]") if kind else text)
+
+
 def test_pii_rows(docs, none):
     got = pii.spans_of(docs)
     assert got.count() == docs.count() and pii.spans_of(none).count() == 0

@@ -79,14 +79,17 @@ LOOKALIKES = {
 HOMOGLYPH = re.compile("[" + re.escape("".join(LOOKALIKES)) + "٠-٩۰-۹०-९！-～\U0001d400-\U0001d7ff]")
 SPELLED = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
 DIGIT_WORD = "(?:" + "|".join(SPELLED) + ")"
-#: At least three spelled digits in a row, joined by at most two blanks, commas, dots or hyphens, perhaps after "plus".
-SPELLED_RUN = re.compile(rf"\b(?:plus[ ,-]{{1,2}})?{DIGIT_WORD}(?:[ ,.-]{{1,2}}{DIGIT_WORD}){{2,}}\b", re.I)
+#: At least three spelled digits in a row, joined by at most two blanks, commas, dots or hyphens, perhaps with a spelled
+#: "dot" among them, perhaps after "plus".
+SPELLED_RUN = re.compile(rf"\b(?:plus[ ,-]{{1,2}})?{DIGIT_WORD}(?:[ ,.-]{{1,2}}(?:dot[ ,.-]{{1,2}})?{DIGIT_WORD}){{2,}}\b", re.I)
+SPELLED_SIGN = {**SPELLED, "plus": "+", "dot": "."}
 SPELLED_PART = re.compile(rf"plus|{DIGIT_WORD}|dot", re.I)
 #: Signs spelled in brackets, or plainly where an address follows: "name at host dot com".
 BRACKETED = re.compile(r" ?([\[({<]) ?(at|dot) ?([\])}>]) ?", re.I)
 PLAIN_ADDRESS = re.compile(r"(?<=[A-Za-z0-9])( at )(?=[A-Za-z0-9-]+(?: dot | ?[\[({<] ?dot ?[\])}>] ?|\.)[A-Za-z0-9-]{2,})", re.I)
 PLAIN_DOT = re.compile(r"(?<=[A-Za-z0-9])( dot )(?=[A-Za-z0-9-]{1,63})", re.I)
-HINT = re.compile(r"\bdot\b|[\[({<] ?at ?[\])}>]", re.I)
+#: What each of the three needs at least.
+HINT = re.compile(r"\bdot\b| at |[\[({<] ?at ?[\])}>]", re.I)
 
 
 def _plain_letter(c: str) -> str:
@@ -135,7 +138,7 @@ def rewrite(text: str) -> Rewritten | None:
             end = part.end()
             while end < len(m[0]) and m[0][end] in " ,":
                 end += 1
-            runs.append((m.start() + part.start(), m.start() + end, SPELLED.get(part[0].lower(), "+")))
+            runs.append((m.start() + part.start(), m.start() + end, SPELLED_SIGN[part[0].lower()]))
     out.put(runs)
     if HINT.search(out.text):
         out.put([(m.start(), m.end(), "@" if m[2].lower() == "at" else ".") for m in BRACKETED.finditer(out.text)])
