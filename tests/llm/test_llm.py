@@ -375,6 +375,33 @@ def test_language_model(docs, none):
     assert language_model.score_documents(none).count() == 0
 
 
+def test_attention_learns_from_every_text(spark):
+    """Two corpora with the same counts and the same 256 texts that come first by hash; the order of words differs in the rest."""
+    first, ahead, back = "e f", "a b c d " * 40, "d c b a " * 40
+    hashes = [F.xxhash64(F.col("id"), F.lit(t)).alias(f"h{i}") for i, t in enumerate((first, ahead, back))]
+    rows = spark.range(1500).select("id", language_model.learnable(F.col("id")).alias("learned"), *hashes).collect()
+    learned = sorted((r for r in rows if r["learned"]), key=lambda r: r["h0"])
+    border = learned[255]["h0"]
+    rest = [r["id"] for r in learned[256:] if r["h1"] > border and r["h2"] > border]
+    asked = next(r["id"] for r in rows if not r["learned"])
+    scores = []
+    for text in (ahead, back):
+        made = [(r["id"], first) for r in learned[:256]] + [(i, text) for i in rest] + [(asked, ahead)]
+        got = language_model.score_documents(spark.createDataFrame(made, "doc_id long, text string"))
+        scores.append(got.where(F.col("doc_id") == asked).first()["score"])
+    assert scores[0] > scores[1] + 5
+
+
+def test_every_learnable_id_is_trained_on(docs, none):
+    path = tokenizer_path("word_bpe_49k.json")
+    allowed = docs.where(language_model.learnable(F.col("doc_id")))
+    texts_of = language_model.Texts(path)
+    n = sum(len(texts_of(r["text"] or "")[1]) + 1 for r in allowed.collect())
+    fresh = language_model.Model.fit(np.ones(language_model.N_IDS), [])
+    assert language_model.train_on_all(fresh, allowed, path, 2) == [n, n]
+    assert language_model.train_on_all(fresh, none, path) == []
+
+
 def test_windows_score_each_id_once():
     texts = [np.arange(n) for n in (0, 1, 30, 31, 32, 33, 55, 56, 57, 500)]
     ids, targets, scored, of = language_model.cut_windows(texts)

@@ -1,7 +1,8 @@
 """Language-model scoring: a causal self-attention model over subword ids, beside a word-count base score.
 
-The model gives an id's probability as that of its class after the context (one masked attention layer, trained here in
-numpy) times that of the id within its class (its share of the corpus's counts). Classes are groups of ids with about
+The model gives an id's probability as that of its class after the context (one masked attention layer, trained in
+numpy on all texts that may be learned from: in each of EPOCHS rounds every partition trains on its own texts from the
+same weights, and Spark adds up what comes out, weighted by how many ids each has seen) times that of the id within its class (its share of the corpus's counts). Classes are groups of ids with about
 equal shares of all counts. Contexts are overlapping windows: each id is scored once, in the window where it has the
 most context, at least WINDOW - STRIDE ids unless the text starts later.
 
@@ -11,9 +12,12 @@ them by that definition, go to the tasks; the rest are joined on the word's hash
 
 from __future__ import annotations
 
+import os
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,9 +26,9 @@ from .packing import WordIds
 
 WINDOW, STRIDE = 32, 24
 WIDTH, CLASSES, HASHED = 8, 32, 512
-#: Texts that the attention layer is trained on, at most; counts come from all texts that may be learned from.
-TRAINING_TEXTS = 256
 EPOCHS = 3
+#: Characters of the texts that a task trains on at once, about.
+TRAINED_AT_ONCE = 1 << 20
 HEAD = 1 << 22
 END_WORD = np.uint64(0x5E17E7C0DE0E7D01)  # no word hashes to it but by a chance of 2**-64
 END_ID = 49407
@@ -54,14 +58,14 @@ class Attention:
     def forward(self, ids: np.ndarray, kinds: np.ndarray) -> tuple[np.ndarray, ...]:
         """ids, kinds (their classes): windows x WINDOW. Gives the logits of the next id's class, and what training needs."""
         x = self.by_class[kinds] + self.by_hash[ids % HASHED] + self.places
-        q, k, v = x @ self.query, x @ self.key, x @ self.value
+        q, k, v = _times(x, self.query), _times(x, self.key), _times(x, self.value)
         weights = q @ k.transpose(0, 2, 1)
         np.clip(weights, -30, 30, out=weights)
         np.exp(weights, out=weights)
         weights *= MASK
         weights /= weights.sum(-1, keepdims=True)
         h = x + weights @ v
-        return h @ self.out + self.bias, x, q, k, v, weights, h
+        return _times(h, self.out) + self.bias, x, q, k, v, weights, h
 
     def log_odds(self, ids: np.ndarray, kinds: np.ndarray, targets: np.ndarray) -> np.ndarray:
         """Natural log of the probability of each next class. As forward(), with the sums done as products."""
@@ -88,23 +92,21 @@ class Attention:
         p *= scored[..., None] / scored.sum()
         flat = lambda a: a.reshape(-1, a.shape[-1])
         out = {"out": flat(h).T @ flat(p), "bias": flat(p).sum(0)}
-        dh = p @ self.out.T
+        dh = _times(p, self.out.T)
         dw, dv = dh @ v.transpose(0, 2, 1), weights.transpose(0, 2, 1) @ dh
         ds = weights * (dw - (dw * weights).sum(-1, keepdims=True))
         dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
         out |= {"query": flat(x).T @ flat(dq), "key": flat(x).T @ flat(dk), "value": flat(x).T @ flat(dv)}
-        dx = dh + dq @ self.query.T + dk @ self.key.T + dv @ self.value.T
+        dx = dh + _times(dq, self.query.T) + _times(dk, self.key.T) + _times(dv, self.value.T)
         out["places"] = dx.sum(0)
         for name, at, n in (("by_class", kinds, len(self.by_class)), ("by_hash", ids % HASHED, HASHED)):
-            out[name] = np.zeros((n, WIDTH), np.float32)
-            np.add.at(out[name], at.ravel(), flat(dx))
+            out[name] = np.stack([np.bincount(at.ravel(), column, n) for column in flat(dx).T], 1).astype(np.float32)
         return out
 
-    def train(self, ids: np.ndarray, kinds: np.ndarray, targets: np.ndarray, scored: np.ndarray, epochs: int = EPOCHS, batch: int = 64, rate: float = 0.01) -> None:
-        """Adam over shuffled batches of windows."""
-        rng, step = np.random.default_rng(1), 0
-        first = {k: np.zeros_like(v) for k, v in vars(self).items()}
-        second = {k: np.zeros_like(v) for k, v in vars(self).items()}
+    def train(self, ids: np.ndarray, kinds: np.ndarray, targets: np.ndarray, scored: np.ndarray, epochs: int = EPOCHS, batch: int = 64, rate: float = 0.01, so_far: tuple | None = None) -> tuple:
+        """Adam over shuffled batches of windows. Gives the steps and moments so far, with which training can go on."""
+        rng = np.random.default_rng(1)
+        step, first, second = so_far or (0, *({k: np.zeros_like(v) for k, v in vars(self).items()} for _ in range(2)))
         for _ in range(epochs):
             order = rng.permutation(len(ids))
             for i in range(0, len(order), batch):
@@ -117,6 +119,21 @@ class Attention:
                     second[name] = 0.99 * second[name] + 0.01 * g * g
                     move = rate * (first[name] / (1 - 0.9**step)) / (np.sqrt(second[name] / (1 - 0.99**step)) + 1e-8)
                     setattr(self, name, (getattr(self, name) - move).astype(np.float32))
+        return step, first, second
+
+    def flat(self) -> np.ndarray:
+        return np.concatenate([w.ravel() for w in vars(self).values()]).astype(float)
+
+    def put(self, flat: np.ndarray) -> None:
+        at = 0
+        for name, w in list(vars(self).items()):
+            setattr(self, name, flat[at : at + w.size].reshape(w.shape).astype(np.float32))
+            at += w.size
+
+
+def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a @ b for one matrix b, as one product and not one for each window."""
+    return (a.reshape(-1, a.shape[-1]) @ b).reshape(*a.shape[:-1], b.shape[1])
 
 
 MASK = np.tril(np.ones((WINDOW, WINDOW), np.float32))
@@ -153,7 +170,7 @@ class Model:
 
     @classmethod
     def fit(cls, counts: np.ndarray, texts: list[np.ndarray]) -> Model:
-        """counts: of each id, in all texts; texts: a few, for the attention layer."""
+        """counts: of each id, in all texts; texts: what the attention layer learns from here, if anything."""
         smooth = counts + 1.0
         order = np.argsort(-smooth, kind="stable")
         before = np.cumsum(smooth[order]) - smooth[order]
@@ -193,7 +210,10 @@ class Texts:
 
     def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         raw = text.encode()
-        return self.hashes(raw), np.frombuffer(b"".join(map(self.ids.__getitem__, raw.lower().split())), "<u4")
+        return self.hashes(raw), self.subwords(raw)
+
+    def subwords(self, raw: bytes) -> np.ndarray:
+        return np.frombuffer(b"".join(map(self.ids.__getitem__, raw.lower().split())), "<u4")
 
 
 def corpus_counts(docs: DataFrame, path: str) -> DataFrame:
@@ -221,6 +241,49 @@ def corpus_counts(docs: DataFrame, path: str) -> DataFrame:
     return over_texts(docs, make, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
+def train_on_all(model: Model, docs: DataFrame, path: str, rounds: int = EPOCHS) -> list[int]:
+    """Train the model's attention layer on all texts of docs; gives how many ids each round has learned from.
+
+    A partition goes through its texts block by block. What it makes of the weights counts by its ids, so that the
+    weights follow how the table is cut, but every text has its part in them.
+    """
+    sc, seen = docs.sparkSession.sparkContext, []
+    for _ in range(rounds):
+        now = sc.broadcast(model)
+
+        def run(batches: Iterator[pa.RecordBatch], now=now) -> Iterator[pa.RecordBatch]:
+            os.environ["TOKENIZERS_PARALLELISM"] = "false"
+            texts_of, kinds, own, so_far, n = Texts(path), now.value.kinds, Attention(**vars(now.value.attention)), None, 0
+            held, size = [], 0
+
+            def learn() -> None:
+                nonlocal so_far, n
+                ids, targets, scored, _ = cut_windows([texts_of.subwords(t.encode()).astype(np.int64) for t in held])
+                so_far = own.train(ids, kinds[ids], kinds[targets], scored.astype(np.float32), 1, so_far=so_far)
+                n += int(scored.sum())
+
+            for batch in batches:
+                for value in batch.column(0):
+                    held.append(value.as_py() or "")
+                    size += len(held[-1])
+                    if size >= TRAINED_AT_ONCE:
+                        learn()
+                        held, size = [], 0
+            if held:
+                learn()
+            if n:
+                w = own.flat()
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(w)), pa.int32()), pa.array(w * n), pa.array(np.full(len(w), n, np.int64))], names=["at", "total", "n"])
+
+        summed = docs.select("text").mapInArrow(run, "at int, total double, n long").groupBy("at").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
+        at, total, n = _arrays(summed)  # a row for each weight
+        if not len(at):
+            break
+        model.attention.put((total / n)[np.argsort(at)])
+        seen.append(int(n[0]))
+    return seen
+
+
 def _arrays(df: DataFrame) -> list[np.ndarray]:
     t = df.toArrow()
     return [t.column(i).to_numpy() for i in range(t.num_columns)]
@@ -247,9 +310,9 @@ def score_documents(docs: DataFrame, path: str | None = None, head: int = HEAD)
     heads, n_heads = _arrays(words.where((F.col("n") >= least) | at_end))  # at most head rows, as each is over total / head, and the end's
     order = np.argsort(heads.view(np.uint64))
     frequent = spark.sparkContext.broadcast((heads.view(np.uint64)[order], np.log10(n_heads[order] + 1.0).astype(np.float64)))
-    sample = allowed.orderBy(F.xxhash64("doc_id", "text"), "doc_id").limit(TRAINING_TEXTS).toArrow().column("text").to_pylist()
-    texts_of = Texts(path)
-    model = spark.sparkContext.broadcast(Model.fit(of_ids, [texts_of(t or "")[1].astype(np.int64) for t in sample]))
+    fitted = Model.fit(of_ids, [])
+    train_on_all(fitted, allowed, path)
+    model = spark.sparkContext.broadcast(fitted)
     scale = float(np.log10(total + distinct + 1))
 
     def make():
