@@ -333,6 +333,25 @@ def test_neighbours(spark):
     assert neighbours.nearest(df.limit(0), F.col("vec_id") % 100 == 0).count() == 0
 
 
+def test_url_statistics_count_all_rows(spark, monkeypatch):
+    """However few URLs the trees learn from; a URL that is a third of all rows counts as one of these, with its weight."""
+    many = [(f"http://h{i % 40}.com/s{i % 90}/p{i}", f"h{i % 40}.com", f"/s{i % 90}/p{i}", i % 3 % 2) for i in range(600)]
+    labelled = spark.createDataFrame(many + 300 * [("http://hot.org/a/", "hot.org", "/a/", 1)], "url string, host string, path string, label int")
+    few, every = url_filter.UrlModel(labelled, 50), url_filter.UrlModel(labelled, 10_000)
+    for a, b, n in ((few.suffixes, every.suffixes, 41), (few.sections, every.sections, 361)):
+        assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect())) and a.count() == n
+    hot = few.suffixes.where("_suffix = 'hot.org'").first()
+    assert hot["suffix_log"] == pytest.approx(math.log1p(300)) and hot["suffix_share"] == pytest.approx(301 / 302)
+    for limit in (1, 50, 10_000):
+        rows = url_filter._sample(labelled, limit).collect()
+        assert 0 < len(rows) <= limit and all(r["weight"] == (300 if r["host"] == "hot.org" else 1) for r in rows)
+    assert sum(r["weight"] for r in rows) == 900
+    pages = labelled.select(F.xxhash64("url").alias("page_id"), "url").union(spark.createDataFrame([(1, None)], "page_id long, url string"))
+    found = sorted(map(str, url_filter.filter_urls(pages).collect()))
+    monkeypatch.setattr(url_filter, "FEW", 0)
+    assert sorted(map(str, url_filter.filter_urls(pages).collect())) == found
+
+
 @pytest.mark.parametrize(("n", "far", "block"), [(1, 1, 16384), (2, 1, 16384), (5, 1, 16384), (11, 1, 16384), (400, 4, 16384), (400, 1e6, 60)])
 def test_neighbours_are_never_short(spark, monkeypatch, n, far, block):
     """Small tables, and queries far from all rows; far: by how much their norms exceed the others'."""

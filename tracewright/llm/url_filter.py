@@ -17,8 +17,10 @@ from .common import settled, table
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 #: Words whose presence in a host marks a URL as one to block, for training beside the rules.
 SEEDS = ("casino", "bets", "pills", "track")
-#: Labelled URLs that the trees are trained on, at most.
+#: Different labelled URLs that the trees are trained on, at most. Shares and counts come from all labelled rows.
 TRAINING_URLS = 20_000
+#: Suffixes or sections that are broadcast, at most; beyond, they are joined by a shuffle.
+FEW = 20_000
 FEATURES = ("length", "host_length", "depth", "labels", "digits", "symbols", "hyphens", "entropy", "parameters", "fragment", "longest_label", "suffix_share", "suffix_log", "section_share")
 
 
@@ -70,11 +72,24 @@ def _lexical(rows: DataFrame) -> DataFrame:
         (F.when(query == "", 0).otherwise(1) + _count(query, "&")).cast("double").alias("parameters"),
         F.when(F.locate("#", url) > 0, 1.0).otherwise(0.0).alias("fragment"),
         F.array_max(F.transform(labels, F.length)).cast("double").alias("longest_label"),
-        F.substring_index(host, ".", -2).alias("_suffix"),
-        F.concat_ws("/", F.substring_index(host, ".", -2), F.regexp_extract("path", r"\A/([^/]*)", 1)).alias("_section"),
     )
 
 
+def _keyed(rows: DataFrame) -> DataFrame:
+    """rows (with host, path) and the keys of what is counted."""
+    suffix = F.substring_index("host", ".", -2)
+    return rows.withColumns({"_suffix": suffix, "_section": F.concat_ws("/", suffix, F.regexp_extract("path", r"\A/([^/]*)", 1))})
+
+
+def _sample(labelled: DataFrame, limit: int) -> DataFrame:
+    """url, host, path, label of at most `limit` different URLs, chosen by their hash; weight: how many rows each has."""
+    n = labelled.agg(F.approx_count_distinct("url", 0.02)).first()[0]
+    part = int(min(1.0, limit / max(1, n)) * (1 << 40)) + 1
+    few = labelled.where(F.pmod(F.xxhash64("url"), F.lit(1 << 40)) < part)
+    counted = few.groupBy("url", "host", "path", "label").agg(F.count("*").cast("double").alias("weight"))
+    return counted.orderBy(F.xxhash64("url"), "url").limit(limit)
+
+
 def _shares(labelled: DataFrame, by: str, name: str) -> DataFrame:
     """Of each value of `by`, the smoothed share of URLs to block among labelled ones, and how many there are."""
     n, bad = F.count("*"), F.sum("label")
@@ -82,33 +97,32 @@ def _shares(labelled: DataFrame, by: str, name: str) -> DataFrame:
 
 
 class UrlModel:
-    """Boosted trees and the suffix statistics that they read."""
+    """Boosted trees and the suffix and section statistics that they read."""
 
     def __init__(self, labelled: DataFrame, limit: int = TRAINING_URLS) -> None:
-        """labelled: url, host, path, label (1: to block). At most about `limit` rows are used, chosen by their URL's hash."""
-        n = labelled.count()
-        keep = min(1.0, limit / n) if n else 1.0
-        chosen = labelled.where(F.pmod(F.xxhash64("url"), F.lit(1_000_000)) < int(keep * 1_000_000)).withColumn("label", F.col("label").cast("double"))
-        lexical = _lexical(chosen)
-        self.suffixes = settled(_shares(lexical, "_suffix", "suffix"))  # a row for each suffix among `limit` URLs at most
-        self.sections = settled(_shares(lexical, "_section", "section"))
-        rows = settled(self._assembled(lexical).select("x", "label").coalesce(4))
+        """labelled: url, host, path, label (1: to block). All rows are counted; the trees learn from `limit` URLs at most."""
+        labelled = _keyed(labelled.withColumn("label", F.col("label").cast("double")))
+        self.suffixes = settled(_shares(labelled, "_suffix", "suffix"))
+        self.sections = settled(_shares(labelled, "_section", "section")).select("_section", "section_share")
+        self.known = [(by, F.broadcast(t) if t.count() <= FEW else t) for by, t in (("_suffix", self.suffixes), ("_section", self.sections))]
+        rows = settled(self._assembled(_sample(labelled, limit)).select("x", "label", "weight").coalesce(4))
         kinds = [r["label"] for r in rows.select("label").distinct().collect()]
         self.constant = "allow" if not kinds or max(kinds) == 0 else "block" if len(kinds) == 1 else None
         if self.constant is None:
-            self.trees = GBTClassifier(featuresCol="x", labelCol="label", maxIter=8, maxDepth=4, maxBins=32, stepSize=0.3, seed=5).fit(rows)
+            self.trees = GBTClassifier(featuresCol="x", labelCol="label", weightCol="weight", maxIter=8, maxDepth=4, maxBins=32, stepSize=0.3, seed=5).fit(rows)
 
-    def _assembled(self, lexical: DataFrame) -> DataFrame:
-        # Both statistics have at most TRAINING_URLS rows, so that they may be broadcast.
-        known = lexical.join(F.broadcast(self.suffixes), "_suffix", "left").join(F.broadcast(self.sections.select("_section", "section_share")), "_section", "left")
-        known = known.fillna({"suffix_share": 0.5, "suffix_log": 0.0, "section_share": 0.5})
+    def _assembled(self, rows: DataFrame) -> DataFrame:
+        rows = _keyed(rows)
+        for by, table in self.known:
+            rows = rows.join(table, by, "left")
+        known = _lexical(rows.fillna({"suffix_share": 0.5, "suffix_log": 0.0, "section_share": 0.5}))
         return VectorAssembler(inputCols=list(FEATURES), outputCol="x").transform(known)
 
     def judge(self, rows: DataFrame, keep: list[str]) -> DataFrame:
         """keep, and judged: allow or block, for rows with url, host, path."""
         if self.constant is not None:
             return rows.select(*keep, F.lit(self.constant).alias("judged"))
-        scored = self.trees.transform(self._assembled(_lexical(rows)))
+        scored = self.trees.transform(self._assembled(rows))
         return scored.select(*keep, F.when(F.col("prediction") == 1, "block").otherwise("allow").alias("judged"), vector_to_array("probability")[1].alias("risk"))
 
 
