@@ -82,11 +82,25 @@ def resolve(asked: DataFrame, records: DataFrame, tombstones: DataFrame, log: Da
     return out.select("pos", "raw", found.alias("id"), why.alias("why"))
 
 
+#: Different prefixes that are broadcast, at most.
+FEW_PREFIXES = 1_000
+
+
 def prefix_candidates(records: DataFrame, tombstones: DataFrame, asked: DataFrame, shown: int = SHOWN) -> DataFrame:
-    """raw, n, longer, ids (the first `shown`) for prefixes raw of ids, digests or products. asked: few, typed prefixes."""
+    """raw, n, longer, ids (the first `shown`) for prefixes raw of ids, digests or products.
+
+    A few different prefixes are broadcast; more are joined by equality with the names' beginnings of the lengths asked.
+    """
     live = served(records, tombstones).select("id", F.array_union(F.array("id", "digest"), "paths").alias("names"))
     named = live.select("id", F.explode("names").alias("name"))
-    hits = named.join(F.broadcast(asked.select("raw").limit(1000)), F.col("name").startswith(F.col("raw")))
+    prefixes = asked.select("raw").where("raw is not null").distinct()
+    if prefixes.limit(FEW_PREFIXES + 1).count() <= FEW_PREFIXES:
+        hits = named.join(F.broadcast(prefixes), F.col("name").startswith(F.col("raw")))
+    else:
+        longest = named.agg(F.coalesce(F.max(F.length("name")), F.lit(0))).first()[0]
+        lengths = [r["n"] for r in prefixes.select(F.length("raw").alias("n")).where(F.col("n") <= longest).distinct().collect()]  # longest + 1 at most
+        begun = named.select("id", "name", F.explode(F.array(*map(F.lit, lengths)).cast("array<int>")).alias("_n")).where(F.col("_n") <= F.length("name"))
+        hits = begun.withColumn("raw", F.expr("substring(name, 1, _n)")).join(prefixes, "raw")
     each = hits.groupBy("raw", "id").agg(F.max(F.length("name") > F.length("raw")).alias("longer"))
     # Only the first few ids of a prefix reach one task: they are ranked within id ranges first.
     counts = each.groupBy("raw").agg(F.count("*").alias("n"), F.max("longer").alias("longer"))
