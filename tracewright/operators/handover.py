@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,12 +41,14 @@ def _framed_text(name: str) -> Column:
 def link_commitment(files: DataFrame, domain: str = LINKS_DOMAIN) -> DataFrame:
     """commitment: one digest of all folders' link files, folders in byte order.
 
-    A bag is what one hand-over carries, so that its transcript is put together as one row, like the file it stands for.
+    Spark makes and range-sorts the folders' texts; the driver hashes them as they come, one partition at a time, so that
+    the transcript is never put together. It is computed when this is called.
     """
     folder = F.concat(F.octet_length("id").cast("string"), F.lit("\n"), "id", _framed_text("sources"), _framed_text("supersedes"), _framed_text("successor"))
-    ordered = F.array_sort(F.collect_list(F.struct("id", folder.alias("t"))))
-    transcript = F.concat(F.lit(f"{domain}\0"), F.array_join(F.transform(ordered, lambda s: s["t"]), ""))
-    return files.agg(F.sha2(transcript.cast("binary"), 256).alias("commitment"))
+    hashed = hashlib.sha256(f"{domain}\0".encode())
+    for row in files.select("id", folder.alias("t")).where("t is not null").orderBy("id", "t").select("t").toLocalIterator():
+        hashed.update(row["t"].encode())
+    return files.sparkSession.createDataFrame([(hashed.hexdigest(),)], "commitment string")
 
 
 def check(bag: DataFrame, receipts: DataFrame, size: int, root: str) -> DataFrame:
