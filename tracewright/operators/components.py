@@ -17,11 +17,17 @@ BLOCK = 1 << 20
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the shared checkpoint folder, where a lost executor takes nothing with it."""
+    """df, computed once and kept in the cluster's shared checkpoint folder, where a lost executor takes nothing with it.
+
+    The folder is that of spark.checkpoint.dir. Only a session on one machine (tests, a laptop) may do without: it gets
+    one of its own.
+    """
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        where = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        where = df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
         if not where:
+            if not sc.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             where = tempfile.mkdtemp(prefix="checkpoints-")
             atexit.register(shutil.rmtree, where, True)
         sc.setCheckpointDir(where)
