@@ -57,10 +57,54 @@ def by_id(df):
 def test_hashes_of_words():
     h, low = WordHasher(False), WordHasher(True)
     words = "to be or not to be BE tobe".split()
-    got = h(" to  be\tor not\nto be BE tobe ".encode()).tolist()
-    assert [got.index(x) for x in got] == [words.index(w) for w in words]
-    assert low(b"To bE")[1] == low(b"be") and not len(h(b" \n"))
-    assert windows(h(b"a b c d"), 2)[1] == windows(h(b"x b c"), 2)[1] and not len(windows(h(b"a"), 2))
+    for got in h(" to  be\tor not\nto be BE tobe ".encode()).tolist():
+        assert [got.index(x) for x in got] == [words.index(w) for w in words]
+    assert low(b"To bE")[0, 1] == low(b"be")[0, 0] and h(b" \n").shape == (2, 0)
+    assert windows(h(b"a b c d")[0], 2)[1] == windows(h(b"x b c")[0], 2)[1] and not len(windows(h(b"a")[0], 2))
+    odd = [bytes([97 + bin(i).count("1") % 2 ^ flip for i in range(n)]) for n in (8, 64, 512, 2048) for flip in (0, 1)]
+    odd += [b"a\0", b"a", b"\0a", b"y" * 63, b"y" * 64, b"y" * 65, b"y" * 72, b"12345678", b"123456789", bytes(9), bytes(10)]
+    assert len(set(h(b" ".join(odd))[0].tolist())) == len(odd)
+    long = " ".join(str(i) for i in range(400_000)).encode()
+    assert len(np.unique(h(long)[0])) == 400_000
+
+
+def thue_morse(n, flip):
+    return "".join("ab"[bin(i).count("1") % 2 ^ flip] for i in range(n))
+
+
+def test_unlike_words_of_a_pattern_stay(spark):
+    """Words that polynomial hashes modulo a power of two can't tell apart."""
+    side = [f"w{i}" for i in range(17)]
+    rows = [(flip, " ".join([*side, thue_morse(1024, flip), *side])) for flip in (0, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert [r["n_removed"] for r in repeats.remove(docs).collect()] == [0, 0]
+    assert {r["component_id"] for r in near_duplicates.near_duplicates(docs).collect()} == {0, 1}
+
+
+def test_the_automaton_decides(docs):
+    text = " ".join(f"w{i % 40}" for i in range(120)).encode()
+    words, hasher = text.split(), WordHasher(False)
+    phrases = [b" ".join(words[i : i + 12]) for i in range(108)]
+    recurring = repeats.Names(*repeats.names(hasher(text), 35))
+    assert repeats.kept_words(text, repeats.Shard(phrases, 12), recurring, 35, hasher) == ([], 120)
+    assert repeats.kept_words(text, repeats.Shard([], 12), recurring, 35, hasher) == (words, 0)
+    assert repeats.kept_words(text, repeats.Shard([b" ".join(words[5:17])], 12), recurring, 35, hasher)[1] > 0
+    few = repeats.Shard(phrases, 12)
+    few.letters = {w: "\ue000" for w in few.letters}  # all words alike, but compared
+    few.automaton, few.exact = repeats.ahocorasick.Automaton(), False
+    few.automaton.add_word("\ue000" * 12, phrases[3])
+    few.automaton.make_automaton()
+    assert few.places(words).tolist() == [3, 43, 83]
+
+
+def test_odd_columns(spark):
+    """Stages keep columns that are named as their own."""
+    rows = [(i, t, 1, 2, "k", "o", "r") for i, t in enumerate(odd_texts())]
+    named = spark.createDataFrame(rows, "doc_id long, text string, kept int, _of int, of string, `row` string, root string")
+    for stage in (repeats.without_repeats, near_duplicates.without_near_duplicates, pii.mask):
+        got = stage(named)
+        assert got.columns == named.columns and {tuple(r)[2:] for r in got.collect()} == {tuple(rows[0])[2:]}
+        assert stage(named.limit(0)).collect() == []
 
 
 def test_packing(spark, docs, none):

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import atexit
+import hashlib
 import os
-import shutil
-import tempfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators.components import settled as settled
 
 #: Words are runs of anything but ASCII white space; bytes.split() splits at exactly these.
 TEXT_COLUMNS = ("doc_id", "text")
@@ -20,21 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the cluster's shared checkpoint folder.
-
-    Only where the session names no such folder (tests, a laptop) one is made.
-    """
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        where = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not where:
-            where = tempfile.mkdtemp(prefix="checkpoints-")
-            atexit.register(shutil.rmtree, where, True)
-        sc.setCheckpointDir(where)
-    return df.checkpoint()
-
-
 def tokenizer_path(name: str) -> str:
     """Where the executors' installed tokenizer files are; callers may pass any other path."""
     import public_tokenizers
@@ -108,6 +94,23 @@ def rewrite_texts(docs: DataFrame, make: Callable[[], Callable[[list[str]], list
     return docs.mapInArrow(run, docs.schema)
 
 
+#: A key that more than one HOT-th of all rows have is dealt out; by that definition there are fewer than HOT such keys.
+HOT = 1000
+
+
+def joined_by_class(rows: DataFrame, found: DataFrame, by: str = "of") -> DataFrame:
+    """rows joined with found, which has one row for each value of `by`.
+
+    Values that very many rows have are met by several copies of their row of found, so that no task gets all of them.
+    """
+    counts = rows.groupBy(by).agg(F.count("*").alias("_n"))
+    least = rows.count() // HOT + 100
+    hot = F.broadcast(counts.where(F.col("_n") > least).select(by, F.ceil(F.col("_n") / least).cast("int").alias("_pieces")))  # fewer than HOT rows
+    dealt = rows.join(hot, by, "left").withColumn("_piece", F.pmod(F.monotonically_increasing_id(), F.coalesce("_pieces", F.lit(1))).cast("int")).drop("_pieces")
+    copied = found.join(hot, by, "left").withColumn("_piece", F.explode(F.sequence(F.lit(0), F.coalesce("_pieces", F.lit(1)) - 1))).drop("_pieces")
+    return dealt.join(copied, [by, "_piece"]).drop("_piece")
+
+
 def arrow_schema(ddl: str) -> pa.Schema:
     """Made on the driver: parsing the text needs a session."""
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -116,23 +119,6 @@ def arrow_schema(ddl: str) -> pa.Schema:
     return to_arrow_schema(StructType.fromDDL(ddl))
 
 
-class Recent(dict):
-    """Values by key, made when first asked for; about the last `size` to twice as many are kept."""
-
-    def __init__(self, make: Callable, size: int) -> None:
-        self.make, self.size, self.older = make, size, {}
-
-    def __missing__(self, key):
-        value = self.older.get(key)
-        if value is None:
-            value = self.make(key)
-        if len(self) >= self.size:
-            self.older = dict(self)
-            self.clear()
-        self[key] = value
-        return value
-
-
 MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -144,43 +130,55 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class WordHasher:
-    """64-bit hashes of all words of a text in a few numpy passes.
+    """Hashes of all words of a text: two rows of 64-bit numbers, made in a few numpy passes.
 
-    A word's hash is a polynomial in its bytes' random codes, modulo 2**64, with an odd base: differences of running
-    sums give the polynomial shifted by the word's place, and the base's inverse power shifts it back.
+    A word's bytes are taken eight at a time; each eight go through a multiplication by an odd number and the finaliser
+    before the next are added, so that no arrangement of bytes cancels out. Words of more than LONG bytes get a BLAKE2b
+    digest. Both numbers together are a 128-bit name; the first alone is a 64-bit one.
     """
 
-    def __init__(self, lower: bool) -> None:
-        rng = np.random.Generator(np.random.PCG64(20240611))
-        self.code = rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        if lower:
-            self.code[65:91] = self.code[97:123]
+    LONG = 64
+    SEEDS = (0x5851F42D4C957F2D, 0x2127599BF4325C37)
+    ODDS = (0xD6E8FEB86659FD93, 0xCA5A826395121157)
+
+    def __init__(self, lower: bool, numbers: int = 2) -> None:
+        self.lower, self.numbers = lower, numbers
         self.space = np.zeros(256, bool)
         self.space[[9, 10, 11, 12, 13, 32]] = True
-        self.base = 0xD1342543DE82EF95
-        self.inverse = pow(self.base, -1, 1 << 64)
-        self.up = self.down = np.ones(1, np.uint64)
-
-    def _powers(self, n: int) -> None:
-        if len(self.up) < n:
-            size = max(n, 1 << 16)
-            for name, b in (("up", self.base), ("down", self.inverse)):
-                powers = np.full(size, b, np.uint64)
-                powers[0] = 1
-                setattr(self, name, np.multiply.accumulate(powers))
+        self.masks = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
 
     def __call__(self, raw: bytes) -> np.ndarray:
-        data = np.frombuffer(raw, np.uint8)
-        if not len(data):
-            return np.empty(0, np.uint64)
-        edge = np.diff(np.concatenate(([True], self.space[data], [True])).view(np.int8))
+        out = [np.empty((self.numbers, 0), np.uint64)]
+        at = 0
+        while at < len(raw):  # stretches end at a space, so that memory doesn't follow a very long text
+            end = at + (1 << 20)
+            while end < len(raw) and not self.space[raw[end]]:
+                end += 1
+            out.append(self._stretch(raw[at:end]))
+            at = end
+        return out[1] if len(out) == 2 else np.concatenate(out, 1)
+
+    def _stretch(self, raw: bytes) -> np.ndarray:
+        if self.lower:
+            raw = raw.lower()
+        n = len(raw)
+        padded = raw + bytes(8)
+        edge = np.diff(np.concatenate(([True], self.space[np.frombuffer(raw, np.uint8)], [True])).view(np.int8))
         starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-        if not len(starts):
-            return np.empty(0, np.uint64)
-        self._powers(len(data))
-        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(self.code[data] * self.up[: len(data)], dtype=np.uint64)))
-        word = (sums[ends] - sums[starts]) * self.down[starts]
-        return mix(word + (ends - starts).astype(np.uint64) * MULT)
+        eight = np.ndarray((n + 1,), "<u8", padded, strides=(1,))  # the eight bytes from each place on
+        size = ends - starts
+        out = np.empty((self.numbers, len(size)), np.uint64)
+        for c in range(self.numbers):
+            out[c] = mix(size.astype(np.uint64) * MULT + np.uint64(self.SEEDS[c]))
+        for step in range(0, min(self.LONG, int(size.max(initial=0))), 8):
+            rows = np.flatnonzero(size > step) if step else slice(None)
+            part = eight[starts[rows] + step] & self.masks[np.minimum(size[rows] - step, 8)]
+            for c in range(self.numbers):
+                out[c, rows] = mix(out[c, rows] ^ (part * np.uint64(self.ODDS[c])))
+        for i in np.flatnonzero(size > self.LONG).tolist():
+            digest = hashlib.blake2b(raw[starts[i] : ends[i]], digest_size=16).digest()
+            out[:, i] = np.frombuffer(digest, "<u8")[: self.numbers]
+        return out
 
 
 def windows(words: np.ndarray, k: int) -> np.ndarray:

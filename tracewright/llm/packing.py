@@ -13,69 +13,133 @@ rank among pieces of equal length: a join with a table of at most a few times `w
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections import defaultdict
+from functools import lru_cache
 
 import numpy as np
 import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Recent, over_texts, settled, table, tokenizer_path
+from .common import over_texts, settled, table, tokenizer_path
 
 WINDOW = 4096
 END_ID = 2
-#: Words kept with their ids in each Python worker; rarer ones are encoded anew.
+#: Rows of the plan's table that are broadcast, at most; a longer one, of some more bytes than that, is joined by a shuffle.
+FEW_PLACES = 1 << 18
+#: Words kept with their ids in each Python worker.
 CACHED_WORDS = 300_000
-#: Fixed values of the vocabulary's format: its parts of words, and the characters that show bytes.
+#: Fixed values of the vocabulary's format: its parts of words, the characters that show bytes, and what ends a part.
 PART = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 VISIBLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
-SHOWN = {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - set(VISIBLE)))}
-PLAIN = regex.compile(r"[\x21-\x7e\xa1-\xff]*")
+BYTE_OF = {chr(b): b for b in VISIBLE} | {chr(256 + i): b for i, b in enumerate(sorted(set(range(256)) - set(VISIBLE)))}
+SUFFIX = "</w>"
+PLAIN_LINES = regex.compile(r"[\n\x21-\x7e\xa1-\xff]*")
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
-class WordIds(Recent):
-    """The ids of a run without white space, as little-endian unsigned 32-bit integers.
+def merged(symbols: list[str], ranks: dict[tuple[str, str], int]) -> list[str]:
+    """Plain BPE: join the neighbours of lowest rank, leftmost first, until none can be."""
+    while len(symbols) > 1:
+        rank, at = min((ranks.get(pair, len(ranks)), i) for i, pair in enumerate(zip(symbols, symbols[1:], strict=False)))
+        if rank == len(ranks):
+            break
+        symbols[at : at + 2] = [symbols[at] + symbols[at + 1]]
+    return symbols
 
-    What the library does to runs of Latin-1 characters is put together from its BPE of their parts, which are far
-    fewer than the runs; any other run it encodes itself.
+
+class WordIds:
+    """The ids of texts, word by word; a word's are little-endian unsigned 32-bit integers.
+
+    The vocabulary drops white space and never joins across it, so that a text's ids are those of its words in turn, and
+    words are kept. New words of Latin-1 characters are cut into the vocabulary's parts together and go through a second
+    BPE engine, much faster than the first: it joins what spells a token, in the order of ranks, where the first joins
+    listed pairs. That is the same if each token's own spelling leads to it, as can be seen from a border that is never
+    joined across: between two borders both engines do what they do to that stretch alone. Tokens that don't lead to
+    themselves can't come out of the first engine, and are left out of the second. A part's end is a byte of its own,
+    joined before all else to the byte before it. Any other word the first engine encodes.
     """
 
+    END, BREAK = "\x01", "\n"
+
     def __init__(self, path: str, size: int = CACHED_WORDS) -> None:
+        import tiktoken
         from tokenizers import Tokenizer
 
-        super().__init__(self.encode, size)
+        self.size, self.known, self.older = size, {}, {}
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.model = self.tokenizer.model
-        self.parts = Recent(self.encode_part, size // 2)
-
-    def encode(self, word: bytes) -> bytes:
-        text = word.decode()
-        if PLAIN.fullmatch(text) and "<|" not in text:
-            return b"".join(map(self.parts.__getitem__, PART.findall(text.lower())))
-        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def encode_part(self, part: str) -> bytes:
-        return np.asarray([t.id for t in self.model.tokenize(part.encode().decode("latin-1").translate(SHOWN))], "<u4").tobytes()
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        end = self.END.encode()
+        spelled = lambda token: bytes(map(BYTE_OF.__getitem__, token.removesuffix(SUFFIX))) + (end if token.endswith(SUFFIX) else b"")
+        pairs = [tuple(m if isinstance(m, list) else m.split(" ")) for m in model["merges"]]
+        by_pair = {pair: i for i, pair in enumerate(pairs)}
+        ranks = {bytes([b]): b for b in range(256)}
+        ranks |= {bytes([b]) + end: 256 + b for b in range(256) if b != end[0]}
+        for (left, right), rank in by_pair.items():
+            token = left + right
+            symbols = list(token.removesuffix(SUFFIX))
+            if token.endswith(SUFFIX):
+                symbols[-1] += SUFFIX
+            if merged(symbols, by_pair) == [token]:
+                ranks.setdefault(spelled(token), 512 + rank)
+        self.engine = tiktoken.Encoding("words", pat_str=f"[^{self.END}{self.BREAK}]+{self.END}|{self.BREAK}", mergeable_ranks=ranks, special_tokens={})
+        ids = {spelled(token): i for token, i in model["vocab"].items()}
+        self.ids = np.zeros(512 + len(pairs), "<u4")
+        for token, rank in ranks.items():
+            self.ids[rank] = ids.get(token, 0)
+
+    def __call__(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of each text. The words of about the last `size` to twice as many are kept."""
+        words = [t.split() for t in texts]
+        self.learn(set().union(*words) - self.known.keys())
+        out = [b"".join(map(self.known.__getitem__, w)) for w in words]
+        if len(self.known) > self.size:
+            self.known, self.older = {}, self.known
+        return out
+
+    def learn(self, words: set[bytes]) -> None:
+        for word in words & self.older.keys():
+            self.known[word] = self.older[word]
+        new = list(words - self.older.keys())
+        for i in range(0, len(new), 50_000):
+            self._learn(new[i : i + 50_000])
+
+    def _learn(self, words: list[bytes]) -> None:
+        lines = b"\n".join(words).decode()
+        if not PLAIN_LINES.fullmatch(lines) or "<|" in lines:
+            plain = [w for w in words if PLAIN_LINES.fullmatch(w.decode()) and b"<|" not in w]
+            for word in set(words).difference(plain):
+                self.known[word] = np.asarray(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+            words, lines = plain, b"\n".join(plain).decode()
+        if words:
+            found = self.engine.encode_to_numpy(PART.sub(rf"\g<0>{self.END}", lines.lower() + self.BREAK), disallowed_special=())
+            ends = (4 * np.flatnonzero(found == ord(self.BREAK))).tolist()
+            ids = self.ids[found].tobytes()
+            self.known.update(zip(words, map(ids.__getitem__, map(slice, [0, *[e + 4 for e in ends]], ends)), strict=True))
+
+
+@lru_cache(2)
+def word_ids(path: str, size: int = CACHED_WORDS) -> WordIds:
+    """One for each Python worker, which keeps its words from task to task."""
+    return WordIds(path, size)
 
 
 def pieces(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
-    """Each document's ids with the end id, cut at multiples of the window. Null and empty texts: the end id alone.
-
-    The vocabulary drops white space and never joins across it, so that a text's ids are those of its words in turn.
-    """
+    """Each document's ids with the end id, cut at multiples of the window. Null and empty texts: the end id alone."""
     end = np.asarray([end_id], "<u4").tobytes()
 
     def make():
-        ids = WordIds(path)
+        ids_of = word_ids(path)
 
         def work(keys: list, texts: list[str]) -> dict:
             out: dict[str, list] = {k: [] for k in ("doc_id", "start", "length", "ids_crc32", "doc_tokens")}
-            for key, text in zip(keys, texts, strict=True):
-                all_ids = b"".join(map(ids.__getitem__, text.encode().split())) + end
+            for key, ids in zip(keys, ids_of([t.encode() for t in texts]), strict=True):
+                all_ids = ids + end
                 n = len(all_ids) // 4
                 for start in range(0, n, window):
                     piece = all_ids[4 * start : 4 * (start + window)]
@@ -207,7 +271,9 @@ def pack(cut: DataFrame, window: int = WINDOW, group_rows: int = 2_000) -> DataF
     within = Window.partitionBy("length", "_group").orderBy("doc_id", "start", "ids_crc32")
     ranked = cut.withColumn("_rank", F.row_number().over(within)).join(bases, ["length", "_group"])
     ranked = ranked.withColumn("_rank", F.col("_rank") - 1 + F.col("_base")).drop("_group", "_base")
-    slots = F.broadcast(places(spark, plan(histogram, window)))  # a few times window rows, whatever the input
+    slots = places(spark, plan(histogram, window))
+    if slots.count() <= FEW_PLACES:
+        slots = F.broadcast(slots)
     placed = ranked.join(slots, (F.col("length") == F.col("at_length")) & (F.col("_rank") >= F.col("low")) & (F.col("_rank") < F.col("high")))
     nth = F.col("_rank") - F.col("low")
     return placed.select(
