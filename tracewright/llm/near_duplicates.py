@@ -6,9 +6,11 @@
    Sets that share too few with any others are done. The rest are joined, through the rarer of the shingles they
    share, into groups that no similar pair can straddle; the most shared ones are passages of many unlike texts.
 2. Signature trees. A group's sets, large groups in pieces, are the leaves of a tree whose nodes hold the OR of their
-   sets' token bitmaps and the range of their sizes. Two trees (or one with itself) are traversed together; a pair of
+   sets' token bitmaps and the range of their sizes. A tree is traversed together with itself or another; a pair of
    nodes goes no further if no pair of sets below it can overlap enough. What is left is compared exactly, but for pairs
-   already known to be connected: their component is settled.
+   already known to be connected: their component is settled. Pieces are compared with themselves first, then one set
+   of each component of each piece with the others; only groups that aren't one component by then have their pieces
+   compared in pairs, so that very many near copies of one text meet a bounded number of times.
 3. Components of the links found.
 """
 
@@ -23,12 +25,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from .common import WordHasher, arrow_schema, settled, table, windows
-from .repeats import PART_BYTES, _once, _texts, text_class
+from .common import WordHasher, arrow_schema, joined_by_class, settled, table, windows
+from .repeats import in_parts, text_class, texts_of
 
 WORDS, PERCENT = 5, 80
-#: Sets in a piece of a group; two pieces meet in a task.
-PIECE = 4096
+#: Sets in a piece of a group, and their bytes; two pieces meet in a task.
+PIECE, PIECE_BYTES = 4096, 24 << 20
+#: Bytes of bitmaps that are compared at once.
+BLOCK_BYTES = 4 << 20
 FAN = 8
 #: One in SPARE of a set's shingles, more or less, must be shared before a set is routed anywhere.
 SPARE = 8
@@ -59,9 +63,9 @@ class Part:
     """The different shingle sets of a part's texts, in the order of their digests, which any run gives them."""
 
     def __init__(self, rows: pa.Table, k: int) -> None:
-        hasher, by_digest = WordHasher(lower=True), {}
-        for of, text in _texts(rows):
-            found = shingles(hasher(text), k)
+        hasher, by_digest = WordHasher(lower=True, numbers=1), {}
+        for of, text in texts_of(rows):
+            found = shingles(hasher(text)[0], k)
             by_digest.setdefault(hashlib.sha256(found.tobytes()).digest(), (found, []))[1].append(of)
         self.part = rows.column("part")[0].as_py() if len(rows) else 0
         self.sets = [(found, sorted(of)) for _, (found, of) in sorted(by_digest.items())]
@@ -97,8 +101,9 @@ def _may_match(a: tuple, b: tuple, i: np.ndarray, j: np.ndarray, percent: int) -
     low, other = low_a[i], low_b[j]
     out = (100 * high_a[i] >= percent * other) & (100 * high_b[j] >= percent * low)
     need = -(-percent * (low + other) // (100 + percent))
-    for s in range(0, len(i), 1 << 15):  # bounded memory
-        at = slice(s, s + (1 << 15))
+    block = max(1, BLOCK_BYTES // maps_a[:1].nbytes)
+    for s in range(0, len(i), block):
+        at = slice(s, s + block)
         ok = np.flatnonzero(out[at]) + s
         shared = np.bitwise_count(maps_a[i[ok]] & maps_b[j[ok]]).sum(1, dtype=np.int64)
         out[ok] = shared + np.minimum(slack_a[i[ok]], slack_b[j[ok]]) >= need[ok]
@@ -139,14 +144,20 @@ def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * shared >= percent * (len(x) + len(y) - shared)
 
 
-def links(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int) -> list[tuple[int, int]]:
-    """Similar pairs (index in left, index in right, or in left without right) that connect all that such pairs connect."""
+def links(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int, known: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Similar pairs (index in left, index in right, or in left without right) that connect all that such pairs connect.
+
+    known: a label for each set, left and right; sets with the same one are connected already.
+    """
     every = left + (right or [])
     bits = max(1024, min(1 << 16, 1 << (2 * max(map(len, every)) - 1).bit_length()))
     a = Tree(left, bits)
     b = a if right is None else Tree(right, bits)
     shift = 0 if right is None else len(left)
     root = np.arange(len(every))  # each set's component, by its least member
+    if known is not None:
+        _, first, which = np.unique(known, return_index=True, return_inverse=True)
+        root = first[which]
     out: list[tuple[int, int]] = []
     for i, j in _candidates(a, b, percent):
         i, j = a.order[i], b.order[j] + shift
@@ -168,11 +179,7 @@ def links(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int)
 def classes(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, piece: int = PIECE) -> DataFrame:
     """of (text_class), n_shingles, root (null for a set similar to no other) for each different text of docs; equal
     sets share a root or, without one, their set_name."""
-    named = docs.select(text_class().alias("of"), F.coalesce("text", F.lit("")).alias("text"))
-    size = named.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    n_parts = max(1, -(-size // PART_BYTES))
-    once = named.mapInArrow(_once, "of binary, text string")
-    dealt = once.withColumn("part", F.pmod(F.xxhash64("of"), F.lit(n_parts)).cast("int")).repartition(n_parts, "part")
+    dealt = in_parts(docs)
 
     firsts_schema = "hash long, least long, n long"
     firsts_arrow = arrow_schema(firsts_schema)
@@ -219,38 +226,61 @@ def classes(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, piece: int
     sets = settled(dealt.groupBy("part").cogroup(shared.groupBy("part")).applyInArrow(narrowed, sets_schema))
     near = sets.where("hashes is not null")
     groups = connected_components(near.select(F.col("name").alias("a"), F.explode("near").alias("b")))
-    sizes = groups.groupBy("root").agg(F.count("*").alias("members"))
-    groups = settled(groups.join(sizes, "root").select("node", "root", F.ceil(F.col("members") / piece).cast("int").alias("pieces")))
-    n_near = groups.count()
-    members = near.select("name", "hashes").join(groups.withColumnRenamed("node", "name"), "name")
-    own = F.pmod(F.xxhash64("name"), F.col("pieces")).cast("int")
-    members = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
-    low, high = F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high")
-    task = F.pmod(F.xxhash64("root", low, high), F.lit(max(1, n_near // 512))).alias("task")
-    members = members.select("root", low, high, "own", "name", "hashes", task)
-
-    link_schema = "a long, b long"
-    link_arrow = arrow_schema(link_schema)
+    groups = settled(near.select("name", F.octet_length("hashes").alias("bytes")).join(groups.withColumnRenamed("node", "name"), "name"))
+    pieces = F.ceil(F.greatest(F.count("*") / piece, F.sum("bytes") / PIECE_BYTES)).cast("int")
+    groups = joined_by_class(groups, groups.groupBy("root").agg(pieces.alias("pieces")), "root")
+    own = F.pmod(F.xxhash64("name"), F.col("pieces")).cast("int").alias("own")
+    members = settled(near.select("name", "hashes").join(groups.select("name", "root", "pieces", own), "name").withColumn("comp", F.col("name")))
+    found = _compared(members.select("*", F.col("own").alias("low"), F.col("own").alias("high")), percent)
+    large = members.where("pieces > 1")
+    if not large.isEmpty():
+        for last in (False, True):
+            found = settled(found)
+            comps = connected_components(found).withColumnRenamed("node", "name").withColumnRenamed("root", "_comp")
+            now = large.join(comps, "name", "left").withColumn("comp", F.coalesce("_comp", "name")).drop("_comp")
+            apart = now.groupBy("root").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("root")
+            now = now.join(apart, "root", "left_semi")
+            if last:
+                met = now.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).where("own <> other")
+                met = met.select("*", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+            else:
+                # One set for each component of each piece, if they are no more than a piece themselves.
+                chosen = now.groupBy("root", "own", "comp").agg(F.min("name").alias("name")).select("root", "name")
+                few = chosen.groupBy("root").agg(F.count("*").alias("n")).where(F.col("n") <= piece).select("root")
+                chosen = chosen.join(few, "root", "left_semi").select("name")
+                met = now.join(chosen, "name", "left_semi").withColumn("own", F.lit(0)).select("*", F.lit(0).alias("low"), F.lit(0).alias("high"))
+            found = found.unionByName(_compared(met, percent))
+    found = connected_components(found)
+    named_sets = sets.select("name", "n", "ofs").join(found.withColumnRenamed("node", "name"), "name", "left")
+    return named_sets.select(F.explode("ofs").alias("of"), F.col("n").alias("n_shingles"), F.coalesce("root", "name").alias("root"))
+
+
+def _compared(members: DataFrame, percent: int) -> DataFrame:
+    """a, b: links among sets (root, own, low, high, name, hashes, comp) of the pieces low and high of each group."""
+    tasks = max(1, members.count() // 512)
+    schema = "a long, b long"
+    to = arrow_schema(schema)
 
     def compare(rows: pa.Table) -> pa.Table:
         """Each group of two pieces, or of one with itself, in turn."""
         by: dict[tuple, list[int]] = {}
         for i, key in enumerate(zip(*(rows.column(c).to_pylist() for c in ("root", "low", "high")), strict=True)):
             by.setdefault(key, []).append(i)
-        names, own, hashes = rows.column("name").to_numpy(), rows.column("own").to_numpy(), rows.column("hashes")
+        names, own, comp, hashes = rows.column("name").to_numpy(), rows.column("own").to_numpy(), rows.column("comp").to_numpy(), rows.column("hashes")
         out: list[tuple[int, int]] = []
         for (_, low, high), at in by.items():
             sides = [[i for i in at if own[i] == low], [] if low == high else [i for i in at if own[i] == high]]
+            if not sides[0] or (low != high and not sides[1]):
+                continue
             left, right = ([np.frombuffer(hashes[i].as_py(), np.uint64) for i in side] for side in sides)
-            if left and (low == high or right):
-                found = links(left, None if low == high else right, percent)
-                other = sides[0] if low == high else sides[1]
-                out += [(names[sides[0][x]], names[other[y]]) for x, y in found]
-        return pa.table({"a": [a for a, _ in out], "b": [b for _, b in out]}, schema=link_arrow)
+            other = sides[0] if low == high else sides[1]
+            found = links(left, None if low == high else right, percent, comp[sides[0] + sides[1]])
+            out += [(names[sides[0][x]], names[other[y]]) for x, y in found]
+        return pa.table({"a": [a for a, _ in out], "b": [b for _, b in out]}, schema=to)
 
-    found = connected_components(members.groupBy("task").applyInArrow(compare, link_schema))
-    named_sets = sets.select("name", "n", "ofs").join(found.withColumnRenamed("node", "name"), "name", "left")
-    return named_sets.select(F.explode("ofs").alias("of"), F.col("n").alias("n_shingles"), F.coalesce("root", "name").alias("root"))
+    task = F.pmod(F.xxhash64("root", "low", "high"), F.lit(tasks)).alias("task")
+    dealt = members.select("root", "own", "low", "high", "name", "hashes", "comp", task)
+    return dealt.groupBy("task").applyInArrow(compare, schema)
 
 
 def near_duplicates(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, piece: int = PIECE) -> DataFrame:
@@ -260,27 +290,33 @@ def near_duplicates(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, pie
     of it; without words or with a null text it has none and is linked with nothing. Two rows are linked if at least
     percent of all their shingles are common; component_id is the least doc_id that links reach. Repeated rows and equal
     texts are linked. Rows with a null doc_id belong to their component but don't name it. Other columns are ignored; an
-    empty table gives no rows. Shingles are compared by 64-bit hashes.
+    empty table gives no rows. Shingles are compared by 64-bit hashes of their words' hashes.
     """
-    rows = docs.select("doc_id", text_class().alias("_of"))
-    named = rows.join(classes(docs, k, percent, piece).withColumnRenamed("of", "_of"), "_of").select("doc_id", "n_shingles", "root")
-    least = named.groupBy("root").agg(F.min("doc_id").alias("_least"))
-    whose = F.when(F.col("n_shingles") > 0, F.col("_least")).otherwise(F.col("doc_id"))
-    return named.join(least, "root").select("doc_id", "n_shingles", whose.alias("component_id"))
+    rows = docs.select("doc_id", text_class().alias("of"))
+    found = settled(classes(docs, k, percent, piece).join(rows.groupBy("of").agg(F.min("doc_id").alias("least")), "of"))
+    named = joined_by_class(found.drop("least"), found.groupBy("root").agg(F.min("least").alias("least")), "root")
+    whose = F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id"))
+    return joined_by_class(rows, named.drop("root")).select("doc_id", "n_shingles", whose.alias("component_id"))
 
 
 def without_near_duplicates(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """docs with one row of each component, that with the least doc_id (nulls last), and all rows without shingles."""
-    rows = docs.select("doc_id", text_class().alias("_of"))
-    named = rows.join(classes(docs, k, percent).withColumnRenamed("of", "_of"), "_of")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("x"), F.col("doc_id").alias("id"), F.col("_of").alias("of")))
-    kept = named.where("n_shingles > 0").groupBy("root").agg(first.alias("m")).select(F.col("m.id").alias("_id"), F.col("m.of").alias("_of"), F.lit(True).alias("_chosen"))
-    bare = named.where("n_shingles = 0").select(F.col("doc_id").alias("_id"), "_of", F.lit(False).alias("_chosen")).distinct()
-    chosen = kept.unionByName(bare)
-    found = docs.withColumn("_class", text_class()).join(chosen, (F.col("_class") == F.col("_of")) & F.col("doc_id").eqNullSafe(F.col("_id")))
-    nth = F.row_number().over(Window.partitionBy("_class", "doc_id").orderBy(F.lit(0)))
-    return found.withColumn("_nth", nth).where(~F.col("_chosen") | (F.col("_nth") == 1)).select(*docs.columns)
+    """docs with one row of each component, that with the least doc_id (nulls last), and all rows without shingles.
+
+    Rows whose text is null, empty or blank all stay; of rows repeated whole one does; columns may have any names; an
+    empty table stays empty.
+    """
+    rows = docs.select(F.struct("*").alias("row"), text_class().alias("of"))
+    id_ = F.struct(F.col("doc_id").isNull().alias("x"), F.col("doc_id").alias("id"))
+    least = docs.select("doc_id", text_class().alias("of")).groupBy("of").agg(F.min(id_).alias("m"))
+    found = settled(classes(docs, k, percent).join(least, "of"))
+    first = F.min(F.struct("m.x", "m.id", "of")).alias("m")
+    kept = found.where("n_shingles > 0").groupBy("root").agg(first).select(F.col("m.of").alias("of"), F.col("m.id").alias("id"), F.lit(False).alias("bare"))
+    bare = found.where("n_shingles = 0").select("of", F.lit(None).cast("long").alias("id"), F.lit(True).alias("bare"))
+    chosen = joined_by_class(rows, kept.unionByName(bare)).where(F.col("bare") | F.col("row.doc_id").eqNullSafe(F.col("id")))
+    own = F.when(F.col("bare"), F.monotonically_increasing_id()).otherwise(-1).alias("own")
+    return chosen.select("row", "of", own).dropDuplicates(["of", "own"]).select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """near_duplicates() over all of documents; nulls, short and empty texts, copies and empty tables as there."""
     return near_duplicates(table(spark, sf_dir, "documents"))

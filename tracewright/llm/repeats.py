@@ -1,15 +1,21 @@
 """Substring dedup: words in passages that occur more than once are removed, wherever they occur.
 
-A window is a run of WINDOW words. Texts, equal ones once, are dealt to parts of bounded size, and three rounds go over
-the same parts:
+A window is a run of WINDOW words. Texts, equal ones once, are dealt to parts of bounded size, and rounds go over the
+same parts:
 
-1. anchors. Of the ANCHOR-word phrases within a window, the one with the least hash is chosen, a choice that equal
+1. candidates. Of the ANCHOR-word phrases within a window, the one with the least hash is its anchor, a choice that equal
    windows make alike, so that a window can only recur if its anchor does. Parts count their anchors; Spark adds up.
-2. automata. A part gets those of its anchors that recur anywhere, compiles their words to an Aho-Corasick automaton,
-   its shard, and streams all its texts through it. Windows around what it locates are counted by their hashes.
-3. removal. A part gets the hashes of those of its windows that recur anywhere, and removes what they cover.
-
-Between rounds only (hash, part, count) rows move; each part names a hash once.
+2. phrases. One part, the first that has it, spells out the words of an anchor that recurs; Spark sends them to all
+   parts that have counted it.
+3. automata. A part compiles the phrases that it was sent, by their words, to an Aho-Corasick automaton: the shard of all
+   phrases that its texts can hold. All its texts are streamed through it, and it alone tells where phrases are. Windows
+   around what it locates are named by 128 bits and counted; Spark adds up.
+4. removal. The texts are streamed through the automaton again. Of the windows around what it locates those go whose
+   passage was confirmed to occur elsewhere.
+
+So a window goes if its anchor has been located by its words and the whole of it has been met again. Between rounds only
+rows (name, part, count) and phrases move; each part names a thing once, so that a passage that a third of all texts have
+is a row from each part.
 """
 
 from __future__ import annotations
@@ -20,15 +26,16 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WordHasher, arrow_schema, table, windows
+from .common import WordHasher, arrow_schema, joined_by_class, settled, table, windows
 
-WINDOW, ANCHOR = 35, 18
+WINDOW, ANCHOR = 35, 12
 #: Bytes of text in a part, about.
 PART_BYTES = 8 << 20
-COUNTS = "hash long, part int, n long"
+COUNTS = "a long, b long, part int, n long, at long"
 KEPT = "of binary, n_words long, n_removed long, kept_sha256 string, kept string"
 
 
@@ -38,20 +45,31 @@ def text_class() -> F.Column:
 
 
 def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows whose first column this task hasn't seen. Spares the shuffle most copies; parts drop the rest."""
+    """Rows whose first column this task hasn't seen lately. Spares the shuffle most copies; parts drop the rest."""
     seen: set[bytes] = set()
     for batch in batches:
         first = [i for i, c in enumerate(batch.column(0).to_pylist()) if c not in seen and not seen.add(c)]
         yield batch.take(pa.array(first, pa.int64()))
+        if len(seen) > 500_000:
+            seen.clear()
 
 
-def _texts(rows: pa.Table) -> Iterator[tuple[bytes, bytes]]:
-    seen: set[bytes] = set()
+def in_parts(docs: DataFrame) -> DataFrame:
+    """of, text, part: different texts, dealt to parts of about PART_BYTES. A text may come more than once, in one part."""
+    named = docs.select(text_class().alias("of"), F.coalesce("text", F.lit("")).alias("text"))
+    size = named.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    n_parts = max(1, -(-size // PART_BYTES))
+    once = named.mapInArrow(_once, "of binary, text string")
+    return once.withColumn("part", F.pmod(F.xxhash64("of"), F.lit(n_parts)).cast("int")).repartition(n_parts, "part")
+
+
+def texts_of(rows: pa.Table) -> list[tuple[bytes, bytes]]:
+    """A part's different texts with their names, in the same order in any run."""
+    seen: dict[bytes, bytes] = {}
     for of, text in zip(rows.column("of"), rows.column("text"), strict=True):
-        name = of.as_py()
-        if name not in seen:
-            seen.add(name)
-            yield name, text.as_py().encode()
+        if (name := of.as_py()) not in seen:
+            seen[name] = text.as_py().encode()
+    return sorted(seen.items())
 
 
 def _slide(x: np.ndarray, k: int, best: np.ufunc) -> np.ndarray:
@@ -63,16 +81,9 @@ def _slide(x: np.ndarray, k: int, best: np.ufunc) -> np.ndarray:
     return best(x[: len(x) - (k - width)], x[k - width :]) if width < k else x
 
 
-def _among(ordered: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """Which of the values a sorted array holds."""
-    if not len(ordered):
-        return np.zeros(len(values), bool)
-    return ordered[np.minimum(np.searchsorted(ordered, values), len(ordered) - 1)] == values
-
-
-def anchors(words: np.ndarray, window: int, anchor: int) -> np.ndarray:
-    """Places of phrases that are the least of some window."""
-    phrases, k = windows(words, anchor), window - anchor + 1
+def anchors(phrases: np.ndarray, window: int, anchor: int) -> np.ndarray:
+    """Places of phrases (by their hashes) that are the least of some window."""
+    k = window - anchor + 1
     if len(phrases) < k:
         return np.empty(0, np.int64)
     least = _slide(phrases, k, np.minimum)
@@ -80,52 +91,92 @@ def anchors(words: np.ndarray, window: int, anchor: int) -> np.ndarray:
     return np.flatnonzero(_slide(np.concatenate((pad, least, pad)), k, np.maximum) == phrases)
 
 
-def _counted(hashes: list[np.ndarray], part: int) -> pa.Table:
-    values, n = np.unique(np.concatenate([*hashes, np.empty(0, np.uint64)]).astype(np.uint64), return_counts=True)
-    return pa.table({"hash": values.view(np.int64), "part": np.full(len(values), part, np.int32), "n": n.astype(np.int64)}, schema=arrow_counts())
-
-
-def arrow_counts() -> pa.Schema:
-    return pa.schema([("hash", pa.int64()), ("part", pa.int32()), ("n", pa.int64())])
-
-
-def _automaton(phrases: list[list[bytes]]) -> tuple[ahocorasick.Automaton, dict[bytes, str]]:
-    """Of phrases, each word a letter. Two words may share one if there are more words than letters: what the automaton
-    locates is only where to look closer."""
-    letters: dict[bytes, str] = {}
-    out = ahocorasick.Automaton()
-    for phrase in phrases:
-        for w in phrase:
-            letters.setdefault(w, chr(0xE000 + len(letters) % 0x100000))
-        out.add_word("".join(map(letters.__getitem__, phrase)), True)
-    if len(out):
-        out.make_automaton()
-    return out, letters
-
-
-def recurring_windows(texts: list[bytes], recurring: np.ndarray, window: int, anchor: int) -> list[np.ndarray]:
-    """For each text, the starts of windows that hold a recurring anchor (recurring: sorted). The anchors' words come
-    from the texts."""
-    hasher, phrases, known = WordHasher(lower=False), [], set()
-    for text in texts:
-        found = windows(hasher(text), anchor)
-        places = np.flatnonzero(_among(recurring, found))
-        new = [p for p, h in zip(places.tolist(), found[places].tolist(), strict=True) if h not in known and not known.add(h)]
-        if new:
-            words = text.split()
-            phrases += [words[p : p + anchor] for p in new]
-    automaton, letters = _automaton(phrases)
-    out = []
-    for text in texts:
-        words = text.split()
-        at = np.zeros(max(0, len(words) - window + 1) + 1, np.int64)
-        if len(automaton) and len(at) > 1:
-            spelled = "".join([letters.get(w, "\0") for w in words])
-            places = np.fromiter((end for end, _ in automaton.iter(spelled)), np.int64) - (anchor - 1)
-            np.add.at(at, np.clip(places - (window - anchor), 0, len(at) - 1), 1)
-            np.add.at(at, np.minimum(places + 1, len(at) - 1), -1)
-        out.append(np.flatnonzero(np.cumsum(at[:-1]) > 0))
-    return out
+def names(words: np.ndarray, k: int) -> np.ndarray:
+    """128-bit names of all runs of k words, as two rows."""
+    return np.stack([windows(w, k) for w in words])
+
+
+class Names:
+    """A set of 128-bit names."""
+
+    def __init__(self, a: np.ndarray, b: np.ndarray) -> None:
+        order = np.argsort(a, kind="stable")
+        self.a, self.b = a[order], b[order]
+        begins = np.flatnonzero(np.concatenate(([True], self.a[1:] != self.a[:-1]))) if len(a) else np.empty(0, np.int64)
+        self.most = int(np.diff(np.append(begins, len(a))).max(initial=0))  # names that share their first number
+
+    def has(self, found: np.ndarray) -> np.ndarray:
+        out = np.zeros(found.shape[1], bool)
+        at = np.searchsorted(self.a, found[0])
+        for step in range(self.most):
+            i = np.minimum(at + step, len(self.a) - 1)
+            out |= (self.a[i] == found[0]) & (self.b[i] == found[1])
+        return out
+
+
+def _counted(found: list[np.ndarray], places: list[np.ndarray], part: int, schema: pa.Schema) -> pa.Table:
+    """Each different name once, with its count and the first of its places."""
+    a, b = np.concatenate([*found, np.empty((2, 0), np.uint64)], 1)
+    at = np.concatenate([*places, np.empty(0, np.int64)])
+    order = np.lexsort((at, b, a))
+    a, b, at = a[order], b[order], at[order]
+    first = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))) if len(a) else np.empty(0, np.int64)
+    n = np.diff(np.append(first, len(a)))
+    return pa.table({"a": a[first].view(np.int64), "b": b[first].view(np.int64), "part": np.full(len(first), part, np.int32), "n": n, "at": at[first]}, schema=schema)
+
+
+class Shard:
+    """An automaton of phrases of `anchor` words. Each word is a letter. Two words may share one if there are more words
+    than letters; what is found then is compared word by word."""
+
+    LETTERS = 0x100000
+
+    def __init__(self, phrases: list[bytes], anchor: int) -> None:
+        self.anchor, self.letters = anchor, {}
+        self.automaton = ahocorasick.Automaton()
+        for phrase in phrases:
+            words = phrase.split()
+            for w in words:
+                self.letters.setdefault(w, chr(0xE000 + len(self.letters) % self.LETTERS))
+            self.automaton.add_word("".join(map(self.letters.__getitem__, words)), phrase)
+        self.exact = len(self.letters) <= self.LETTERS
+        if len(self.automaton):
+            self.automaton.make_automaton()
+
+    def places(self, words: list[bytes]) -> np.ndarray:
+        """Where phrases begin."""
+        if not len(self.automaton) or len(words) < self.anchor:
+            return np.empty(0, np.int64)
+        spelled = "".join([self.letters.get(w, "\0") for w in words])
+        first = 1 - self.anchor
+        found = self.automaton.iter(spelled)
+        if self.exact:
+            return np.fromiter((end + first for end, _ in found), np.int64)
+        return np.array([end + first for end, phrase in found if b" ".join(words[end + first : end + 1]) == phrase], np.int64)
+
+    def around(self, words: list[bytes], window: int) -> np.ndarray:
+        """Starts of windows that hold a located phrase."""
+        n = len(words) - window + 1
+        if n < 1 or not len(places := self.places(words)):
+            return np.empty(0, np.int64)
+        at = np.zeros(n + 1, np.int64)
+        np.add.at(at, np.clip(places - (window - self.anchor), 0, n), 1)
+        np.add.at(at, np.minimum(places + 1, n), -1)
+        return np.flatnonzero(np.cumsum(at[:-1]) > 0)
+
+
+def kept_words(text: bytes, shard: Shard, recurring: Names, window: int, hasher: WordHasher) -> tuple[list[bytes], int]:
+    """The words that stay, and how many go: those of windows around phrases that the shard locates, if they recur."""
+    words = text.split()
+    starts = shard.around(words, window)
+    if not len(starts):
+        return words, 0
+    starts = starts[recurring.has(names(hasher(text), window)[:, starts])]
+    at = np.zeros(len(words) + 1, np.int64)
+    at[starts] += 1
+    at[starts + window] -= 1
+    left = np.cumsum(at[:-1]) == 0
+    return [w for w, k in zip(words, left.tolist(), strict=True) if k], len(words) - int(left.sum())
 
 
 def remove(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, with_text: bool = True) -> DataFrame:
@@ -134,59 +185,74 @@ def remove(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, with_tex
     A word is removed if a window of `window` words covers it whose words also start anywhere else, in another row of
     docs or the same. kept: the other words, joined by single spaces; null if none is removed, or without with_text.
     A null or empty text has no words; shorter texts than a window keep all; a row of docs is a document of its own also
-    if doc_id is null or repeated; other columns are ignored; an empty table gives no rows. Hashes of windows have 64
-    bits, and only windows around a recurring anchor are compared by them.
+    if doc_id is null or repeated; other columns are ignored; an empty table gives no rows. Of a window that goes the
+    anchor was located word by word, and all of it was named by 128 bits of strong word hashes.
     """
-    named = docs.select(text_class().alias("of"), F.coalesce("text", F.lit("")).alias("text"))
-    size = named.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    n_parts = max(1, -(-size // PART_BYTES))
-    once = named.mapInArrow(_once, "of binary, text string")
-    dealt = once.withColumn("part", F.pmod(F.xxhash64("of"), F.lit(n_parts)).cast("int")).repartition(n_parts, "part")
-    copies = named.groupBy("of").agg((F.count("*") > 1).alias("copied"))
-    kept_schema = arrow_schema(KEPT)
+    dealt = in_parts(docs)
+    copies = docs.select(text_class().alias("of")).groupBy("of").agg((F.count("*") > 1).alias("copied"))
+    kept_schema, counts_schema = arrow_schema(KEPT), arrow_schema(COUNTS)
+    phrase_schema = arrow_schema("a long, b long, phrase binary")
 
     def count_anchors(rows: pa.Table) -> pa.Table:
-        hasher, out = WordHasher(lower=False), []
-        for _, text in _texts(rows):
-            words = hasher(text)
-            out.append(windows(words, anchor)[anchors(words, window, anchor)])
-        return _counted(out, rows.column("part")[0].as_py())
-
-    def count_windows(rows: pa.Table, known: pa.Table) -> pa.Table:
-        if not len(rows) or not len(known):
-            return arrow_counts().empty_table()
-        recurring = np.unique(known.column("hash").to_numpy().view(np.uint64))
-        texts = [t for _, t in _texts(rows)]
-        hasher = WordHasher(lower=False)
-        starts = recurring_windows(texts, recurring, window, anchor)
-        return _counted([windows(hasher(t), window)[s] for t, s in zip(texts, starts, strict=True) if len(s)], rows.column("part")[0].as_py())
-
-    def take_out(rows: pa.Table, known: pa.Table) -> pa.Table:
-        recurring = np.sort(known.column("hash").to_numpy().view(np.uint64)) if len(known) else np.empty(0, np.uint64)
-        hasher = WordHasher(lower=False)
+        hasher, found, places = WordHasher(lower=False), [], []
+        for i, (_, text) in enumerate(texts_of(rows)):
+            phrases = names(hasher(text), anchor)
+            at = anchors(phrases[0], window, anchor)
+            found.append(phrases[:, at])
+            places.append(at | (i << 32))
+        return _counted(found, places, rows.column("part")[0].as_py(), counts_schema)
+
+    def spell(rows: pa.Table, wanted: pa.Table) -> pa.Table:
+        """The words of the phrases that begin at the wanted places."""
+        texts, phrases = texts_of(rows) if len(wanted) else [], []
+        wanted = wanted.sort_by("at")
+        held, words = -1, []
+        for place in wanted.column("at").to_pylist():
+            if place >> 32 != held:
+                held = place >> 32
+                words = texts[held][1].split()
+            begin = place & 0xFFFFFFFF
+            phrases.append(b" ".join(words[begin : begin + anchor]))
+        return pa.table({"a": wanted.column("a"), "b": wanted.column("b"), "phrase": pa.array(phrases, pa.binary())}, schema=phrase_schema)
+
+    def count_windows(rows: pa.Table, sent: pa.Table) -> pa.Table:
+        if not len(rows) or not len(sent):
+            return counts_schema.empty_table()
+        shard, hasher, found = Shard(sent.column("phrase").to_pylist(), anchor), WordHasher(lower=False), []
+        for _, text in texts_of(rows):
+            starts = shard.around(text.split(), window)
+            if len(starts):
+                found.append(names(hasher(text), window)[:, starts])
+        return _counted(found, [np.zeros(f.shape[1], np.int64) for f in found], rows.column("part")[0].as_py(), counts_schema)
+
+    def take_out(rows: pa.Table, sent: pa.Table) -> pa.Table:
+        phrases = sent.filter(pa.compute.is_valid(sent.column("phrase"))).column("phrase").to_pylist() if len(sent) else []
+        passages = sent.filter(pa.compute.is_null(sent.column("phrase"))) if len(sent) else counts_schema.empty_table()
+        recurring = Names(*(passages.column(c).to_numpy().view(np.uint64) for c in ("a", "b")))
+        shard, hasher = Shard(phrases if len(passages) else [], anchor), WordHasher(lower=False)
         out: dict[str, list] = {name: [] for name in kept_schema.names}
-        for of, text in _texts(rows) if len(rows) else ():
-            words, found = text.split(), windows(hasher(text), window)
-            at = np.zeros(len(words) + 1, np.int64)
-            if len(found):
-                starts = np.flatnonzero(_among(recurring, found))
-                at[starts] += 1
-                at[starts + window] -= 1
-            left = np.cumsum(at[:-1]) == 0
-            removed = len(words) - int(left.sum())
-            kept = b" ".join([w for w, k in zip(words, left.tolist(), strict=True) if k]) if removed else b" ".join(words)
-            for name, made in zip(kept_schema.names, (of, len(words), removed, hashlib.sha256(kept).hexdigest(), kept.decode() if removed and with_text else None), strict=True):
+        for of, text in texts_of(rows) if len(rows) else ():
+            left, removed = kept_words(text, shard, recurring, window, hasher)
+            kept = b" ".join(left)
+            for name, made in zip(kept_schema.names, (of, len(left) + removed, removed, hashlib.sha256(kept).hexdigest(), kept.decode() if removed and with_text else None), strict=True):
                 out[name].append(made)
         return pa.table(out, schema=kept_schema)
 
     def recurring(counts: DataFrame) -> DataFrame:
-        """hash, part of hashes that occur twice or more in all parts together. A hash has a row for each part at most."""
-        return counts.withColumn("all", F.sum("n").over(Window.partitionBy("hash"))).where("all > 1").select("hash", "part")
+        """Names that occur twice or more in all parts together, for each part that has them; first: which part is the first."""
+        by = Window.partitionBy("a", "b")
+        return counts.withColumn("all", F.sum("n").over(by)).withColumn("first", F.min("part").over(by)).where("all > 1").select("a", "b", "part", "first", "at")
 
     by_part = dealt.groupBy("part")
-    phrases = recurring(by_part.applyInArrow(count_anchors, COUNTS))
-    again = recurring(by_part.cogroup(phrases.groupBy("part")).applyInArrow(count_windows, COUNTS))
-    single = by_part.cogroup(again.groupBy("part")).applyInArrow(take_out, KEPT)
+    candidates = settled(recurring(by_part.applyInArrow(count_anchors, COUNTS)))
+    owned = candidates.where("part = first").select("part", "a", "b", "at")
+    spelled = by_part.cogroup(owned.groupBy("part")).applyInArrow(spell, "a long, b long, phrase binary")
+    phrases = settled(candidates.select("a", "b", "part").join(spelled.hint("shuffle_hash"), ["a", "b"]).select("part", "phrase"))
+    found = by_part.cogroup(phrases.groupBy("part")).applyInArrow(count_windows, COUNTS)
+    none = F.lit(None)
+    known = recurring(found).select("part", "a", "b", none.cast("binary").alias("phrase"))
+    known = known.unionByName(phrases.select("part", none.cast("long").alias("a"), none.cast("long").alias("b"), "phrase"))
+    single = by_part.cogroup(known.groupBy("part")).applyInArrow(take_out, KEPT)
     # Of a text with copies every window recurs.
     whole = F.col("copied") & (F.col("n_words") >= window)
     nothing = hashlib.sha256(b"").hexdigest()
@@ -200,16 +266,21 @@ def remove(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, with_tex
 
 
 def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """docs with repeated passages taken out of text; texts that have none stay as they are."""
-    found = remove(docs, window).select(F.col("of").alias("_of"), "kept")
-    out = docs.withColumn("_of", text_class()).join(found, "_of", "left")
-    new = {"text": F.coalesce("kept", "text")}
+    """docs with repeated passages taken out of text, all rows and columns kept; texts that have none stay as they are.
+
+    As remove() has it: null and short texts stay, all of a longer text with copies goes, columns may have any names,
+    n_chars follows the text where it is there, and an empty table stays empty.
+    """
+    found = remove(docs, window).select("of", "kept")
+    out = joined_by_class(docs.select(F.struct("*").alias("row"), text_class().alias("of")), found)
+    new = {"text": F.coalesce("kept", "row.text")}
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(F.col("kept").isNotNull(), F.length("kept")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
-    return out.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
+        new["n_chars"] = F.when(F.col("kept").isNotNull(), F.length("kept")).otherwise(F.col("row.n_chars")).cast(docs.schema["n_chars"].dataType)
+    return out.select(*[new[c].alias(c) if c in new else F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """remove() over all of documents, a row for each; nulls, copies and empty tables as there."""
     docs = table(spark, sf_dir, "documents")
-    found = remove(docs, with_text=False).select(F.col("of").alias("_of"), "n_words", "n_removed", "kept_sha256")
-    return docs.select("doc_id", text_class().alias("_of")).join(found, "_of").drop("_of")
+    found = remove(docs, with_text=False).select("of", "n_words", "n_removed", "kept_sha256")
+    return joined_by_class(docs.select("doc_id", text_class().alias("of")), found).drop("of")
