@@ -457,34 +457,87 @@ def test_attention_learns_from_every_text(spark):
 
 def test_every_learnable_id_is_trained_on(docs, none):
     path = tokenizer_path("word_bpe_49k.json")
-    allowed = docs.where(language_model.learnable(F.col("doc_id")))
-    texts_of = language_model.Texts(path)
-    n = sum(len(texts_of(r["text"] or "")[1]) + 1 for r in allowed.collect())
-    fresh = language_model.Model.fit(np.ones(language_model.N_IDS), [])
-    assert language_model.train_on_all(fresh, allowed, path, 2) == [n, n]
-    assert language_model.train_on_all(fresh, none, path) == []
+    rows = language_model.coded(docs, path).where("learn")
+    n = sum(len(r["ids"]) // 2 + 1 for r in rows.collect())
+    counts = language_model.corpus_counts(rows)
+    assert counts.where("kind = 1").agg(F.sum("n")).first()[0] == n
+    fresh = language_model.fit(rows, counts)
+    assert language_model.train_on_all(fresh, rows, 2) == [n, n]
+    assert language_model.train_on_all(fresh, language_model.coded(none, path)) == []
+
+
+def test_coded_texts(docs):
+    path = tokenizer_path("word_bpe_49k.json")
+    code, tokenizer = language_model.Coder(path), packing.word_ids(path).tokenizer
+    texts = [(r["text"] or "") for r in docs.collect()]
+    for _ in range(2):
+        for text, (words, ids) in zip(texts, code([t.encode() for t in texts]), strict=True):
+            assert (words == WordHasher(lower=True, numbers=1)(text.encode())[0]).all()
+            if "<|" not in text:
+                assert ids.tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    assert code([]) == []
 
 
 def test_windows_score_each_id_once():
-    texts = [np.arange(n) for n in (0, 1, 30, 31, 32, 33, 55, 56, 57, 500)]
+    texts = [np.arange(n) for n in (0, 1, 22, 23, 24, 25, 47, 48, 500)]
     ids, targets, scored, of = language_model.cut_windows(texts)
     for i, t in enumerate(texts):
         at = of == i
         assert targets[at][scored[at]].tolist() == [*t.tolist(), language_model.END_ID]
-        assert ids[at][0, 0] == language_model.END_ID
+        fresh = ids[at][:, language_model.WINDOW - language_model.FRESH :]
+        assert fresh[scored[at]].tolist() == [language_model.END_ID, *t.tolist()]
+        assert (ids[at][0, : language_model.WINDOW - language_model.FRESH] == -1).all()
+
+
+def learned(texts, epochs=1):
+    counts = np.bincount(np.concatenate(texts), minlength=language_model.N_IDS).astype(float)
+    counts[language_model.END_ID] = len(texts)
+    slots = language_model.slots_of(counts)
+    pairs = np.zeros((language_model.SLOTS, language_model.SLOTS))
+    for t in texts:
+        s = slots[np.concatenate(([language_model.END_ID], t, [language_model.END_ID]))]
+        np.add.at(pairs, (s[:-1], s[1:]), 1)
+    model = language_model.Model.fit(counts, slots, pairs)
+    adam = language_model.Adam(model.attention)
+    for _ in range(epochs):
+        model.train(adam, texts)
+    return model
+
+
+def plain_probabilities(m, text):
+    """p of every id at each place of a text and at its end, place by place."""
+    width, ahead = language_model.WIDTH, language_model.WINDOW - language_model.FRESH
+    inputs = [m.slots[i] for i in [language_model.END_ID, *text.tolist()]]
+    a, out = m.attention, []
+    for t in range(len(inputs)):
+        begin = t // language_model.FRESH * language_model.FRESH - ahead
+        x = np.array([a.embed[inputs[j] if j >= 0 else m.pad] + a.places[j - begin] for j in range(begin, t + 1)], float)
+        q, k, v = x[-1] @ a.query, x @ a.both[:, :width], x @ a.both[:, width:]
+        w = np.exp(np.clip(k @ q, -30, 30))
+        logits = (x[-1] + w @ v / w.sum()) @ a.out + a.bias + m.prior[inputs[t]]
+        p = np.exp(logits - logits.max())
+        p /= p.sum()
+        by_slot = np.exp(m.bigram[inputs[t]].astype(float)) * (p / np.exp(m.prior[inputs[t]].astype(float)))[m.classes]
+        out.append(by_slot[m.slots] * np.exp(m.within.astype(float)))
+    return np.array(out)
 
 
 def test_attention_learns_and_sums_to_one():
     r = np.random.default_rng(0)
-    texts = [np.tile([3, 5, 9, 11], 30) + 0 * r.integers(0, 2, 120) for _ in range(20)]
-    counts = np.bincount(np.concatenate(texts), minlength=language_model.N_IDS).astype(float)
-    counts[language_model.END_ID] = 20
-    model = language_model.Model.fit(counts, texts)
-    fresh = language_model.Model(language_model.Attention.fresh(int(model.kinds.max()) + 1), model.kinds, model.within)
-    assert model.score(texts).sum() > fresh.score(texts).sum()
-    ids, targets, _, _ = language_model.cut_windows(texts[:1])
-    n = int(model.kinds.max()) + 1
-    logs = [model.attention.log_odds(ids, model.kinds[ids], np.full_like(targets, k)) for k in range(n)]
-    assert np.allclose(np.exp(logs).sum(0), 1, atol=1e-4)
-    for k in range(n):
-        assert math.isclose(np.exp(model.within[model.kinds == k]).sum(), 1, rel_tol=1e-6)
+    kinds = [np.array(k) for k in ([3, 5, 9, 11], [3, 7, 9, 2], [900, 5, 9, 40000])]
+    texts = [np.concatenate([kinds[i % 3][r.permutation(4)] for _ in range(30)]) for i in range(240)]
+    model = learned(texts, 3)
+    for text in (texts[0], texts[2][:50], np.array([], np.int64), np.array([49000, 3, 17, 900] * 9)):
+        p = plain_probabilities(model, text)
+        assert np.allclose(p.sum(1), 1, atol=1e-3)
+        want = np.log10(p[np.arange(len(p)), [*text.tolist(), language_model.END_ID]]).sum()
+        assert math.isclose(model.score([text, texts[1]])[0][0], want, rel_tol=1e-3)
+    both, bigram = model.score(texts)
+    assert both.sum() > 0.9 * bigram.sum()  # what the context says beyond the last id
+
+
+def test_held_out_texts_take_fewer_bits_than_the_bigram(spark):
+    got = language_model.op10_language_model(spark, "/root/testdata/sf0.01").where("held_out")
+    r = got.agg(F.sum("score").alias("s"), F.sum("bigram_score").alias("b"), F.sum("n_subwords").alias("n")).first()
+    bits, bigram = (-r[k] * math.log2(10) / r["n"] for k in ("s", "b"))
+    assert bits < bigram - 0.05 and bits < 6.31

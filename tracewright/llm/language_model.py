@@ -1,10 +1,17 @@
 """Language-model scoring: a causal self-attention model over subword ids, beside a word-count base score.
 
-The model gives an id's probability as that of its class after the context (one masked attention layer, trained in
-numpy on all texts that may be learned from: in each of EPOCHS rounds every partition trains on its own texts from the
-same weights, and Spark adds up what comes out, weighted by how many ids each has seen) times that of the id within its class (its share of the corpus's counts). Classes are groups of ids with about
-equal shares of all counts. Contexts are overlapping windows: each id is scored once, in the window where it has the
-most context, at least WINDOW - STRIDE ids unless the text starts later.
+Ids are held in SLOTS slots: frequent ones have one each, the others share the rest by frequency. The corpus's counts of
+neighbouring slots give a smoothed bigram; an attention layer over the context moves its mass between CLASSES groups of
+slots that are used alike (by the bigram's leading singular vectors):
+
+    p(id | context) = p(class | attention, last id) * p(slot | class, last id) * p(id | slot)
+
+where the class's logits are the bigram's own and what attention adds. So the untrained model is the bigram, and training
+only has to find what the context says beyond the last id. Contexts are overlapping windows: a window scores its last
+FRESH ids, each id is scored once, with at least WINDOW - FRESH ids before it unless the text starts later.
+
+All counts and all training go over all texts that may be learned from. Every partition trains on its texts from the same
+weights; Spark adds up what comes out, weighted by how many ids each has seen.
 
 Word counts may be far too many to broadcast. Words that make up more than one HEAD-th of all tokens, fewer than HEAD of
 them by that definition, go to the tasks; the rest are joined on the word's hash.
@@ -12,115 +19,107 @@ them by that definition, go to the tasks; the rest are joined on the word's hash
 
 from __future__ import annotations
 
-import os
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHasher, over_texts, settled, table, tokenizer_path
-from .packing import WordIds
+from .common import WordHasher, arrow_schema, over_texts, settled, table, tokenizer_path
+from .packing import word_ids
 
-WINDOW, STRIDE = 32, 24
-WIDTH, CLASSES, HASHED = 8, 32, 512
-EPOCHS = 3
-#: Characters of the texts that a task trains on at once, about.
-TRAINED_AT_ONCE = 1 << 20
+WINDOW, FRESH = 32, 24
+WIDTH, CLASSES, SLOTS, SHARED = 12, 32, 2048, 64
+ROUNDS = 1
+#: Windows in a step of training, and in one of scoring.
+STEP, SCORED_AT_ONCE = 128, 256
+#: Ids of the texts that a task holds at once, about.
+HELD = 1 << 18
 HEAD = 1 << 22
 END_WORD = np.uint64(0x5E17E7C0DE0E7D01)  # no word hashes to it but by a chance of 2**-64
 END_ID = 49407
 N_IDS = 49408
-CACHED_WORDS = 200_000
+CACHED_WORDS = 400_000
+
+
+def softmaxed(logits: np.ndarray) -> np.ndarray:
+    np.exp(logits, out=logits)
+    logits /= logits.sum(-1, keepdims=True)
+    return logits
+
+
+def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a @ b for one matrix b, as one product and not one for each window."""
+    return (a.reshape(-1, a.shape[-1]) @ b).reshape(*a.shape[:-1], b.shape[1])
+
+
+#: Which of a window's inputs each scored place may see.
+MASK = np.tril(np.ones((FRESH, WINDOW), np.float32), WINDOW - FRESH)
 
 
 @dataclass
 class Attention:
-    """One causal attention layer. Weights are float32."""
+    """One causal attention layer with a residual, float32. The slot after the last stands for no input."""
 
-    by_class: np.ndarray
-    by_hash: np.ndarray
+    embed: np.ndarray
     places: np.ndarray
     query: np.ndarray
-    key: np.ndarray
-    value: np.ndarray
+    both: np.ndarray  # keys and values
     out: np.ndarray
     bias: np.ndarray
 
     @classmethod
-    def fresh(cls, classes: int, seed: int = 7) -> Attention:
+    def fresh(cls, features: np.ndarray, classes: int, seed: int = 7) -> Attention:
+        """features: slots x WIDTH, of about unit size."""
         rng = np.random.default_rng(seed)
         w = lambda *shape: (rng.standard_normal(shape) * 0.3).astype(np.float32)
-        return cls(w(classes, WIDTH), w(HASHED, WIDTH), w(WINDOW, WIDTH), w(WIDTH, WIDTH), w(WIDTH, WIDTH), w(WIDTH, WIDTH), w(WIDTH, classes), np.zeros(classes, np.float32))
-
-    def forward(self, ids: np.ndarray, kinds: np.ndarray) -> tuple[np.ndarray, ...]:
-        """ids, kinds (their classes): windows x WINDOW. Gives the logits of the next id's class, and what training needs."""
-        x = self.by_class[kinds] + self.by_hash[ids % HASHED] + self.places
-        q, k, v = _times(x, self.query), _times(x, self.key), _times(x, self.value)
-        weights = q @ k.transpose(0, 2, 1)
+        embed = np.concatenate((features, np.zeros((1, WIDTH)))).astype(np.float32)
+        return cls(embed, w(WINDOW, WIDTH) * np.float32(0.3), w(WIDTH, WIDTH), w(WIDTH, 2 * WIDTH), np.zeros((WIDTH, classes), np.float32), np.zeros(classes, np.float32))
+
+    def forward(self, slots: np.ndarray, prior: np.ndarray) -> tuple[np.ndarray, ...]:
+        """slots: windows x WINDOW; prior: windows x FRESH x classes. Gives p(class), and what training needs."""
+        x = self.embed[slots] + self.places
+        fresh = np.ascontiguousarray(x[:, WINDOW - FRESH :])
+        q, kv = _times(fresh, self.query), _times(x, self.both)
+        weights = q @ kv[..., :WIDTH].transpose(0, 2, 1)
         np.clip(weights, -30, 30, out=weights)
         np.exp(weights, out=weights)
         weights *= MASK
         weights /= weights.sum(-1, keepdims=True)
-        h = x + weights @ v
-        return _times(h, self.out) + self.bias, x, q, k, v, weights, h
-
-    def log_odds(self, ids: np.ndarray, kinds: np.ndarray, targets: np.ndarray) -> np.ndarray:
-        """Natural log of the probability of each next class. As forward(), with the sums done as products."""
-        x = self.by_class[kinds] + self.by_hash[ids % HASHED] + self.places
-        projected = x @ np.concatenate((self.query, self.key, self.value), 1)
-        q, k = projected[..., :WIDTH], projected[..., WIDTH : 2 * WIDTH]
-        v = np.concatenate((projected[..., 2 * WIDTH :], np.ones((*ids.shape, 1), np.float32)), -1)
-        weights = q @ k.transpose(0, 2, 1)
-        np.clip(weights, -30, 30, out=weights)
-        np.exp(weights, out=weights)
-        weights *= MASK
-        seen = weights @ v
-        logits = (x + seen[..., :WIDTH] / seen[..., WIDTH:]).reshape(-1, WIDTH) @ self.out + self.bias
-        np.clip(logits, -60, 60, out=logits)
-        at = logits[np.arange(len(logits)), targets.ravel()]
-        np.exp(logits, out=logits)
-        return (at - np.log(logits @ np.ones(logits.shape[1], np.float32))).reshape(ids.shape)
-
-    def gradients(self, ids: np.ndarray, kinds: np.ndarray, targets: np.ndarray, scored: np.ndarray) -> dict[str, np.ndarray]:
-        logits, x, q, k, v, weights, h = self.forward(ids, kinds)
-        p = np.exp(logits - logits.max(-1, keepdims=True))
-        p /= p.sum(-1, keepdims=True)
-        np.put_along_axis(p, targets[..., None], np.take_along_axis(p, targets[..., None], -1) - 1, -1)
-        p *= scored[..., None] / scored.sum()
+        h = weights @ kv[..., WIDTH:]
+        h += fresh
+        logits = _times(h, self.out)
+        logits += prior
+        logits += self.bias
+        return softmaxed(logits), x, fresh, q, kv, weights, h
+
+    def gradients(self, slots: np.ndarray, prior: np.ndarray, targets: np.ndarray, scored: np.ndarray) -> dict[str, np.ndarray]:
+        p, x, fresh, q, kv, weights, h = self.forward(slots, prior)
         flat = lambda a: a.reshape(-1, a.shape[-1])
-        out = {"out": flat(h).T @ flat(p), "bias": flat(p).sum(0)}
-        dh = _times(p, self.out.T)
-        dw, dv = dh @ v.transpose(0, 2, 1), weights.transpose(0, 2, 1) @ dh
-        ds = weights * (dw - (dw * weights).sum(-1, keepdims=True))
-        dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-        out |= {"query": flat(x).T @ flat(dq), "key": flat(x).T @ flat(dk), "value": flat(x).T @ flat(dv)}
-        dx = dh + _times(dq, self.query.T) + _times(dk, self.key.T) + _times(dv, self.value.T)
+        p = flat(p)
+        p[np.arange(len(p)), targets.ravel()] -= 1
+        p *= (scored.astype(np.float32) / scored.sum()).reshape(-1, 1)
+        out = {"out": flat(h).T @ p, "bias": p.sum(0)}
+        dh = (p @ self.out.T).reshape(fresh.shape)
+        k, v = kv[..., :WIDTH], kv[..., WIDTH:]
+        dkv = np.empty_like(kv)
+        dkv[..., WIDTH:] = weights.transpose(0, 2, 1) @ dh
+        ds = dh @ v.transpose(0, 2, 1)
+        ds -= np.einsum("wij,wij->wi", ds, weights)[..., None]
+        ds *= weights
+        dq = ds @ k
+        dkv[..., :WIDTH] = ds.transpose(0, 2, 1) @ q
+        out |= {"query": flat(fresh).T @ flat(dq), "both": flat(x).T @ flat(dkv)}
+        dx = _times(dkv, self.both.T)
+        dx[:, WINDOW - FRESH :] += dh + _times(dq, self.query.T)
         out["places"] = dx.sum(0)
-        for name, at, n in (("by_class", kinds, len(self.by_class)), ("by_hash", ids % HASHED, HASHED)):
-            out[name] = np.stack([np.bincount(at.ravel(), column, n) for column in flat(dx).T], 1).astype(np.float32)
+        at, dx = slots.ravel(), flat(dx)
+        out["embed"] = np.stack([np.bincount(at, dx[:, c], len(self.embed)) for c in range(WIDTH)], 1).astype(np.float32)
         return out
 
-    def train(self, ids: np.ndarray, kinds: np.ndarray, targets: np.ndarray, scored: np.ndarray, epochs: int = EPOCHS, batch: int = 64, rate: float = 0.01, so_far: tuple | None = None) -> tuple:
-        """Adam over shuffled batches of windows. Gives the steps and moments so far, with which training can go on."""
-        rng = np.random.default_rng(1)
-        step, first, second = so_far or (0, *({k: np.zeros_like(v) for k, v in vars(self).items()} for _ in range(2)))
-        for _ in range(epochs):
-            order = rng.permutation(len(ids))
-            for i in range(0, len(order), batch):
-                at = order[i : i + batch]
-                if not scored[at].any():
-                    continue
-                step += 1
-                for name, g in self.gradients(ids[at], kinds[at], targets[at], scored[at]).items():
-                    first[name] = 0.9 * first[name] + 0.1 * g
-                    second[name] = 0.99 * second[name] + 0.01 * g * g
-                    move = rate * (first[name] / (1 - 0.9**step)) / (np.sqrt(second[name] / (1 - 0.99**step)) + 1e-8)
-                    setattr(self, name, (getattr(self, name) - move).astype(np.float32))
-        return step, first, second
-
     def flat(self) -> np.ndarray:
         return np.concatenate([w.ravel() for w in vars(self).values()]).astype(float)
 
@@ -131,70 +130,153 @@ class Attention:
             at += w.size
 
 
-def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """a @ b for one matrix b, as one product and not one for each window."""
-    return (a.reshape(-1, a.shape[-1]) @ b).reshape(*a.shape[:-1], b.shape[1])
+class Adam:
+    """Steps of training on batches of windows."""
 
+    def __init__(self, layer: Attention, rate: float = 0.01) -> None:
+        self.layer, self.rate, self.step = layer, rate, 0
+        self.first, self.second = ({k: np.zeros_like(v) for k, v in vars(layer).items()} for _ in range(2))
 
-MASK = np.tril(np.ones((WINDOW, WINDOW), np.float32))
+    def train(self, slots: np.ndarray, prior: np.ndarray, targets: np.ndarray, scored: np.ndarray) -> None:
+        self.step += 1
+        rate = self.rate / (1 + self.step / 200) ** 0.5
+        for name, g in self.layer.gradients(slots, prior, targets, scored).items():
+            first, second = self.first[name], self.second[name]
+            first += 0.1 * (g - first)
+            second += 0.01 * (g * g - second)
+            move = np.sqrt(second / (1 - 0.99**self.step))
+            move += 1e-8
+            np.divide(first, move, out=move)
+            move *= np.float32(rate / (1 - 0.9**self.step))
+            setattr(self.layer, name, getattr(self.layer, name) - move)
 
 
 def cut_windows(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of texts as ids: windows of input ids, their next ids, which of these a window scores, and each window's text.
+    """Of texts as ids: windows of input ids, the ids after the last FRESH of these, which of them count, and each window's text.
 
-    The end id stands before and after each text. A text's windows start STRIDE apart; all but its first score what
-    the one before has not.
+    The end id stands before and after each text; -1 is no input. Every id, and the end after it, counts once.
     """
     sizes = np.array([len(t) + 1 for t in texts])
-    stream = np.full(int((sizes + 1).sum()), END_ID, np.int64)
-    at = 0
-    for t in texts:
-        stream[at + 1 : at + 1 + len(t)] = t
-        at += len(t) + 2
-    begins = np.concatenate(([0], np.cumsum(sizes + 1)[:-1]))
-    per_text = 1 + np.maximum(0, -(-(sizes - WINDOW) // STRIDE))
+    per_text = -(-sizes // FRESH)
+    room = per_text * FRESH + WINDOW - FRESH + 1
+    begins = np.cumsum(room) - room
+    stream = np.full(int(room.sum()), -1, np.int64)
+    at = begins + (WINDOW - FRESH)
+    stream[at] = stream[at + sizes] = END_ID
+    inside = np.concatenate(texts) if texts else np.empty(0, np.int64)
+    shift = np.repeat(at + 1 - (np.cumsum(sizes - 1) - (sizes - 1)), sizes - 1)
+    stream[np.arange(len(inside)) + shift] = inside
     of = np.repeat(np.arange(len(texts)), per_text)
     nth = np.arange(len(of)) - np.repeat(np.cumsum(per_text) - per_text, per_text)
-    place = nth[:, None] * STRIDE + np.arange(WINDOW)
-    inside = place < sizes[of][:, None]
-    source = np.where(inside, begins[of][:, None] + place, begins[of][:, None])
-    scored = inside & ((nth[:, None] == 0) | (np.arange(WINDOW) >= WINDOW - STRIDE))
-    return stream[source], stream[np.minimum(source + 1, len(stream) - 1)], scored, of
+    base = (begins[of] + nth * FRESH)[:, None]
+    targets = stream[base + np.arange(WINDOW - FRESH + 1, WINDOW + 1)]
+    scored = nth[:, None] * FRESH + np.arange(FRESH) < sizes[of][:, None]
+    return stream[base + np.arange(WINDOW)], np.where(scored, targets, END_ID), scored, of
+
+
+def slots_of(counts: np.ndarray, slots: int = SLOTS, shared: int = SHARED) -> np.ndarray:
+    """Each id's slot: the most frequent ids have their own, the others share `shared` ones, alike ones by their counts."""
+    order = np.argsort(-counts, kind="stable")
+    out = np.empty(len(counts), np.int64)
+    alone = min(slots - shared, len(counts))
+    out[order[:alone]] = np.arange(alone)
+    rest = len(counts) - alone
+    out[order[alone:]] = alone + np.arange(rest) * shared // max(1, rest)
+    return out
 
 
 @dataclass
 class Model:
+    slots: np.ndarray  # of each id
+    classes: np.ndarray  # of each slot
+    within: np.ndarray  # natural log of an id's share of its slot
+    bigram: np.ndarray  # natural log of p(slot | last slot), a row for each last slot
+    prior: np.ndarray  # the same of classes
     attention: Attention
-    kinds: np.ndarray  # the class of each id
-    within: np.ndarray  # natural log of an id's probability within its class
+    pad: int = field(default=0)
 
     @classmethod
-    def fit(cls, counts: np.ndarray, texts: list[np.ndarray]) -> Model:
-        """counts: of each id, in all texts; texts: what the attention layer learns from here, if anything."""
-        smooth = counts + 1.0
-        order = np.argsort(-smooth, kind="stable")
-        before = np.cumsum(smooth[order]) - smooth[order]
-        kinds = np.empty(len(counts), np.int64)
-        kinds[order] = np.minimum(CLASSES - 1, before * CLASSES // smooth.sum())
-        kinds = np.unique(kinds, return_inverse=True)[1]
-        total = np.bincount(kinds, smooth)
-        out = cls(Attention.fresh(len(total)), kinds, np.log(smooth / total[kinds]).astype(np.float64))
-        if texts:
-            ids, targets, scored, _ = cut_windows(texts)
-            out.attention.train(ids, kinds[ids], kinds[targets], scored.astype(np.float32))
-        return out
-
-    def score(self, texts: list[np.ndarray], batch: int = 128) -> np.ndarray:
-        """log10 of each text's probability, its end included."""
-        if not texts:
-            return np.empty(0)
+    def fit(cls, counts: np.ndarray, slots: np.ndarray, pairs: np.ndarray) -> Model:
+        """counts: of each id; pairs: how often a slot (column) follows another (row); slots: of each id."""
+        n = len(pairs)
+        smooth = counts + 0.01
+        in_slot = np.bincount(slots, smooth, n)
+        within = np.log(smooth / in_slot[slots])
+        singles = in_slot / in_slot.sum()
+        # Absolute discounting: what is taken from the pairs seen goes to all slots by their own shares.
+        rows, kinds = pairs.sum(1, keepdims=True), (pairs > 0).sum(1, keepdims=True)
+        taken = 0.75
+        left = np.where(rows > 0, taken * kinds / np.maximum(rows, 1), 1.0)
+        p = np.maximum(pairs - taken, 0) / np.maximum(rows, 1)
+        p += left * singles
+        features, classes = _alike(p, singles)
+        of_class = np.zeros((n, CLASSES))
+        of_class[np.arange(n), classes] = 1
+        prior = np.log(np.maximum(p @ of_class, 1e-30))
+        layer = Attention.fresh(features, CLASSES)
+        return cls(slots, classes, within.astype(np.float32), np.log(p).astype(np.float32), prior.astype(np.float32), layer, n)
+
+    def windows(self, texts: list[np.ndarray]) -> tuple[np.ndarray, ...]:
+        """As cut_windows(), with slots for inputs."""
         ids, targets, scored, of = cut_windows(texts)
-        out = np.zeros(len(texts))
-        for i in range(0, len(ids), batch):
-            s = slice(i, i + batch)
-            log = self.attention.log_odds(ids[s], self.kinds[ids[s]], self.kinds[targets[s]]) + self.within[targets[s]]
-            out += np.bincount(of[s], np.where(scored[s], log, 0.0).sum(-1), len(texts))
-        return out / np.log(10)
+        return np.where(ids < 0, self.pad, self.slots[ids]), targets, scored, of
+
+    def train(self, adam: Adam, texts: list[np.ndarray]) -> int:
+        """One pass over the texts; how many ids they have."""
+        slots, targets, scored, _ = self.windows(texts)
+        goals = self.classes[self.slots[targets]]
+        order = np.random.default_rng(len(slots)).permutation(len(slots))
+        for i in range(0, len(order), STEP):
+            at = order[i : i + STEP]
+            some = slots[at]
+            last = np.minimum(some[:, WINDOW - FRESH :], self.pad - 1)
+            adam.train(some, self.prior[last], goals[at], scored[at])
+        return int(scored.sum())
+
+    def score(self, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """log10 of each text's probability, its end included; and what the bigram alone gives."""
+        plain, moved = np.zeros(len(texts)), np.zeros(len(texts))
+        if texts:
+            slots, targets, scored, of = self.windows(texts)
+            for i in range(0, len(slots), SCORED_AT_ONCE):
+                s = slice(i, i + SCORED_AT_ONCE)
+                last = np.minimum(slots[s, WINDOW - FRESH :], self.pad - 1)
+                to = self.slots[targets[s]]
+                prior, kind, own = self.prior[last], self.classes[to].ravel(), scored[s]
+                p = self.attention.forward(slots[s], prior)[0].reshape(-1, CLASSES)
+                rows = np.arange(len(p))
+                change = np.log(np.maximum(p[rows, kind], 1e-30)) - prior.reshape(-1, CLASSES)[rows, kind]
+                base = self.bigram[last, to] + self.within[targets[s]]
+                for out, log in ((plain, base), (moved, change.reshape(base.shape))):
+                    out += np.bincount(of[s], np.where(own, log, 0.0).sum(-1, dtype=float), len(texts))
+        return (plain + moved) / np.log(10), plain / np.log(10)
+
+
+def _alike(p: np.ndarray, singles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Features of slots, and CLASSES classes, from what follows them and what they follow (as far from their shares)."""
+    share = np.maximum(singles, 1e-12)
+    weight = np.sqrt(share)
+    ratio = (weight[:, None] * (p / share - 1) * weight).astype(np.float32)
+    rng = np.random.default_rng(3)
+    base = rng.standard_normal((len(p), 2 * WIDTH)).astype(np.float32)
+    for _ in range(6):  # subspace iteration
+        base, _ = np.linalg.qr(ratio @ (ratio.T @ base))
+    small = base.T @ ratio
+    u, s, vt = np.linalg.svd(small, full_matrices=False)
+    before, after = (base @ u[:, :WIDTH]) / weight[:, None], vt[:WIDTH].T / weight[:, None]
+    both = np.concatenate((before, after), 1) * np.concatenate((s[:WIDTH], s[:WIDTH]))
+    both = np.nan_to_num(both)
+    both /= np.maximum(np.linalg.norm(both, axis=1, keepdims=True), 1e-6)
+    centres = both[np.linspace(0, len(both) - 1, CLASSES).astype(int)]
+    for _ in range(12):
+        near = (both @ centres.T).argmax(1)
+        for c in range(CLASSES):
+            own = near == c
+            if own.any():
+                centre = (both[own] * share[own, None]).sum(0)
+                centres[c] = centre / max(np.linalg.norm(centre), 1e-12)
+    features = np.clip(before / np.maximum(np.sqrt((before**2 * share[:, None]).sum(0)), 1e-12), -3, 3)
+    return features, near
 
 
 def learnable(doc_id: Column) -> Column:
@@ -202,80 +284,156 @@ def learnable(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 7 != 2, F.lit(False))
 
 
-class Texts:
-    """What both passes need of a text: the hashes of its words and its subword ids."""
+class Coder:
+    """The word hashes and subword ids of texts. Words are known by their hashes, from block to block."""
+
+    def __init__(self, path: str, size: int = CACHED_WORDS) -> None:
+        self.hashes, self.engine, self.size, self.known = WordHasher(lower=True, numbers=1), word_ids(path), size, {}
+
+    def __call__(self, texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+        hashed = [self.hashes(t)[0] for t in texts]
+        which, different = pd.factorize(np.concatenate([*hashed, np.empty(0, np.uint64)]))
+        keys = different.tolist()
+        if new := [i for i, h in enumerate(keys) if h not in self.known]:
+            first = np.empty(len(keys), np.int64)
+            first[which[::-1]] = np.arange(len(which))[::-1]
+            spelled = [w for t in texts for w in t.lower().split()]
+            words = [spelled[i] for i in first[new].tolist()]
+            ids = self.engine.encode(words)
+            self.known.update(zip([keys[i] for i in new], map(ids.__getitem__, words), strict=True))
+        coded = list(map(self.known.__getitem__, keys))
+        if len(self.known) > self.size:
+            self.known.clear()
+        flat = np.frombuffer(b"".join(coded), "<u4")
+        sizes = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
+        begins, each = np.cumsum(sizes) - sizes, sizes[which]
+        ends = np.cumsum(each)
+        ids = flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(begins[which] - (ends - each), each)].astype("<u2")
+        places = np.cumsum([0, *map(len, hashed)])
+        cuts = np.concatenate(([0], ends))[places]
+        return [(h, ids[a:b]) for h, a, b in zip(hashed, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+
+
+def coded(docs: DataFrame, path: str) -> DataFrame:
+    """doc_id, words (hashes), ids, learn of each row. Both are little-endian, of 64 and 16 bits."""
 
-    def __init__(self, path: str) -> None:
-        self.hashes, self.ids = WordHasher(lower=True), WordIds(path, CACHED_WORDS)
+    def make():
+        code = Coder(path)
 
-    def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        raw = text.encode()
-        return self.hashes(raw), self.subwords(raw)
+        def work(keys: list, texts: list[str]) -> dict:
+            made = code([t.encode() for t in texts])
+            return {"doc_id": keys, "words": [w.tobytes() for w, _ in made], "ids": [i.tobytes() for _, i in made]}
 
-    def subwords(self, raw: bytes) -> np.ndarray:
-        return np.frombuffer(b"".join(map(self.ids.__getitem__, raw.lower().split())), "<u4")
+        return work
 
+    return over_texts(docs, make, "doc_id long, words binary, ids binary").withColumn("learn", learnable(F.col("doc_id")))
 
-def corpus_counts(docs: DataFrame, path: str) -> DataFrame:
-    """kind, key, n: how often each word (kind 0, by its hash; the end of a text too) and each id (kind 1) occurs in docs."""
 
-    def make():
-        texts_of = Texts(path)
+def over_blocks(rows: DataFrame, start: Callable, schema: str, columns: tuple[str, ...]) -> DataFrame:
+    """Apply functions to blocks of binary columns, about HELD ids at a time. start() gives two: one for a block (a list of
+    bytes for each column), one for the end; either gives rows as arrays for the schema's columns, or None."""
+    to = arrow_schema(schema)
 
-        def work(keys: list, texts: list[str]) -> dict:
-            # Each different word of the block is encoded once, for all its places.
-            raw = [t.encode() for t in texts]
-            words, at, n = np.unique(np.concatenate([texts_of.hashes(r) for r in raw]), return_index=True, return_counts=True)
-            spelled = [w for r in raw for w in r.lower().split()]
-            coded = [texts_of.ids[spelled[i]] for i in at.tolist()]
-            times = np.repeat(n, [len(c) // 4 for c in coded])
-            ids = np.bincount(np.frombuffer(b"".join(coded), "<u4"), times, N_IDS).astype(np.int64)
-            ids[END_ID] += len(texts)
-            seen = np.flatnonzero(ids)
-            kind = np.repeat([0, 1], (len(words) + 1, len(seen))).astype(np.int32)
-            key = np.concatenate((words.view(np.int64), [END_WORD.astype(np.int64)], seen))
-            return {"kind": kind, "key": key, "n": np.concatenate((n, [len(texts)], ids[seen]))}
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, end = start()
+        held: list[list[bytes]] = [[] for _ in columns]
+        size = 0
 
-        return work
+        def out(made) -> Iterator[pa.RecordBatch]:
+            if made is not None:
+                yield pa.RecordBatch.from_arrays([pa.array(m, type=f.type) for m, f in zip(made, to, strict=True)], schema=to)
+
+        for batch in batches:
+            for values in zip(*(batch.column(i) for i in range(len(columns))), strict=True):
+                for into, value in zip(held, values, strict=True):
+                    into.append(value.as_py())
+                size += len(held[-1][-1])
+                if size >= 2 * HELD:
+                    yield from out(block(*held))
+                    held, size = [[] for _ in columns], 0
+        if held[0]:
+            yield from out(block(*held))
+        yield from out(end())
+
+    return rows.select(*columns).mapInArrow(run, schema)
+
+
+def _ids(raw: list[bytes]) -> list[np.ndarray]:
+    return [np.frombuffer(r, "<u2").astype(np.int64) for r in raw]
+
+
+def corpus_counts(rows: DataFrame) -> DataFrame:
+    """kind, key, n: how often each word (kind 0, by its hash; the end of a text too) and each id (kind 1) occurs in coded rows."""
+
+    def start():
+        of_ids = np.zeros(N_IDS, np.int64)
+
+        def block(words: list[bytes], ids: list[bytes]):
+            of_ids[:] += np.bincount(np.frombuffer(b"".join(ids), "<u2"), minlength=N_IDS)
+            of_ids[END_ID] += len(ids)
+            keys, n = np.unique(np.frombuffer(b"".join(words), "<u8"), return_counts=True)
+            return np.zeros(len(keys) + 1, np.int32), np.append(keys.view(np.int64), END_WORD.astype(np.int64)), np.append(n, len(ids))
+
+        def end():
+            seen = np.flatnonzero(of_ids)
+            return np.ones(len(seen), np.int32), seen, of_ids[seen]
+
+        return block, end
+
+    return over_blocks(rows, start, "kind int, key long, n long", ("words", "ids")).groupBy("kind", "key").agg(F.sum("n").alias("n"))
+
+
+def slot_pairs(rows: DataFrame, slots: np.ndarray, n_slots: int) -> np.ndarray:
+    """How often each slot (column) follows each (row) in all coded rows: n_slots**2 numbers, whatever the input."""
+    known = rows.sparkSession.sparkContext.broadcast(slots)
+
+    def start():
+        counts, of = np.zeros(n_slots * n_slots, np.int64), known.value
+
+        def block(ids: list[bytes]):
+            stop = np.array([END_ID], "<u2").tobytes()
+            s = of[np.frombuffer(stop + stop.join(ids) + stop, "<u2")]
+            counts[:] += np.bincount(s[:-1] * n_slots + s[1:], minlength=len(counts))
 
-    return over_texts(docs, make, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
+        def end():
+            seen = np.flatnonzero(counts)
+            return seen, counts[seen]
 
+        return block, end
 
-def train_on_all(model: Model, docs: DataFrame, path: str, rounds: int = EPOCHS) -> list[int]:
-    """Train the model's attention layer on all texts of docs; gives how many ids each round has learned from.
+    summed = over_blocks(rows, start, "pair long, n long", ("ids",)).groupBy("pair").agg(F.sum("n").alias("n"))
+    at, n = _arrays(summed)
+    out = np.zeros(n_slots * n_slots)
+    out[at] = n
+    return out.reshape(n_slots, n_slots)
+
+
+def train_on_all(model: Model, rows: DataFrame, rounds: int = ROUNDS) -> list[int]:
+    """Train the model's attention layer on all coded rows; gives how many ids each round has learned from.
 
     A partition goes through its texts block by block. What it makes of the weights counts by its ids, so that the
     weights follow how the table is cut, but every text has its part in them.
     """
-    sc, seen = docs.sparkSession.sparkContext, []
+    sc, seen = rows.sparkSession.sparkContext, []
     for _ in range(rounds):
         now = sc.broadcast(model)
 
-        def run(batches: Iterator[pa.RecordBatch], now=now) -> Iterator[pa.RecordBatch]:
-            os.environ["TOKENIZERS_PARALLELISM"] = "false"
-            texts_of, kinds, own, so_far, n = Texts(path), now.value.kinds, Attention(**vars(now.value.attention)), None, 0
-            held, size = [], 0
-
-            def learn() -> None:
-                nonlocal so_far, n
-                ids, targets, scored, _ = cut_windows([texts_of.subwords(t.encode()).astype(np.int64) for t in held])
-                so_far = own.train(ids, kinds[ids], kinds[targets], scored.astype(np.float32), 1, so_far=so_far)
-                n += int(scored.sum())
-
-            for batch in batches:
-                for value in batch.column(0):
-                    held.append(value.as_py() or "")
-                    size += len(held[-1])
-                    if size >= TRAINED_AT_ONCE:
-                        learn()
-                        held, size = [], 0
-            if held:
-                learn()
-            if n:
-                w = own.flat()
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(w)), pa.int32()), pa.array(w * n), pa.array(np.full(len(w), n, np.int64))], names=["at", "total", "n"])
-
-        summed = docs.select("text").mapInArrow(run, "at int, total double, n long").groupBy("at").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
+        def start(now=now):
+            m = now.value
+            own = Model(**vars(m) | {"attention": Attention(**vars(m.attention))})
+            adam, total = Adam(own.attention), [0]
+
+            def block(ids: list[bytes]):
+                total[0] += own.train(adam, _ids(ids))
+
+            def end():
+                if total[0]:
+                    w = own.attention.flat()
+                    return np.arange(len(w)), w * total[0], np.full(len(w), total[0])
+
+            return block, end
+
+        summed = over_blocks(rows, start, "at int, total double, n long", ("ids",)).groupBy("at").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
         at, total, n = _arrays(summed)  # a row for each weight
         if not len(at):
             break
@@ -289,58 +447,77 @@ def _arrays(df: DataFrame) -> list[np.ndarray]:
     return [t.column(i).to_numpy() for i in range(t.num_columns)]
 
 
+def fit(rows: DataFrame, counts: DataFrame, rounds: int = ROUNDS) -> Model:
+    """The model of coded rows, with their corpus_counts()."""
+    ids, n = _arrays(counts.where("kind = 1").select("key", "n"))  # N_IDS rows at most
+    of_ids = np.zeros(N_IDS)
+    of_ids[ids] = n
+    slots = slots_of(of_ids)
+    model = Model.fit(of_ids, slots, slot_pairs(rows, slots, SLOTS))
+    train_on_all(model, rows, rounds)
+    return model
+
+
 def score_documents(docs: DataFrame, path: str | None = None, head: int = HEAD) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_subwords of each row of docs.
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_subwords, bigram_score of each row of docs.
 
-    A null or empty text is its end alone; a row with a null doc_id is scored but not learned from; repeated rows count
-    and are scored each; other columns are ignored; an empty table gives no rows. With nothing to learn from, all
-    counts are 0 and the attention layer stays untrained.
+    bigram_score is what the counts alone give, without attention. A null or empty text is its end alone; a row with a
+    null doc_id is scored but not learned from; repeated rows count and are scored each; other columns are ignored; an
+    empty table gives no rows. With nothing to learn from, all counts are 0 and the attention layer stays untrained.
     """
     spark = docs.sparkSession
     path = path or tokenizer_path("word_bpe_49k.json")
-    allowed = docs.select("doc_id", "text").where(learnable(F.col("doc_id")))
-    counts = settled(corpus_counts(allowed, path))
+    texts = settled(coded(docs, path))
+    allowed = texts.where("learn")
+    counts = settled(corpus_counts(allowed))
     words = counts.where("kind = 0").select("key", "n")
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    ids, n_ids = _arrays(counts.where("kind = 1").select("key", "n"))  # N_IDS rows at most
-    of_ids = np.zeros(N_IDS)
-    of_ids[ids] = n_ids
     least = total // head + 1
     at_end = F.col("key") == int(END_WORD.astype(np.int64))
     heads, n_heads = _arrays(words.where((F.col("n") >= least) | at_end))  # at most head rows, as each is over total / head, and the end's
     order = np.argsort(heads.view(np.uint64))
     frequent = spark.sparkContext.broadcast((heads.view(np.uint64)[order], np.log10(n_heads[order] + 1.0).astype(np.float64)))
-    fitted = Model.fit(of_ids, [])
-    train_on_all(fitted, allowed, path)
-    model = spark.sparkContext.broadcast(fitted)
+    model = spark.sparkContext.broadcast(fit(allowed, counts))
     scale = float(np.log10(total + distinct + 1))
+    schema = "doc_id long, n_tokens long, n_subwords long, score double, bigram_score double, n_head long, head_sum double, rest array<long>"
+    to = arrow_schema(schema)
 
-    def make():
-        texts_of, (known, logs), lm = Texts(path), frequent.value, model.value
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (known, logs), lm = frequent.value, model.value
         sure = len(known) > 0
 
-        def work(keys: list, texts: list[str]) -> dict:
-            both = [texts_of(t) for t in texts]
-            out: dict[str, object] = {"doc_id": keys, "n_tokens": [len(b[0]) + 1 for b in both], "n_subwords": [len(b[1]) + 1 for b in both]}
-            out["score"] = lm.score([b[1] for b in both])
+        def work(keys: list, words: list[np.ndarray], ids: list[np.ndarray]) -> pa.RecordBatch:
+            out: dict[str, object] = {"doc_id": keys, "n_tokens": [len(w) + 1 for w in words], "n_subwords": [len(i) + 1 for i in ids]}
+            out["score"], out["bigram_score"] = lm.score(ids)
             found, sums, rest = [], [], []
-            every, back = np.unique(np.concatenate([*(b[0] for b in both), [END_WORD]]).astype(np.uint64), return_inverse=True)
+            back, every = pd.factorize(np.concatenate([*words, [END_WORD]]).astype(np.uint64))
             at = np.minimum(np.searchsorted(known, every), max(0, len(known) - 1))
             hit = known[at] == every if sure else np.zeros(len(every), bool)
             log = np.where(hit, logs[at], 0.0) if sure else np.zeros(len(every))
             begin = 0
-            for b in both:
-                mine = back[begin : begin + len(b[0])]
-                begin += len(b[0])
+            for w in words:
+                mine = back[begin : begin + len(w)]
+                begin += len(w)
                 found.append(int(hit[mine].sum()) + int(hit[back[-1]]))
                 sums.append(float(log[mine].sum()) + float(log[back[-1]]))
                 rest.append(every[mine[~hit[mine]]].view(np.int64))
-            return out | {"n_head": found, "head_sum": sums, "rest": rest}
-
-        return work
-
-    schema = "doc_id long, n_tokens long, n_subwords long, score double, n_head long, head_sum double, rest array<long>"
-    scored = settled(over_texts(docs, make, schema, limit=1 << 20)).withColumn("_row", F.monotonically_increasing_id())
+            out |= {"n_head": found, "head_sum": sums, "rest": rest}
+            return pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in to], schema=to)
+
+        for batch in batches:
+            keys, words, ids, size = [], [], [], 0
+            for key, w, i in zip(*(batch.column(c) for c in range(3)), strict=True):
+                keys.append(key.as_py())
+                words.append(np.frombuffer(w.as_py(), "<u8"))
+                ids.append(np.frombuffer(i.as_py(), "<u2").astype(np.int64))
+                size += len(ids[-1])
+                if size >= HELD:
+                    yield work(keys, words, ids)
+                    keys, words, ids, size = [], [], [], 0
+            if keys:
+                yield work(keys, words, ids)
+
+    scored = settled(texts.select("doc_id", "words", "ids").mapInArrow(run, schema)).withColumn("_row", F.monotonically_increasing_id())
     rest = scored.select("_row", F.explode("rest").alias("key")).join(words.where((F.col("n") < least) & ~at_end), "key")
     rest = rest.groupBy("_row").agg(F.count("*").alias("n_rest"), F.sum(F.log10(F.col("n") + 1.0)).alias("rest_sum"))
     base = F.col("head_sum") + F.coalesce("rest_sum", F.lit(0.0)) - F.col("n_tokens") * F.lit(scale)
@@ -353,8 +530,10 @@ def score_documents(docs: DataFrame, path: str | None = None, head: int = HEAD)
         base.alias("base_score"),
         "score",
         "n_subwords",
+        "bigram_score",
     )
 
 
 def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """score_documents() over all of documents; nulls, empty texts, repeated rows and empty tables as there."""
     return score_documents(table(spark, sf_dir, "documents"))

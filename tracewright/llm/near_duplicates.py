@@ -34,6 +34,8 @@ PIECE, PIECE_BYTES = 4096, 24 << 20
 #: Bytes of bitmaps that are compared at once.
 BLOCK_BYTES = 4 << 20
 FAN = 8
+#: Pairs of nodes that are taken down a level at once; each makes FAN * FAN pairs at most.
+PAIRS = 1 << 12
 #: One in SPARE of a set's shingles, more or less, must be shared before a set is routed anywhere.
 SPARE = 8
 
@@ -136,7 +138,7 @@ def _candidates(a: Tree, b: Tree, percent: int) -> Iterator[tuple[np.ndarray, np
         pj = np.broadcast_to(cj[:, None, :], (len(i), ci.shape[1], cj.shape[1])).reshape(-1)
         ok = (pi < ni) & (pj < nj) & ((pi <= pj) if same else True)
         pi, pj = pi[ok], pj[ok]
-        stack += [(d - 1, pi[s : s + (1 << 18)], pj[s : s + (1 << 18)]) for s in range(0, len(pi), 1 << 18)]
+        stack += [(d - 1, pi[s : s + PAIRS], pj[s : s + PAIRS]) for s in range(0, len(pi), PAIRS)]
 
 
 def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:

@@ -107,20 +107,23 @@ class WordIds:
             self.known[word] = self.older[word]
         new = list(words - self.older.keys())
         for i in range(0, len(new), 50_000):
-            self._learn(new[i : i + 50_000])
+            self.known.update(self.encode(new[i : i + 50_000]))
 
-    def _learn(self, words: list[bytes]) -> None:
+    def encode(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """The ids of some words."""
+        out: dict[bytes, bytes] = {}
         lines = b"\n".join(words).decode()
         if not PLAIN_LINES.fullmatch(lines) or "<|" in lines:
             plain = [w for w in words if PLAIN_LINES.fullmatch(w.decode()) and b"<|" not in w]
             for word in set(words).difference(plain):
-                self.known[word] = np.asarray(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+                out[word] = np.asarray(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
             words, lines = plain, b"\n".join(plain).decode()
         if words:
             found = self.engine.encode_to_numpy(PART.sub(rf"\g<0>{self.END}", lines.lower() + self.BREAK), disallowed_special=())
             ends = (4 * np.flatnonzero(found == ord(self.BREAK))).tolist()
             ids = self.ids[found].tobytes()
-            self.known.update(zip(words, map(ids.__getitem__, map(slice, [0, *[e + 4 for e in ends]], ends)), strict=True))
+            out.update(zip(words, map(ids.__getitem__, map(slice, [0, *[e + 4 for e in ends]], ends)), strict=False))
+        return out
 
 
 @lru_cache(2)

@@ -50,7 +50,7 @@ def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         first = [i for i, c in enumerate(batch.column(0).to_pylist()) if c not in seen and not seen.add(c)]
         yield batch.take(pa.array(first, pa.int64()))
-        if len(seen) > 500_000:
+        if len(seen) > 200_000:
             seen.clear()
 
 
