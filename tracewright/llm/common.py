@@ -130,25 +130,24 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class WordHasher:
-    """Hashes of all words of a text: two rows of 64-bit numbers, made in a few numpy passes.
+    """64-bit hashes of all words of a text, made in a few numpy passes.
 
     A word's bytes are taken eight at a time; each eight go through a multiplication by an odd number and the finaliser
     before the next are added, so that no arrangement of bytes cancels out. Words of more than LONG bytes get a BLAKE2b
-    digest. Both numbers together are a 128-bit name; the first alone is a 64-bit one.
+    digest.
     """
 
     LONG = 64
-    SEEDS = (0x5851F42D4C957F2D, 0x2127599BF4325C37)
-    ODDS = (0xD6E8FEB86659FD93, 0xCA5A826395121157)
+    SEED, ODD = 0x5851F42D4C957F2D, 0xD6E8FEB86659FD93
 
-    def __init__(self, lower: bool, numbers: int = 2) -> None:
-        self.lower, self.numbers = lower, numbers
+    def __init__(self, lower: bool) -> None:
+        self.lower = lower
         self.space = np.zeros(256, bool)
         self.space[[9, 10, 11, 12, 13, 32]] = True
         self.masks = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
 
     def __call__(self, raw: bytes) -> np.ndarray:
-        out = [np.empty((self.numbers, 0), np.uint64)]
+        out = []
         at = 0
         while at < len(raw):  # stretches end at a space, so that memory doesn't follow a very long text
             end = at + (1 << 20)
@@ -156,7 +155,7 @@ class WordHasher:
                 end += 1
             out.append(self._stretch(raw[at:end]))
             at = end
-        return out[1] if len(out) == 2 else np.concatenate(out, 1)
+        return out[0] if len(out) == 1 else np.concatenate([np.empty(0, np.uint64), *out])
 
     def _stretch(self, raw: bytes) -> np.ndarray:
         if self.lower:
@@ -167,27 +166,23 @@ class WordHasher:
         starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
         eight = np.ndarray((n + 1,), "<u8", padded, strides=(1,))  # the eight bytes from each place on
         size = ends - starts
-        out = np.empty((self.numbers, len(size)), np.uint64)
-        for c in range(self.numbers):
-            out[c] = mix(size.astype(np.uint64) * MULT + np.uint64(self.SEEDS[c]))
+        out = mix(size.astype(np.uint64) * MULT + np.uint64(self.SEED))
         for step in range(0, min(self.LONG, int(size.max(initial=0))), 8):
             rows = np.flatnonzero(size > step) if step else slice(None)
             part = eight[starts[rows] + step] & self.masks[np.minimum(size[rows] - step, 8)]
-            for c in range(self.numbers):
-                out[c, rows] = mix(out[c, rows] ^ (part * np.uint64(self.ODDS[c])))
+            out[rows] = mix(out[rows] ^ (part * np.uint64(self.ODD)))
         for i in np.flatnonzero(size > self.LONG).tolist():
-            digest = hashlib.blake2b(raw[starts[i] : ends[i]], digest_size=16).digest()
-            out[:, i] = np.frombuffer(digest, "<u8")[: self.numbers]
+            out[i] = int.from_bytes(hashlib.blake2b(raw[starts[i] : ends[i]], digest_size=8).digest(), "little")
         return out
 
 
-def windows(words: np.ndarray, k: int) -> np.ndarray:
-    """Hashes of all runs of k consecutive words; none where there are fewer."""
+def windows(words: np.ndarray, k: int, at: np.ndarray | None = None) -> np.ndarray:
+    """Hashes of all runs of k consecutive words, or of those that start at `at`; none where there are fewer words."""
     n = len(words) - k + 1
     if n < 1:
         return np.empty(0, np.uint64)
-    total, weight = np.zeros(n, np.uint64), 0x2545F4914F6CDD1D
+    total, weight = np.zeros(n if at is None else len(at), np.uint64), 0x2545F4914F6CDD1D
     for i in range(k):
-        total += words[i : i + n] * np.uint64(weight)
+        total += (words[i : i + n] if at is None else words[at + i]) * np.uint64(weight)
         weight = (weight * 0x5851F42D4C957F2D + 2) & (2**64 - 1)
     return mix(total)

@@ -21,6 +21,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -45,10 +46,9 @@ N_IDS = 49408
 CACHED_WORDS = 400_000
 
 
-def softmaxed(logits: np.ndarray) -> np.ndarray:
-    np.exp(logits, out=logits)
-    logits /= logits.sum(-1, keepdims=True)
-    return logits
+def _sums(a: np.ndarray) -> np.ndarray:
+    """Over the last axis, which stays; a product, which is faster for short axes."""
+    return _times(a, np.ones((a.shape[-1], 1), np.float32))
 
 
 def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -79,43 +79,50 @@ class Attention:
         embed = np.concatenate((features, np.zeros((1, WIDTH)))).astype(np.float32)
         return cls(embed, w(WINDOW, WIDTH) * np.float32(0.3), w(WIDTH, WIDTH), w(WIDTH, 2 * WIDTH), np.zeros((WIDTH, classes), np.float32), np.zeros(classes, np.float32))
 
-    def forward(self, slots: np.ndarray, prior: np.ndarray) -> tuple[np.ndarray, ...]:
-        """slots: windows x WINDOW; prior: windows x FRESH x classes. Gives p(class), and what training needs."""
-        x = self.embed[slots] + self.places
+    def hidden(self, slots: np.ndarray) -> tuple[np.ndarray, ...]:
+        """slots: windows x WINDOW. What the scored places have seen, and what training needs."""
+        x = self.embed.take(slots, 0)
+        x += self.places
         fresh = np.ascontiguousarray(x[:, WINDOW - FRESH :])
         q, kv = _times(fresh, self.query), _times(x, self.both)
         weights = q @ kv[..., :WIDTH].transpose(0, 2, 1)
-        np.clip(weights, -30, 30, out=weights)
+        np.minimum(weights, 30, out=weights)
         np.exp(weights, out=weights)
         weights *= MASK
-        weights /= weights.sum(-1, keepdims=True)
+        weights /= _sums(weights) + np.float32(1e-30)
         h = weights @ kv[..., WIDTH:]
         h += fresh
-        logits = _times(h, self.out)
+        return h, x, fresh, q, kv, weights
+
+    def raw(self, h: np.ndarray, prior: np.ndarray) -> np.ndarray:
+        """exp of the classes' logits: places x classes; prior: as many."""
+        logits = h.reshape(-1, WIDTH) @ self.out
         logits += prior
         logits += self.bias
-        return softmaxed(logits), x, fresh, q, kv, weights, h
+        np.minimum(logits, 60, out=logits)
+        return np.exp(logits, out=logits)
 
     def gradients(self, slots: np.ndarray, prior: np.ndarray, targets: np.ndarray, scored: np.ndarray) -> dict[str, np.ndarray]:
-        p, x, fresh, q, kv, weights, h = self.forward(slots, prior)
         flat = lambda a: a.reshape(-1, a.shape[-1])
-        p = flat(p)
-        p[np.arange(len(p)), targets.ravel()] -= 1
-        p *= (scored.astype(np.float32) / scored.sum()).reshape(-1, 1)
+        h, x, fresh, q, kv, weights = self.hidden(slots)
+        p = self.raw(h, flat(prior))
+        each = (scored.astype(np.float32) / np.float32(scored.sum())).reshape(-1, 1)
+        p *= each / _sums(p)
+        p[np.arange(len(p)), targets.ravel()] -= each.ravel()
         out = {"out": flat(h).T @ p, "bias": p.sum(0)}
         dh = (p @ self.out.T).reshape(fresh.shape)
         k, v = kv[..., :WIDTH], kv[..., WIDTH:]
         dkv = np.empty_like(kv)
         dkv[..., WIDTH:] = weights.transpose(0, 2, 1) @ dh
         ds = dh @ v.transpose(0, 2, 1)
-        ds -= np.einsum("wij,wij->wi", ds, weights)[..., None]
         ds *= weights
+        ds -= weights * _sums(ds)
         dq = ds @ k
         dkv[..., :WIDTH] = ds.transpose(0, 2, 1) @ q
         out |= {"query": flat(fresh).T @ flat(dq), "both": flat(x).T @ flat(dkv)}
         dx = _times(dkv, self.both.T)
         dx[:, WINDOW - FRESH :] += dh + _times(dq, self.query.T)
-        out["places"] = dx.sum(0)
+        out["places"] = (np.ones(len(dx), np.float32) @ dx.reshape(len(dx), -1)).reshape(self.places.shape)
         at, dx = slots.ravel(), flat(dx)
         out["embed"] = np.stack([np.bincount(at, dx[:, c], len(self.embed)) for c in range(WIDTH)], 1).astype(np.float32)
         return out
@@ -144,7 +151,7 @@ class Adam:
             first, second = self.first[name], self.second[name]
             first += 0.1 * (g - first)
             second += 0.01 * (g * g - second)
-            move = np.sqrt(second / (1 - 0.99**self.step))
+            move = np.sqrt(second / np.float32(1 - 0.99**self.step))
             move += 1e-8
             np.divide(first, move, out=move)
             move *= np.float32(rate / (1 - 0.9**self.step))
@@ -219,18 +226,18 @@ class Model:
     def windows(self, texts: list[np.ndarray]) -> tuple[np.ndarray, ...]:
         """As cut_windows(), with slots for inputs."""
         ids, targets, scored, of = cut_windows(texts)
-        return np.where(ids < 0, self.pad, self.slots[ids]), targets, scored, of
+        return np.where(ids < 0, self.pad, self.slots.take(ids, mode="wrap")), targets, scored, of
 
     def train(self, adam: Adam, texts: list[np.ndarray]) -> int:
         """One pass over the texts; how many ids they have."""
         slots, targets, scored, _ = self.windows(texts)
-        goals = self.classes[self.slots[targets]]
+        goals = self.classes.take(self.slots.take(targets))
         order = np.random.default_rng(len(slots)).permutation(len(slots))
         for i in range(0, len(order), STEP):
             at = order[i : i + STEP]
-            some = slots[at]
+            some = slots.take(at, 0)
             last = np.minimum(some[:, WINDOW - FRESH :], self.pad - 1)
-            adam.train(some, self.prior[last], goals[at], scored[at])
+            adam.train(some, self.prior.take(last, 0), goals[at], scored[at])
         return int(scored.sum())
 
     def score(self, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -241,12 +248,12 @@ class Model:
             for i in range(0, len(slots), SCORED_AT_ONCE):
                 s = slice(i, i + SCORED_AT_ONCE)
                 last = np.minimum(slots[s, WINDOW - FRESH :], self.pad - 1)
-                to = self.slots[targets[s]]
-                prior, kind, own = self.prior[last], self.classes[to].ravel(), scored[s]
-                p = self.attention.forward(slots[s], prior)[0].reshape(-1, CLASSES)
-                rows = np.arange(len(p))
-                change = np.log(np.maximum(p[rows, kind], 1e-30)) - prior.reshape(-1, CLASSES)[rows, kind]
-                base = self.bigram[last, to] + self.within[targets[s]]
+                to = self.slots.take(targets[s])
+                kind, own, rows = self.classes.take(to.ravel()), scored[s], np.arange(to.size)
+                prior = self.prior.take(last.ravel(), 0)
+                p = self.attention.raw(self.attention.hidden(slots[s])[0], prior)
+                change = np.log(p[rows, kind] / _sums(p)[:, 0]) - prior[rows, kind]
+                base = self.bigram[last, to] + self.within.take(targets[s])
                 for out, log in ((plain, base), (moved, change.reshape(base.shape))):
                     out += np.bincount(of[s], np.where(own, log, 0.0).sum(-1, dtype=float), len(texts))
         return (plain + moved) / np.log(10), plain / np.log(10)
@@ -288,10 +295,10 @@ class Coder:
     """The word hashes and subword ids of texts. Words are known by their hashes, from block to block."""
 
     def __init__(self, path: str, size: int = CACHED_WORDS) -> None:
-        self.hashes, self.engine, self.size, self.known = WordHasher(lower=True, numbers=1), word_ids(path), size, {}
+        self.hashes, self.engine, self.size, self.known = WordHasher(lower=True), word_ids(path), size, {}
 
     def __call__(self, texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
-        hashed = [self.hashes(t)[0] for t in texts]
+        hashed = [self.hashes(t) for t in texts]
         which, different = pd.factorize(np.concatenate([*hashed, np.empty(0, np.uint64)]))
         keys = different.tolist()
         if new := [i for i, h in enumerate(keys) if h not in self.known]:
@@ -314,11 +321,17 @@ class Coder:
         return [(h, ids[a:b]) for h, a, b in zip(hashed, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
 
 
+@lru_cache(1)
+def coder(path: str) -> Coder:
+    """One for each Python worker, which keeps its words from task to task."""
+    return Coder(path)
+
+
 def coded(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, words (hashes), ids, learn of each row. Both are little-endian, of 64 and 16 bits."""
 
     def make():
-        code = Coder(path)
+        code = coder(path)
 
         def work(keys: list, texts: list[str]) -> dict:
             made = code([t.encode() for t in texts])

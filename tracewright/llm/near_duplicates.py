@@ -8,9 +8,9 @@
 2. Signature trees. A group's sets, large groups in pieces, are the leaves of a tree whose nodes hold the OR of their
    sets' token bitmaps and the range of their sizes. A tree is traversed together with itself or another; a pair of
    nodes goes no further if no pair of sets below it can overlap enough. What is left is compared exactly, but for pairs
-   already known to be connected: their component is settled. Pieces are compared with themselves first, then one set
-   of each component of each piece with the others; only groups that aren't one component by then have their pieces
-   compared in pairs, so that very many near copies of one text meet a bounded number of times.
+   already known to be connected: their component is settled. Pieces are compared with themselves and a few sets of their
+   group first; only groups that aren't one component by then have their pieces compared in pairs, so that very many
+   near copies of one text meet a bounded number of times.
 3. Components of the links found.
 """
 
@@ -33,6 +33,7 @@ WORDS, PERCENT = 5, 80
 PIECE, PIECE_BYTES = 4096, 24 << 20
 #: Bytes of bitmaps that are compared at once.
 BLOCK_BYTES = 4 << 20
+PIVOTS = 16
 FAN = 8
 #: Pairs of nodes that are taken down a level at once; each makes FAN * FAN pairs at most.
 PAIRS = 1 << 12
@@ -65,9 +66,9 @@ class Part:
     """The different shingle sets of a part's texts, in the order of their digests, which any run gives them."""
 
     def __init__(self, rows: pa.Table, k: int) -> None:
-        hasher, by_digest = WordHasher(lower=True, numbers=1), {}
+        hasher, by_digest = WordHasher(lower=True), {}
         for of, text in texts_of(rows):
-            found = shingles(hasher(text)[0], k)
+            found = shingles(hasher(text), k)
             by_digest.setdefault(hashlib.sha256(found.tobytes()).digest(), (found, []))[1].append(of)
         self.part = rows.column("part")[0].as_py() if len(rows) else 0
         self.sets = [(found, sorted(of)) for _, (found, of) in sorted(by_digest.items())]
@@ -230,29 +231,25 @@ def classes(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, piece: int
     groups = connected_components(near.select(F.col("name").alias("a"), F.explode("near").alias("b")))
     groups = settled(near.select("name", F.octet_length("hashes").alias("bytes")).join(groups.withColumnRenamed("node", "name"), "name"))
     pieces = F.ceil(F.greatest(F.count("*") / piece, F.sum("bytes") / PIECE_BYTES)).cast("int")
-    groups = joined_by_class(groups, groups.groupBy("root").agg(pieces.alias("pieces")), "root")
+    large = groups.groupBy("root").agg(pieces.alias("pieces")).where("pieces > 1")
+    groups = groups.join(large, "root", "left").withColumn("pieces", F.coalesce("pieces", F.lit(1)))
     own = F.pmod(F.xxhash64("name"), F.col("pieces")).cast("int").alias("own")
     members = settled(near.select("name", "hashes").join(groups.select("name", "root", "pieces", own), "name").withColumn("comp", F.col("name")))
-    found = _compared(members.select("*", F.col("own").alias("low"), F.col("own").alias("high")), percent)
     large = members.where("pieces > 1")
+    # Some sets of a large group, as many as PIVOTS in a piece's worth, meet all its pieces.
+    pivots = large.where(F.pmod(F.xxhash64("name", F.lit(1)), F.col("pieces") * max(1, piece // PIVOTS)) == 0)
+    others = pivots.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).where("own <> other").withColumn("own", F.col("other")).drop("other")
+    first = members.unionByName(others)
+    edges = settled(_compared(first.select("*", F.col("own").alias("low"), F.col("own").alias("high")), percent))
+    found = connected_components(edges)
     if not large.isEmpty():
-        for last in (False, True):
-            found = settled(found)
-            comps = connected_components(found).withColumnRenamed("node", "name").withColumnRenamed("root", "_comp")
-            now = large.join(comps, "name", "left").withColumn("comp", F.coalesce("_comp", "name")).drop("_comp")
-            apart = now.groupBy("root").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("root")
-            now = now.join(apart, "root", "left_semi")
-            if last:
-                met = now.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).where("own <> other")
-                met = met.select("*", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
-            else:
-                # One set for each component of each piece, if they are no more than a piece themselves.
-                chosen = now.groupBy("root", "own", "comp").agg(F.min("name").alias("name")).select("root", "name")
-                few = chosen.groupBy("root").agg(F.count("*").alias("n")).where(F.col("n") <= piece).select("root")
-                chosen = chosen.join(few, "root", "left_semi").select("name")
-                met = now.join(chosen, "name", "left_semi").withColumn("own", F.lit(0)).select("*", F.lit(0).alias("low"), F.lit(0).alias("high"))
-            found = found.unionByName(_compared(met, percent))
-    found = connected_components(found)
+        now = large.join(found.select(F.col("node").alias("name"), F.col("root").alias("_comp")), "name", "left").withColumn("comp", F.coalesce("_comp", "name")).drop("_comp")
+        apart = now.groupBy("root").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("root")
+        now = settled(now.join(apart, "root", "left_semi"))
+        if not now.isEmpty():
+            met = now.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).where("own <> other")
+            met = met.select("*", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+            found = connected_components(edges.unionByName(_compared(met, percent)))
     named_sets = sets.select("name", "n", "ofs").join(found.withColumnRenamed("node", "name"), "name", "left")
     return named_sets.select(F.explode("ofs").alias("of"), F.col("n").alias("n_shingles"), F.coalesce("root", "name").alias("root"))
 

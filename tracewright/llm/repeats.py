@@ -10,8 +10,7 @@ same parts:
 3. automata. A part compiles the phrases that it was sent, by their words, to an Aho-Corasick automaton: the shard of all
    phrases that its texts can hold. All its texts are streamed through it, and it alone tells where phrases are. Windows
    around what it locates are named by 128 bits and counted; Spark adds up.
-4. removal. The texts are streamed through the automaton again. Of the windows around what it locates those go whose
-   passage was confirmed to occur elsewhere.
+4. removal. Of the windows around what the automata located those go whose passage was confirmed to occur elsewhere.
 
 So a window goes if its anchor has been located by its words and the whole of it has been met again. Between rounds only
 rows (name, part, count) and phrases move; each part names a thing once, so that a passage that a third of all texts have
@@ -26,16 +25,17 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WordHasher, arrow_schema, joined_by_class, settled, table, windows
+from .common import MULT, WordHasher, arrow_schema, joined_by_class, mix, settled, table, windows
 
 WINDOW, ANCHOR = 35, 12
 #: Bytes of text in a part, about.
 PART_BYTES = 8 << 20
 COUNTS = "a long, b long, part int, n long, at long"
+LOCATED = "part int, of binary, starts binary, names binary"
+RUNS = "part int, of binary, runs binary"
 KEPT = "of binary, n_words long, n_removed long, kept_sha256 string, kept string"
 
 
@@ -91,9 +91,9 @@ def anchors(phrases: np.ndarray, window: int, anchor: int) -> np.ndarray:
     return np.flatnonzero(_slide(np.concatenate((pad, least, pad)), k, np.maximum) == phrases)
 
 
-def names(words: np.ndarray, k: int) -> np.ndarray:
-    """128-bit names of all runs of k words, as two rows."""
-    return np.stack([windows(w, k) for w in words])
+def names(words: np.ndarray, k: int, at: np.ndarray) -> np.ndarray:
+    """128-bit names of the runs of k words that start at `at`, as two rows."""
+    return np.stack([windows(words, k, at), windows(mix(words ^ MULT), k, at)])
 
 
 class Names:
@@ -165,20 +165,6 @@ class Shard:
         return np.flatnonzero(np.cumsum(at[:-1]) > 0)
 
 
-def kept_words(text: bytes, shard: Shard, recurring: Names, window: int, hasher: WordHasher) -> tuple[list[bytes], int]:
-    """The words that stay, and how many go: those of windows around phrases that the shard locates, if they recur."""
-    words = text.split()
-    starts = shard.around(words, window)
-    if not len(starts):
-        return words, 0
-    starts = starts[recurring.has(names(hasher(text), window)[:, starts])]
-    at = np.zeros(len(words) + 1, np.int64)
-    at[starts] += 1
-    at[starts + window] -= 1
-    left = np.cumsum(at[:-1]) == 0
-    return [w for w, k in zip(words, left.tolist(), strict=True) if k], len(words) - int(left.sum())
-
-
 def remove(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, with_text: bool = True) -> DataFrame:
     """of (text_class), n_words, n_removed, kept_sha256, kept for each different text of docs.
 
@@ -190,16 +176,17 @@ def remove(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, with_tex
     """
     dealt = in_parts(docs)
     copies = docs.select(text_class().alias("of")).groupBy("of").agg((F.count("*") > 1).alias("copied"))
-    kept_schema, counts_schema = arrow_schema(KEPT), arrow_schema(COUNTS)
+    kept_schema, counts_schema, located_schema, runs_schema = map(arrow_schema, (KEPT, COUNTS, LOCATED, RUNS))
     phrase_schema = arrow_schema("a long, b long, phrase binary")
 
     def count_anchors(rows: pa.Table) -> pa.Table:
         hasher, found, places = WordHasher(lower=False), [], []
         for i, (_, text) in enumerate(texts_of(rows)):
-            phrases = names(hasher(text), anchor)
-            at = anchors(phrases[0], window, anchor)
-            found.append(phrases[:, at])
-            places.append(at | (i << 32))
+            words = hasher(text)
+            at = anchors(windows(words, anchor), window, anchor)
+            if len(at):
+                found.append(names(words, anchor, at))
+                places.append(at | (i << 32))
         return _counted(found, places, rows.column("part")[0].as_py(), counts_schema)
 
     def spell(rows: pa.Table, wanted: pa.Table) -> pa.Table:
@@ -215,26 +202,52 @@ def remove(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, with_tex
             phrases.append(b" ".join(words[begin : begin + anchor]))
         return pa.table({"a": wanted.column("a"), "b": wanted.column("b"), "phrase": pa.array(phrases, pa.binary())}, schema=phrase_schema)
 
-    def count_windows(rows: pa.Table, sent: pa.Table) -> pa.Table:
+    def locate(rows: pa.Table, sent: pa.Table) -> pa.Table:
+        """For each text in which the shard locates phrases: the windows around them, and their names."""
         if not len(rows) or not len(sent):
-            return counts_schema.empty_table()
-        shard, hasher, found = Shard(sent.column("phrase").to_pylist(), anchor), WordHasher(lower=False), []
-        for _, text in texts_of(rows):
+            return located_schema.empty_table()
+        shard, hasher = Shard(sent.column("phrase").to_pylist(), anchor), WordHasher(lower=False)
+        out: dict[str, list] = {name: [] for name in located_schema.names}
+        for of, text in texts_of(rows):
             starts = shard.around(text.split(), window)
             if len(starts):
-                found.append(names(hasher(text), window)[:, starts])
-        return _counted(found, [np.zeros(f.shape[1], np.int64) for f in found], rows.column("part")[0].as_py(), counts_schema)
-
-    def take_out(rows: pa.Table, sent: pa.Table) -> pa.Table:
-        phrases = sent.filter(pa.compute.is_valid(sent.column("phrase"))).column("phrase").to_pylist() if len(sent) else []
-        passages = sent.filter(pa.compute.is_null(sent.column("phrase"))) if len(sent) else counts_schema.empty_table()
-        recurring = Names(*(passages.column(c).to_numpy().view(np.uint64) for c in ("a", "b")))
-        shard, hasher = Shard(phrases if len(passages) else [], anchor), WordHasher(lower=False)
+                made = (sent.column("part")[0].as_py(), of, starts.astype("<u4").tobytes(), names(hasher(text), window, starts).tobytes())
+                for name, value in zip(located_schema.names, made, strict=True):
+                    out[name].append(value)
+        return pa.table(out, schema=located_schema)
+
+    def count_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = batch.column(0).to_numpy()
+            for part in np.unique(parts).tolist():
+                found = [np.frombuffer(x.as_py(), np.uint64).reshape(2, -1) for x, p in zip(batch.column(1), parts, strict=True) if p == part]
+                yield from _counted(found, [np.zeros(f.shape[1], np.int64) for f in found], part, counts_schema).to_batches()
+
+    def confirm(found: pa.Table, known: pa.Table) -> pa.Table:
+        """For each text the words that go, as runs [begin, end) of places."""
+        recurring = Names(*(known.column(c).to_numpy().view(np.uint64) for c in ("a", "b"))) if len(known) and len(found) else None
+        out: dict[str, list] = {name: [] for name in runs_schema.names}
+        for row in zip(*(found.column(c) for c in ("part", "of", "starts", "names")), strict=True) if recurring else ():
+            part, of, starts, named = (x.as_py() for x in row)
+            starts = np.frombuffer(starts, "<u4").astype(np.int64)
+            starts = starts[recurring.has(np.frombuffer(named, np.uint64).reshape(2, -1))]
+            if len(starts):
+                cut = np.flatnonzero(np.diff(starts) > window)
+                runs = np.stack((starts[np.concatenate(([0], cut + 1))], starts[np.concatenate((cut, [len(starts) - 1]))] + window), 1)
+                for name, value in zip(runs_schema.names, (part, of, runs.astype("<u4").tobytes()), strict=True):
+                    out[name].append(value)
+        return pa.table(out, schema=runs_schema)
+
+    def take_out(rows: pa.Table, going: pa.Table) -> pa.Table:
+        runs_of = dict(zip(going.column("of").to_pylist(), going.column("runs").to_pylist(), strict=True)) if len(going) else {}
         out: dict[str, list] = {name: [] for name in kept_schema.names}
         for of, text in texts_of(rows) if len(rows) else ():
-            left, removed = kept_words(text, shard, recurring, window, hasher)
-            kept = b" ".join(left)
-            for name, made in zip(kept_schema.names, (of, len(left) + removed, removed, hashlib.sha256(kept).hexdigest(), kept.decode() if removed and with_text else None), strict=True):
+            words, left, removed, last = text.split(), [], 0, 0
+            for begin, end in np.frombuffer(runs_of.get(of, b""), "<u4").reshape(-1, 2).tolist():
+                left += words[last:begin]
+                removed, last = removed + end - begin, end
+            kept = b" ".join(left + words[last:]) if removed else b" ".join(words)
+            for name, made in zip(kept_schema.names, (of, len(words), removed, hashlib.sha256(kept).hexdigest(), kept.decode() if removed and with_text else None), strict=True):
                 out[name].append(made)
         return pa.table(out, schema=kept_schema)
 
@@ -247,12 +260,11 @@ def remove(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, with_tex
     candidates = settled(recurring(by_part.applyInArrow(count_anchors, COUNTS)))
     owned = candidates.where("part = first").select("part", "a", "b", "at")
     spelled = by_part.cogroup(owned.groupBy("part")).applyInArrow(spell, "a long, b long, phrase binary")
-    phrases = settled(candidates.select("a", "b", "part").join(spelled.hint("shuffle_hash"), ["a", "b"]).select("part", "phrase"))
-    found = by_part.cogroup(phrases.groupBy("part")).applyInArrow(count_windows, COUNTS)
-    none = F.lit(None)
-    known = recurring(found).select("part", "a", "b", none.cast("binary").alias("phrase"))
-    known = known.unionByName(phrases.select("part", none.cast("long").alias("a"), none.cast("long").alias("b"), "phrase"))
-    single = by_part.cogroup(known.groupBy("part")).applyInArrow(take_out, KEPT)
+    phrases = candidates.select("a", "b", "part").join(spelled.hint("shuffle_hash"), ["a", "b"]).select("part", "phrase")
+    located = settled(by_part.cogroup(phrases.groupBy("part")).applyInArrow(locate, LOCATED))
+    again = recurring(located.select("part", "names").mapInArrow(count_windows, COUNTS)).select("part", "a", "b")
+    going = located.groupBy("part").cogroup(again.groupBy("part")).applyInArrow(confirm, RUNS)
+    single = by_part.cogroup(going.groupBy("part")).applyInArrow(take_out, KEPT)
     # Of a text with copies every window recurs.
     whole = F.col("copied") & (F.col("n_words") >= window)
     nothing = hashlib.sha256(b"").hexdigest()
