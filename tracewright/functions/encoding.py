@@ -113,3 +113,25 @@ def framed(payload: Column) -> Column:
 
 def digest(payload: Column) -> Column:
     return F.concat(F.lit("sha256:"), F.sha2(payload, 256))
+
+
+#: Fixed value of the format: what says that a frame holds a record and its evidence.
+WITH_EVIDENCE = 11
+
+
+def evidence_bytes(deed_id: Column, produced_by: Column, grants: Column, unix_time: Column, signature: Column) -> Column:
+    """Evidence on its own; signature: bytes."""
+    return F.concat(
+        text(deed_id),
+        text(produced_by["agent_id"]),
+        text(produced_by["activity_id"]),
+        listing(grants, tagged(GRANT_TAGS)),
+        le64(unix_time),
+        le32(F.octet_length(signature)),
+        signature,
+    )
+
+
+def evidence_file(payload: Column, evidence: Column) -> Column:
+    """The file kept beside a record: a frame with the record's bytes and its evidence."""
+    return framed(F.concat(u8(F.lit(WITH_EVIDENCE)), payload, evidence))

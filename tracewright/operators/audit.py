@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import crypto
 from ..functions.derive import is_address, is_id
 from .catalog import served
 
@@ -37,10 +40,12 @@ def summary(log: DataFrame, found: DataFrame) -> DataFrame:
     )
 
 
-def backfill(log: DataFrame, records: DataFrame, tombstones: DataFrame, now: int) -> DataFrame:
-    """id, digest, unix_time of lines that the log lacks; the time of good evidence, or now."""
-    lacking = served(records, tombstones).join(log.select("id").distinct(), "id", "left_anti")
-    return lacking.select("id", "digest", F.when(F.coalesce(F.col("unix_time"), F.lit(0)) != 0, F.col("unix_time")).otherwise(F.lit(now)).cast("long").alias("unix_time"))
+def backfill(log: DataFrame, records: DataFrame, tombstones: DataFrame, now: int, held: DataFrame) -> DataFrame:
+    """id, digest, unix_time of lines that the log lacks. held: id, verdict, signed_at of evidence; where it is good and has a
+    time, that counts, else now."""
+    lacking = served(records, tombstones).join(log.select("id").distinct(), "id", "left_anti").select("id", "digest")
+    time = F.when((F.col("verdict") == "ok") & (F.col("signed_at") != 0), F.col("signed_at")).otherwise(F.lit(now)).cast("long")
+    return lacking.join(held.select("id", "verdict", "signed_at"), "id", "left").select("id", "digest", time.alias("unix_time"))
 
 
 def products(records: DataFrame, blobs: DataFrame) -> DataFrame:
@@ -57,17 +62,54 @@ def first_failure(*checks: Column) -> Column:
     return F.coalesce(*checks, F.lit("ok"))
 
 
-def evidence(records: DataFrame, evidence_: DataFrame, product_verdicts: DataFrame, mac: Column) -> DataFrame:
-    """id, verdict: evidence there, products good, keyed hash right, producer as the record says; the first failure counts."""
+@dataclass
+class Host:
+    """What a store asks of host sidecars: signers it accepts, whether it demands one, and its own host key, if any."""
+
+    signers: tuple[bytes, ...] = ()
+    required: bool = False
+    key: bytes | None = None
+
+
+def attested(records: DataFrame, sidecars: DataFrame, host: Host) -> DataFrame:
+    """id, why: null if a record's host sidecar (id, raw) does what the host asks, else why not. records: id, payload, signed_at."""
+    rows = records.select("id", "payload", "signed_at").join(sidecars.select("id", "raw"), "id", "left")
+    message, kind = crypto.host_message(F.col("payload"), F.col("signed_at")), crypto.sidecar_kind(F.col("raw"))
+    own = F.lit(False) if host.key is None else F.unhex(crypto.hmac_sha256(host.key, message)) == F.col("raw")
+    given = F.unhex(F.regexp_extract(F.decode("raw", "ISO-8859-1"), r"\Aed25519:([0-9a-f]{128})", 1))
+    made_by = crypto.signed_by(list(host.signers), F.when(kind == "signature", message), F.when(kind == "signature", given)) if host.signers else F.lit(None)
+    rows = rows.withColumn("_signer", made_by)
+    why = crypto.attestation(kind, F.coalesce(own, F.lit(False)), F.col("_signer").isNotNull(), host.required, host.key is not None)
+    return rows.select("id", why.alias("why"))
+
+
+def evidence(records: DataFrame, evidence_: DataFrame, product_verdicts: DataFrame, mac: Column, sidecars: DataFrame | None = None, host: Host | None = None) -> DataFrame:
+    """id, verdict, signed_at: evidence there, products good, keyed hash right, producer and grants those of the record, host
+    sidecar as the host asks; the first failure counts.
+
+    evidence_: deed_id, signature, unix_time, produced_by, grants. Nulls agree with nulls only.
+    """
     bad = product_verdicts.where("verdict <> 'ok'").groupBy("id").agg(F.min(F.concat("path", F.lit(" "), "verdict")).alias("_bad"))
-    out = records.join(evidence_.select(F.col("deed_id").alias("id"), "signature", F.col("unix_time").alias("signed_at"), F.col("agent_id").alias("signed_agent")), "id", "left").join(bad, "id", "left")
+    kept = evidence_.select(F.col("deed_id").alias("id"), "signature", F.col("unix_time").alias("signed_at"), F.col("produced_by").alias("_producer"), F.col("grants").alias("_grants"))
+    out = records.join(kept, "id", "left").join(bad, "id", "left")
+    if host is not None:
+        empty = records.sparkSession.createDataFrame([], "id string, raw binary")
+        out = out.join(attested(out, empty if sidecars is None else sidecars, host).withColumnRenamed("why", "_host"), "id", "left")
+    same = lambda a, b: F.struct(*[a[n] for n in ("agent_id", "activity_id")]).eqNullSafe(F.struct(*[b[n] for n in ("agent_id", "activity_id")]))
     verdict = first_failure(
         F.when(F.col("signature").isNull(), "no evidence"),
         F.concat(F.lit("product "), "_bad"),
         F.when(F.col("signature") != mac, "keyed hash"),
-        F.when(F.col("signed_agent") != F.col("produced_by.agent_id"), "another producer"),
+        F.when(~same(F.col("_producer"), F.col("produced_by")), "another producer"),
+        F.when(~F.col("_grants").eqNullSafe(F.col("grants")), "other grants"),
+        F.col("_host") if host is not None else F.lit(None).cast("string"),
     )
-    return out.select("id", verdict.alias("verdict"))
+    return out.select("id", verdict.alias("verdict"), "signed_at")
+
+
+def verified(verdicts: DataFrame) -> DataFrame:
+    """verified, n: how many records' evidence holds."""
+    return verdicts.agg(F.count_if(F.col("verdict") == "ok").alias("verified"), F.count("*").alias("n"))
 
 
 def over_trails(trail_: DataFrame, verdicts: DataFrame) -> DataFrame:

@@ -87,17 +87,20 @@ def link_uniqueness(supersedes: DataFrame) -> DataFrame:
 
 
 def import_plan(bag: DataFrame, bag_log: DataFrame, records: DataFrame, log: DataFrame, tombstones: DataFrame) -> DataFrame:
-    """id, action for each record of a checked bag: put, same, or why it is refused.
+    """id, action for each record of a checked bag: put, log, same, or why it is refused.
 
-    bag: id, digest. bag_log, log: id, digest, unix_time. A second import of the same bag finds everything the same.
+    bag: id, digest. bag_log, log: idx, id, digest, unix_time. Of an id that a log names twice the first line counts; a bag
+    whose lines of an id disagree is refused. A second import of the same bag finds everything the same.
     """
+    entry = F.struct("digest", "unix_time")
     own = records.select("id", F.col("digest").alias("_own"))
-    line = log.groupBy("id").agg(F.min(F.struct("digest", "unix_time")).alias("_line"))
-    sent = bag_log.groupBy("id").agg(F.min(F.struct("digest", "unix_time")).alias("_sent"))
+    line = log.groupBy("id").agg(F.min_by(entry, "idx").alias("_line"))
+    sent = bag_log.groupBy("id").agg(F.min_by(entry, "idx").alias("_sent"), F.countDistinct("digest", "unix_time").alias("_versions"))
     gone = tombstones.select("id", F.lit(True).alias("_gone")).distinct()
-    rows = bag.join(own, "id", "left").join(line, "id", "left").join(sent, "id", "left").join(gone, "id", "left")
+    rows = bag.select("id", "digest").join(own, "id", "left").join(line, "id", "left").join(sent, "id", "left").join(gone, "id", "left")
     action = (
         F.when(F.col("_gone"), "refused: tombstoned")
+        .when(F.col("_versions") > 1, "refused: sent twice")
         .when(F.col("_own") != F.col("digest"), "refused: frozen")
         .when(F.col("_line").isNotNull() & F.col("_sent").isNotNull() & (F.col("_line") != F.col("_sent")), "refused: logged otherwise")
         .when(F.col("_own").isNull(), "put")
@@ -108,14 +111,47 @@ def import_plan(bag: DataFrame, bag_log: DataFrame, records: DataFrame, log: Dat
 
 
 def manifests(records: DataFrame, blobs: DataFrame) -> DataFrame:
-    """id, kind, hash: for files, sets and clips, the digest of their products' bytes in order. blobs: hex, content."""
-    some = records.where(F.col("kind").isin("file", "set", "clip")).select("id", "kind", F.posexplode("paths").alias("at", "path")).where(is_address(F.col("path")))
-    found = some.withColumn("hex", F.substring("path", 8, 64)).join(blobs.select("hex", "content"), "hex")
-    ordered = F.array_sort(F.collect_list(F.struct("at", "content")))
-    whole = F.unhex(F.array_join(F.transform(ordered, lambda s: F.hex(s["content"])), ""))
-    return found.groupBy("id", "kind").agg(F.sha2(whole, 256).alias("hash"))
+    """id, kind, hash, status of each record: for files, sets and clips the digest of their products' bytes in order.
+
+    blobs: hex, content. A record of another kind, or one of whose products isn't kept or isn't write-once, has a status
+    that says so and no hash.
+    """
+    leaves = F.col("kind").isin("file", "set", "clip")
+    each = records.where(leaves).select("id", F.posexplode("paths").alias("at", "path"))
+    each = each.withColumn("hex", F.when(is_address(F.col("path")), F.substring("path", 8, 64))).join(blobs.select("hex", "content"), "hex", "left")
+    missing = F.min(F.when(F.col("content").isNull(), F.struct("at", F.concat(F.lit("absent "), "path").alias("why"))))["why"]
+    found = each.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("at", "content"))).alias("parts"), missing.alias("missing"))
+    whole = F.aggregate("parts", F.lit(b"").cast("binary"), lambda done, p: F.concat(done, p["content"]))
+    rows = records.select("id", "kind").join(found, "id", "left")
+    status = F.when(~leaves, "not left").otherwise(F.coalesce("missing", F.lit("ok")))
+    hashed = F.when(status == "ok", F.sha2(F.coalesce(whole, F.lit(b"").cast("binary")), 256))
+    return rows.select("id", "kind", hashed.alias("hash"), status.alias("status"))
+
+
+def timestamp_request(file: Column) -> Column:
+    """An RFC 3161 request for a time stamp over an evidence file."""
+    return F.concat(F.lit(TIMESTAMP_PREFIX), F.unhex(F.sha2(file, 256)))
 
 
-def timestamp_request(payload: Column) -> Column:
-    """An RFC 3161 request for a time stamp over an evidence file: its frame with the payload."""
-    return F.concat(F.lit(TIMESTAMP_PREFIX), F.unhex(F.sha2(framed(payload), 256)))
+def ingest(new: DataFrame, kept: DataFrame) -> DataFrame:
+    """hex, content of those of new contents (path, content) that aren't kept (hex) yet, each once."""
+    named = new.where(F.col("content").isNotNull()).select(F.sha2("content", 256).alias("hex"), "content")
+    return named.groupBy("hex").agg(F.first("content").alias("content")).join(kept.select("hex"), "hex", "left_anti")
+
+
+def addressed(drafts: DataFrame, new: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """drafts with local paths replaced by the addresses of what they hold, in columns of a path or of an array of paths.
+
+    new: path, content. A path that isn't among them stays as it is. The order of arrays stays.
+    """
+    known = new.select("path", F.concat(F.lit("sha256:"), F.sha2("content", 256)).alias("_address")).dropDuplicates(["path"])
+    out = drafts
+    for c in columns:
+        if drafts.schema[c].dataType.typeName() == "array":
+            rows = out.withColumn("_row", F.monotonically_increasing_id())
+            each = rows.select("_row", F.posexplode(c).alias("_at", "path")).join(known, "path", "left")
+            lists = each.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("_at", F.coalesce("_address", "path").alias("p")))).alias("_new"))
+            out = rows.join(lists, "_row", "left").withColumn(c, F.when(F.col("_new").isNotNull(), F.col("_new.p")).otherwise(F.col(c))).drop("_row", "_new")
+        else:
+            out = out.join(known.withColumnRenamed("path", "_path"), F.col(c) == F.col("_path"), "left").withColumn(c, F.coalesce("_address", c)).drop("_path", "_address")
+    return out.select(*drafts.columns)

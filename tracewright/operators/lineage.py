@@ -63,19 +63,51 @@ def successor_edges(live: DataFrame, supersedes: DataFrame, successor: DataFrame
     return said.distinct().join(live.select(F.col("id").alias("b")), "b", "left_semi").select("a", "b")
 
 
+def tips(edges: DataFrame) -> DataFrame:
+    """a, tip of the nodes whose way on has no choice up to its end: each has one edge, and so has all it leads to.
+
+    Every round doubles the steps that a row spans, so that a chain of n takes about log2 n of them. Nodes on the way to a
+    fork or a cycle have no row.
+    """
+    edges = edges.select("a", "b").distinct()
+    single = edges.groupBy("a").agg(F.count("*").alias("n"), F.min("b").alias("b")).where("n = 1").select("a", "b")
+    ends = edges.select(F.col("b").alias("e")).distinct().join(edges.select(F.col("a").alias("e")).distinct(), "e", "left_anti")
+    jump = settled(single.join(ends.select(F.col("e").alias("b"), F.lit(True).alias("done")), "b", "left").select("a", "b", F.coalesce("done", F.lit(False)).alias("done")))
+    for _ in range(jump.count().bit_length()):
+        open_ = jump.where("not done")
+        if open_.isEmpty():
+            break
+        on = jump.select(F.col("a").alias("b"), F.col("b").alias("c"), F.col("done").alias("reached"))
+        jump = settled(jump.where("done").unionByName(open_.join(on, "b").select("a", F.col("c").alias("b"), F.col("reached").alias("done"))))
+    return jump.where("done").select("a", F.col("b").alias("tip"))
+
+
 def current(edges: DataFrame, starts: DataFrame) -> DataFrame:
     """start, outcome, ids: where superseding leads from each start: tip (one record), fork (several) or cycle.
 
-    A cycle on the way outweighs tips. Its ids are all reachable records that lead back to themselves.
+    A cycle on the way outweighs tips. Its ids are all reachable records that lead back to themselves. Starts that lead to
+    one tip without a choice, nearly all, are answered by tips(); only the others' ways are walked.
     """
-    edges = settled(edges)
+    edges = settled(edges.select("a", "b").distinct())
+    every = starts.select(F.col("id").alias("start")).distinct()
+    straight = settled(every.join(tips(edges).withColumnRenamed("a", "start"), "start", "left").join(edges.select(F.col("a").alias("start"), F.lit(True).alias("_on")).distinct(), "start", "left"))
+    plain = straight.where("tip is not null or _on is null").select("start", F.lit("tip").alias("outcome"), F.coalesce("tip", "start").alias("ids"))
+    rest = settled(straight.where("tip is null and _on").select(F.col("start").alias("id")))
+    if rest.isEmpty():
+        return plain
+    return plain.unionByName(_walked(edges, rest))
+
+
+def _walked(edges: DataFrame, starts: DataFrame) -> DataFrame:
     reach = settled(closure(edges, starts).select("start", "node"))
     every = starts.select(F.col("id").alias("start"), F.col("id").alias("node")).unionByName(reach).distinct()
-    tips = every.join(edges.select(F.col("a").alias("node")).distinct(), "node", "left_anti")
-    nodes = edges.select(F.col("a").alias("id")).join(edges.select(F.col("b").alias("id")), "id", "left_semi").distinct()
-    looped = closure(edges, nodes).where("start = node").select("node")
+    ends = every.join(edges.select(F.col("a").alias("node")).distinct(), "node", "left_anti")
+    met = every.select("node").distinct()
+    near = settled(edges.join(met.withColumnRenamed("node", "a"), "a", "left_semi"))
+    nodes = near.select(F.col("a").alias("id")).join(near.select(F.col("b").alias("id")), "id", "left_semi").distinct()
+    looped = closure(near, nodes).where("start = node").select("node")
     ids = lambda df, name: df.groupBy("start").agg(F.array_sort(F.collect_set("node")).alias(name))
-    out = starts.select(F.col("id").alias("start")).distinct().join(ids(tips, "_tips"), "start", "left")
+    out = starts.select(F.col("id").alias("start")).join(ids(ends, "_tips"), "start", "left")
     out = out.join(ids(every.join(looped, "node", "left_semi"), "_loop"), "start", "left")
     outcome = F.when(F.col("_loop").isNotNull(), "cycle").when(F.size("_tips") > 1, "fork").otherwise("tip")
     return out.select("start", outcome.alias("outcome"), F.array_join(F.coalesce("_loop", "_tips"), ",").alias("ids"))
@@ -87,6 +119,25 @@ def current_summary(walks: DataFrame) -> DataFrame:
     return walks.agg(F.count_if(still).alias("current"), F.count("*").alias("n"))
 
 
+def current_lines(walks: DataFrame, asked: DataFrame, live: DataFrame) -> DataFrame:
+    """pos, id, line of asked ids: current, SUPERSEDED by what, a fork's or cycle's ids, or FAILED for one that isn't served."""
+    there = live.select("id", F.lit(True).alias("_there"))
+    rows = asked.select("pos", "id").join(there, "id", "left").join(walks.withColumnRenamed("start", "id"), "id", "left")
+    line = (
+        F.when(F.col("_there").isNull(), F.concat("id", F.lit(" FAILED: not found")))
+        .when(F.col("outcome") != "tip", F.concat("id", F.lit(" "), "outcome", F.lit(" "), "ids"))
+        .when(F.col("ids") == F.col("id"), F.concat("id", F.lit(" current")))
+        .otherwise(F.concat("id", F.lit(" SUPERSEDED by "), "ids"))
+    )
+    return rows.select("pos", "id", line.alias("line"))
+
+
+def revised_by(walks: DataFrame, frozen: DataFrame) -> DataFrame:
+    """id, revised_by: for frozen records (id) that others stand in for, the ids they lead to now; null where there is none."""
+    rows = frozen.select("id").distinct().join(walks.withColumnRenamed("start", "id"), "id", "left")
+    return rows.select("id", F.when((F.col("outcome") != "tip") | (F.col("ids") != F.col("id")), F.col("ids")).alias("revised_by"))
+
+
 def source_digests(trail_: DataFrame, records: DataFrame) -> DataFrame:
     """start, node, digest of all that a record came from, itself not."""
     return trail_.where("depth > 0").select("start", "node").join(records.select(F.col("id").alias("node"), "digest"), "node").select("start", "node", "digest")

@@ -101,51 +101,41 @@ def receipts(log: DataFrame, tree: DataFrame, size: int, root: str) -> DataFrame
     return log.join(paths, "idx", "left").select("id", "digest", "unix_time", "idx", F.lit(size).cast("long").alias("size"), F.lit(root).alias("root"), path.alias("path"))
 
 
-def included(idx: Column, size: Column, leaf_hash: Column, path: Column, root: Column) -> Column:
-    """Whether a path leads from a leaf to the root, using each of its steps."""
-    start = F.struct(leaf_hash.alias("h"), idx.cast("long").alias("at"), (size.cast("long") - 1).alias("last"), F.lit(True).alias("ok"))
-
-    def step(s: Column, sibling: Column) -> Column:
-        other = F.unhex(sibling)
-        right = (s["at"] % 2 == 1) | (s["at"] == s["last"])  # the sibling is at the left
-        # A last node without a neighbour has gone up until it is at the right of one.
-        lone = right & (s["at"] % 2 == 0)
-        zeros = _trailing_zeros(s["at"])
-        at = F.when(lone, _shift(s["at"], zeros)).otherwise(s["at"])
-        last = F.when(lone, _shift(s["last"], zeros)).otherwise(s["last"])
-        h = F.when(right, node(other, s["h"])).otherwise(node(s["h"], other))
-        ok = s["ok"] & (s["last"] > 0) & F.coalesce(F.length(sibling) == 64, F.lit(False))
-        return F.struct(h.alias("h"), _shift(at, F.lit(1)).alias("at"), _shift(last, F.lit(1)).alias("last"), ok.alias("ok"))
+def _up_by(n: Column, levels: Column) -> Column:
+    return F.call_function("shiftright", n, levels)
 
-    end = F.aggregate(path, start, step)
-    return F.coalesce((idx < size) & end["ok"] & (end["last"] == 0) & (F.lower(F.hex(end["h"])) == root), F.lit(False))
 
+def proof_levels(idx: Column, size: Column) -> Column:
+    """The levels at which a leaf's way up has a sibling, innermost first: those of siblings()."""
+    last = size.cast("long") - 1
+    beside = lambda level: _up_by(idx.cast("long"), level).bitwiseXOR(F.lit(1).cast("long"))
+    every = F.sequence(F.lit(0), F.lit(62))
+    return F.filter(every, lambda level: (_up_by(last, level) > 0) & (beside(level) <= _up_by(last, level)))
 
-def _trailing_zeros(n: Column) -> Column:
-    """Of a positive number; 0 for 0."""
-    low = n.bitwiseAND(-n)
-    return F.when(n == 0, F.lit(0)).otherwise(F.length(F.bin(low)) - 1)
 
-
-def _shift(n: Column, by: Column) -> Column:
-    return F.floor(n / F.pow(F.lit(2.0), by)).cast("long")
+def included(idx: Column, size: Column, leaf_hash: Column, path: Column, root: Column) -> Column:
+    """Whether a path leads from a leaf to the root: one step for each of its proof_levels(), at the side its index says."""
+    levels = proof_levels(idx, size)
+    steps = F.zip_with(levels, path, lambda level, p: F.struct(level.alias("level"), F.unhex(p).alias("other")))
+    right = lambda level: _up_by(idx.cast("long"), level).bitwiseAND(F.lit(1).cast("long")) == 1
+    top = F.aggregate(steps, leaf_hash, lambda h, s: F.when(right(s["level"]), node(s["other"], h)).otherwise(node(h, s["other"])))
+    fits = (idx >= 0) & (idx < size) & (F.size(levels) == F.size(path)) & F.forall(path, lambda p: F.length(p) == 64)
+    return F.coalesce(fits & (F.lower(F.hex(top)) == root), F.lit(False))
 
 
 def consistency_nodes(old: int, new: int) -> list[tuple[int, int]]:
-    """(level, idx) of the nodes that prove a log of `old` entries a prefix of one of `new`; at most twice the levels."""
+    """(level, idx) of the nodes that prove a log of `old` entries a prefix of one of `new`; at most twice the levels.
+
+    The old log's last complete subtree, unless it is all of it, and what stands beside the way from there to the top.
+    """
     if not 0 < old < new:
         return []
-    at, last, level, out = old - 1, new - 1, 0, []
-    while at % 2:
-        at, last, level = at // 2, last // 2, level + 1
-    if at:
-        out.append((level, at))
-    while last:
-        if at % 2:
-            out.append((level, at - 1))
-        elif at < last:
-            out.append((level, at + 1))
-        at, last, level = at // 2, last // 2, level + 1
+    base = (old & -old).bit_length() - 1
+    out = [(base, (old >> base) - 1)] if old >> base > 1 else []
+    for level in range(base, (new - 1).bit_length()):
+        beside = (old - 1 >> level) ^ 1
+        if beside <= new - 1 >> level:
+            out.append((level, beside))
     return out
 
 
@@ -161,27 +151,61 @@ def _joined(left: bytes, right: bytes) -> bytes:
     return hashlib.sha256(b"\1" + left + right).digest()
 
 
+def _root_of(size: int, known: dict[tuple[int, int], bytes], level: int, idx: int) -> bytes | None:
+    """The hash of a node of a log of that size, from those of nodes below it; None if they don't make it up."""
+    if (level, idx) in known or not level:
+        return known.get((level, idx))
+    left = _root_of(size, known, level - 1, 2 * idx)
+    if 2 * idx + 1 << level - 1 >= size:
+        return left
+    right = _root_of(size, known, level - 1, 2 * idx + 1)
+    return None if left is None or right is None else _joined(left, right)
+
+
 def consistent(old: int, old_root: str, new: int, new_root: str, path: list[str]) -> bool:
-    """Whether a consistency proof joins two heads. A path has at most twice as many steps as the tree has levels."""
+    """Whether a consistency proof joins two heads: whether both roots follow from the nodes that consistency_nodes() names."""
     if old == new:
         return not path and old_root == new_root
-    if not 0 < old < new:
+    wanted = consistency_nodes(old, new)
+    if not 0 < old < new or len(path) != len(wanted):
         return False
-    steps = [bytes.fromhex(p) for p in path]
-    at, last = old - 1, new - 1
-    while at % 2:
-        at, last = at // 2, last // 2
-    if at and not steps:
-        return False
-    first = second = steps.pop(0) if at else bytes.fromhex(old_root)
-    for step in steps:
-        if not last:
-            return False
-        if at % 2 or at == last:
-            first, second = _joined(step, first), _joined(step, second)
-            while at and not at % 2:
-                at, last = at // 2, last // 2
-        else:
-            second = _joined(second, step)
-        at, last = at // 2, last // 2
-    return not last and first.hex() == old_root and second.hex() == new_root
+    known = {at: bytes.fromhex(p) for at, p in zip(wanted, path, strict=True)}
+    if old & old - 1 == 0:  # a complete tree is its own last complete subtree
+        known[old.bit_length() - 1, 0] = bytes.fromhex(old_root)
+    roots = (_root_of(n, known, (n - 1).bit_length(), 0) for n in (old, new))
+    return [r.hex() if r else None for r in roots] == [old_root, new_root]
+
+
+def bridge(spark: SparkSession, tree: DataFrame, old: int, new: int) -> tuple[tuple[int, str], tuple[int, str], list[str]]:
+    """Two heads of a log and the proof that joins them, from the tree of the larger one.
+
+    The old head is put together from nodes that the tree has, at most one for each level; nothing is hashed anew.
+    """
+    if not 0 < old <= new:
+        raise ValueError(f"no log of {old} entries before one of {new}")
+    peaks, at = [], 0
+    for level in reversed(range(old.bit_length())):
+        if old >> level & 1:
+            peaks.append((level, at >> level))
+            at += 1 << level
+    asked = consistency_nodes(old, new)
+    wanted = spark.createDataFrame(sorted({*peaks, *asked}), "level int, idx long")
+    found = {(r["level"], r["idx"]): bytes(r["hash"]) for r in tree.join(F.broadcast(wanted), ["level", "idx"]).collect()}  # two steps a level
+    was = found[peaks[-1]]
+    for peak in reversed(peaks[:-1]):
+        was = _joined(found[peak], was)
+    return (old, was.hex()), (new, head(tree, new).first()["root"]), [found[n].hex() for n in asked]
+
+
+def since(kept: tuple[int, str], now: tuple[int, str], joins: tuple[tuple[int, str], tuple[int, str], list[str]] | None) -> str | None:
+    """Why a head isn't the kept one grown, or None. joins: a bridge, if one came with it."""
+    if now[0] < kept[0]:
+        return f"the log shrank from {kept[0]} entries to {now[0]}"
+    if joins is None:
+        return None if kept == now else f"no bridge from the kept head of {kept[0]} entries"
+    start, end, path = joins
+    if start != kept:
+        return "the bridge starts from another head than the kept one"
+    if end != now:
+        return "the bridge ends at another head than this one"
+    return None if consistent(start[0], start[1], end[0], end[1], path) else f"the log of {end[0]} entries is not the one of {start[0]} grown"

@@ -11,26 +11,33 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import crypto, derive
+from ..functions import crypto, derive, encoding
 from ..functions.encoding import KINDS, any_record_bytes, digest
 from ..plans.corpus import BODY, TAGGED
-from . import audit, catalog, lineage, merkle
+from . import audit, bags, catalog, handover, lineage, merkle
 from .components import settled
 
 PRODUCED_BY = "struct<agent_id:string,activity_id:string>"
 TABLES = {
     "deeds": f"id string, kind string, name string, paths array<string>, sources {TAGGED}, produced_by {PRODUCED_BY}, grants {TAGGED}, face string, body {BODY}, unix_time long, payload binary, digest string",
-    "evidence": f"deed_id string, produced_by {PRODUCED_BY}, unix_time long, signature string",
+    "evidence": f"deed_id string, produced_by {PRODUCED_BY}, grants {TAGGED}, unix_time long, signature string",
     "log": "idx long, id string, digest string, unix_time long",
-    "supersedes": "new string, prior string",
+    "supersedes": "new string, prior string, digest string",
+    "successor": "prior string, next string",
     "tombstones": "id string",
+    "blobs": "hex string, content binary",
+    "sidecars": "id string, raw binary",
+    "heads": "id string, size long, root string, digest string, unix_time long",
 }
+#: What a table's folders are named by, so that a filter on it reads no others.
+PARTITIONED = {"deeds": "kind"}
 
 
 class Store:
-    def __init__(self, spark: SparkSession, path: str, key: bytes = bytes(32)) -> None:
-        """Reading creates nothing: a table that isn't there reads as empty."""
-        self.spark, self.path, self.key = spark, path.rstrip("/"), key
+    def __init__(self, spark: SparkSession, path: str, key: bytes = bytes(32), host: audit.Host | None = None, seed: bytes | None = None) -> None:
+        """Reading creates nothing: a table that isn't there reads as empty. seed: the host's signing key, for heads and sidecars."""
+        self.spark, self.path, self.key, self.host, self.seed = spark, path.rstrip("/"), key, host or audit.Host(), seed
+        self._tree: tuple[int, DataFrame] | None = None
 
     def table(self, name: str) -> DataFrame:
         if self._exists(name):
@@ -43,7 +50,9 @@ class Store:
 
     def _append(self, name: str, rows: DataFrame) -> None:
         columns = [c.split(" ")[0] for c in self._columns(name)]
-        rows.select(*columns).write.mode("append").parquet(f"{self.path}/{name}")
+        out = rows.select(*columns).write.mode("append")
+        out = out.partitionBy(PARTITIONED[name]) if name in PARTITIONED else out
+        out.parquet(f"{self.path}/{name}")
 
     @cached_property
     def _schemas(self) -> dict[str, list[str]]:
@@ -71,21 +80,54 @@ class Store:
 
     def current(self, starts: DataFrame) -> DataFrame:
         live = catalog.served(self.table("deeds"), self.table("tombstones"))
-        return lineage.current(lineage.successor_edges(live, self.table("supersedes")), starts)
+        return lineage.current(lineage.successor_edges(live, self.table("supersedes"), self.table("successor")), starts)
 
-    def audit(self) -> DataFrame:
-        return audit.findings(self.table("log"), self.table("deeds"), self.table("tombstones"))
+    def current_lines(self, asked: DataFrame) -> DataFrame:
+        """pos, id, line for rows pos, id."""
+        return lineage.current_lines(self.current(asked), asked, catalog.served(self.table("deeds"), self.table("tombstones")))
 
-    def evidence(self, blobs: DataFrame) -> DataFrame:
+    def audit(self, unreadable: DataFrame | None = None) -> DataFrame:
+        """unreadable: id, why of record files that could not be read, as the frame reader tells."""
+        return audit.findings(self.table("log"), self.table("deeds"), self.table("tombstones"), unreadable)
+
+    def evidence(self, blobs: DataFrame | None = None) -> DataFrame:
+        """id, verdict, signed_at. blobs: hex, sha of the bytes kept; those of the store by default."""
         deeds = self.table("deeds")
-        kept = self.table("evidence").select("deed_id", "signature", "unix_time", F.col("produced_by.agent_id").alias("agent_id"))
+        blobs = self.table("blobs").select("hex", F.sha2("content", 256).alias("sha")) if blobs is None else blobs
         mac = crypto.evidence_mac(self.key, F.col("payload"), F.col("signed_at"))
-        return audit.evidence(deeds, kept, audit.products(deeds, blobs), mac)
+        return audit.evidence(deeds, self.table("evidence"), audit.products(deeds, blobs), mac, self.table("sidecars"), self.host)
 
     def tree(self) -> tuple[DataFrame, int]:
+        """The log's hash tree; kept for as long as the log doesn't grow."""
         log = self.table("log")
         n = log.count()
-        return settled(merkle.nodes(merkle.leaves(log), n)), n
+        if self._tree is None or self._tree[0] != n:
+            self._tree = (n, settled(merkle.nodes(merkle.leaves(log), n)))
+        return self._tree[1], n
+
+    def bridge(self, old: int) -> tuple[tuple[int, str], tuple[int, str], list[str]]:
+        """The heads of the log at `old` entries and now, and what joins them."""
+        tree, n = self.tree()
+        return merkle.bridge(self.spark, tree, old, n)
+
+    def leave(self, ids: DataFrame) -> DataFrame:
+        """id, kind, hash, status of records that leave: the digest of their products' bytes."""
+        return handover.manifests(catalog.served(self.table("deeds"), self.table("tombstones")).join(ids.select("id"), "id", "left_semi"), self.table("blobs"))
+
+    def timestamp_requests(self, ids: DataFrame) -> DataFrame:
+        """id, request: an RFC 3161 request over each record's evidence file."""
+        rows = self.table("deeds").join(ids.select("id"), "id", "left_semi").select("id", "payload").join(self.table("evidence").withColumnRenamed("deed_id", "id"), "id")
+        own = encoding.evidence_bytes(F.col("id"), F.col("produced_by"), F.col("grants"), F.col("unix_time"), F.unhex("signature"))
+        return rows.select("id", handover.timestamp_request(encoding.evidence_file(F.col("payload"), own)).alias("request"))
+
+    def export(self, asked: DataFrame, path: str) -> DataFrame:
+        """Write a bag of the asked ids (column id) under path, if all of them can be exported; id, status of each."""
+        tree, n = self.tree()
+        t = self.table
+        answers, bag = bags.export(asked, t("deeds"), t("evidence"), t("sidecars"), t("blobs"), t("supersedes").select("new", "prior"), t("tombstones"), t("log"), tree, n, self.seed)
+        if answers.where("status <> 'exported'").isEmpty():
+            bag.write(path)
+        return answers
 
     def head(self) -> DataFrame:
         return merkle.head(*self.tree())
@@ -122,7 +164,8 @@ class Store:
         rows = made.join(own, "id", "left").join(gone, "id", "left").join(taken, "supersedes", "left").join(prior, "supersedes", "left")
         turn = Window.partitionBy("id").orderBy("pos")
         rows = rows.withColumn("_nth", F.row_number().over(turn)).withColumn("_first", F.first("digest").over(turn))
-        rows = rows.withColumn("_claim", F.row_number().over(Window.partitionBy("supersedes").orderBy("pos")))
+        claims = made.where("supersedes is not null").select("pos", F.row_number().over(Window.partitionBy("supersedes").orderBy("pos")).alias("_claim"))
+        rows = rows.join(claims, "pos", "left")
         there = F.coalesce("_own", F.when(F.col("_nth") > 1, F.col("_first")))
         linked = F.col("supersedes").isNotNull()
         why = (
@@ -143,14 +186,68 @@ class Store:
         new = answers.where("status = 'created'")
         self._append("deeds", new)
         mac = crypto.evidence_mac(self.key, F.col("payload"), F.col("unix_time"))
-        self._append("evidence", new.select(F.col("id").alias("deed_id"), "produced_by", "unix_time", mac.alias("signature")))
-        self._append("supersedes", new.where("supersedes is not null").select(F.col("id").alias("new"), F.col("supersedes").alias("prior")))
+        self._append("evidence", new.select(F.col("id").alias("deed_id"), "produced_by", "grants", "unix_time", mac.alias("signature")))
+        message = crypto.host_message(F.col("payload"), F.col("unix_time"))
+        if self.seed is not None:
+            self._append("sidecars", new.select("id", F.concat(F.lit(b"ed25519:"), F.lower(F.hex(crypto.signed(self.seed, message))).cast("binary")).alias("raw")))
+        elif self.host.key is not None:
+            self._append("sidecars", new.select("id", F.unhex(crypto.hmac_sha256(self.host.key, message)).alias("raw")))
+        linked = new.where("supersedes is not null").select(F.col("id").alias("new"), F.col("supersedes").alias("prior"))
+        known = self.table("deeds").select(F.col("id").alias("prior"), "digest")
+        self._append("supersedes", linked.join(known, "prior", "left").dropDuplicates(["new", "prior"]))
+        self._append("successor", linked.select("prior", F.col("new").alias("next")))
         self._log(new)
         return answers.select("pos", "id", "status", "why")
 
+    def ingest(self, contents: DataFrame) -> int:
+        """Keep contents (path, content) under their hashes, those that aren't kept yet; how many that were."""
+        new = settled(handover.ingest(contents, self.table("blobs")))
+        self._append("blobs", new)
+        return new.count()
+
+    def check(self, path: str, accepted: set[str] = frozenset(), allow_unsigned: bool = False, kept: tuple[int, str] | None = None, joins: tuple | None = None) -> DataFrame:
+        """folder, complaint of the bag under path. kept: a head seen before, which the bag's must be grown from by the bridge joins."""
+        bag = bags.Bag.read(self.spark, path)
+        out = bags.complaints(bag, accepted, allow_unsigned)
+        held = bags.held_head(bag)
+        why = merkle.since(kept, held, joins) if kept is not None and held is not None else None
+        return out.unionByName(self.spark.createDataFrame([("", why)] if why else [], "folder string, complaint string"))
+
+    def import_bag(self, path: str, accepted: set[str] = frozenset(), allow_unsigned: bool = False) -> DataFrame:
+        """Take in the bag under path, if it checks and nothing is refused; id, action of its records, or its complaints.
+
+        Evidence is issued anew under this store's key at the proof's time, host sidecars travel as they are, log lines are
+        appended in the sender's order, and the proofs' heads are kept. A second import changes nothing.
+        """
+        bag = bags.Bag.read(self.spark, path)
+        wrong = settled(bags.complaints(bag, accepted, allow_unsigned))
+        if not wrong.isEmpty():
+            return wrong.select(F.col("folder").alias("id"), F.concat(F.lit("refused: "), "complaint").alias("action"))
+        t = self.table
+        plan = settled(bags.refusals(bag, t("deeds"), t("tombstones"), t("log"), t("supersedes"), t("blobs"), self.evidence(), t("heads")))
+        if not plan.where("action like 'refused%'").isEmpty():
+            return plan
+        put, logged = plan.where("action = 'put'").select("id"), plan.where("action in ('put', 'log')").select("id")
+        self.ingest(bag.products)
+        lines = settled(bags.in_log_order(bag, logged))
+        new = bag.records.join(put, "id", "left_semi").drop("unix_time").join(lines.select("id", "unix_time"), "id")
+        self._append("deeds", new)
+        mac = crypto.evidence_mac(self.key, F.col("payload"), F.col("unix_time"))
+        self._append("evidence", new.select(F.col("id").alias("deed_id"), "produced_by", "grants", "unix_time", mac.alias("signature")))
+        self._append("sidecars", bag.sidecars.join(put, "id", "left_semi"))
+        links = bags._link_rows(bag).join(put.select(F.col("id").alias("folder")), "folder", "left_semi")
+        self._append("supersedes", links.where("side = 'supersedes'").select(F.col("folder").alias("new"), F.col("target").alias("prior"), "digest"))
+        self._append("successor", links.where("side = 'successor'").select(F.col("folder").alias("prior"), F.col("target").alias("next")))
+        self._append("heads", bag.proofs.join(put, "id", "left_semi").select("id", "size", "root", "digest", "unix_time"))
+        start = self._next()
+        self._append("log", lines.select((F.col("nth") + start).alias("idx"), "id", "digest", "unix_time"))
+        return plan
+
     def _log(self, rows: DataFrame) -> None:
-        start = self.table("log").agg(F.coalesce(F.max("idx") + 1, F.lit(0))).first()[0]
-        self._append("log", merkle.log_of(rows).withColumn("idx", F.col("idx") + start))
+        self._append("log", merkle.log_of(rows).withColumn("idx", F.col("idx") + self._next()))
+
+    def _next(self) -> int:
+        return self.table("log").agg(F.coalesce(F.max("idx") + 1, F.lit(0))).first()[0]
 
     def delete(self, ids: DataFrame) -> DataFrame:
         """id, status: deleted, tombstoned before, or not found. The log stays as it is."""
@@ -162,6 +259,6 @@ class Store:
 
     def backfill(self, now: int) -> int:
         """Log what the log lacks; how many lines that were."""
-        lines = settled(audit.backfill(self.table("log"), self.table("deeds"), self.table("tombstones"), now))
+        lines = settled(audit.backfill(self.table("log"), self.table("deeds"), self.table("tombstones"), now, self.evidence()))
         self._log(lines)
         return lines.count()

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import crypto, derive
-from ..functions.encoding import KINDS
-from ..operators import audit, catalog, handover, lineage, merkle
+from ..functions.encoding import KINDS, WITH_EVIDENCE, evidence_bytes, evidence_file
+from ..operators import audit, bags, catalog, handover, lineage, merkle
 from ..operators.components import settled
 from . import corpus, oracle
 from .corpus import EPOCH, WRITER_KEY
@@ -315,20 +315,32 @@ def verify_inclusion(spark: SparkSession, d: str) -> DataFrame:
     return r.select("id", merkle.included(F.col("idx"), F.col("size"), leaf, F.col("path"), F.col("root")).alias("verified"))
 
 
-@query("log_is_prefix", "SELECT count(*) AS entries, TRUE AS prefix FROM documents WHERE doc_id IS NOT NULL")
+QUARTERS = "SELECT DISTINCT greatest(1, n * k // 4) AS old FROM size, (SELECT unnest([1, 2, 3, 4]) AS k)"
+_PREFIXES = (
+    nodes_sql(log_sql()).rstrip() + f", olds AS MATERIALIZED (SELECT old, CASE WHEN old < 2 THEN 0 ELSE ceil(log2(old))::INT END AS t FROM ({QUARTERS})), "
+    "part(old, t, level, idx, h) AS (SELECT old, t, 0, idx::BIGINT, h FROM olds JOIN leaves ON idx < old UNION ALL "
+    "SELECT old, t, level + 1, idx // 2, CASE WHEN count(*) = 2 THEN sha256(unhex('01' || arg_min(h, idx) || arg_max(h, idx))) ELSE min(h) END FROM part WHERE level < t GROUP BY old, t, level, idx // 2) "
+)
+
+
+@query("log_is_prefix", _PREFIXES + "SELECT old, h AS was, (SELECT h FROM nodes WHERE level = (SELECT top FROM size) AND idx = 0) AS now FROM part WHERE level = t AND idx = 0")
 def log_is_prefix(spark: SparkSession, d: str) -> DataFrame:
-    """Heads of every quarter of the log against the whole, each by its consistency proof."""
-    log, tree, n = _tree(spark, d)
-    good = True
-    root = merkle.head(tree, n).first()["root"]
+    """Bridges from every quarter of the log to the whole; the new root counts only if the proof leads to it."""
+    _, tree, n = _tree(spark, d)
+    rows = []
     for old in sorted({max(1, n * k // 4) for k in (1, 2, 3, 4)}):
-        path = [r["hash"] for r in merkle.consistency(spark, tree, old, n).orderBy("pos").collect()]  # two steps a level
-        was = merkle.head(merkle.nodes(merkle.leaves(log.where(F.col("idx") < old)), old), old).first()["root"]
-        good = good and merkle.consistent(old, was, n, root, path)
-    return spark.createDataFrame([(n, good)], "entries long, prefix boolean")
+        start, end, path = merkle.bridge(spark, tree, old, n)
+        rows.append((old, start[1], end[1] if merkle.since(start, end, (start, end, path)) is None else None))
+    return spark.createDataFrame(rows, "old long, was string, now string")
 
 
-@query("consistency_proof")
+@query(
+    "consistency_proof",
+    nodes_sql(log_sql()).rstrip() + ", o AS (SELECT greatest(1, n * 3 // 5)::BIGINT AS old, n, top FROM size), b AS (SELECT *, bit_count((old & -old) - 1)::INT AS base FROM o), "
+    "w AS (SELECT base AS level, (old >> base) - 1 AS idx, 0 AS k FROM b WHERE old >> base > 1 AND old < n UNION ALL "
+    "SELECT level, xor((old - 1) >> level, 1::BIGINT), 1 FROM (SELECT *, unnest(range(base, top))::INT AS level FROM b) WHERE xor((old - 1) >> level, 1::BIGINT) <= (n - 1) >> level AND old < n) "
+    "SELECT (row_number() OVER (ORDER BY k, level) - 1)::INT AS pos, w.level, w.idx, h AS hash FROM w JOIN nodes USING (level, idx)",
+)
 def consistency_proof(spark: SparkSession, d: str) -> DataFrame:
     _, tree, n = _tree(spark, d)
     return merkle.consistency(spark, tree, max(1, n * 3 // 5), n)
@@ -427,9 +439,13 @@ def audit_summary(spark: SparkSession, d: str) -> DataFrame:
     return audit.summary(log, audit.findings(log, records, gone))
 
 
-@query("backfill_plan", _AUDIT + "SELECT id, digest, unix_time FROM live WHERE id NOT IN (SELECT id FROM log)")
+@query("backfill_plan", _AUDIT + f"SELECT id, digest, CASE WHEN starts_with(id, 'deed-file') AND substr(id, 12)::BIGINT % 3 = 1 THEN {EPOCH - 9} ELSE unix_time END AS unix_time FROM live WHERE id NOT IN (SELECT id FROM log)")
 def backfill_plan(spark: SparkSession, d: str) -> DataFrame:
-    return audit.backfill(*_audited(spark, d), now=EPOCH)
+    """Lines with the time of the evidence; now for every third file, whose evidence fails."""
+    log, records, gone = _audited(spark, d)
+    bad = F.col("id").startswith("deed-file") & (F.substring("id", 12, 20).cast("long") % 3 == 1)
+    held = records.select("id", F.when(bad, "keyed hash").otherwise("ok").alias("verdict"), F.col("unix_time").alias("signed_at"))
+    return audit.backfill(log, records, gone, EPOCH - 9, held)
 
 
 # Evidence -------------------------------------------------------------------------------------------------------------
@@ -473,9 +489,49 @@ def evidence_verdict(spark: SparkSession, d: str) -> DataFrame:
         F.col("id").alias("deed_id"),
         F.when(n % 19 == 9, F.concat(F.lit("0"), mac)).otherwise(mac).alias("signature"),
         "unix_time",
-        F.when(n % 23 == 11, "other").otherwise(F.col("produced_by.agent_id")).alias("agent_id"),
+        _producer(F.when(n % 23 == 11, "other").otherwise(F.col("produced_by.agent_id"))),
+        "grants",
     )
-    return audit.evidence(records, kept, audit.products(records, _blobs(spark, d)), mac)
+    return audit.evidence(records, kept, audit.products(records, _blobs(spark, d)), mac).select("id", "verdict")
+
+
+def _producer(agent: Column, activity: Column | None = None) -> Column:
+    return F.struct(agent.alias("agent_id"), (F.lit(None).cast("string") if activity is None else activity).alias("activity_id")).alias("produced_by")
+
+
+@query(
+    "evidence_full",
+    "SELECT id, CASE WHEN n % 17 = 8 THEN 'no evidence' WHEN n % 19 = 9 THEN 'another producer' WHEN n % 23 = 11 THEN 'another producer' WHEN n % 29 = 12 THEN 'another producer' WHEN n % 31 = 13 THEN 'other grants' "
+    "WHEN k = 1 THEN CASE WHEN n % 2 = 1 THEN 'host keyed hash' END WHEN k = 2 THEN 'host sidecar unreadable' WHEN k = 3 THEN CASE WHEN n % 2 = 1 THEN 'host signature' END WHEN k = 0 THEN 'host sidecar' END AS why "
+    f"FROM (SELECT *, page_id AS n, page_id % 4 AS k, '{derive.ID_PREFIX}page-p' || page_id AS id FROM pages)",
+)
+def evidence_full(spark: SparkSession, d: str) -> DataFrame:
+    """Evidence of all pages with producers, activities and grants that agree or don't, nulls among them, and host sidecars of every kind."""
+    n = F.substring("id", 12, 20).cast("long")
+    records = corpus.digested(corpus.pages(spark, d), ("page",))
+    mac = crypto.evidence_mac(WRITER_KEY, F.col("payload"), F.col("unix_time"))
+    own = F.col("produced_by.agent_id")
+    agent = F.when(n % 19 == 9, F.lit(None).cast("string")).when(n % 23 == 11, "other").otherwise(own)
+    grants = F.when(n % 31 == 13, F.array(F.struct(F.lit("host").alias("tag"), F.lit("h").alias("value")))).otherwise(F.col("grants"))
+    kept = records.where(n % 17 != 8).select(F.col("id").alias("deed_id"), mac.alias("signature"), "unix_time", _producer(agent, F.when(n % 29 == 12, "some activity")), grants.alias("grants"))
+    message = crypto.host_message(F.concat("payload", F.when(n % 2 == 1, F.lit(b"!")).otherwise(F.lit(b""))), F.col("unix_time"))
+    signature = F.concat(F.lit("ed25519:"), F.lower(F.hex(crypto.signed(corpus.HOST_SEED, F.when(n % 4 == 3, message))))).cast("binary")
+    raw = F.when(n % 4 == 1, F.unhex(crypto.hmac_sha256(corpus.HOST_KEY, message))).when(n % 4 == 2, F.lit(b"ed25519:xx")).when(n % 4 == 3, signature)
+    sidecars = records.select("id", raw.alias("raw")).where("raw is not null")
+    none = spark.createDataFrame([], "id string, path string, verdict string")
+    host = audit.Host((crypto.public_key(corpus.HOST_SEED),), False, corpus.HOST_KEY)
+    found = audit.evidence(records, kept, none, mac, sidecars, host)
+    return found.select("id", F.when(F.col("verdict") != "ok", F.col("verdict")).alias("why"))
+
+
+@query("evidence_summary", "SELECT count(*) FILTER (verdict = 'ok') AS verified, count(*) AS n FROM (SELECT CASE WHEN page_id % 5 = 2 THEN 'keyed hash' ELSE 'ok' END AS verdict FROM pages)")
+def evidence_summary(spark: SparkSession, d: str) -> DataFrame:
+    """How many pages' evidence holds; that of every fifth has a wrong keyed hash."""
+    records = corpus.digested(corpus.pages(spark, d), ("page",))
+    mac = crypto.evidence_mac(WRITER_KEY, F.col("payload"), F.col("unix_time"))
+    wrong = F.substring("id", 12, 20).cast("long") % 5 == 2
+    kept = records.select(F.col("id").alias("deed_id"), F.when(wrong, F.reverse(mac)).otherwise(mac).alias("signature"), "unix_time", "produced_by", "grants")
+    return audit.verified(audit.evidence(records, kept, spark.createDataFrame([], "id string, path string, verdict string"), mac))
 
 
 @query(
@@ -489,7 +545,7 @@ def evidence_over_trails(spark: SparkSession, d: str) -> DataFrame:
     """Turns whose own or earlier turns' evidence fails; that of every turn 2 does."""
     records = corpus.digested(corpus.quotes(spark, d), ("quote",))
     mac = crypto.evidence_mac(WRITER_KEY, F.col("payload"), F.col("unix_time"))
-    kept = records.select(F.col("id").alias("deed_id"), F.when(F.col("id").endswith("-t2"), "0").otherwise(mac).alias("signature"), "unix_time", F.col("produced_by.agent_id").alias("agent_id"))
+    kept = records.select(F.col("id").alias("deed_id"), F.when(F.col("id").endswith("-t2"), "0").otherwise(mac).alias("signature"), "unix_time", "produced_by", "grants")
     verdicts = audit.evidence(records, kept, audit.products(records, _blobs(spark, d)), mac)
     trail = lineage.trail(records, corpus.tombstones(spark, d), records.select("id"))
     return audit.over_trails(trail, verdicts)
@@ -553,7 +609,12 @@ def _own_log(own: DataFrame) -> DataFrame:
 )
 def import_plan(spark: SparkSession, d: str) -> DataFrame:
     bag, own, _ = _bag(spark, d)
-    return handover.import_plan(bag, bag, own, _own_log(own), corpus.tombstones(spark, d))
+    numbered = lambda log: log.withColumn("idx", F.col("n"))
+    sent = numbered(bag)
+    # A second line of some ids, which is not the first and so doesn't count.
+    own_log = numbered(_own_log(own))
+    own_log = own_log.unionByName(own_log.where("n % 5 = 0").withColumn("idx", F.col("idx") + 1_000_000).withColumn("digest", F.lit("")))
+    return handover.import_plan(bag, sent, own, own_log, corpus.tombstones(spark, d))
 
 
 @query("import_conflicts", _BAG + "SELECT id, count(DISTINCT (digest, unix_time)) AS versions FROM (SELECT id, digest, unix_time FROM bag UNION ALL SELECT id, digest, unix_time FROM own_log) GROUP BY id HAVING count(DISTINCT (digest, unix_time)) > 1")
@@ -578,10 +639,14 @@ def handover_check(spark: SparkSession, d: str) -> DataFrame:
     return handover.check(bag.select(F.col("id").alias("folder"), "id", "digest"), merkle.receipts(log, tree, n, root), n, root)
 
 
-@query("head_agreement", "SELECT 1::BIGINT AS heads, TRUE AS agree")
+@query("head_agreement", "SELECT count(DISTINCT s) AS heads, count(DISTINCT s) <= 1 AS agree FROM (SELECT count(*) AS s FROM documents UNION ALL SELECT count(*) // 2 FROM documents)")
 def head_agreement(spark: SparkSession, d: str) -> DataFrame:
+    """Receipts against the whole log and against its first half."""
     log, tree, n = _tree(spark, d)
-    return handover.head_agreement(merkle.receipts(log, tree, n, merkle.head(tree, n).first()["root"]))
+    half = settled(log.where(F.col("idx") < n // 2))
+    early = settled(merkle.nodes(merkle.leaves(half), n // 2))
+    made = [merkle.receipts(lines, t, size, merkle.head(t, size).first()["root"]) for lines, t, size in ((log, tree, n), (half, early, n // 2))]
+    return handover.head_agreement(made[0].unionByName(made[1]))
 
 
 def _link_files(spark: SparkSession, d: str) -> DataFrame:
@@ -613,14 +678,145 @@ def link_commitment(spark: SparkSession, d: str) -> DataFrame:
     return handover.link_commitment(_link_files(spark, d))
 
 
-@query("leave_manifests", f"SELECT id, 'file' AS kind, sha256(content) AS hash FROM (SELECT id, substr(paths[1], 8) AS h FROM ({oracle.rows_sql('file')}) AS q) AS f JOIN ({_BLOBS}) AS b ON b.hex = f.h")
+_LEFT = "'file', 'set', 'clip'"
+
+
+@query(
+    "leave_manifests",
+    f"WITH b AS MATERIALIZED ({_BLOBS}), f AS (SELECT id, kind, paths[1] AS path FROM ({oracle.rows_sql('file')}) AS q UNION ALL SELECT id, kind, paths[1] FROM ({oracle.rows_sql('page')}) AS p) "
+    "SELECT id, kind, CASE WHEN kind = 'file' THEN sha256(content) END AS hash, CASE WHEN kind <> 'file' THEN 'not left' WHEN content IS NULL THEN 'absent ' || path ELSE 'ok' END AS status FROM f LEFT JOIN b ON kind = 'file' AND b.hex = substr(path, 8)",
+)
 def leave_manifests(spark: SparkSession, d: str) -> DataFrame:
-    return handover.manifests(corpus.files(spark, d), _blobs(spark, d))
+    return handover.manifests(corpus.files(spark, d).unionByName(corpus.pages(spark, d)), _blobs(spark, d))
+
+
+_EVIDENCE = f"{oracle.s('id')} || {oracle.s('agent')} || '00000000' || '00000000' || {oracle.le('unix_time', 8)} || {oracle.le('32', 4)} || {_MAC}"
 
 
-@query("timestamp_requests", f"SELECT id, '{handover.TIMESTAMP_PREFIX.hex()}' || sha256(unhex(hex('CapNdeed') || '01000000' || {oracle.le('strlen(payload) // 2', 4)} || payload)) AS request FROM ({digested_sql(('page',))}) AS r")
+@query(
+    "timestamp_requests",
+    f"SELECT id, '{handover.TIMESTAMP_PREFIX.hex()}' || sha256(unhex(hex('CapNdeed') || '01000000' || {oracle.le('strlen(w) // 2', 4)} || w)) AS request FROM (SELECT id, '{WITH_EVIDENCE:02x}' || payload || {_EVIDENCE} AS w FROM ({digested_sql(('page',))}) AS r)",
+)
 def timestamp_requests(spark: SparkSession, d: str) -> DataFrame:
-    return corpus.digested(corpus.pages(spark, d), ("page",)).select("id", F.lower(F.hex(handover.timestamp_request(F.col("payload")))).alias("request"))
+    """Requests over the evidence files of all pages."""
+    records = corpus.digested(corpus.pages(spark, d), ("page",))
+    mac = F.unhex(crypto.evidence_mac(WRITER_KEY, F.col("payload"), F.col("unix_time")))
+    own = evidence_bytes(F.col("id"), F.col("produced_by"), F.col("grants"), F.col("unix_time"), mac)
+    return records.select("id", F.lower(F.hex(handover.timestamp_request(evidence_file(F.col("payload"), own)))).alias("request"))
+
+
+# Bags -----------------------------------------------------------------------------------------------------------------
+
+
+def _contents(spark: SparkSession, d: str) -> DataFrame:
+    """Kept products as bytes: as _blobs(), the altered ones with a letter more."""
+    return _blobs(spark, d).select("hex", F.when(F.col("sha") != F.col("hex"), F.concat("content", F.lit(b"!"))).otherwise(F.col("content")).alias("content"))
+
+
+def _exported(spark: SparkSession, d: str, asked: DataFrame | None = None, seed: bytes | None = None) -> tuple[DataFrame, bags.Bag]:
+    records = corpus.digested(corpus.files(spark, d), ("file",))
+    log = settled(merkle.log_of(records.join(corpus.unlogged(spark, d), "id", "left_anti")))
+    n = log.count()
+    tree = settled(merkle.nodes(merkle.leaves(log), n))
+    mac = crypto.evidence_mac(WRITER_KEY, F.col("payload"), F.col("unix_time"))
+    kept = records.select(F.col("id").alias("deed_id"), "produced_by", "grants", "unix_time", mac.alias("signature"))
+    none = spark.createDataFrame([], "id string, raw binary")
+    links = corpus.supersedes(spark, d).where(F.col("new").startswith("deed-file"))
+    asked = records.select("id") if asked is None else asked
+    return bags.export(asked, records, kept, none, _contents(spark, d), links, corpus.tombstones(spark, d), log, tree, n, seed)
+
+
+_EXPORT = (
+    f"WITH p AS MATERIALIZED ({_PRODUCTS}), asked AS (SELECT id, path, verdict FROM p UNION ALL SELECT 'deed-file-unseen', NULL, NULL), "
+    f"out AS MATERIALIZED (SELECT id, path, CASE WHEN id IN ({TOMBSTONES}) THEN 'tombstoned' WHEN path IS NULL THEN 'not found' WHEN id IN ({UNLOGGED}) THEN 'not logged' WHEN verdict <> 'ok' THEN verdict || ' ' || path ELSE 'exported' END AS status FROM asked) "
+)
+
+
+@query("export_bag", _EXPORT + "SELECT id, status FROM out")
+def export_bag(spark: SparkSession, d: str) -> DataFrame:
+    """What becomes of every file, and one that isn't there, when all are asked for at once."""
+    asked = corpus.files(spark, d).select("id").unionByName(spark.createDataFrame([("deed-file-unseen",)], "id string"))
+    return _exported(spark, d, asked)[0]
+
+
+_FLAWED = "(SELECT id, path, substr(id, 12)::BIGINT AS n FROM out WHERE status = 'exported')"
+
+
+@query("handover_complaints", _EXPORT + f"SELECT id AS folder, CASE WHEN n % 7 = 1 THEN 'no proof' WHEN n % 11 = 2 THEN 'digest' WHEN n % 17 = 4 THEN 'product ' || path || ' absent' ELSE 'product ' || path || ' altered' END AS complaint FROM {_FLAWED} WHERE n % 7 = 1 OR n % 11 = 2 OR n % 17 = 4 OR n % 19 = 5")
+def handover_complaints(spark: SparkSession, d: str) -> DataFrame:
+    """All complaints about a bag of files of which some lack proofs, some were changed, and some products are gone or altered."""
+    bag = _exported(spark, d)[1]
+    n = F.substring("id", 12, 20).cast("long")
+    bag.records = bag.records.withColumn("payload", F.when(n % 11 == 2, F.concat("payload", F.lit(b"!"))).otherwise(F.col("payload")))
+    bag.proofs = bag.proofs.where(n % 7 != 1)
+    bag.products = bag.products.where(n % 17 != 4).withColumn("content", F.when(n % 19 == 5, F.concat("content", F.lit(b"?"))).otherwise(F.col("content")))
+    bag.links = bag.links.withColumns({c: F.lit(None).cast("string") for c in ("sources", "supersedes", "successor")})
+    return bags.complaints(bag, allow_unsigned=True)
+
+
+@query("handover_proven", _EXPORT + f"SELECT count(*) FILTER (NOT (n % 7 = 1)) AS proven, count(*) AS records FROM {_FLAWED}")
+def handover_proven(spark: SparkSession, d: str) -> DataFrame:
+    bag = _exported(spark, d)[1]
+    bag.proofs = bag.proofs.where(F.substring("id", 12, 20).cast("long") % 7 != 1)
+    return bags.proven(bag, bags.complaints(bag, allow_unsigned=True))
+
+
+@query(
+    "import_refusals",
+    _EXPORT + f", e AS (SELECT * FROM {_FLAWED}) SELECT id, CASE WHEN n % 29 = 4 THEN 'refused: frozen' WHEN n % 23 = 3 AND n % 2 = 1 THEN 'refused: another proof is kept' WHEN n % 2 = 0 THEN 'same' ELSE 'put' END AS action FROM e",
+)
+def import_refusals(spark: SparkSession, d: str) -> DataFrame:
+    """What importing a bag of files would do to a store that has every second one, some changed, and other proofs of some."""
+    bag = _exported(spark, d)[1]
+    bag.links = bag.links.withColumns({c: F.lit(None).cast("string") for c in ("sources", "supersedes", "successor")})
+    n = F.substring("id", 12, 20).cast("long")
+    own = bag.records.where((n % 2 == 0) | (n % 29 == 4)).withColumn("digest", F.when(n % 29 == 4, "sha256:other").otherwise(F.col("digest")))
+    log = bag.proofs.where(n % 2 == 0).select("idx", "id", "digest", "unix_time")
+    heads = bag.proofs.where((n % 23 == 3) & (n % 2 == 1)).select("id", "size", "root", "digest", (F.col("unix_time") + 1).alias("unix_time"))
+    none = lambda ddl: spark.createDataFrame([], ddl)
+    return bags.refusals(bag, own, none("id string"), log, none("new string, prior string, digest string"), none("hex string, content binary"), none("id string, verdict string"), heads)
+
+
+@query("imported_log_order", _EXPORT + f"SELECT row_number() OVER (ORDER BY {EPOCH} + n, id) - 1 AS nth, id FROM {_FLAWED}")
+def imported_log_order(spark: SparkSession, d: str) -> DataFrame:
+    """The log lines of a bag, in the sender's order without gaps."""
+    bag = _exported(spark, d)[1]
+    return bags.in_log_order(bag, bag.records).select("nth", "id")
+
+
+@query("signed_head_check")
+def signed_head_check(spark: SparkSession, d: str) -> DataFrame:
+    """What is said of a signed head: of an accepted signer, of another, of a changed root, and unsigned."""
+    _, tree, n = _tree(spark, d)
+    root = merkle.head(tree, n).first()["root"]
+    made = bags.signed_head(spark, n, root, None, corpus.HOST_SEED)
+    key = crypto.public_key(corpus.HOST_SEED).hex()
+    cases = {
+        "accepted": bags.head_complaint(made, n, root, None, False, {key}),
+        "another signer": bags.head_complaint(made, n, root, None, False, {"0" * 64}),
+        "links": bags.head_complaint(made, n, root, "0" * 64, True, {key}),
+        "changed": bags.head_complaint(made.withColumn("size", F.col("size") + 1), n + 1, root, None, False, {key}),
+        "unsigned": bags.head_complaint(made.limit(0), n, root, None, False, {key}),
+    }
+    return spark.createDataFrame(list(cases.items()), "case string, complaint string")
+
+
+@query("blob_ingest", "SELECT sha256(text) AS hex, octet_length(encode(min(text))) AS bytes FROM documents WHERE text IS NOT NULL GROUP BY sha256(text) HAVING NOT bool_or(doc_id % 3 = 0)")
+def blob_ingest(spark: SparkSession, d: str) -> DataFrame:
+    """Contents that a store keeps anew, which has every third already; each once."""
+    docs = corpus.load(spark, d, "documents")
+    kept = docs.where("doc_id % 3 = 0").select(F.sha2("text", 256).alias("hex")).distinct()
+    new = handover.ingest(docs.select(F.col("doc_id").cast("string").alias("path"), F.col("text").cast("binary").alias("content")), kept)
+    return new.select("hex", F.octet_length("content").cast("long").alias("bytes"))
+
+
+@query("body_ingest", "SELECT n_regionkey AS region, string_agg(CASE WHEN n_nationkey % 2 = 0 THEN 'sha256:' || sha256(n_name) ELSE n_name END, ',' ORDER BY n_name) AS members FROM nation GROUP BY n_regionkey")
+def body_ingest(spark: SparkSession, d: str) -> DataFrame:
+    """Regions' nations, those with even keys kept under their addresses."""
+    nations = corpus.load(spark, d, "nation")
+    names = nations.groupBy("n_regionkey").agg(F.array_sort(F.collect_list("n_name")).alias("members"))
+    new = nations.where("n_nationkey % 2 = 0").select(F.col("n_name").alias("path"), F.col("n_name").cast("binary").alias("content"))
+    return handover.addressed(names, new, ("members",)).select(F.col("n_regionkey").alias("region"), F.array_join("members", ",").alias("members"))
 
 
 def entry(spark: SparkSession, d: str) -> DataFrame:
