@@ -388,7 +388,11 @@ def test_url_statistics_count_all_rows(spark, monkeypatch):
     for a, b, n in ((few.suffixes, every.suffixes, 41), (few.sections, every.sections, 361)):
         assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect())) and a.count() == n
     hot = few.suffixes.where("_suffix = 'hot.org'").first()
-    assert hot["suffix_log"] == pytest.approx(math.log1p(300)) and hot["suffix_share"] == pytest.approx(301 / 302)
+    assert hot["suffix_n"] == hot["suffix_bad"] == 300
+    model = every._assembled(url_filter._sample(labelled, 10_000), F.col("label"), F.col("weight")).where("host = 'hot.org'").first()
+    assert (model["suffix_share"], model["suffix_log"]) == (0.5, 0.0)  # its own rows tell it nothing
+    judged = every._assembled(labelled).where("host = 'hot.org'").first()
+    assert judged["suffix_share"] == pytest.approx(301 / 302) and judged["suffix_log"] == pytest.approx(math.log1p(300))
     for limit in (1, 50, 10_000):
         rows = url_filter._sample(labelled, limit).collect()
         assert 0 < len(rows) <= limit and all(r["weight"] == (300 if r["host"] == "hot.org" else 1) for r in rows)

@@ -21,6 +21,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def settled_as_dealt(df: DataFrame) -> DataFrame:
+    """settled(), of rows that keep the partitioning they were dealt by, so that grouping by it again sends none of them.
+
+    Adaptive planning would merge partitions and forget it, and is off while these rows are made.
+    """
+    conf = df.sparkSession.conf
+    before = conf.get("spark.sql.adaptive.enabled")
+    conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return settled(df.select("*"))
+    finally:
+        conf.set("spark.sql.adaptive.enabled", before)
+
+
 def tokenizer_path(name: str) -> str:
     """Where the executors' installed tokenizer files are; callers may pass any other path."""
     import public_tokenizers
@@ -176,13 +190,14 @@ class WordHasher:
         return out
 
 
-def windows(words: np.ndarray, k: int, at: np.ndarray | None = None) -> np.ndarray:
-    """Hashes of all runs of k consecutive words, or of those that start at `at`; none where there are fewer words."""
+def windows(words: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of all runs of k consecutive words; none where there are fewer."""
     n = len(words) - k + 1
     if n < 1:
         return np.empty(0, np.uint64)
-    total, weight = np.zeros(n if at is None else len(at), np.uint64), 0x2545F4914F6CDD1D
+    total, part, weight = np.zeros(n, np.uint64), np.empty(n, np.uint64), 0x2545F4914F6CDD1D
     for i in range(k):
-        total += (words[i : i + n] if at is None else words[at + i]) * np.uint64(weight)
+        np.multiply(words[i : i + n], np.uint64(weight), out=part)
+        total += part
         weight = (weight * 0x5851F42D4C957F2D + 2) & (2**64 - 1)
     return mix(total)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import MULT, WordHasher, arrow_schema, joined_by_class, mix, settled, table, windows
+from .common import WordHasher, arrow_schema, joined_by_class, mix, settled, settled_as_dealt, table, windows
 
 WINDOW, ANCHOR = 35, 12
 #: Bytes of text in a part, about.
@@ -92,8 +92,19 @@ def anchors(phrases: np.ndarray, window: int, anchor: int) -> np.ndarray:
 
 
 def names(words: np.ndarray, k: int, at: np.ndarray) -> np.ndarray:
-    """128-bit names of the runs of k words that start at `at`, as two rows."""
-    return np.stack([windows(words, k, at), windows(mix(words ^ MULT), k, at)])
+    """128-bit names of the runs of k words that start at `at` (ascending), as two rows: two sums with weights of their own."""
+    low = int(at[0]) if len(at) else 0
+    dense = len(at) > 0 and 3 * len(at) > int(at[-1]) - low  # then all runs between are as cheap
+    n = int(at[-1]) - low + 1 if dense else len(at)
+    out, part = np.zeros((2, n), np.uint64), np.empty(n, np.uint64)
+    weights = [0x2545F4914F6CDD1D, 0x9E6C63D0676A9A99]
+    for i in range(k):
+        run = words[low + i : low + i + n] if dense else words.take(at + i)
+        for row in (0, 1):
+            np.multiply(run, np.uint64(weights[row]), out=part)
+            out[row] += part
+            weights[row] = (weights[row] * 0x5851F42D4C957F2D + 2) & (2**64 - 1)
+    return mix(out.take(at - low, 1) if dense else out)
 
 
 class Names:
@@ -174,7 +185,7 @@ def remove(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, with_tex
     if doc_id is null or repeated; other columns are ignored; an empty table gives no rows. Of a window that goes the
     anchor was located word by word, and all of it was named by 128 bits of strong word hashes.
     """
-    dealt = in_parts(docs)
+    dealt = settled_as_dealt(in_parts(docs))  # the rounds below don't send the texts again
     copies = docs.select(text_class().alias("of")).groupBy("of").agg((F.count("*") > 1).alias("copied"))
     kept_schema, counts_schema, located_schema, runs_schema = map(arrow_schema, (KEPT, COUNTS, LOCATED, RUNS))
     phrase_schema = arrow_schema("a long, b long, phrase binary")
