@@ -94,6 +94,14 @@ def statistics(text: str) -> np.ndarray:
     return out
 
 
+def _forward(lower: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """z with lower @ z = b, for a lower triangular matrix: row by row."""
+    z = np.empty_like(b)
+    for i in range(len(lower)):
+        z[i] = (b[i] - lower[i, :i] @ z[:i]) / lower[i, i]
+    return z
+
+
 @dataclass
 class Discriminant:
     """Means, Cholesky factors of the shrunk covariances and log shares of labels 0 and 1; or only the share of 1."""
@@ -123,18 +131,13 @@ class Discriminant:
             return np.full(len(x), self.share)
         logs = []
         for mean, factor, share in zip(self.means, self.factors, (1 - self.share, self.share), strict=True):
-            z = np.linalg.solve(factor, (x - mean).T)
+            z = _forward(factor, (x - mean).T)
             logs.append(np.log(share) - np.log(np.diag(factor)).sum() - 0.5 * (z * z).sum(0))
         return 1 / (1 + np.exp(np.clip(logs[0] - logs[1], -50, 50)))
 
 
-def with_statistics(docs: DataFrame) -> DataFrame:
-    """doc_id, x: the statistics of each row's text."""
-
-    def make():
-        return lambda keys, texts: {"doc_id": keys, "x": [statistics(t) for t in texts]}
-
-    return over_texts(docs, make, "doc_id long, x array<double>", limit=1 << 20)
+def _statistics():
+    return lambda keys, texts: {"y": keys, "x": [statistics(t) for t in texts]}
 
 
 def learnable(doc_id: Column) -> Column:
@@ -146,7 +149,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Discriminant:
     """Learn from all rows of docs that have a label 0 or 1 (column quality) by doc_id; rows with several count each."""
     size = len(STATISTICS)
     known = labels.where(F.col("quality").isin(0, 1)).select(F.col("doc_id").alias("_of"), F.col("quality").cast("int").alias("y")).distinct()
-    rows = with_statistics(docs).join(known, F.col("doc_id") == F.col("_of")).select("y", "x")
+    labelled = docs.select("doc_id", "text").join(known, F.col("doc_id") == F.col("_of"))
+    rows = over_texts(labelled, _statistics, "y int, x array<double>", ("y", "text"), 1 << 20)
 
     def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((2, 1 + size + size * size))
