@@ -91,9 +91,8 @@ def _sample(labelled: DataFrame, limit: int) -> DataFrame:
 
 
 def _shares(labelled: DataFrame, by: str, name: str) -> DataFrame:
-    """Of each value of `by`, the smoothed share of URLs to block among labelled ones, and how many there are."""
-    n, bad = F.count("*"), F.sum("label")
-    return labelled.groupBy(F.col(by).alias(f"_{name}")).agg(((bad + 1.0) / (n + 2.0)).alias(f"{name}_share"), F.log1p(n).alias(f"{name}_log"))
+    """Of each value of `by`, how many labelled URLs there are, and how many of them are to be blocked."""
+    return labelled.groupBy(F.col(by).alias(f"_{name}")).agg(F.count("*").cast("double").alias(f"{name}_n"), F.sum("label").alias(f"{name}_bad"))
 
 
 class UrlModel:
@@ -103,20 +102,26 @@ class UrlModel:
         """labelled: url, host, path, label (1: to block). All rows are counted; the trees learn from `limit` URLs at most."""
         labelled = _keyed(labelled.withColumn("label", F.col("label").cast("double")))
         self.suffixes = settled(_shares(labelled, "_suffix", "suffix"))
-        self.sections = settled(_shares(labelled, "_section", "section")).select("_section", "section_share")
+        self.sections = settled(_shares(labelled, "_section", "section"))
         self.known = [(by, F.broadcast(t) if t.count() <= FEW else t) for by, t in (("_suffix", self.suffixes), ("_section", self.sections))]
-        rows = settled(self._assembled(_sample(labelled, limit)).select("x", "label", "weight").coalesce(4))
+        rows = settled(self._assembled(settled(_sample(labelled, limit)), F.col("label"), F.col("weight")).select("x", "label", "weight"))
         kinds = [r["label"] for r in rows.select("label").distinct().collect()]
         self.constant = "allow" if not kinds or max(kinds) == 0 else "block" if len(kinds) == 1 else None
         if self.constant is None:
             self.trees = GBTClassifier(featuresCol="x", labelCol="label", weightCol="weight", maxIter=8, maxDepth=4, maxBins=32, stepSize=0.3, seed=5).fit(rows)
 
-    def _assembled(self, rows: DataFrame) -> DataFrame:
+    def _assembled(self, rows: DataFrame, label: Column | None = None, weight: Column | None = None) -> DataFrame:
+        """rows with their features. Of rows with a label their own part (weight times) is left out of the shares."""
+        own, own_bad = (F.lit(0.0), F.lit(0.0)) if label is None else (weight, weight * label)
         rows = _keyed(rows)
         for by, table in self.known:
             rows = rows.join(table, by, "left")
-        known = _lexical(rows.fillna({"suffix_share": 0.5, "suffix_log": 0.0, "section_share": 0.5}))
-        return VectorAssembler(inputCols=list(FEATURES), outputCol="x").transform(known)
+        shares = {}
+        for name in ("suffix", "section"):
+            n, bad = (F.greatest(F.coalesce(f"{name}_{c}", F.lit(0.0)) - o, F.lit(0.0)) for c, o in (("n", own), ("bad", own_bad)))
+            shares[f"{name}_share"] = (bad + 1.0) / (n + 2.0)
+            shares[f"{name}_log"] = F.log1p(n)
+        return VectorAssembler(inputCols=list(FEATURES), outputCol="x").transform(_lexical(rows.withColumns(shares)))
 
     def judge(self, rows: DataFrame, keep: list[str]) -> DataFrame:
         """keep, and judged: allow or block, for rows with url, host, path."""
