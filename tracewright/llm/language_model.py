@@ -21,7 +21,6 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -43,7 +42,7 @@ HEAD = 1 << 22
 END_WORD = np.uint64(0x5E17E7C0DE0E7D01)  # no word hashes to it but by a chance of 2**-64
 END_ID = 49407
 N_IDS = 49408
-CACHED_WORDS = 400_000
+CACHED_WORDS = 250_000
 
 
 def _sums(a: np.ndarray) -> np.ndarray:
@@ -321,17 +320,11 @@ class Coder:
         return [(h, ids[a:b]) for h, a, b in zip(hashed, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
 
 
-@lru_cache(1)
-def coder(path: str) -> Coder:
-    """One for each Python worker, which keeps its words from task to task."""
-    return Coder(path)
-
-
 def coded(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, words (hashes), ids, learn of each row. Both are little-endian, of 64 and 16 bits."""
 
     def make():
-        code = coder(path)
+        code = Coder(path)
 
         def work(keys: list, texts: list[str]) -> dict:
             made = code([t.encode() for t in texts])

@@ -16,6 +16,7 @@ from __future__ import annotations
 import json
 import zlib
 from collections import defaultdict
+from copy import copy
 from functools import lru_cache
 
 import numpy as np
@@ -29,8 +30,8 @@ WINDOW = 4096
 END_ID = 2
 #: Rows of the plan's table that are broadcast, at most; a longer one, of some more bytes than that, is joined by a shuffle.
 FEW_PLACES = 1 << 18
-#: Words kept with their ids in each Python worker.
-CACHED_WORDS = 300_000
+#: Words kept with their ids in each task, up to twice as many.
+CACHED_WORDS = 150_000
 #: Fixed values of the vocabulary's format: its parts of words, the characters that show bytes, and what ends a part.
 PART = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 VISIBLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -127,11 +128,18 @@ class WordIds:
 
 
 @lru_cache(2)
-def word_ids(path: str, size: int = CACHED_WORDS) -> WordIds:
-    """One for each Python worker, which keeps its words from task to task."""
+def _engine(path: str, size: int) -> WordIds:
+    """One for each Python worker."""
     return WordIds(path, size)
 
 
+def word_ids(path: str, size: int = CACHED_WORDS) -> WordIds:
+    """For a task: the worker's engine, with words of its own, which go when the task does."""
+    out = copy(_engine(path, size))
+    out.known, out.older = {}, {}
+    return out
+
+
 def pieces(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
     """Each document's ids with the end id, cut at multiples of the window. Null and empty texts: the end id alone."""
     end = np.asarray([end_id], "<u4").tobytes()

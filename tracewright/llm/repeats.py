@@ -32,7 +32,7 @@ from .common import WordHasher, arrow_schema, joined_by_class, mix, settled, set
 
 WINDOW, ANCHOR = 35, 12
 #: Bytes of text in a part, about.
-PART_BYTES = 8 << 20
+PART_BYTES = 4 << 20
 COUNTS = "a long, b long, part int, n long, at long"
 LOCATED = "part int, of binary, starts binary, names binary"
 RUNS = "part int, of binary, runs binary"
