@@ -332,7 +332,7 @@ def coded(docs: DataFrame, path: str) -> DataFrame:
 
         return work
 
-    return over_texts(docs, make, "doc_id long, words binary, ids binary").withColumn("learn", learnable(F.col("doc_id")))
+    return over_texts(docs, make, "doc_id long, words binary, ids binary", limit=1 << 21).withColumn("learn", learnable(F.col("doc_id")))
 
 
 def over_blocks(rows: DataFrame, start: Callable, schema: str, columns: tuple[str, ...]) -> DataFrame:

@@ -17,7 +17,7 @@ import json
 import zlib
 from collections import defaultdict
 from copy import copy
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import regex
@@ -67,12 +67,8 @@ class WordIds:
 
     def __init__(self, path: str, size: int = CACHED_WORDS) -> None:
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.size, self.known, self.older = size, {}, {}
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
+        self.path, self.size, self.known, self.older = path, size, {}, {}
         with open(path, encoding="utf-8") as f:
             model = json.load(f)["model"]
         end = self.END.encode()
@@ -94,6 +90,16 @@ class WordIds:
         for token, rank in ranks.items():
             self.ids[rank] = ids.get(token, 0)
 
+    @cached_property
+    def tokenizer(self):
+        """The first engine, loaded when a word asks for it."""
+        from tokenizers import Tokenizer
+
+        out = Tokenizer.from_file(self.path)
+        out.no_truncation()
+        out.no_padding()
+        return out
+
     def __call__(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text. The words of about the last `size` to twice as many are kept."""
         words = [t.split() for t in texts]
@@ -163,7 +169,7 @@ def pieces(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_I
 
         return work
 
-    return over_texts(docs, make, PIECES)
+    return over_texts(docs, make, PIECES, limit=1 << 20)
 
 
 def fills(lengths: np.ndarray, counts: np.ndarray, window: int, breadth: int = 48) -> list[dict[int, int]]:
