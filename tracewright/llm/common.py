@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import os
 from collections.abc import Callable, Iterator
@@ -35,6 +36,12 @@ def settled_as_dealt(df: DataFrame) -> DataFrame:
         conf.set("spark.sql.adaptive.enabled", before)
 
 
+def swept(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of what is settled by now; else they stay until the driver happens to collect garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def tokenizer_path(name: str) -> str:
     """Where the executors' installed tokenizer files are; callers may pass any other path."""
     import public_tokenizers

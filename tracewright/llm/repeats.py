@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WordHasher, arrow_schema, joined_by_class, mix, settled, settled_as_dealt, table, windows
+from .common import WordHasher, arrow_schema, joined_by_class, mix, settled, settled_as_dealt, swept, table, windows
 
 WINDOW, ANCHOR = 35, 12
 #: Bytes of text in a part, about.
@@ -186,6 +186,7 @@ def remove(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, with_tex
     anchor was located word by word, and all of it was named by 128 bits of strong word hashes.
     """
     dealt = settled_as_dealt(in_parts(docs))  # the rounds below don't send the texts again
+    swept(docs.sparkSession)
     copies = docs.select(text_class().alias("of")).groupBy("of").agg((F.count("*") > 1).alias("copied"))
     kept_schema, counts_schema, located_schema, runs_schema = map(arrow_schema, (KEPT, COUNTS, LOCATED, RUNS))
     phrase_schema = arrow_schema("a long, b long, phrase binary")
@@ -269,10 +270,12 @@ def remove(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, with_tex
 
     by_part = dealt.groupBy("part")
     candidates = settled(recurring(by_part.applyInArrow(count_anchors, COUNTS)))
+    swept(docs.sparkSession)
     owned = candidates.where("part = first").select("part", "a", "b", "at")
     spelled = by_part.cogroup(owned.groupBy("part")).applyInArrow(spell, "a long, b long, phrase binary")
     phrases = candidates.select("a", "b", "part").join(spelled.hint("shuffle_hash"), ["a", "b"]).select("part", "phrase")
     located = settled(by_part.cogroup(phrases.groupBy("part")).applyInArrow(locate, LOCATED))
+    swept(docs.sparkSession)
     again = recurring(located.select("part", "names").mapInArrow(count_windows, COUNTS)).select("part", "a", "b")
     going = located.groupBy("part").cogroup(again.groupBy("part")).applyInArrow(confirm, RUNS)
     single = by_part.cogroup(going.groupBy("part")).applyInArrow(take_out, KEPT)
