@@ -136,6 +136,13 @@ def _counted(found: list[np.ndarray], places: list[np.ndarray], part: int, schem
     return pa.table({"a": a[first].view(np.int64), "b": b[first].view(np.int64), "part": np.full(len(first), part, np.int32), "n": n, "at": at[first]}, schema=schema)
 
 
+def in_runs(starts: np.ndarray, width: int) -> np.ndarray:
+    """What stretches of that width at ascending starts cover, as runs [begin, end)."""
+    cut = np.flatnonzero(np.diff(starts) > width)
+    begins, ends = starts[np.concatenate(([0], cut + 1))], starts[np.concatenate((cut, [len(starts) - 1]))] + width
+    return np.stack((begins, ends), 1).astype("<u4")
+
+
 class Shard:
     """An automaton of phrases of `anchor` words. Each word is a letter. Two words may share one if there are more words
     than letters; what is found then is compared word by word."""
@@ -223,7 +230,7 @@ def remove(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, with_tex
         for of, text in texts_of(rows):
             starts = shard.around(text.split(), window)
             if len(starts):
-                made = (sent.column("part")[0].as_py(), of, starts.astype("<u4").tobytes(), names(hasher(text), window, starts).tobytes())
+                made = (sent.column("part")[0].as_py(), of, in_runs(starts, 1).tobytes(), names(hasher(text), window, starts).tobytes())
                 for name, value in zip(located_schema.names, made, strict=True):
                     out[name].append(value)
         return pa.table(out, schema=located_schema)
@@ -241,12 +248,10 @@ def remove(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, with_tex
         out: dict[str, list] = {name: [] for name in runs_schema.names}
         for row in zip(*(found.column(c) for c in ("part", "of", "starts", "names")), strict=True) if recurring else ():
             part, of, starts, named = (x.as_py() for x in row)
-            starts = np.frombuffer(starts, "<u4").astype(np.int64)
+            starts = np.concatenate([np.arange(a, b) for a, b in np.frombuffer(starts, "<u4").reshape(-1, 2).tolist()])
             starts = starts[recurring.has(np.frombuffer(named, np.uint64).reshape(2, -1))]
             if len(starts):
-                cut = np.flatnonzero(np.diff(starts) > window)
-                runs = np.stack((starts[np.concatenate(([0], cut + 1))], starts[np.concatenate((cut, [len(starts) - 1]))] + window), 1)
-                for name, value in zip(runs_schema.names, (part, of, runs.astype("<u4").tobytes()), strict=True):
+                for name, value in zip(runs_schema.names, (part, of, in_runs(starts, window).tobytes()), strict=True):
                     out[name].append(value)
         return pa.table(out, schema=runs_schema)
 
