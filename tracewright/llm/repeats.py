@@ -25,6 +25,7 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -45,30 +46,35 @@ def text_class() -> F.Column:
 
 
 def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows whose first column this task hasn't seen lately. Spares the shuffle most copies; parts drop the rest."""
+    """Rows whose first column this task hasn't seen lately, texts compressed. Spares the shuffle most copies; parts drop the rest."""
     seen: set[bytes] = set()
+    pack = zstandard.ZstdCompressor(level=3).compress
     for batch in batches:
         first = [i for i, c in enumerate(batch.column(0).to_pylist()) if c not in seen and not seen.add(c)]
-        yield batch.take(pa.array(first, pa.int64()))
+        some = batch.take(pa.array(first, pa.int64()))
+        packed = [pack(t.as_py().encode()) for t in some.column(1)]
+        yield pa.RecordBatch.from_arrays([some.column(0), pa.array(packed, pa.binary())], ["of", "packed"])
         if len(seen) > 200_000:
             seen.clear()
 
 
 def in_parts(docs: DataFrame) -> DataFrame:
-    """of, text, part: different texts, dealt to parts of about PART_BYTES. A text may come more than once, in one part."""
+    """of, packed, part: different texts, compressed, dealt to parts of about PART_BYTES of text. A text may come more than
+    once, in one part."""
     named = docs.select(text_class().alias("of"), F.coalesce("text", F.lit("")).alias("text"))
     size = named.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n_parts = max(1, -(-size // PART_BYTES))
-    once = named.mapInArrow(_once, "of binary, text string")
+    once = named.mapInArrow(_once, "of binary, packed binary")
     return once.withColumn("part", F.pmod(F.xxhash64("of"), F.lit(n_parts)).cast("int")).repartition(n_parts, "part")
 
 
 def texts_of(rows: pa.Table) -> list[tuple[bytes, bytes]]:
     """A part's different texts with their names, in the same order in any run."""
     seen: dict[bytes, bytes] = {}
-    for of, text in zip(rows.column("of"), rows.column("text"), strict=True):
+    unpack = zstandard.ZstdDecompressor().decompress
+    for of, packed in zip(rows.column("of"), rows.column("packed"), strict=True):
         if (name := of.as_py()) not in seen:
-            seen[name] = text.as_py().encode()
+            seen[name] = unpack(packed.as_py())
     return sorted(seen.items())
 
 
