@@ -9,28 +9,34 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Edges that a task folds at a time.
 BLOCK = 1 << 20
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the cluster's shared checkpoint folder, where a lost executor takes nothing with it.
+def shared_folder(spark: SparkSession) -> str:
+    """The session's folder within the cluster's shared checkpoint folder, where a lost executor takes nothing with it.
 
-    The folder is that of spark.checkpoint.dir. Only a session on one machine (tests, a laptop) may do without: it gets
-    one of its own.
+    That folder is spark.checkpoint.dir's. Only a session on one machine (tests, a laptop) may do without: it gets one
+    of its own.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        where = df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        where = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
         if not where:
             if not sc.master.startswith("local"):
                 raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             where = tempfile.mkdtemp(prefix="checkpoints-")
             atexit.register(shutil.rmtree, where, True)
         sc.setCheckpointDir(where)
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df, computed once and kept in shared_folder()."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
