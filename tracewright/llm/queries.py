@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .bpe import op5_bpe
 from .language_model import op10_language_model
+from .lines import OP11_SQL, op11_line_dedup
 from .media import op8_media
 from .neighbours import op1_nearest
 from .near_duplicates import op4_near_duplicates
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_media": op8_media,
     "op9_url_filter": op9_url_filter,
     "op10_language_model": op10_language_model,
+    "op11_line_dedup": op11_line_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op11_line_dedup": OP11_SQL}
