@@ -12,6 +12,7 @@ from .packing import op2_packing
 from .pii import op6_pii
 from .quality import op7_quality
 from .repeats import op3_repeats
+from .resampling import OP12_SQL, op12_resampling
 from .url_filter import op9_url_filter
 
 QUERIES = {
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_url_filter": op9_url_filter,
     "op10_language_model": op10_language_model,
     "op11_line_dedup": op11_line_dedup,
+    "op12_resampling": op12_resampling,
 }
 
-ORACLE_SQL: dict[str, str] = {"op11_line_dedup": OP11_SQL}
+ORACLE_SQL: dict[str, str] = {"op11_line_dedup": OP11_SQL, "op12_resampling": OP12_SQL}
