@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .alignment import op13_alignment
 from .bpe import op5_bpe
 from .language_model import op10_language_model
 from .lines import OP11_SQL, op11_line_dedup
@@ -28,6 +29,7 @@ QUERIES = {
     "op10_language_model": op10_language_model,
     "op11_line_dedup": op11_line_dedup,
     "op12_resampling": op12_resampling,
+    "op13_alignment": op13_alignment,
 }
 
 ORACLE_SQL: dict[str, str] = {"op11_line_dedup": OP11_SQL, "op12_resampling": OP12_SQL}
