@@ -30,7 +30,7 @@ STRETCH = 1 << 20
 #: Texts with longer words are left whole, to the library that takes its time in proportion.
 LONG_RUN = 2000
 #: Characters of a block.
-BLOCK = 4 << 20
+BLOCK = 2 << 20
 #: Fewer pairs than this hold more than one link in FREQUENT; only these are broadcast.
 FREQUENT = 1 << 17
 
@@ -255,7 +255,8 @@ def _aligned_run(run: Column) -> Column:
 def aligned(blocks: DataFrame, shown: Callable[[Column], Column] = lambda groups: groups) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, groups, links of each text of tokens().
 
-    groups: `a1,a2|b1;a3|b2,b3`, the ids of A and of B between two shared ends, in order, or what `shown` makes of it.
+    groups: `a1,a2|b1;a3|b2,b3`, the ids of A and of B between two shared ends, in order, or what `shown` makes of it; without
+    tokens it is empty.
     links: a pair_of() for every two tokens whose byte ranges overlap, in order.
     """
 
@@ -263,11 +264,12 @@ def aligned(blocks: DataFrame, shown: Callable[[Column], Column] = lambda groups
         groups = F.array_join(F.transform(t["runs"], lambda i: runs[i]["groups"]), ";")
         links = F.flatten(F.transform(t["runs"], lambda i: runs[i]["links"]))
         n_groups = F.aggregate(t["runs"], F.lit(0).cast("long"), lambda n, i: n + runs[i]["n_groups"])
-        n = t["n_a"] + t["n_b"] - n_groups  # as many links as different ends
-        return F.struct(t["doc_id"].alias("doc_id"), t["n_a"].alias("n_a"), t["n_b"].alias("n_b"), n_groups.alias("n_groups"), n.alias("n_links"), shown(groups).alias("groups"), links.alias("links"))
+        return F.struct(t["doc_id"].alias("doc_id"), t["n_a"].alias("n_a"), t["n_b"].alias("n_b"), n_groups.alias("n_groups"), shown(groups).alias("groups"), links.alias("links"))
 
     made = _named(F.transform("runs", _aligned_run), lambda runs: F.transform("texts", lambda t: text(runs, t)))
-    return blocks.select(F.explode(made).alias("t")).select("t.*")
+    rows = blocks.select(F.explode(made).alias("t")).select("t.*")
+    text = F.when(F.col("n_a") == 0, F.lit("")).otherwise(F.col("groups"))
+    return rows.select("doc_id", "n_a", "n_b", "n_groups", F.size("links").cast("long").alias("n_links"), text.alias("groups"), "links")
 
 
 def kept(rows: DataFrame) -> DataFrame:
@@ -320,6 +322,5 @@ def align(docs: DataFrame, a_path: str | None = None, b_path: str | None = None,
 
 def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, groups by their digest; odd rows as in align()."""
-    digest = lambda groups: F.when(groups == "", groups).otherwise(F.sha2(groups, 256))
-    rows = aligned(tokens(table(spark, sf_dir, "documents")), digest)
+    rows = aligned(tokens(table(spark, sf_dir, "documents")), lambda groups: F.sha2(groups, 256))
     return with_counts(rows.withColumnRenamed("groups", "groups_sha256"))
