@@ -496,7 +496,8 @@ def test_windows_score_each_id_once():
         assert (ids[at][0, : language_model.WINDOW - language_model.FRESH] == -1).all()
 
 
-def learned(texts, epochs=1):
+def learned(texts):
+    """As fit() does it with one part."""
     counts = np.bincount(np.concatenate(texts), minlength=language_model.N_IDS).astype(float)
     counts[language_model.END_ID] = len(texts)
     slots = language_model.slots_of(counts)
@@ -506,7 +507,7 @@ def learned(texts, epochs=1):
         np.add.at(pairs, (s[:-1], s[1:]), 1)
     model = language_model.Model.fit(counts, slots, pairs)
     adam = language_model.Adam(model.attention)
-    for _ in range(epochs):
+    for _ in range(language_model.trainers(int(counts.sum()))[1]):
         model.train(adam, texts)
     return model
 
@@ -533,18 +534,24 @@ def test_attention_learns_and_sums_to_one():
     r = np.random.default_rng(0)
     kinds = [np.array(k) for k in ([3, 5, 9, 11], [3, 7, 9, 2], [900, 5, 9, 40000])]
     texts = [np.concatenate([kinds[i % 3][r.permutation(4)] for _ in range(30)]) for i in range(240)]
-    model = learned(texts, 3)
+    model = learned(texts)
     for text in (texts[0], texts[2][:50], np.array([], np.int64), np.array([49000, 3, 17, 900] * 9)):
         p = plain_probabilities(model, text)
         assert np.allclose(p.sum(1), 1, atol=1e-3)
         want = np.log10(p[np.arange(len(p)), [*text.tolist(), language_model.END_ID]]).sum()
         assert math.isclose(model.score([text, texts[1]])[0][0], want, rel_tol=1e-3)
     both, bigram = model.score(texts)
-    assert both.sum() > 0.9 * bigram.sum()  # what the context says beyond the last id
+    assert both.sum() > 0.85 * bigram.sum()  # what the context says beyond the last id
 
 
 def test_held_out_texts_take_fewer_bits_than_the_bigram(spark):
-    got = language_model.op10_language_model(spark, "/root/testdata/sf0.01").where("held_out")
-    r = got.agg(F.sum("score").alias("s"), F.sum("bigram_score").alias("b"), F.sum("n_subwords").alias("n")).first()
-    bits, bigram = (-r[k] * math.log2(10) / r["n"] for k in ("s", "b"))
-    assert bits < bigram - 0.05 and bits < 6.31
+    """Whatever the partitions that the table comes in: parts of 16 texts learn as well as one of all."""
+    docs, found = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), []
+    for parts in (1, 16, 64):
+        got = language_model.score_documents(docs.repartition(parts)).where("held_out")
+        r = got.agg(F.sum("score").alias("s"), F.sum("bigram_score").alias("b"), F.sum("n_subwords").alias("n")).first()
+        bits, bigram = (-r[k] * math.log2(10) / r["n"] for k in ("s", "b"))
+        found.append(bits)
+        assert bits < bigram - 0.25 and bits < 6.03
+    assert max(found) - min(found) < 0.05
+    assert language_model.trainers(10 * language_model.TRAINED + 5) == (10, 1) and language_model.trainers(0)[0] == 1

@@ -10,8 +10,9 @@ where the class's logits are the bigram's own and what attention adds. So the un
 only has to find what the context says beyond the last id. Contexts are overlapping windows: a window scores its last
 FRESH ids, each id is scored once, with at least WINDOW - FRESH ids before it unless the text starts later.
 
-All counts and all training go over all texts that may be learned from. Every partition trains on its texts from the same
-weights; Spark adds up what comes out, weighted by how many ids each has seen.
+All counts and all training go over all texts that may be learned from. Trainers start from the same weights, each on a
+part of the texts; Spark adds up what comes out, weighted by how many ids each has seen. A part has TRAINED ids at least,
+whatever partitions the table came in; a corpus of fewer is one part, which is gone through several times.
 
 Word counts may be far too many to broadcast. Words that make up more than one HEAD-th of all tokens, fewer than HEAD of
 them by that definition, go to the tasks; the rest are joined on the word's hash.
@@ -34,6 +35,8 @@ from .packing import word_ids
 WINDOW, FRESH = 32, 24
 WIDTH, CLASSES, SLOTS, SHARED = 12, 32, 2048, 64
 ROUNDS = 1
+#: Ids that a trainer learns from, at least; fewer steps leave the weights where they began.
+TRAINED = 2 << 20
 #: Windows in a step of training, and in one of scoring.
 STEP, SCORED_AT_ONCE = 128, 256
 #: Ids of the texts that a task holds at once, about.
@@ -414,25 +417,36 @@ def slot_pairs(rows: DataFrame, slots: np.ndarray, n_slots: int) -> np.ndarray:
     return out.reshape(n_slots, n_slots)
 
 
-def train_on_all(model: Model, rows: DataFrame, rounds: int = ROUNDS) -> list[int]:
+def trainers(ids: int) -> tuple[int, int]:
+    """How many parts a corpus of so many ids is trained in, at most, and how often each goes through its texts."""
+    return max(1, ids // TRAINED), max(1, -(-TRAINED // max(1, ids)))
+
+
+def train_on_all(model: Model, rows: DataFrame, rounds: int = ROUNDS, parts: int | None = None, passes: int = 1) -> list[int]:
     """Train the model's attention layer on all coded rows; gives how many ids each round has learned from.
 
-    A partition goes through its texts block by block. What it makes of the weights counts by its ids, so that the
-    weights follow how the table is cut, but every text has its part in them.
+    A part goes through its texts block by block. What it makes of the weights counts by its ids, so that every text has
+    its share in them. parts: at most so many; passes: of each part, whose texts are then held.
     """
     sc, seen = rows.sparkSession.sparkContext, []
+    rows = rows if parts is None else rows.coalesce(parts)
     for _ in range(rounds):
         now = sc.broadcast(model)
 
         def start(now=now):
             m = now.value
             own = Model(**vars(m) | {"attention": Attention(**vars(m.attention))})
-            adam, total = Adam(own.attention), [0]
+            adam, total, held = Adam(own.attention), [0], []
 
             def block(ids: list[bytes]):
                 total[0] += own.train(adam, _ids(ids))
+                if passes > 1:
+                    held.append(ids)
 
             def end():
+                for _ in range(passes - 1):
+                    for ids in held:
+                        own.train(adam, _ids(ids))
                 if total[0]:
                     w = own.attention.flat()
                     return np.arange(len(w)), w * total[0], np.full(len(w), total[0])
@@ -460,7 +474,7 @@ def fit(rows: DataFrame, counts: DataFrame, rounds: int = ROUNDS) -> Model:
     of_ids[ids] = n
     slots = slots_of(of_ids)
     model = Model.fit(of_ids, slots, slot_pairs(rows, slots, SLOTS))
-    train_on_all(model, rows, rounds)
+    train_on_all(model, rows, rounds, *trainers(int(of_ids.sum())))
     return model
 
 
