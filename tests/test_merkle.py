@@ -117,3 +117,24 @@ def test_streamed_log_has_the_same_head(spark, tmp_path):
         q.awaitTermination()
         assert told[-1][1:] == (b, root(leaves_of(b)).hex())
     assert sorted(r["idx"] for r in spark.read.parquet(str(tmp_path / "log")).collect()) == list(range(23))
+
+
+@pytest.mark.parametrize("sizes", [(0, 1, 1, 3, 8, 21), (7, 1, 9), (16, 16), (5, 40), (1, 63, 1)])
+def test_a_tree_grows_by_what_new_leaves_complete(spark, sizes):
+    log, kept, n, hashed = log_of(spark, sum(sizes)), None, 0, 0
+    for more in sizes:
+        if not more:
+            continue
+        new = merkle.leaves(log.where((F.col("idx") >= n) & (F.col("idx") < n + more)))
+        known = merkle.chosen(kept, merkle.peaks(n)) if kept is not None else {}
+        made = merkle.grown(new, n, more, known, block_bits=2)
+        rows = made.collect()
+        assert len(rows) <= 2 * more + max(1, n).bit_length()  # leaves and the nodes that they complete: nothing twice
+        kept = spark.createDataFrame(rows, made.schema) if kept is None else kept.unionByName(spark.createDataFrame(rows, made.schema))
+        n, hashed = n + more, hashed + len(rows)
+        assert len(merkle.peaks(n)) == bin(n).count("1")
+        got = {(r["level"], r["idx"]): bytes(r["hash"]) for r in merkle.whole(kept, n).collect()}
+        anew = merkle.nodes(merkle.leaves(log.where(F.col("idx") < n)), n).collect()
+        assert got == {(r["level"], r["idx"]): bytes(r["hash"]) for r in anew}
+        assert got[(n - 1).bit_length(), 0] == root(leaves_of(n))
+    assert hashed == sum(n >> level for level in range(n.bit_length()))

@@ -7,6 +7,8 @@ leaves the proofs of all of them are about n log n rows, found in one pass.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -75,6 +77,80 @@ def nodes(leaves_: DataFrame, size: int, block_bits: int = BLOCK_BITS) -> DataFr
     return out
 
 
+# A log's nodes that are complete, those over 2**level leaves each, never change again. So a tree that is kept consists of
+# them alone, and grows by what new leaves complete; what stands over the last, incomplete stretch follows from at most one
+# node a level.
+
+
+def peaks(size: int) -> list[tuple[int, int]]:
+    """(level, idx) of the complete nodes that a log of that size is made of, the largest first."""
+    return [(level, (size >> level) - 1) for level in reversed(range(size.bit_length())) if size >> level & 1]
+
+
+def chosen(tree: DataFrame, wanted: list[tuple[int, int]]) -> dict[tuple[int, int], bytes]:
+    """Hashes of a few nodes. The filter reaches the files' statistics, so that only row groups that may hold them are read."""
+    if not wanted:
+        return {}
+    one = lambda at: (F.col("level") == at[0]) & (F.col("idx") == at[1])
+    rows = tree.where(reduce(Column.__or__, map(one, wanted))).select("level", "idx", "hash").collect()  # as many as are wanted
+    return {(r["level"], r["idx"]): bytes(r["hash"]) for r in rows}
+
+
+def grown(new_leaves: DataFrame, size: int, more: int, known: dict[tuple[int, int], bytes], block_bits: int = BLOCK_BITS) -> DataFrame:
+    """level, idx, hash of the nodes that `more` leaves (idx from `size` on, hash) complete in a log of `size`, leaves included.
+
+    known: the hashes of the old log's peaks(). Nothing else of the old log is read, and no node is hashed that was complete
+    before: that is `more` leaves and fewer than more + log2(size) nodes over them. One shuffle for every block_bits levels.
+    """
+    none = F.array().cast("array<binary>")
+    base, level = new_leaves.select(F.col("idx").cast("long").alias("idx"), "hash"), 0
+    out = base.select(F.lit(0).alias("level"), "idx", "hash")
+    top = (size + more).bit_length() - 1
+    while level < top and size + more >> level + 1 > size >> level + 1:
+        bits = min(block_bits, top - level)
+        ordered = F.transform(F.array_sort(F.collect_list(F.struct("idx", "hash"))), lambda s: s["hash"])
+        block = base.groupBy(F.shiftright("idx", bits).alias("block")).agg(ordered.alias("l0"))
+        first = F.col("block") == (size >> level) >> bits  # the one that goes on where the old log ended
+        for i in range(bits):
+            before = (level + i, (size >> level + i) - 1)
+            row = F.when(first, F.concat(F.array(F.lit(known[before])), f"l{i}")).otherwise(F.col(f"l{i}")) if size >> level + i & 1 else F.col(f"l{i}")
+            block = block.withColumn(f"r{i}", row)  # a projection each, so that no level is written out twice
+            block = block.withColumn(f"l{i + 1}", F.coalesce(_pairs(F.col(f"r{i}")), none))
+        rows = block.select("block", first.alias("first"), F.posexplode(F.array(*[f"l{i + 1}" for i in range(bits)])).alias("up", "hashes"))
+        rows = rows.select("block", "first", "up", F.posexplode("hashes").alias("at", "hash"))
+        begin = F.when(F.col("first"), F.call_function("shiftright", F.lit(size >> level), F.col("up") + 1)).otherwise(F.expr(f"shiftleft(block, {bits} - 1 - up)"))
+        made = settled(rows.select((F.lit(level + 1) + F.col("up")).cast("int").alias("level"), (begin + F.col("at")).cast("long").alias("idx"), "hash"))
+        out = out.unionByName(made)
+        level += bits
+        base = made.where(F.col("level") == level).select("idx", "hash")
+    return out
+
+
+def _pairs(row: Column) -> Column:
+    """The nodes over neighbours; a last one without a neighbour waits for it."""
+    places = F.when(F.size(row) > 1, F.sequence(F.lit(0), F.floor(F.size(row) / 2).cast("int") - 1))
+    return F.transform(places, lambda j: node(F.get(row, 2 * j), F.get(row, 2 * j + 1)))
+
+
+def edge(size: int, known: dict[tuple[int, int], bytes]) -> list[tuple[int, int, bytes]]:
+    """(level, idx, hash) of the incomplete nodes of a log of that size, one a level at most, from its peaks()."""
+    out, held = [], None
+    for level in range((size - 1).bit_length() if size > 1 else 0):
+        if size >> level & 1:
+            peak = known[level, (size >> level) - 1]
+            held = peak if held is None else _joined(peak, held)
+        if held is not None:
+            out.append((level + 1, size >> level + 1, held))
+    return out
+
+
+def whole(complete: DataFrame, size: int) -> DataFrame:
+    """level, idx, hash of all nodes of a log of that size, from those that are complete in it: what nodes() makes anew."""
+    rows = edge(size, chosen(complete, peaks(size)))
+    right = complete.sparkSession.createDataFrame(rows, "level int, idx long, hash binary")
+    return complete.select("level", "idx", "hash").unionByName(right)
+
+
 def head(tree: DataFrame, size: int) -> DataFrame:
     """size, root (hex) of a log of that size."""
     top = max(0, (size - 1).bit_length())
@@ -183,16 +259,10 @@ def bridge(spark: SparkSession, tree: DataFrame, old: int, new: int) -> tuple[tu
     """
     if not 0 < old <= new:
         raise ValueError(f"no log of {old} entries before one of {new}")
-    peaks, at = [], 0
-    for level in reversed(range(old.bit_length())):
-        if old >> level & 1:
-            peaks.append((level, at >> level))
-            at += 1 << level
-    asked = consistency_nodes(old, new)
-    wanted = spark.createDataFrame(sorted({*peaks, *asked}), "level int, idx long")
-    found = {(r["level"], r["idx"]): bytes(r["hash"]) for r in tree.join(F.broadcast(wanted), ["level", "idx"]).collect()}  # two steps a level
-    was = found[peaks[-1]]
-    for peak in reversed(peaks[:-1]):
+    asked, tops = consistency_nodes(old, new), peaks(old)
+    found = chosen(tree, sorted({*tops, *asked}))  # two steps a level
+    was = found[tops[-1]]
+    for peak in reversed(tops[:-1]):
         was = _joined(found[peak], was)
     return (old, was.hex()), (new, head(tree, new).first()["root"]), [found[n].hex() for n in asked]
 

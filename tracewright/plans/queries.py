@@ -268,6 +268,19 @@ def merkle_nodes(spark: SparkSession, d: str) -> DataFrame:
     return _tree(spark, d)[1].select("level", "idx", F.lower(F.hex("hash")).alias("hash"))
 
 
+@query("tree_append", nodes_sql(log_sql()) + "SELECT level, idx, h AS hash FROM nodes")
+def tree_append(spark: SparkSession, d: str) -> DataFrame:
+    """The same nodes, of a tree that is kept and grows by three appends, of which none reads the leaves before it."""
+    log = settled(_log(spark, d))
+    n, size = log.count(), 0
+    kept = spark.createDataFrame([], "level int, idx long, hash binary")
+    for upto in (n // 3, n // 3 + 1, n):
+        new = merkle.leaves(log.where((F.col("idx") >= size) & (F.col("idx") < upto)))
+        kept = settled(kept.unionByName(merkle.grown(new, size, upto - size, merkle.chosen(kept, merkle.peaks(size)))))
+        size = upto
+    return merkle.whole(kept, n).select("level", "idx", F.lower(F.hex("hash")).alias("hash"))
+
+
 _HEAD_SQL = "SELECT n AS size, (SELECT h FROM nodes WHERE level = (SELECT top FROM size) AND idx = 0) AS root FROM size"
 
 
