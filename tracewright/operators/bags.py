@@ -50,6 +50,11 @@ class Bag:
     def read(cls, spark: SparkSession, path: str) -> Bag:
         return cls(*(spark.read.parquet(f"{path}/{f.name}") for f in fields(cls)))
 
+    def settled(self) -> Bag:
+        """The bag as it is now: what is checked is what is taken in, whatever becomes of its files. Products stay where they
+        are; their hashes tell."""
+        return Bag(*(getattr(self, f.name) if f.name == "products" else settled(getattr(self, f.name)) for f in fields(self)))
+
     def folders(self) -> DataFrame:
         """folder of each record, in byte order."""
         return self.records.select("folder").orderBy("folder")
@@ -180,8 +185,9 @@ def complaints(bag: Bag, accepted: set[str] = frozenset(), allow_unsigned: bool
     why_head = head_complaint(bag.head, size, root, bound, has_links, accepted)
     if why_head and not (allow_unsigned and why_head in ("head unsigned", "signer not accepted")):
         whole.append(why_head)
-    unlike = bag.links.select(F.split(F.regexp_extract("supersedes", r"\A([^\n]*)", 1), "\t").alias("s")).select(F.get("s", F.lit(0)).alias("new"), F.get("s", F.lit(1)).alias("digest"))
-    twice = unlike.where("new <> '' and digest is not null").groupBy("new").agg(F.countDistinct("digest").alias("n")).where("n > 1")
+    said = _link_rows(bag)
+    twice = said.where("side = 'supersedes' and digest is not null").groupBy(F.col("target").alias("new")).agg(F.countDistinct("digest").alias("n")).where("n > 1")
+    out = out.unionByName(link_conflicts(said))
     out = out.unionByName(twice.select(F.lit("").alias("folder"), F.concat(F.lit("digests bound to "), "new").alias("complaint")))
     return out.unionByName(spark.createDataFrame([("", w) for w in whole], "folder string, complaint string"))
 
@@ -194,6 +200,27 @@ def _link_rows(bag: Bag) -> DataFrame:
     return lines.select(F.col("id").alias("folder"), "side", F.get(parts, F.lit(0)).alias("target"), F.get(parts, F.lit(1)).alias("digest"))
 
 
+def link_conflicts(said: DataFrame) -> DataFrame:
+    """folder (empty), complaint: records that a bag's link files (folder, side, target) have superseded by several others,
+    superseding several, or superseding themselves, whichever side says so."""
+    forward = said.where("side = 'supersedes'").select(F.col("folder").alias("new"), F.col("target").alias("prior"))
+    links = forward.unionByName(said.where("side = 'successor'").select(F.col("target").alias("new"), F.col("folder").alias("prior"))).distinct()
+    itself = links.where("new = prior").select(F.concat("new", F.lit(" supersedes itself")).alias("complaint"))
+    several = handover.link_uniqueness(links.where("new <> prior"))
+    told = F.concat("id", F.when(F.col("side") == "prior", " is superseded by ").otherwise(" supersedes "), F.col("n").cast("string"), F.lit(" records"))
+    return several.select(told.alias("complaint")).unionByName(itself).select(F.lit("").alias("folder"), "complaint")
+
+
+def needed(records: DataFrame) -> DataFrame:
+    """id, hex of the products that records name."""
+    return records.select("id", F.explode("paths").alias("path")).where(is_address(F.col("path"))).select("id", F.substring("path", 8, 64).alias("hex")).distinct()
+
+
+def named_heads(bag: Bag) -> DataFrame:
+    """id and the bag's signed head, for the records whose proof names the same log."""
+    return bag.proofs.select("id", "size", "root").distinct().join(F.broadcast(bag.head.limit(1)), ["size", "root"]).select("id", "size", "root", "links", "signer", "signature")
+
+
 def link_complaints(bag: Bag) -> DataFrame:
     """folder, why: link lines whose digest isn't that of the record carried under the name."""
     carried = bag.records.select(F.col("id").alias("target"), F.concat(F.lit("sha256:"), F.sha2("payload", 256)).alias("_carried"))
@@ -208,13 +235,14 @@ def proven(bag: Bag, found: DataFrame) -> DataFrame:
     return n.crossJoin(bag.records.agg(F.count("*").alias("records")))  # one row each
 
 
-def refusals(bag: Bag, records: DataFrame, tombstones: DataFrame, log: DataFrame, supersedes: DataFrame, blobs: DataFrame, held_evidence: DataFrame, kept_heads: DataFrame) -> DataFrame:
+def refusals(bag: Bag, records: DataFrame, tombstones: DataFrame, log: DataFrame, supersedes: DataFrame, blobs: DataFrame, held_evidence: DataFrame, kept_heads: DataFrame, kept_signed: DataFrame | None = None) -> DataFrame:
     """id, action of every record of a checked bag: put, log, same, or why it is refused.
 
     Beyond import_plan(): products come from the store where it keeps them unaltered, else from the bag; a source that the
     bag doesn't carry must be the store's, with the digest named and good evidence (held_evidence: id, verdict); a record
     named as prior or successor that the store has must have the digest named; the store may not have another link on the
-    same side; a proof kept for the record (kept_heads: id, size, root, digest, unix_time) must be of the same entry.
+    same side; a proof kept for the record (kept_heads: id, size, root, digest, unix_time) must be of the same entry, and a
+    signed head kept for it (kept_signed: id, size, root) of the log that this proof names, if the bag's own head is.
     """
     sent = bag.proofs.select("idx", "id", "digest", "unix_time")
     plan = handover.import_plan(bag.records.select("id", "digest"), sent, records, log, tombstones)
@@ -232,16 +260,19 @@ def refusals(bag: Bag, records: DataFrame, tombstones: DataFrame, log: DataFrame
     theirs = supersedes.select(F.col("new").alias("_new"), "prior").distinct()
     clash = mine.join(theirs, "prior").where("new <> _new").groupBy(F.col("new").alias("id")).agg(F.lit("refused: prior already superseded").alias("_clash"))
     kept = blobs.select("hex", F.sha2("content", 256).alias("sha")).where("sha = hex").select("hex").distinct()
-    need = bag.records.select("id", F.explode("paths").alias("path")).where(is_address(F.col("path"))).select("id", F.substring("path", 8, 64).alias("hex"))
+    need = needed(bag.records)
     carried = bag.products.select("hex", F.sha2("content", 256).alias("sha")).where("sha = hex").select("hex").distinct()
     missing = need.join(kept, "hex", "left_anti").join(carried, "hex", "left_anti").groupBy("id").agg(F.concat(F.lit("refused: product "), F.min("hex")).alias("_product"))
     entry = sent.select("id", F.col("digest").alias("_d"), F.col("unix_time").alias("_t"))
     unlike = kept_heads.join(entry, "id").where("digest <> _d or unix_time <> _t").groupBy("id").agg(F.lit("refused: another proof is kept").alias("_proof"))
+    signed = named_heads(bag).select("id", "size", "root").join(kept_heads.select("id", "size", "root").distinct(), ["id", "size", "root"], "left_semi")
+    held = kept_heads.sparkSession.createDataFrame([], "id string, size long, root string") if kept_signed is None else kept_signed
+    other = signed.join(held.select("id", F.col("size").alias("_s"), F.col("root").alias("_r")), "id").where("size <> _s or root <> _r").groupBy("id").agg(F.lit("refused: another head is kept").alias("_head"))
     out = plan
-    for t in (wrong, clash, missing, unlike):
+    for t in (wrong, clash, missing, unlike, other):
         out = out.join(t, "id", "left")
     refused = F.when(F.col("action").startswith("refused"), F.col("action"))
-    return out.select("id", F.coalesce(refused, "_link", "_clash", "_product", "_proof", "action").alias("action"))
+    return out.select("id", F.coalesce(refused, "_link", "_clash", "_product", "_proof", "_head", "action").alias("action"))
 
 
 def in_log_order(bag: Bag, rows: DataFrame) -> DataFrame:

@@ -790,6 +790,24 @@ def import_refusals(spark: SparkSession, d: str) -> DataFrame:
     return bags.refusals(bag, own, none("id string"), log, none("new string, prior string, digest string"), none("hex string, content binary"), none("id string, verdict string"), heads)
 
 
+@query(
+    "import_link_conflicts",
+    "WITH links AS (SELECT DISTINCT new, prior FROM (SELECT o_orderkey AS new, o_orderkey - o_orderkey % 3 AS prior FROM orders WHERE o_orderkey % 5 < 2 UNION ALL SELECT o_orderkey, o_custkey FROM orders WHERE o_orderstatus = 'F')), "
+    "apart AS (SELECT * FROM links WHERE new <> prior) "
+    "SELECT '' AS folder, 'deed-file-' || prior || ' is superseded by ' || count(*) || ' records' AS complaint FROM apart GROUP BY prior HAVING count(*) > 1 "
+    "UNION ALL SELECT '', 'deed-file-' || new || ' supersedes ' || count(*) || ' records' FROM apart GROUP BY new HAVING count(*) > 1 "
+    "UNION ALL SELECT '', 'deed-file-' || new || ' supersedes itself' FROM links WHERE new = prior",
+)
+def import_link_conflicts(spark: SparkSession, d: str) -> DataFrame:
+    """What is wrong with the links that a bag's folders name, one a side of orders: priors by key, successors by customer."""
+    orders = corpus.load(spark, d, "orders")
+    name = lambda c: F.concat(F.lit("deed-file-"), c.cast("string"))
+    key = F.col("o_orderkey")
+    forward = orders.where(key % 5 < 2).select(name(key).alias("folder"), F.lit("supersedes").alias("side"), name(key - key % 3).alias("target"))
+    back = orders.where("o_orderstatus = 'F'").select(name(F.col("o_custkey")).alias("folder"), F.lit("successor").alias("side"), name(key).alias("target"))
+    return bags.link_conflicts(forward.unionByName(back))
+
+
 @query("imported_log_order", _EXPORT + f"SELECT row_number() OVER (ORDER BY {EPOCH} + n, id) - 1 AS nth, id FROM {_FLAWED}")
 def imported_log_order(spark: SparkSession, d: str) -> DataFrame:
     """The log lines of a bag, in the sender's order without gaps."""
