@@ -56,8 +56,8 @@ def test_check(spark, sent):
     start, end, steps = store.bridge(2)
     assert end == (n, store.head().first()["root"]) and store.tree()[0] is tree
     assert told(store.check(bag, {KEY.hex()}, kept=start, joins=(start, end, steps))) == []
-    assert told(store.check(bag, {KEY.hex()}, kept=start)) == [("", "no bridge from the kept head of 2 entries")]
-    assert merkle.since((9, "a"), end, None).startswith("the log shrank") and merkle.since((2, "0" * 64), end, (start, end, steps)).startswith("the bridge starts")
+    assert told(store.check(bag, {KEY.hex()}, kept=start)) == [("", "head: no bridge")]
+    assert told(store.check(bag, {KEY.hex()}, kept=(9, "a"))) == [("", "head: fewer entries than kept")]
     changed = Bag.read(spark, bag)
     changed.links = changed.links.withColumn("successor", F.lit(None).cast("string"))
     changed.records = changed.records.withColumn("folder", F.when(F.col("id") == "deed-file-two", "deed-file-zwei").otherwise(F.col("folder")))

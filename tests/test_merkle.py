@@ -138,3 +138,35 @@ def test_a_tree_grows_by_what_new_leaves_complete(spark, sizes):
         assert got == {(r["level"], r["idx"]): bytes(r["hash"]) for r in anew}
         assert got[(n - 1).bit_length(), 0] == root(leaves_of(n))
     assert hashed == sum(n >> level for level in range(n.bit_length()))
+
+
+def test_consistency_of_many_heads(spark):
+    """Every pair of sizes by columns, as one pair on the driver says; a changed node or root is never proven."""
+    n = 37
+    roots = [root(leaves_of(i)).hex() for i in range(n + 1)]
+    pairs = [(m, k) for k in range(1, n + 1) for m in range(1, k + 1)]
+    paths = {(m, k): [x.hex() for x in subproof(m, leaves_of(k))] for m, k in pairs}
+    rows = [(m, roots[m], k, roots[k], paths[m, k], True) for m, k in pairs]
+    rows += [(m, roots[m], k, roots[k], [*paths[m, k][:i], "f" * 64, *paths[m, k][i + 1 :]], False) for m, k in pairs[::5] for i in range(len(paths[m, k]))]
+    rows += [(m, roots[m - 1], k, roots[k], paths[m, k], False) for m, k in pairs[::3]] + [(m, roots[m], k, roots[k - 1], paths[m, k], False) for m, k in pairs[::4]]
+    rows += [(0, roots[0], 5, roots[5], [], False), (5, roots[5], 3, roots[3], [], False), (3, roots[3], 7, roots[7], None, False), (3, roots[3], 7, roots[7], [*paths[3, 7], roots[1]], False), (3, roots[3], 7, roots[7], ["x" * 64] * len(paths[3, 7]), False)]
+    df = spark.createDataFrame(rows, "old long, was string, new long, now string, path array<string>, good boolean")
+    got = df.withColumn("proven", merkle.prefix_proven(F.col("old"), F.col("was"), F.col("new"), F.col("now"), F.col("path")))
+    assert got.where("proven <> good").collect() == []
+    for m, k in ((1, 2), (3, 7), (8, 16), (21, 37)):
+        one = df.limit(1).select(F.transform(merkle.consistency_steps(F.lit(m).cast("long"), F.lit(k).cast("long")), lambda s: F.concat_ws(",", s["level"], s["idx"])).alias("s")).first()["s"]
+        assert one == [f"{a},{b}" for a, b in merkle.consistency_nodes(m, k)]
+    tree = merkle.nodes(merkle.leaves(log_of(spark, n)), n)
+    made = {r["old"]: r["path"] for r in merkle.bridges(spark.range(1, n + 1).withColumnRenamed("id", "old"), tree, n).collect()}
+    assert made == {m: paths[m, n] for m in range(1, n + 1)}
+
+
+def test_head_changes(spark):
+    r, p = [root(leaves_of(i)).hex() for i in range(9)], [x.hex() for x in subproof(3, leaves_of(8))]
+    cases = {
+        "grown": (3, r[3], 8, r[8], 3, r[3], 8, r[8], p), "same": (8, r[8], 8, r[8], None, None, None, None, None), "no bridge": (3, r[3], 8, r[8], None, None, None, None, None),
+        "fewer entries than kept": (8, r[8], 3, r[3], 3, r[3], 8, r[8], p), "bridge from another head": (3, r[3], 8, r[8], 2, r[2], 8, r[8], p), "bridge to another head": (3, r[3], 8, r[8], 3, r[3], 7, r[7], p),
+        "not a prefix": (3, r[3], 8, r[8], 3, r[3], 8, r[8], p[::-1]),
+    }
+    rows = spark.createDataFrame([(*v, k) for k, v in cases.items()], f"{merkle.HEADS}, want string")
+    assert merkle.head_change(rows).where("change <> want").collect() == []

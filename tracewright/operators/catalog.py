@@ -78,7 +78,7 @@ def resolve(asked: DataFrame, records: DataFrame, tombstones: DataFrame, log: Da
     raw = F.col("raw")
     digest_hit = F.coalesce("_log", "_shelf")
     found = F.when(is_id(raw), raw).when(digest_hit.isNotNull(), digest_hit).when(F.col("_n") == 1, F.col("_path"))
-    why = F.when(found.isNotNull(), None).when(~is_address(raw), "not an id or address").when(F.col("_n") > 1, F.concat(F.lit("names "), F.col("_n").cast("string"), F.lit(" deeds"))).otherwise("not found")
+    why = F.when(found.isNotNull(), None).when(~is_address(raw), "not an id or address").when(F.col("_n") > 1, F.concat(F.lit("product of "), F.col("_n").cast("string"), F.lit(" records"))).otherwise("not found")
     return out.select("pos", "raw", found.alias("id"), why.alias("why"))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import itertools
 import shutil
 import tempfile
 from collections.abc import Iterator
@@ -72,7 +73,7 @@ def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield fold()
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node, root: for every node of an undirected edge table, the same root for all nodes of its component.
 
     Nodes are longs. The graph is contracted: each task folds the edges that it has to stars, then a round maps a node
@@ -86,7 +87,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
 
     edges = fold(edges.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).where("a <> b"))
     out: DataFrame | None = None
-    for turn in range(max_rounds):
+    for turn in itertools.count():
         if edges.isEmpty():
             break
         rank = _rank(turn)
@@ -102,8 +103,6 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
             out = step.select("node", F.col("to").alias("root"))
         else:
             out = settled(out.join(later, F.col("root") == F.col("_n"), "left").select("node", F.coalesce("_to", "root").alias("root")))
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     if out is None:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return out

@@ -16,26 +16,66 @@ def source_edges(records: DataFrame) -> DataFrame:
     return records.select(F.col("id").alias("a"), sources.alias("s")).select("a", F.col("s.value").alias("b")).distinct()
 
 
-def closure(edges: DataFrame, starts: DataFrame, max_rounds: int = 1000) -> DataFrame:
+def closure(edges: DataFrame, starts: DataFrame) -> DataFrame:
     """start, node, depth: what edges (a, b) lead to from each start (column id), one step at least, with the fewest steps.
 
-    Rounds extend all starts' frontiers together; pairs seen before are dropped, so cycles end. Each round is settled,
-    which keeps the plan short and survives a lost executor.
+    Ways without a choice are laid out first (chains()): of a chain that a start reaches it reaches the whole rest, by one
+    join. So a round is a branching, not a step; rows that a start has with as few steps before are dropped, so that cycles
+    end and paths that meet again are not walked twice. A start that comes to a node by a shorter way later goes on from it
+    again, which ends, as steps only become fewer. Each round is settled.
     """
     edges = settled(edges.select("a", "b").distinct())
-    frontier = starts.select(F.col("id").alias("start")).distinct().join(edges, F.col("start") == F.col("a")).select("start", F.col("b").alias("node"))
-    frontier = settled(frontier.distinct().withColumn("depth", F.lit(1)))
-    found = [frontier]
-    for depth in range(2, max_rounds + 2):
+    chain = chains(edges)
+    on = chain.select(F.col("node").alias("_node"), "chain", "at")
+    along = chain.select("chain", F.col("at").alias("_at"), F.col("node").alias("_next"))
+
+    def spread(rows: DataFrame) -> DataFrame:
+        """rows (start, node, depth) and what lies behind them on their chains, each pair with its fewest steps."""
+        there = rows.join(on, F.col("node") == F.col("_node"), "left")
+        # Of several places on one chain only those matter that are no further along with more steps than another.
+        behind = there.where("chain is not null").groupBy("start", "chain").agg(F.collect_list(F.struct("at", "depth")).alias("ways"))
+        far = behind.join(along, "chain").withColumn("depth", F.aggregate("ways", F.lit(None).cast("int"), lambda m, w: F.when(w["at"] < F.col("_at"), F.least(m, w["depth"] + F.col("_at") - w["at"])).otherwise(m)))
+        return rows.unionByName(far.where("depth is not null").select("start", F.col("_next").alias("node"), "depth")).groupBy("start", "node").agg(F.min("depth").cast("int").alias("depth"))
+
+    first = starts.select(F.col("id").alias("start")).distinct().join(edges, F.col("start") == F.col("a")).select("start", F.col("b").alias("node"), F.lit(1).alias("depth"))
+    found = frontier = settled(spread(first))
+    # Beyond a chain only its ends and the nodes with a choice lead on.
+    within = chain.join(chain.select("chain", (F.col("at") - 1).alias("at")), ["chain", "at"], "left_semi").select(F.col("node").alias("a"))
+    onward = settled(edges.join(within, "a", "left_anti"))
+    while True:
+        steps = frontier.join(onward, F.col("node") == F.col("a")).groupBy("start", F.col("b").alias("node")).agg((F.min("depth") + 1).alias("depth"))
+        known = found.select("start", "node", F.col("depth").alias("_known"))
+        better = lambda rows, known=known: rows.join(known, ["start", "node"], "left").where("_known is null or depth < _known").drop("_known")
+        frontier = settled(better(spread(better(steps))))
         if frontier.isEmpty():
+            return found
+        found = settled(found.unionByName(frontier).groupBy("start", "node").agg(F.min("depth").alias("depth")))
+
+
+def chains(edges: DataFrame) -> DataFrame:
+    """node, chain, at: stretches of nodes of which each leads to the next one only, and is all that leads there.
+
+    chain is the stretch's first node, at the place on it, from 0. Found by pointer doubling: every round doubles what a row
+    spans. Stretches that close to a circle, and nodes on no stretch, have no rows.
+    """
+    one = edges.groupBy("a").agg(F.count("*").alias("n"), F.min("b").alias("b")).where("n = 1").select("a", "b")
+    sole = edges.groupBy("b").agg(F.count("*").alias("n")).where("n = 1").select("b")
+    links = settled(one.join(sole, "b", "left_semi").where("a <> b").select(F.col("b").alias("node"), F.col("a").alias("back")))
+    heads = links.select(F.col("back").alias("node")).join(links.select("node"), "node", "left_anti")
+    known = settled(heads.select("node", F.col("node").alias("chain"), F.lit(0).alias("at")))
+    jump = links.withColumn("by", F.lit(1))
+    for _ in range(links.count().bit_length() + 1):
+        # Nodes whose jump lands on a known one are known; the others jump on from where they land.
+        landed = jump.join(known.withColumnRenamed("node", "back"), "back")
+        now = settled(landed.select("node", "chain", (F.col("at") + F.col("by")).cast("int").alias("at")))
+        if now.isEmpty():
             break
-        new = frontier.join(edges, F.col("node") == F.col("a")).select("start", F.col("b").alias("node")).distinct()
-        seen = reduce(DataFrame.unionByName, found)
-        frontier = settled(new.join(seen.select("start", "node"), ["start", "node"], "left_anti").withColumn("depth", F.lit(depth)))
-        found.append(frontier)
-    else:
-        raise RuntimeError(f"lineage is deeper than {max_rounds}")
-    return reduce(DataFrame.unionByName, found)
+        known = known.unionByName(now)
+        rest = settled(jump.join(now.select("node"), "node", "left_anti"))
+        onto = rest.select(F.col("node").alias("back"), F.col("back").alias("_back"), F.col("by").alias("_by"))
+        further = F.coalesce("_back", "back").alias("back"), (F.col("by") + F.coalesce("_by", F.lit(0))).alias("by")
+        jump = rest.join(onto, "back", "left").select("node", *further)
+    return known
 
 
 def trail(records: DataFrame, tombstones: DataFrame, starts: DataFrame) -> DataFrame:

@@ -267,15 +267,68 @@ def bridge(spark: SparkSession, tree: DataFrame, old: int, new: int) -> tuple[tu
     return (old, was.hex()), (new, head(tree, new).first()["root"]), [found[n].hex() for n in asked]
 
 
-def since(kept: tuple[int, str], now: tuple[int, str], joins: tuple[tuple[int, str], tuple[int, str], list[str]] | None) -> str | None:
-    """Why a head isn't the kept one grown, or None. joins: a bridge, if one came with it."""
-    if now[0] < kept[0]:
-        return f"the log shrank from {kept[0]} entries to {now[0]}"
-    if joins is None:
-        return None if kept == now else f"no bridge from the kept head of {kept[0]} entries"
-    start, end, path = joins
-    if start != kept:
-        return "the bridge starts from another head than the kept one"
-    if end != now:
-        return "the bridge ends at another head than this one"
-    return None if consistent(start[0], start[1], end[0], end[1], path) else f"the log of {end[0]} entries is not the one of {start[0]} grown"
+def consistency_steps(old: Column, new: Column) -> Column:
+    """consistency_nodes() as an array of (level, idx); null unless 0 < old < new."""
+    base = F.bit_count(old.bitwiseAND(-old) - 1).cast("int")  # how many levels the last complete subtree has
+    at = lambda level, idx: F.struct(level.cast("int").alias("level"), idx.cast("long").alias("idx"))
+    beside = lambda level: _up_by(old - 1, level).bitwiseXOR(F.lit(1).cast("long"))
+    over = F.filter(F.sequence(F.lit(0), F.lit(62)), lambda level: (level >= base) & (_up_by(new - 1, level) > 0) & (beside(level) <= _up_by(new - 1, level)))
+    own = F.when(_up_by(old, base) > 1, F.array(at(base, _up_by(old, base) - 1))).otherwise(F.array().cast("array<struct<level:int,idx:bigint>>"))
+    return F.when((old > 0) & (old < new), F.concat(own, F.transform(over, lambda level: at(level, beside(level)))))
+
+
+def prefix_proven(old: Column, old_root: Column, new: Column, new_root: Column, path: Column) -> Column:
+    """consistent() for rows: whether both heads follow from a proof's nodes, folded upwards.
+
+    A node to the left of the way up from the old log's last entry is part of both logs, one to its right of the new one.
+    """
+    old, new = old.cast("long"), new.cast("long")
+    steps = F.zip_with(consistency_steps(old, new), path, lambda at, h: F.struct(at["level"].alias("level"), F.unhex(h).alias("hash")))
+    complete = old.bitwiseAND(old - 1) == 0  # then the old root stands for its own last subtree
+    begin = F.when(complete, F.unhex(old_root)).otherwise(F.get(steps, F.lit(0))["hash"])
+    rest = F.when(complete, steps).otherwise(F.slice(steps, 2, F.greatest(F.size(steps) - 1, F.lit(0))))
+    left = lambda level: _up_by(old - 1, level).bitwiseAND(F.lit(1).cast("long")) == 1
+    both = lambda at, s: F.struct(node(s["hash"], at["was"]).alias("was"), node(s["hash"], at["now"]).alias("now"))
+    one = lambda at, s: F.struct(at["was"].alias("was"), node(at["now"], s["hash"]).alias("now"))
+    ends = F.aggregate(rest, F.struct(begin.alias("was"), begin.alias("now")), lambda at, s: F.when(left(s["level"]), both(at, s)).otherwise(one(at, s)))
+    fits = (F.size(path) == F.size(consistency_steps(old, new))) & F.forall(path, lambda h: F.length(h) == 64)
+    proven = fits & (F.lower(F.hex(ends["was"])) == old_root) & (F.lower(F.hex(ends["now"])) == new_root)
+    return F.coalesce(F.when(old == new, (F.size(path) == 0) & (old_root == new_root)).otherwise(proven), F.lit(False))
+
+
+def bridges(olds: DataFrame, tree: DataFrame, size: int) -> DataFrame:
+    """old, path (hex): the consistency proof from each size in olds (column old) to the log's, all by one join with its nodes."""
+    each = olds.select("old", F.posexplode(consistency_steps(F.col("old").cast("long"), F.lit(size).cast("long"))).alias("pos", "at"))
+    found = each.select("old", "pos", "at.level", "at.idx").join(tree.select("level", "idx", "hash"), ["level", "idx"])
+    paths = found.groupBy("old").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.lower(F.hex("hash")).alias("h")))), lambda s: s["h"]).alias("path"))
+    return olds.select("old").join(paths, "old", "left").select("old", F.coalesce("path", F.array().cast("array<string>")).alias("path"))
+
+
+def every_head(leaves_: DataFrame, tree: DataFrame, size: int) -> DataFrame:
+    """old, root (hex) of the log at each of its sizes: the complete nodes that it was made of then, by one join, folded."""
+    olds = leaves_.select((F.col("idx") + 1).cast("long").alias("old"))
+    own = F.filter(F.sequence(F.lit(0), F.lit(62)), lambda level: _up_by(F.col("old"), level).bitwiseAND(F.lit(1).cast("long")) == 1)
+    each = olds.select("old", F.explode(own).alias("level")).withColumn("idx", F.expr("shiftright(old, level) - 1"))
+    parts = each.join(tree.where(F.col("level") <= size.bit_length()).select("level", "idx", "hash"), ["level", "idx"]).groupBy("old").agg(F.array_sort(F.collect_list(F.struct("level", "hash"))).alias("p"))
+    top = F.aggregate(F.slice("p", 2, F.greatest(F.size("p") - 1, F.lit(0))), F.get("p", F.lit(0))["hash"], lambda h, s: node(s["hash"], h))
+    return parts.select("old", F.lower(F.hex(top)).alias("root"))
+
+
+#: A head seen before, the head shown now, and the bridge that came with it, if any (then its heads and path).
+HEADS = "kept_size long, kept_root string, size long, root string, from_size long, from_root string, to_size long, to_root string, path array<string>"
+
+
+def head_change(rows: DataFrame) -> DataFrame:
+    """rows (HEADS and more) with change: same, grown, or why the head isn't the kept one grown."""
+    is_head = lambda size, root, at: (F.col(size) == F.col(f"{at}size")) & (F.col(root) == F.col(f"{at}root"))
+    unbridged = F.col("from_size").isNull()
+    why = (
+        F.when(F.col("size") < F.col("kept_size"), "fewer entries than kept")
+        .when(unbridged & is_head("size", "root", "kept_"), "same")
+        .when(unbridged, "no bridge")
+        .when(~is_head("from_size", "from_root", "kept_"), "bridge from another head")
+        .when(~is_head("to_size", "to_root", ""), "bridge to another head")
+        .when(~prefix_proven(F.col("kept_size"), F.col("kept_root"), F.col("size"), F.col("root"), F.col("path")), "not a prefix")
+        .otherwise(F.when(F.col("size") == F.col("kept_size"), "same").otherwise("grown"))
+    )
+    return rows.withColumn("change", why)

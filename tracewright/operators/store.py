@@ -288,8 +288,12 @@ class Store:
         bag = bags.Bag.read(self.spark, path)
         out = bags.complaints(bag, accepted, allow_unsigned)
         held = bags.held_head(bag)
-        why = merkle.since(kept, held, joins) if kept is not None and held is not None else None
-        return out.unionByName(self.spark.createDataFrame([("", why)] if why else [], "folder string, complaint string"))
+        if kept is None or held is None:
+            return out
+        start, end, path = joins or ((None, None), (None, None), None)
+        change = merkle.head_change(self.spark.createDataFrame([(*kept, *held, *start, *end, path)], merkle.HEADS))
+        why = change.where("change not in ('same', 'grown')").select(F.lit("").alias("folder"), F.concat(F.lit("head: "), "change").alias("complaint"))
+        return out.unionByName(why)
 
     def import_bag(self, path: str, accepted: set[str] = frozenset(), allow_unsigned: bool = False) -> DataFrame:
         """Take in the bag under path, if it checks and nothing is refused; id, action of its records, or its complaints.

@@ -99,7 +99,7 @@ RESOLVE_SQL = (
     "asked AS ({asked}), inlog AS (SELECT digest AS raw, max(id) AS i FROM live SEMI JOIN log USING (id, digest) GROUP BY 1), onshelf AS (SELECT digest AS raw, max(id) AS i FROM live GROUP BY 1), "
     "paths AS (SELECT p AS raw, count(DISTINCT id) AS n, max(id) AS i FROM (SELECT id, unnest(paths) AS p FROM live) GROUP BY 1) "
     "SELECT pos, raw, CASE WHEN starts_with(raw, 'deed-') THEN raw ELSE coalesce(inlog.i, onshelf.i, CASE WHEN n = 1 THEN paths.i END) END AS id, "
-    "CASE WHEN starts_with(raw, 'deed-') OR coalesce(inlog.i, onshelf.i) IS NOT NULL OR n = 1 THEN NULL WHEN NOT regexp_matches(raw, '^sha256:[0-9a-f]{{64}}$') THEN 'not an id or address' WHEN n > 1 THEN 'names ' || n || ' deeds' ELSE 'not found' END AS why "
+    "CASE WHEN starts_with(raw, 'deed-') OR coalesce(inlog.i, onshelf.i) IS NOT NULL OR n = 1 THEN NULL WHEN NOT regexp_matches(raw, '^sha256:[0-9a-f]{{64}}$') THEN 'not an id or address' WHEN n > 1 THEN 'product of ' || n || ' records' ELSE 'not found' END AS why "
     "FROM asked LEFT JOIN inlog USING (raw) LEFT JOIN onshelf USING (raw) LEFT JOIN paths USING (raw)"
 )
 
@@ -343,8 +343,33 @@ def log_is_prefix(spark: SparkSession, d: str) -> DataFrame:
     rows = []
     for old in sorted({max(1, n * k // 4) for k in (1, 2, 3, 4)}):
         start, end, path = merkle.bridge(spark, tree, old, n)
-        rows.append((old, start[1], end[1] if merkle.since(start, end, (start, end, path)) is None else None))
-    return spark.createDataFrame(rows, "old long, was string, now string")
+        rows.append((*start, *end, *start, *end, path))
+    changes = merkle.head_change(spark.createDataFrame(rows, merkle.HEADS))
+    return changes.select(F.col("kept_size").alias("old"), F.col("kept_root").alias("was"), F.when(F.col("change").isin("same", "grown"), F.col("root")).alias("now"))
+
+
+_EVERY_PREFIX = (
+    nodes_sql(log_sql()).rstrip() + ", olds AS MATERIALIZED (SELECT idx + 1 AS old, CASE WHEN idx < 1 THEN 0 ELSE ceil(log2(idx + 1))::INT END AS t FROM log), "
+    "part(old, t, level, idx, h) AS (SELECT old, t, 0, idx::BIGINT, h FROM olds JOIN leaves ON idx < old UNION ALL "
+    "SELECT old, t, level + 1, idx // 2, CASE WHEN count(*) = 2 THEN sha256(unhex('01' || arg_min(h, idx) || arg_max(h, idx))) ELSE min(h) END FROM part WHERE level < t GROUP BY old, t, level, idx // 2), "
+    "was AS (SELECT old, h FROM part WHERE level = t AND idx = 0) "
+)
+
+
+@query(
+    "prefix_bridges",
+    _EVERY_PREFIX + "SELECT w.old, CASE WHEN w.old = (SELECT n FROM size) THEN 'same' WHEN coalesce(c.h, w.h) = w.h THEN 'grown' ELSE 'not a prefix' END AS change FROM was w LEFT JOIN was c ON c.old = w.old - 1 AND w.old % 7 = 3",
+)
+def prefix_bridges(spark: SparkSession, d: str) -> DataFrame:
+    """What every earlier head of the log is to the log as it is now, by a proof each; of some the head before is claimed in its place."""
+    log, tree, n = _tree(spark, d)
+    heads = settled(merkle.every_head(merkle.leaves(log), tree, n))
+    claimed = heads.where("old % 7 = 2").select((F.col("old") + 1).alias("old"), F.col("root").alias("claimed"))
+    rows = merkle.bridges(heads, tree, n).join(heads, "old").join(claimed, "old", "left").withColumn("was", F.coalesce("claimed", "root"))
+    now = merkle.head(tree, n).first()["root"]
+    old = F.col("old").cast("long")
+    asked = rows.select(old.alias("kept_size"), F.col("was").alias("kept_root"), F.lit(n).cast("long").alias("size"), F.lit(now).alias("root"), old.alias("from_size"), F.col("was").alias("from_root"), F.lit(n).cast("long").alias("to_size"), F.lit(now).alias("to_root"), "path")
+    return merkle.head_change(asked).select(F.col("kept_size").alias("old"), "change")
 
 
 @query(
