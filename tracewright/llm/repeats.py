@@ -98,7 +98,10 @@ def anchors(phrases: np.ndarray, window: int, anchor: int) -> np.ndarray:
 
 
 def names(words: np.ndarray, k: int, at: np.ndarray) -> np.ndarray:
-    """128-bit names of the runs of k words that start at `at` (ascending), as two rows: two sums with weights of their own."""
+    """128-bit names of the runs of k words that start at `at` (ascending), as two rows: two sums with weights of their own.
+
+    They are made of 64-bit hashes of the words, so that two words that collide make equal names.
+    """
     low = int(at[0]) if len(at) else 0
     dense = len(at) > 0 and 3 * len(at) > int(at[-1]) - low  # then all runs between are as cheap
     n = int(at[-1]) - low + 1 if dense else len(at)
@@ -196,7 +199,7 @@ def remove(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, with_tex
     docs or the same. kept: the other words, joined by single spaces; null if none is removed, or without with_text.
     A null or empty text has no words; shorter texts than a window keep all; a row of docs is a document of its own also
     if doc_id is null or repeated; other columns are ignored; an empty table gives no rows. Of a window that goes the
-    anchor was located word by word, and all of it was named by 128 bits of strong word hashes.
+    anchor was located word by word, and all of it was named by 128 bits, of 64-bit word hashes.
     """
     dealt = settled_as_dealt(in_parts(docs))  # the rounds below don't send the texts again
     swept(docs.sparkSession)
