@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.derive import is_address, is_id, label, tag_texts
+from . import names
 
 #: How many candidates of a prefix are shown.
 SHOWN = 8
@@ -66,15 +67,20 @@ def resolve(asked: DataFrame, records: DataFrame, tombstones: DataFrame, log: Da
     An id passes as it is. Otherwise raw must be an address: the greatest logged live record that still has that digest;
     else the greatest served record with that digest; else the only served record with that product.
     """
-    live = served(records, tombstones)
-    keys = asked.select("raw").where(is_address(F.col("raw"))).distinct()
-    by_digest = live.join(keys, F.col("digest") == F.col("raw"), "left_semi").select("id", F.col("digest").alias("raw"))
-    logged = by_digest.join(log.select("id", F.col("digest").alias("raw")).distinct(), ["id", "raw"], "left_semi")
-    in_log = logged.groupBy("raw").agg(F.max("id").alias("_log"))
-    on_shelf = by_digest.groupBy("raw").agg(F.max("id").alias("_shelf"))
-    paths = live.select("id", F.explode(F.array_distinct("paths")).alias("raw")).join(keys, "raw", "left_semi")
-    by_path = paths.groupBy("raw").agg(F.count("*").alias("_n"), F.max("id").alias("_path"))
-    out = asked.join(in_log, "raw", "left").join(on_shelf, "raw", "left").join(by_path, "raw", "left")
+    return resolved(asked, names.of_records(records).unionByName(names.of_log(log)), tombstones)
+
+
+def resolved(asked: DataFrame, named: DataFrame, tombstones: DataFrame) -> DataFrame:
+    """resolve() by rows name, id, role (names.py), which may hold more than is asked for."""
+    keys = asked.select(F.col("raw").alias("name")).where(is_address(F.col("name"))).distinct()
+    hits = named.where("role <> 'id'").join(keys, "name", "left_semi").join(tombstones.select("id"), "id", "left_anti")
+    # By name and record first, so that of a product that very many records have a task sends one row on.
+    is_ = lambda role: F.max(F.col("role") == role)
+    each = hits.groupBy("name", "id").agg(is_("digest").alias("d"), is_("logged").alias("l"), is_("product").alias("p"))
+    most = lambda c: F.max(F.when(c, F.col("id")))
+    d, p = F.col("d"), F.col("p")
+    found = each.groupBy(F.col("name").alias("raw")).agg(most(d & F.col("l")).alias("_log"), most(d).alias("_shelf"), F.count_if(p).alias("_n"), most(p).alias("_path"))
+    out = asked.join(found, "raw", "left")
     raw = F.col("raw")
     digest_hit = F.coalesce("_log", "_shelf")
     found = F.when(is_id(raw), raw).when(digest_hit.isNotNull(), digest_hit).when(F.col("_n") == 1, F.col("_path"))
@@ -91,8 +97,12 @@ def prefix_candidates(records: DataFrame, tombstones: DataFrame, asked: DataFram
 
     A few different prefixes are broadcast; more are joined by equality with the names' beginnings of the lengths asked.
     """
-    live = served(records, tombstones).select("id", F.array_union(F.array("id", "digest"), "paths").alias("names"))
-    named = live.select("id", F.explode("names").alias("name"))
+    return candidates(names.of_records(records), tombstones, asked, shown)
+
+
+def candidates(named: DataFrame, tombstones: DataFrame, asked: DataFrame, shown: int = SHOWN) -> DataFrame:
+    """prefix_candidates() by rows name, id, role (names.py), which may hold more than begins so."""
+    named = named.where("role <> 'logged'").join(tombstones.select("id"), "id", "left_anti").select("name", "id")
     prefixes = asked.select("raw").where("raw is not null").distinct()
     if prefixes.limit(FEW_PREFIXES + 1).count() <= FEW_PREFIXES:
         hits = named.join(F.broadcast(prefixes), F.col("name").startswith(F.col("raw")))
@@ -102,10 +112,8 @@ def prefix_candidates(records: DataFrame, tombstones: DataFrame, asked: DataFram
         begun = named.select("id", "name", F.explode(F.array(*map(F.lit, lengths)).cast("array<int>")).alias("_n")).where(F.col("_n") <= F.length("name"))
         hits = begun.withColumn("raw", F.expr("substring(name, 1, _n)")).join(prefixes, "raw")
     each = hits.groupBy("raw", "id").agg(F.max(F.length("name") > F.length("raw")).alias("longer"))
-    # Only the first few ids of a prefix reach one task: they are ranked within id ranges first.
+    # A rank with a bound is kept to that many rows of a prefix in each task, before they are sent.
     counts = each.groupBy("raw").agg(F.count("*").alias("n"), F.max("longer").alias("longer"))
-    from pyspark.sql import Window
-
     first = each.select("raw", "id", F.row_number().over(Window.partitionBy("raw").orderBy("id")).alias("r")).where(F.col("r") <= shown)
     ids = first.groupBy("raw").agg(F.array_join(F.array_sort(F.collect_list("id")), ",").alias("ids"))
     return asked.join(counts, "raw", "left").join(ids, "raw", "left").select("raw", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("longer", F.lit(False)).alias("longer"), F.coalesce("ids", F.lit("")).alias("ids"))

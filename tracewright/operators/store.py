@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import crypto, derive, encoding
 from ..functions.encoding import KINDS, any_record_bytes, digest
 from ..plans.corpus import BODY, TAGGED
-from . import audit, bags, catalog, handover, lineage, merkle
+from . import audit, bags, catalog, handover, lineage, merkle, names
 from .commits import Commits, State, Transaction
 from .components import settled
 
@@ -34,6 +34,8 @@ TABLES = {
     "heads": "id string, size long, root string, digest string, unix_time long",
     "signed": "id string, size long, root string, links string, signer string, signature string",
     "nodes": "level int, idx long, hash binary",
+    "names": names.NAMES,
+    "sections": names.SECTIONS,
 }
 #: What a table's folders are named by, so that a filter on it reads no others.
 PARTITIONED = {"deeds": "kind"}
@@ -84,6 +86,11 @@ class Store:
     def _append(self, tx: Transaction, name: str, rows: DataFrame) -> None:
         tx.append(name, rows.select(*self._schemas[name]), PARTITIONED.get(name))
 
+    def _index(self, tx: Transaction, rows: DataFrame) -> None:
+        folder = tx.append("names", names.ranged(rows), per_file=names.PER_FILE)
+        if folder:
+            self._append(tx, "sections", names.sections(self.spark, self.path, folder))
+
     def _written(self, work: Callable[[Store, Transaction], DataFrame | int]) -> DataFrame | int:
         """What work(store as it is, transaction) gives, once what it wrote is in place. Its answers may not rest on files."""
         for _ in range(ATTEMPTS):
@@ -115,7 +122,16 @@ class Store:
 
     @_of_one_state
     def resolve(self, asked: DataFrame) -> DataFrame:
-        return catalog.resolve(asked, self.table("deeds"), self.table("tombstones"), self.table("log"))
+        """By the name index: of the names only those files are read that can hold one asked for."""
+        return catalog.resolved(asked, self._named(asked), self.table("tombstones"))
+
+    @_of_one_state
+    def candidates(self, asked: DataFrame, shown: int = catalog.SHOWN) -> DataFrame:
+        """raw, n, longer, ids (the first `shown`) for prefixes raw of ids, digests or products, by the name index."""
+        return catalog.candidates(self._named(asked, True), self.table("tombstones"), asked, shown)
+
+    def _named(self, asked: DataFrame, prefix: bool = False) -> DataFrame:
+        return names.looked_up(self.spark, self.path, self.table("sections"), asked.select(F.col("raw").alias("name")), prefix)
 
     @_of_one_state
     def trail(self, starts: DataFrame) -> DataFrame:
@@ -256,6 +272,7 @@ class Store:
     def _put(self, tx: Transaction, new: DataFrame) -> None:
         """Records, and evidence of them under this store's key."""
         self._append(tx, "deeds", new)
+        self._index(tx, names.of_records(new))
         mac = crypto.evidence_mac(self.key, F.col("payload"), F.col("unix_time"))
         self._append(tx, "evidence", new.select(F.col("id").alias("deed_id"), "produced_by", "grants", "unix_time", mac.alias("signature")))
 
@@ -266,6 +283,7 @@ class Store:
         more = lines.count()
         if more:
             self._append(tx, "log", lines)
+            self._index(tx, names.of_log(lines))
             known = merkle.chosen(self.table("nodes"), merkle.peaks(size))
             self._append(tx, "nodes", merkle.grown(merkle.leaves(lines), size, more, known))
             tx.facts["size"] = size + more
@@ -280,9 +298,17 @@ class Store:
         return tx.written("blobs", TABLES["blobs"]).select("hex").count()
 
     def compact(self, name: str) -> None:
-        """Put the files of many small commits together. Earlier states keep theirs."""
+        """Put the files of many small commits together. Earlier states keep theirs. Of names, the sections follow."""
+        if name in ("names", "sections"):
+            self._written(lambda at, tx: at._index_anew(tx))
+            return
         self._written(lambda at, tx: tx.replace(name, at.table(name).select(*at._schemas[name]), PARTITIONED.get(name)))
 
+    def _index_anew(self, tx: Transaction) -> None:
+        for name in ("names", "sections"):
+            tx.dropped[name] = list(tx.state.folders.get(name, ()))
+        self._index(tx, self.table("names"))
+
     def check(self, path: str, accepted: set[str] = frozenset(), allow_unsigned: bool = False, kept: tuple[int, str] | None = None, joins: tuple | None = None) -> DataFrame:
         """folder, complaint of the bag under path. kept: a head seen before, which the bag's must be grown from by the bridge joins."""
         bag = bags.Bag.read(self.spark, path)

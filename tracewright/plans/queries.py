@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,8 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions import crypto, derive
 from ..functions.encoding import KINDS, WITH_EVIDENCE, evidence_bytes, evidence_file
-from ..operators import audit, bags, catalog, handover, lineage, merkle
-from ..operators.components import settled
+from ..operators import audit, bags, catalog, handover, lineage, merkle, names
+from ..operators.components import settled, shared_folder
 from . import corpus, oracle
 from .corpus import EPOCH, WRITER_KEY
 from .oracle import LOG, SUPERSEDES, TOMBSTONES, UNLOGGED, digested_sql, log_sql, nodes_sql, records_sql
@@ -109,12 +110,36 @@ def _resolved(spark: SparkSession, d: str, asked: DataFrame, records: DataFrame)
     return catalog.resolve(asked, records, corpus.tombstones(spark, d), log)
 
 
-@query("resolve_digest", RESOLVE_SQL.format(asked="SELECT substr(id, 12)::BIGINT AS pos, digest AS raw FROM r UNION ALL SELECT -1, 'sha256:' || repeat('0', 64) UNION ALL SELECT -2, 'deed-file-unseen' UNION ALL SELECT -3, 'sha256:xyz'"))
-def resolve_digest(spark: SparkSession, d: str) -> DataFrame:
-    records = corpus.digested(corpus.files(spark, d), ("file",))
+ASKED_DIGESTS = "SELECT substr(id, 12)::BIGINT AS pos, digest AS raw FROM r UNION ALL SELECT -1, 'sha256:' || repeat('0', 64) UNION ALL SELECT -2, 'deed-file-unseen' UNION ALL SELECT -3, 'sha256:xyz'"
+
+
+def _asked_digests(spark: SparkSession, records: DataFrame) -> DataFrame:
     asked = records.select(F.substring("id", 12, 20).cast("long").alias("pos"), F.col("digest").alias("raw"))
     odd = spark.createDataFrame([(-1, "sha256:" + "0" * 64), (-2, "deed-file-unseen"), (-3, "sha256:xyz")], "pos long, raw string")
-    return _resolved(spark, d, asked.unionByName(odd), records)
+    return asked.unionByName(odd)
+
+
+@query("resolve_digest", RESOLVE_SQL.format(asked=ASKED_DIGESTS))
+def resolve_digest(spark: SparkSession, d: str) -> DataFrame:
+    records = corpus.digested(corpus.files(spark, d), ("file",))
+    return _resolved(spark, d, _asked_digests(spark, records), records)
+
+
+def _indexed(spark: SparkSession, records: DataFrame, log: DataFrame | None = None) -> tuple[str, DataFrame]:
+    """A name index of records and log in the shared folder: where it is, and its sections."""
+    base, folder = shared_folder(spark), f"names-{uuid.uuid4().hex}"
+    rows = names.of_records(records)
+    return base, settled(names.write(rows if log is None else rows.unionByName(names.of_log(log)), base, folder))
+
+
+@query("resolve_indexed", RESOLVE_SQL.format(asked=f"{ASKED_DIGESTS} UNION ALL SELECT substr(id, 12)::BIGINT + 1000000000, paths[1] FROM r"))
+def resolve_indexed(spark: SparkSession, d: str) -> DataFrame:
+    """Digests and products through the name index, written once and opened where it can hold them."""
+    records = settled(corpus.digested(corpus.files(spark, d), ("file",)).select("id", "digest", "paths"))
+    base, sections = _indexed(spark, records, records.join(corpus.unlogged(spark, d), "id", "left_anti"))
+    products = records.select((F.substring("id", 12, 20).cast("long") + 1_000_000_000).alias("pos"), F.col("paths")[0].alias("raw"))
+    asked = _asked_digests(spark, records).unionByName(products)
+    return catalog.resolved(asked, names.looked_up(spark, base, sections, asked.withColumnRenamed("raw", "name")), corpus.tombstones(spark, d))
 
 
 @query("resolve_product_path", RESOLVE_SQL.format(asked="SELECT substr(id, 12)::BIGINT AS pos, paths[1] AS raw FROM r"))
@@ -123,17 +148,27 @@ def resolve_product_path(spark: SparkSession, d: str) -> DataFrame:
     return _resolved(spark, d, records.select(F.substring("id", 12, 20).cast("long").alias("pos"), F.col("paths")[0].alias("raw")), records)
 
 
-@query(
-    "prefix_candidates",
+PREFIXES_SQL = (
     f"WITH live AS MATERIALIZED (SELECT id, list_distinct(list_concat([id, digest], paths)) AS names FROM ({LIVE}) AS l), asked AS (SELECT unnest(['deed-file-d1', 'sha256:a', 'deed-quote-c7-', 'nothing']) AS raw), "
     "each AS (SELECT raw, id, max(strlen(name)) > strlen(raw) AS longer FROM asked, (SELECT id, unnest(names) AS name FROM live) WHERE starts_with(name, raw) GROUP BY raw, id), "
     "ranked AS (SELECT *, row_number() OVER (PARTITION BY raw ORDER BY id) AS r FROM each) "
-    "SELECT raw, count(id) AS n, coalesce(bool_or(longer), FALSE) AS longer, coalesce(string_agg(id, ',' ORDER BY id) FILTER (r <= 8), '') AS ids FROM asked LEFT JOIN ranked USING (raw) GROUP BY raw",
+    "SELECT raw, count(id) AS n, coalesce(bool_or(longer), FALSE) AS longer, coalesce(string_agg(id, ',' ORDER BY id) FILTER (r <= 8), '') AS ids FROM asked LEFT JOIN ranked USING (raw) GROUP BY raw"
 )
+PREFIXES = [("deed-file-d1",), ("sha256:a",), ("deed-quote-c7-",), ("nothing",)]
+
+
+@query("prefix_candidates", PREFIXES_SQL)
 def prefix_candidates(spark: SparkSession, d: str) -> DataFrame:
     records = corpus.digested(corpus.shelf(spark, d, LINKED), LINKED)
-    asked = spark.createDataFrame([("deed-file-d1",), ("sha256:a",), ("deed-quote-c7-",), ("nothing",)], "raw string")
-    return catalog.prefix_candidates(records, corpus.tombstones(spark, d), asked)
+    return catalog.prefix_candidates(records, corpus.tombstones(spark, d), spark.createDataFrame(PREFIXES, "raw string"))
+
+
+@query("prefix_indexed", PREFIXES_SQL)
+def prefix_indexed(spark: SparkSession, d: str) -> DataFrame:
+    """Prefixes through the name index: the files whose range can hold a name that begins so."""
+    base, sections = _indexed(spark, corpus.digested(corpus.shelf(spark, d, LINKED), LINKED))
+    asked = spark.createDataFrame(PREFIXES, "raw string")
+    return catalog.candidates(names.looked_up(spark, base, sections, asked.withColumnRenamed("raw", "name"), prefix=True), corpus.tombstones(spark, d), asked)
 
 
 @query("flatten_rows", f"SELECT id, kind, kind || ' · ' || name AS label, array_to_string(paths, ',') AS paths, array_to_string(sources, ',') AS sources, agent, face FROM ({records_sql()}) AS r")
