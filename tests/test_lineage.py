@@ -6,6 +6,7 @@ import collections
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tracewright.operators import lineage
 
@@ -53,3 +54,45 @@ def test_a_long_chain_takes_few_rounds(spark, monkeypatch):
     got = {r["node"]: r["depth"] for r in lineage.closure(edges, spark.createDataFrame([("0",)], "id string")).collect()}
     assert got == {str(i): i for i in range(1, n + 1)}
     assert len(rounds) < 40  # two for each doubling, of which there are 13
+
+
+def plain_current(edges, starts):
+    reach = collections.defaultdict(set)
+    for s, n in walk(edges, {x for e in edges for x in e} | set(starts)):
+        reach[s].add(n)
+    onward = {a for a, _ in edges}
+    out = {}
+    for s in starts:
+        met = reach[s] | {s}
+        loop, ends = {n for n in met if n in reach[n]}, met - onward
+        out[s] = ("cycle" if loop else "fork" if len(ends) > 1 else "tip", ",".join(sorted(loop or ends)))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_current(spark, seed):
+    """Circles, tails to them, forks before and behind them, loops, several circles behind one fork."""
+    r = random.Random(seed)
+    edges = [("z", "a"), ("a", "m"), ("m", "a"), ("p", "q"), ("p", "r"), ("q", "s"), ("r", "s"), ("l", "l"), ("k", "l")]
+    edges += [(f"x{i}", f"x{(i + 1) % 7}") for i in range(7)] + [(f"t{i}", f"x{i % 3}") for i in range(5)] + [("f", "x1"), ("f", "a"), ("g", "f")]
+    edges += [(f"r{r.randrange(25)}", f"r{r.randrange(25)}") for _ in range(22)]
+    starts = sorted({x for e in edges for x in e} | {"alone"})
+    got = lineage.current(spark.createDataFrame(edges, "a string, b string"), spark.createDataFrame([(s,) for s in starts], "id string"))
+    assert {r["start"]: (r["outcome"], r["ids"]) for r in got.collect()} == plain_current(edges, starts)
+
+
+def test_a_great_circle_is_gone_round_by_doubling(spark, monkeypatch):
+    """A circle of 3,000 with a tail at each node: no walk from each start, few rounds, no more rows than nodes."""
+    n, rounds, settled = 3000, [], lineage.settled
+
+    def counted(df):
+        rounds.append(out := settled(df))
+        return out
+
+    monkeypatch.setattr(lineage, "settled", counted)
+    monkeypatch.setattr(lineage, "_walked", None)
+    edges = spark.range(n).selectExpr("concat('n', id) as a", f"concat('n', (id + 1) % {n}) as b")
+    edges = edges.unionByName(spark.range(n).selectExpr("concat('t', id) as a", "concat('n', id) as b"))
+    got = lineage.current(edges, edges.select(F.col("a").alias("id"))).select("outcome", F.size(F.split("ids", ",")).alias("n")).groupBy("outcome", "n").count().collect()
+    assert [tuple(r) for r in got] == [("cycle", n, 2 * n)]
+    assert len(rounds) < 25 and max(df.count() for df in rounds) == 2 * n

@@ -103,36 +103,48 @@ def successor_edges(live: DataFrame, supersedes: DataFrame, successor: DataFrame
     return said.distinct().join(live.select(F.col("id").alias("b")), "b", "left_semi").select("a", "b")
 
 
-def tips(edges: DataFrame) -> DataFrame:
-    """a, tip of the nodes whose way on has no choice up to its end: each has one edge, and so has all it leads to.
-
-    Every round doubles the steps that a row spans, so that a chain of n takes about log2 n of them. Nodes on the way to a
-    fork or a cycle have no row.
+def ways(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Where nodes lead whose way on has no choice, that is each node on it has one edge, up to an end or a circle.
+
+    First a, tip: those that come to an end. Then a, on, ring: those that come to a circle, with a node on it and its least
+    node. Every round doubles the steps that a row spans, so that a chain or circle of n takes about log2 n rounds, and no
+    round has a row a pair. Once a row spans as many steps as there are nodes, it has landed on the circle, and the row of
+    the node there has gone all around, so that the least node that it passed is the circle's. Nodes on the way to a fork
+    have no row.
     """
     edges = edges.select("a", "b").distinct()
     single = edges.groupBy("a").agg(F.count("*").alias("n"), F.min("b").alias("b")).where("n = 1").select("a", "b")
     ends = edges.select(F.col("b").alias("e")).distinct().join(edges.select(F.col("a").alias("e")).distinct(), "e", "left_anti")
-    jump = settled(single.join(ends.select(F.col("e").alias("b"), F.lit(True).alias("done")), "b", "left").select("a", "b", F.coalesce("done", F.lit(False)).alias("done")))
+    jump = settled(single.join(ends.select(F.col("e").alias("b"), F.lit(True).alias("done")), "b", "left").select("a", "b", F.col("b").alias("least"), F.coalesce("done", F.lit(False)).alias("done")))
     for _ in range(jump.count().bit_length()):
         open_ = jump.where("not done")
         if open_.isEmpty():
             break
-        on = jump.select(F.col("a").alias("b"), F.col("b").alias("c"), F.col("done").alias("reached"))
-        jump = settled(jump.where("done").unionByName(open_.join(on, "b").select("a", F.col("c").alias("b"), F.col("reached").alias("done"))))
-    return jump.where("done").select("a", F.col("b").alias("tip"))
+        on = jump.select(F.col("a").alias("b"), F.col("b").alias("c"), F.col("least").alias("_least"), F.col("done").alias("reached"))
+        jump = settled(jump.where("done").unionByName(open_.join(on, "b").select("a", F.col("c").alias("b"), F.least("least", "_least").alias("least"), F.col("reached").alias("done"))))
+    round_ = jump.where("not done")
+    around = round_.select(F.col("a").alias("on"), F.col("least").alias("ring"))
+    return jump.where("done").select("a", F.col("b").alias("tip")), round_.select("a", F.col("b").alias("on")).join(around, "on").select("a", "on", "ring")
 
 
 def current(edges: DataFrame, starts: DataFrame) -> DataFrame:
     """start, outcome, ids: where superseding leads from each start: tip (one record), fork (several) or cycle.
 
     A cycle on the way outweighs tips. Its ids are all reachable records that lead back to themselves. Starts that lead to
-    one tip without a choice, nearly all, are answered by tips(); only the others' ways are walked.
+    one tip or one cycle without a choice, nearly all, are answered by ways(), and a cycle's ids are put together once;
+    only the others' ways are walked.
     """
     edges = settled(edges.select("a", "b").distinct())
     every = starts.select(F.col("id").alias("start")).distinct()
-    straight = settled(every.join(tips(edges).withColumnRenamed("a", "start"), "start", "left").join(edges.select(F.col("a").alias("start"), F.lit(True).alias("_on")).distinct(), "start", "left"))
-    plain = straight.where("tip is not null or _on is null").select("start", F.lit("tip").alias("outcome"), F.coalesce("tip", "start").alias("ids"))
-    rest = settled(straight.where("tip is null and _on").select(F.col("start").alias("id")))
+    to_tip, to_ring = ways(edges)
+    to_ring = settled(to_ring)
+    found = to_tip.select(F.col("a").alias("start"), "tip", F.lit(None).cast("string").alias("ring")).unionByName(to_ring.select(F.col("a").alias("start"), F.lit(None).cast("string").alias("tip"), F.col("ring").cast("string").alias("ring")))
+    straight = settled(every.join(found, "start", "left").join(edges.select(F.col("a").alias("start"), F.lit(True).alias("_on")).distinct(), "start", "left"))
+    plain = straight.where("ring is null and (tip is not null or _on is null)").select("start", F.lit("tip").alias("outcome"), F.coalesce("tip", "start").alias("ids"))
+    # All nodes of a circle are landed on: to jump along it maps it onto itself.
+    members = to_ring.select("on", "ring").distinct().groupBy("ring").agg(F.array_join(F.array_sort(F.collect_list("on")), ",").alias("ids"))
+    plain = plain.unionByName(straight.where("ring is not null").select("start", "ring").join(members, "ring").select("start", F.lit("cycle").alias("outcome"), "ids"))
+    rest = settled(straight.where("tip is null and ring is null and _on").select(F.col("start").alias("id")))
     if rest.isEmpty():
         return plain
     return plain.unionByName(_walked(edges, rest))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import crypto, derive
@@ -475,13 +475,22 @@ def current_summary(spark: SparkSession, d: str) -> DataFrame:
     return lineage.current_summary(_walks(spark, d))
 
 
-CYCLE = [("z", "a"), ("a", "m"), ("m", "a"), ("p", "q"), ("p", "r"), ("q", "s"), ("r", "s")]
-
-
-@query("current_cycle_fixture", "SELECT * FROM (VALUES ('a', 'cycle', 'a,m'), ('m', 'cycle', 'a,m'), ('p', 'tip', 's'), ('q', 'tip', 's'), ('r', 'tip', 's'), ('s', 'tip', 's'), ('z', 'cycle', 'a,m')) AS t(start, outcome, ids)")
-def current_cycle_fixture(spark: SparkSession, d: str) -> DataFrame:
-    edges = spark.createDataFrame(CYCLE, "a string, b string")
-    return lineage.current(edges, spark.createDataFrame([(x,) for x in "ampqrsz"], "id string"))
+@query(
+    "current_cycles",
+    "WITH o AS (SELECT o_custkey AS c, string_agg('o' || o_orderkey, ',' ORDER BY 'o' || o_orderkey) AS ids FROM orders GROUP BY 1) "
+    "SELECT 'o' || o_orderkey AS start, 'cycle' AS outcome, ids FROM orders JOIN o ON o_custkey = c "
+    "UNION ALL SELECT 'c' || c_custkey, CASE WHEN ids IS NULL THEN 'tip' ELSE 'cycle' END, coalesce(ids, 'c' || c_custkey) FROM customer LEFT JOIN o ON c_custkey = c",
+)
+def current_cycles(spark: SparkSession, d: str) -> DataFrame:
+    """Each customer's orders in a circle, an order to the customer's next and the last to the first; customers lead to their last order."""
+    named = lambda c, name: F.concat(F.lit(c), F.col(name).cast("string"))
+    orders = corpus.load(spark, d, "orders").select("o_custkey", "o_orderkey", named("o", "o_orderkey").alias("a"))
+    turn = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    first = orders.groupBy("o_custkey").agg(F.min_by("a", "o_orderkey").alias("first"), F.max_by("a", "o_orderkey").alias("last"))
+    circle = orders.withColumn("next", F.lead("a").over(turn)).join(first, "o_custkey").select("a", F.coalesce("next", "first").alias("b"))
+    customers = corpus.load(spark, d, "customer").select("c_custkey", named("c", "c_custkey").alias("a"))
+    edges = circle.unionByName(customers.join(first, F.col("c_custkey") == F.col("o_custkey")).select("a", F.col("last").alias("b")))
+    return lineage.current(edges, orders.select(F.col("a").alias("id")).unionByName(customers.select(F.col("a").alias("id"))))
 
 
 # Audit ----------------------------------------------------------------------------------------------------------------
