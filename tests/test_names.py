@@ -97,7 +97,7 @@ def test_store_keeps_the_index(spark, tmp_path):
     asked = digests.select(F.crc32("k").alias("pos"), "raw").unionByName(spark.createDataFrame([(1, "sha256:" + "0" * 64)], "pos long, raw string"))
     by_scan = lambda: sorted(map(str, catalog.resolve(asked, store.table("deeds"), store.table("tombstones"), store.table("log")).collect()))
     by_index = lambda: sorted(map(str, store.resolve(asked).collect()))
-    assert by_index() == by_scan() and len(store._state().folders["names"]) == 6
+    assert by_index() == by_scan() and len(store._state().folders["names"]) == 3
     store.compact("names")
     assert by_index() == by_scan() and len(store._state().folders["names"]) == len(store._state().folders["sections"]) == 1
     assert store.candidates(spark.createDataFrame([("deed-file-",)], "raw string")).first()["n"] == 5

@@ -91,6 +91,13 @@ class Store:
         if folder:
             self._append(tx, "sections", names.sections(self.spark, self.path, folder))
 
+    def _index_written(self, tx: Transaction) -> None:
+        """Index what a transaction adds, read from its own files."""
+        of = {"deeds": names.of_records, "log": names.of_log}
+        rows = [f(tx.written(t, TABLES[t])) for t, f in of.items() if t in tx.added and t not in tx.dropped]
+        if rows:
+            self._index(tx, functools.reduce(DataFrame.unionByName, rows))
+
     def _written(self, work: Callable[[Store, Transaction], DataFrame | int]) -> DataFrame | int:
         """What work(store as it is, transaction) gives, once what it wrote is in place. Its answers may not rest on files."""
         for _ in range(ATTEMPTS):
@@ -98,6 +105,7 @@ class Store:
             tx = at.commits.begin(at._pinned)
             try:
                 out = work(at, tx)
+                at._index_written(tx)
                 if tx.commit():
                     return out
             except BaseException:
@@ -272,7 +280,6 @@ class Store:
     def _put(self, tx: Transaction, new: DataFrame) -> None:
         """Records, and evidence of them under this store's key."""
         self._append(tx, "deeds", new)
-        self._index(tx, names.of_records(new))
         mac = crypto.evidence_mac(self.key, F.col("payload"), F.col("unix_time"))
         self._append(tx, "evidence", new.select(F.col("id").alias("deed_id"), "produced_by", "grants", "unix_time", mac.alias("signature")))
 
@@ -283,7 +290,6 @@ class Store:
         more = lines.count()
         if more:
             self._append(tx, "log", lines)
-            self._index(tx, names.of_log(lines))
             known = merkle.chosen(self.table("nodes"), merkle.peaks(size))
             self._append(tx, "nodes", merkle.grown(merkle.leaves(lines), size, more, known))
             tx.facts["size"] = size + more
