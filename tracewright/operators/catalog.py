@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,23 +24,28 @@ def listing(records: DataFrame, tombstones: DataFrame) -> DataFrame:
     return served(records, tombstones).orderBy("id")
 
 
+def _fields() -> tuple[list[Column], list[Column]]:
+    """What a search looks at: texts, and arrays of texts."""
+    b = F.col("body")
+    one = [F.col("name"), b["quote"]["excerpt"], b["set"]["title"], b["mailDraft"]["subject"], b["page"]["url"]]
+    return one, [b["quote"]["urls"], F.transform(b["procedure"]["steps"], lambda s: s["text"])]
+
+
+def searched() -> Column:
+    """The texts of a record that a search looks at; none of them is null."""
+    one, many = _fields()
+    none = F.array().cast("array<string>")
+    return F.array_compact(F.concat(F.array(*one), *(F.coalesce(c, none) for c in many)))
+
+
 def text_matches(needle: str) -> Column:
     """Whether one of the searched fields holds the needle, whatever the case. Fields are not joined."""
     if not needle:
         return F.lit(True)
     low = F.lower(F.lit(needle))
     hit = lambda c: F.coalesce(F.contains(F.lower(c), low), F.lit(False))
-    b = F.col("body")
-    some = lambda items, get=lambda x: x: F.coalesce(F.exists(items, lambda x: hit(get(x))), F.lit(False))
-    return (
-        hit(F.col("name"))
-        | hit(b["quote"]["excerpt"])
-        | some(b["quote"]["urls"])
-        | hit(b["set"]["title"])
-        | hit(b["mailDraft"]["subject"])
-        | hit(b["page"]["url"])
-        | some(b["procedure"]["steps"], lambda s: s["text"])
-    )
+    one, many = _fields()
+    return reduce(Column.__or__, [*map(hit, one), *(F.coalesce(F.exists(c, hit), F.lit(False)) for c in many)])
 
 
 def find(records: DataFrame, tombstones: DataFrame, kind: str | None = None, agent: str | None = None, text: str | None = None) -> DataFrame:

@@ -39,9 +39,9 @@ def ranged(rows: DataFrame) -> DataFrame:
     return rows.select("name", "id", "role").repartitionByRange("name", "id").sortWithinPartitions("name", "id")
 
 
-def sections(spark: SparkSession, base: str, folder: str) -> DataFrame:
-    """folder, file, low, high: the first and last name in each file of a folder under base."""
-    rows = spark.read.schema(NAMES).parquet(f"{base}/{folder}").select("name", F.regexp_extract(F.input_file_name(), "[^/]+$", 0).alias("file"))
+def sections(spark: SparkSession, base: str, folder: str, schema: str = NAMES, by: str = "name") -> DataFrame:
+    """folder, file, low, high: the first and last name in each file of a folder under base. by: the column that has the names."""
+    rows = spark.read.schema(schema).parquet(f"{base}/{folder}").select(F.col(by).alias("name"), F.regexp_extract(F.input_file_name(), "[^/]+$", 0).alias("file"))
     return rows.groupBy("file").agg(F.min("name").alias("low"), F.max("name").alias("high")).select(F.lit(folder).alias("folder"), "file", "low", "high")
 
 
@@ -83,9 +83,9 @@ def files_for(sections_: DataFrame, keys: DataFrame, prefix: bool = False) -> li
     return [f"{held[r['n']]['folder']}/{held[r['n']]['file']}" for r in sorted(met)]
 
 
-def looked_up(spark: SparkSession, base: str, sections_: DataFrame, keys: DataFrame, prefix: bool = False) -> DataFrame:
-    """name, id, role of the files that can hold the keys (column name); rows that no key asks for are among them."""
+def looked_up(spark: SparkSession, base: str, sections_: DataFrame, keys: DataFrame, prefix: bool = False, schema: str = NAMES) -> DataFrame:
+    """Rows of the files that can hold the keys (column name); rows that no key asks for are among them."""
     files = files_for(sections_, keys, prefix)
     if not files:
-        return spark.createDataFrame([], NAMES)
-    return spark.read.schema(NAMES).parquet(*(f"{base}/{f}" for f in files))
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(*(f"{base}/{f}" for f in files))

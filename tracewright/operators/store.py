@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import crypto, derive, encoding
 from ..functions.encoding import KINDS, any_record_bytes, digest
 from ..plans.corpus import BODY, TAGGED
-from . import audit, bags, catalog, handover, lineage, merkle, names
+from . import audit, bags, catalog, grams, handover, lineage, merkle, names
 from .commits import Commits, State, Transaction
 from .components import settled
 
@@ -36,6 +36,11 @@ TABLES = {
     "nodes": "level int, idx long, hash binary",
     "names": names.NAMES,
     "sections": names.SECTIONS,
+    "texts": grams.TEXTS,
+    "text_sections": grams.TEXT_SECTIONS,
+    "runs": grams.POSTINGS,
+    "run_sections": names.SECTIONS,
+    "covered": "folder string",
 }
 #: What a table's folders are named by, so that a filter on it reads no others.
 PARTITIONED = {"deeds": "kind"}
@@ -122,7 +127,29 @@ class Store:
 
     @_of_one_state
     def find(self, kind: str | None = None, agent: str | None = None, text: str | None = None) -> DataFrame:
-        return catalog.find(self.table("deeds"), self.table("tombstones"), kind, agent, text)
+        """Served records. Where text is sought, records in the substring index are looked up there, the others are scanned."""
+        if not text:
+            return catalog.find(self.table("deeds"), self.table("tombstones"), kind, agent, text)
+        ids = self.mentions(self.spark.createDataFrame([(text,)], "needle string")).select("id")
+        return catalog.find(self.table("deeds").join(ids, "id", "left_semi"), self.table("tombstones"), kind, agent)
+
+    @_of_one_state
+    def mentions(self, asked: DataFrame) -> DataFrame:
+        """needle, id of records, deleted ones too, for needles (column needle) that one of their searched texts holds."""
+        hits = grams.matches(self.spark, self.path, self.table("text_sections"), self.table("run_sections"), asked)
+        rest = self._uncovered()[0]
+        if not rest:
+            return hits
+        return hits.unionByName(grams.scanned(self._of_folders("deeds", rest), asked)).distinct()
+
+    def _uncovered(self) -> tuple[list[str], bool]:
+        """Folders of records that the substring index lacks, and whether it has some that are no more (after a compaction)."""
+        now = self._state().folders.get("deeds", ())
+        covered = {r["folder"] for r in self.table("covered").collect()}  # as many as the manifest names
+        return [f for f in now if f not in covered], not covered.issubset(now)
+
+    def _of_folders(self, name: str, folders: list[str]) -> DataFrame:
+        return self.commits.read(State(-1, {name: tuple(folders)}), name, TABLES[name])
 
     @_of_one_state
     def get(self, asked: DataFrame) -> DataFrame:
@@ -315,6 +342,30 @@ class Store:
             tx.dropped[name] = list(tx.state.folders.get(name, ()))
         self._index(tx, self.table("names"))
 
+    def index_texts(self) -> int:
+        """Take the records that the substring index lacks into it; how many. Until then find() scans those."""
+        return self._written(lambda at, tx: at._index_texts(tx))
+
+    def _index_texts(self, tx: Transaction) -> int:
+        rest, stale = self._uncovered()
+        if stale:  # the records were put together anew: so is the index
+            rest = list(self._state().folders["deeds"])
+            for name in ("texts", "text_sections", "runs", "run_sections", "covered"):
+                tx.dropped[name] = list(self._state().folders.get(name, ()))
+        if not rest:
+            return 0
+        after = 0 if stale else self._state().facts.get("texts", 0)
+        folder = tx.append("texts", grams.texts_of(self._of_folders("deeds", rest), after), per_file=grams.BUCKET)
+        self._append(tx, "text_sections", names.sections(self.spark, self.path, folder, grams.TEXTS, "n"))
+        texts = tx.written("texts", grams.TEXTS)
+        folder = tx.append("runs", grams.in_files(grams.postings(texts)), per_file=grams.PER_FILE)
+        if folder:  # a record without any text has no runs
+            self._append(tx, "run_sections", names.sections(self.spark, self.path, folder, grams.POSTINGS))
+        self._append(tx, "covered", self.spark.createDataFrame([(f,) for f in rest], TABLES["covered"]))
+        added = texts.count()
+        tx.facts["texts"] = after + added
+        return added
+
     def check(self, path: str, accepted: set[str] = frozenset(), allow_unsigned: bool = False, kept: tuple[int, str] | None = None, joins: tuple | None = None) -> DataFrame:
         """folder, complaint of the bag under path. kept: a head seen before, which the bag's must be grown from by the bridge joins."""
         bag = bags.Bag.read(self.spark, path)

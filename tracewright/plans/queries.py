@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import crypto, derive
 from ..functions.encoding import KINDS, WITH_EVIDENCE, evidence_bytes, evidence_file
-from ..operators import audit, bags, catalog, handover, lineage, merkle, names
+from ..operators import audit, bags, catalog, grams, handover, lineage, merkle, names
 from ..operators.components import settled, shared_folder
 from . import corpus, oracle
 from .corpus import EPOCH, WRITER_KEY
@@ -69,6 +69,21 @@ def find_text(spark: SparkSession, d: str) -> DataFrame:
     return _found(catalog.find(corpus.shelf(spark, d), corpus.tombstones(spark, d), text="The"))
 
 
+NEEDLES = ["the", "To", "e", "qz", "nations of", "customer#00000000", "nothing has this", "https://"]
+
+
+@query(
+    "find_texts_indexed",
+    f"SELECT needle, id FROM (SELECT unnest([{', '.join(repr(n) for n in NEEDLES)}]) AS needle) AS n, ({records_sql()}) AS r WHERE id NOT IN ({TOMBSTONES}) AND (contains(lower(name), lower(needle)) OR len(list_filter(search, lambda t: contains(lower(t), lower(needle)))) > 0)",
+)
+def find_texts_indexed(spark: SparkSession, d: str) -> DataFrame:
+    """Several needles by the substring index, written once, its postings and texts opened where they can hold one."""
+    base, folder = shared_folder(spark), f"grams-{uuid.uuid4().hex}"
+    texts, runs = (settled(s) for s in grams.write(grams.texts_of(corpus.shelf(spark, d)), base, folder))
+    hits = grams.matches(spark, base, texts, runs, spark.createDataFrame([(n,) for n in NEEDLES], "needle string"))
+    return catalog.served(hits, corpus.tombstones(spark, d)).select("needle", "id")
+
+
 @query("find_conjunction", _live_sql("kind = 'quote' AND agent = 'user' AND " + _text_sql("is")))
 def find_conjunction(spark: SparkSession, d: str) -> DataFrame:
     return _found(catalog.find(corpus.shelf(spark, d), corpus.tombstones(spark, d), kind="quote", agent="user", text="IS"))
