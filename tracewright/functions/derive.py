@@ -2,14 +2,32 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .encoding import KINDS
 
 ID_PREFIX = "deed-"
 ID_PATTERN = rf"\A{ID_PREFIX}({'|'.join(KINDS)})-[a-z0-9-]+\z"
 ADDRESS_PATTERN = r"\Asha256:[0-9a-f]{64}\z"
+#: Fixed values of the format: the fields of each kind's body, and those of them that are doubles.
+BODY_FIELDS = {
+    "file": ("path", "media_type"),
+    "set": ("title", "members"),
+    "quote": ("edition", "start", "end", "excerpt", "urls"),
+    "patch": ("tree", "diffs", "functionaries"),
+    "mailDraft": ("message_id", "in_reply_to", "subject", "path"),
+    "clip": ("sources", "in_point", "out_point", "duration", "path"),
+    "page": ("url", "snapshot"),
+    "form": ("blank", "fields", "path"),
+    "table": ("measures",),
+    "procedure": ("steps",),
+    "event": ("when", "where", "who"),
+}
+NUMBERS = ("in_point", "out_point", "duration")
 BLANK_ENDS = r"(?U)^\s+|\s+$"
 
 
@@ -164,3 +182,30 @@ def label(kind: Column, name: Column) -> Column:
 
 def tag_texts(items: Column) -> Column:
     return F.transform(items, lambda s: F.concat(s["tag"], F.lit(":"), s["value"]))
+
+
+@F.pandas_udf(StringType())
+def _shortest(x: pd.Series) -> pd.Series:
+    names = {"nan": "NaN", "inf": "inf", "-inf": "-inf"}
+    return pd.Series([names.get(str(v)) or np.format_float_positional(v, trim="-") for v in x], dtype="object")
+
+
+def plain_number(x: Column) -> Column:
+    """A double in as few digits as tell it from all others, without an exponent or a point that nothing follows."""
+    return F.when(x.isNotNull(), _shortest(x))
+
+
+def body_json(kind: Column, body: Column) -> Column:
+    """A record's body as JSON: an object that names the kind, and in it the kind's fields by name; what is absent is null.
+
+    A number that JSON lacks (not a number, infinite) is null. The field `where` is told as `where_`.
+    """
+    out = F.lit(None).cast("string")
+    for k, fields in BODY_FIELDS.items():
+        told = [_json_value(body[k][f], f).alias("where_" if f == "where" else f) for f in sorted(fields)]
+        out = F.when(kind == k, F.to_json(F.struct(F.struct(*told).alias(k)), {"ignoreNullFields": "false"})).otherwise(out)
+    return out
+
+
+def _json_value(value: Column, field: str) -> Column:
+    return F.when(F.abs(value) < float("inf"), value) if field in NUMBERS else value

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.derive import is_address, is_id, label, tag_texts
+from ..functions.derive import body_json, is_address, is_id, label, plain_number, tag_texts
 from . import names
 
 #: How many candidates of a prefix are shown.
@@ -139,19 +139,24 @@ def rows(records: DataFrame) -> DataFrame:
     )
 
 
+def whole_rows(records: DataFrame) -> DataFrame:
+    """Rows that carry all of a record: sources as text, agent, products, digest, and the body as JSON."""
+    sources = tag_texts(F.col("sources")).alias("sources")
+    return records.select("id", "kind", "name", "paths", sources, F.col("produced_by.agent_id").alias("agent"), "digest", body_json(F.col("kind"), F.col("body")).alias("body"))
+
+
 def block(records: DataFrame) -> DataFrame:
     """id, block: the lines a listing prints for a record. A clip's sources, a form's fields and the steps themselves are left out."""
     b = F.col("body")
     join = lambda c: F.array_join(c, ",")
     dash = lambda c: F.coalesce(c, F.lit("-"))
-    whole = lambda x: F.when(x == F.floor(x), F.floor(x).cast("string")).otherwise(x.cast("string"))
     lines = {
         "file": [("file=", b["file"]["path"])],
         "set": [("title=", b["set"]["title"]), ("\nmembers=", join(b["set"]["members"]))],
         "quote": [("edition=", b["quote"]["edition"]), (" range=", b["quote"]["start"].cast("string")), ("-", b["quote"]["end"].cast("string")), ("\nexcerpt=", b["quote"]["excerpt"]), ("\nquoteUrls=", join(b["quote"]["urls"]))],
         "patch": [("tree=", b["patch"]["tree"]), ("\ndiffs=", join(b["patch"]["diffs"])), ("\nfunctionaries=", join(b["patch"]["functionaries"]))],
         "mailDraft": [("messageId=", b["mailDraft"]["message_id"]), ("\ninReplyTo=", dash(b["mailDraft"]["in_reply_to"])), ("\nsubject=", b["mailDraft"]["subject"])],
-        "clip": [("clip=", b["clip"]["path"]), (" in=", whole(b["clip"]["in_point"])), (" out=", whole(b["clip"]["out_point"])), (" duration=", whole(b["clip"]["duration"]))],
+        "clip": [("clip=", b["clip"]["path"]), (" in=", plain_number(b["clip"]["in_point"])), (" out=", plain_number(b["clip"]["out_point"])), (" duration=", plain_number(b["clip"]["duration"]))],
         "page": [("page=", b["page"]["url"]), (" snapshot=", b["page"]["snapshot"])],
         "form": [("form=", b["form"]["blank"]), (" path=", b["form"]["path"])],
         "table": [("measures=", join(F.transform(b["table"]["measures"], lambda m: F.concat(m["name"], F.lit("="), m["value"]))))],

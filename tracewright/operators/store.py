@@ -155,6 +155,11 @@ class Store:
     def get(self, asked: DataFrame) -> DataFrame:
         return catalog.get(asked, self.table("deeds"), self.table("tombstones"))
 
+    @_of_one_state
+    def rows(self, ids: DataFrame) -> DataFrame:
+        """id, kind, name, paths, sources, agent, digest, body (JSON) of served records among ids (column id)."""
+        return catalog.whole_rows(catalog.served(self.table("deeds").join(ids.select("id"), "id", "left_semi"), self.table("tombstones")))
+
     @_of_one_state
     def resolve(self, asked: DataFrame) -> DataFrame:
         """By the name index: of the names only those files are read that can hold one asked for."""

@@ -14,7 +14,7 @@ from ..operators import audit, bags, catalog, grams, handover, lineage, merkle,
 from ..operators.components import settled, shared_folder
 from . import corpus, oracle
 from .corpus import EPOCH, WRITER_KEY
-from .oracle import LOG, SUPERSEDES, TOMBSTONES, UNLOGGED, digested_sql, log_sql, nodes_sql, records_sql
+from .oracle import LOG, SUPERSEDES, TOMBSTONES, UNLOGGED, digested_sql, log_sql, nodes_sql, records_sql, told_sql
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -202,11 +202,28 @@ def record_blocks(spark: SparkSession, d: str) -> DataFrame:
     return catalog.block(corpus.shelf(spark, d, ("file", "page")))
 
 
-@query("record_blocks_all")
+_TOLD = " UNION ALL ".join(f"({told_sql(k)})" for k in KINDS)
+
+
+@query("record_blocks_all", f"SELECT id, {_HEAD} || lines || chr(10) AS block FROM ({records_sql()}) AS r JOIN ({_TOLD}) AS t USING (id)")
 def record_blocks_all(spark: SparkSession, d: str) -> DataFrame:
     return catalog.block(corpus.shelf(spark, d))
 
 
+#: Clips hold doubles, whose bits SQL does not give, and so have no digest in SQL.
+WITH_DIGEST = tuple(k for k in KINDS if k != "clip")
+
+
+@query("record_rows", f"SELECT id, kind, name, paths, sources, agent, digest, body FROM ({digested_sql(WITH_DIGEST)}) AS r JOIN ({_TOLD}) AS t USING (id)")
+def record_rows(spark: SparkSession, d: str) -> DataFrame:
+    return catalog.whole_rows(corpus.digested(corpus.shelf(spark, d, WITH_DIGEST), WITH_DIGEST))
+
+
+@query("clip_rows", f"SELECT id, kind, name, paths, sources, agent, body FROM ({records_sql(('clip',))}) AS r JOIN ({told_sql('clip')}) AS t USING (id)")
+def clip_rows(spark: SparkSession, d: str) -> DataFrame:
+    return catalog.whole_rows(corpus.digested(corpus.shelf(spark, d, ("clip",)), ("clip",))).drop("digest")
+
+
 # Derived columns ------------------------------------------------------------------------------------------------------
 
 
