@@ -214,14 +214,19 @@ def record_blocks_all(spark: SparkSession, d: str) -> DataFrame:
 WITH_DIGEST = tuple(k for k in KINDS if k != "clip")
 
 
-@query("record_rows", f"SELECT id, kind, name, paths, sources, agent, digest, body FROM ({digested_sql(WITH_DIGEST)}) AS r JOIN ({_TOLD}) AS t USING (id)")
+def _joined(rows: DataFrame) -> DataFrame:
+    """Lists as text, which compares alike everywhere."""
+    return rows.withColumns({c: F.array_join(c, ",") for c in ("paths", "sources")})
+
+
+@query("record_rows", f"SELECT id, kind, name, array_to_string(paths, ',') AS paths, array_to_string(sources, ',') AS sources, agent, digest, body FROM ({digested_sql(WITH_DIGEST)}) AS r JOIN ({_TOLD}) AS t USING (id)")
 def record_rows(spark: SparkSession, d: str) -> DataFrame:
-    return catalog.whole_rows(corpus.digested(corpus.shelf(spark, d, WITH_DIGEST), WITH_DIGEST))
+    return _joined(catalog.whole_rows(corpus.digested(corpus.shelf(spark, d, WITH_DIGEST), WITH_DIGEST)))
 
 
-@query("clip_rows", f"SELECT id, kind, name, paths, sources, agent, body FROM ({records_sql(('clip',))}) AS r JOIN ({told_sql('clip')}) AS t USING (id)")
+@query("clip_rows", f"SELECT id, kind, name, array_to_string(paths, ',') AS paths, array_to_string(sources, ',') AS sources, agent, body FROM ({records_sql(('clip',))}) AS r JOIN ({told_sql('clip')}) AS t USING (id)")
 def clip_rows(spark: SparkSession, d: str) -> DataFrame:
-    return catalog.whole_rows(corpus.digested(corpus.shelf(spark, d, ("clip",)), ("clip",))).drop("digest")
+    return _joined(catalog.whole_rows(corpus.digested(corpus.shelf(spark, d, ("clip",)), ("clip",)))).drop("digest")
 
 
 # Derived columns ------------------------------------------------------------------------------------------------------
