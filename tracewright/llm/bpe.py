@@ -12,6 +12,7 @@ import hashlib
 import json
 from array import array
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import ahocorasick
 import numpy as np
@@ -24,8 +25,8 @@ from .common import over_texts, table, tokenizer_path
 WORD = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 VISIBLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 
-CACHED_WORDS = 250_000
-CACHED_RUNS = 200_000
+CACHED_WORDS = 300_000
+CACHED_RUNS = 400_000
 CACHED_PAIRS = 400_000
 NEVER = 1 << 40
 #: Texts are cut into stretches of about this many characters, at a space between two ASCII letters, where words end.
@@ -214,10 +215,20 @@ class Encoder:
 
     def encode_block(self, texts: list[str]) -> Iterator[Iterator[bytes]]:
         """For each text its ids, in stretches. One trie holds the new words of all texts of the block."""
-        plain = [x for x in texts if len(x) <= STRETCH and not TWO_SPACES.search(x) and not (self.special and self.special.search(x))]
-        self.learn_runs({run for x in plain for run in x.split(" ")[1:]})
-        for text in texts:
-            yield self.encode(text)
+        plain = {i: x.split(" ") for i, x in enumerate(texts) if len(x) <= STRETCH and not TWO_SPACES.search(x) and not (self.special and self.special.search(x))}
+        first = {i: self.words(runs[0]) for i, runs in plain.items()}
+        # All at once, and before the other texts, which may send what is learned here out of the caches.
+        self.learn_runs(set().union(*(runs[1:] for runs in plain.values())))
+        self.learn({w for words in first.values() for w in words})
+        made = {i: b"".join([*map(self.known.__getitem__, first[i]), *map(self.runs.__getitem__, runs[1:])]) for i, runs in plain.items()}
+        for i, text in enumerate(texts):
+            yield iter([made[i]]) if i in made else self.encode(text)
+
+
+@lru_cache(1)
+def encoder_of(path: str) -> Encoder:
+    """One for each Python worker: tables and caches of bounded size, which its tasks share."""
+    return Encoder(path)
 
 
 def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -229,7 +240,7 @@ def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
     path = path or tokenizer_path("byte_bpe_50k.json")
 
     def make():
-        encoder = Encoder(path)
+        encoder = encoder_of(path)
 
         def work(keys: list, texts: list[str]) -> dict:
             return {"doc_id": keys, "ids": [b"".join(x) for x in encoder.encode_block(texts)]}
@@ -244,7 +255,7 @@ def decode_documents(encoded: DataFrame, path: str | None = None) -> DataFrame:
     path = path or tokenizer_path("byte_bpe_50k.json")
 
     def make():
-        vocabulary = Vocabulary(path)
+        vocabulary = encoder_of(path).vocabulary
 
         def work(keys: list, ids: list[bytes]) -> dict:
             return {"doc_id": keys, "text": [vocabulary.decode(np.frombuffer(x or b"", "<u4")).decode(errors="replace") for x in ids]}
@@ -254,12 +265,21 @@ def decode_documents(encoded: DataFrame, path: str | None = None) -> DataFrame:
     return over_texts(encoded, make, "doc_id long, text string", columns=("doc_id", "ids"))
 
 
+def _utf8(raw: bytes) -> bytes:
+    """What decoding it and encoding that again gives."""
+    try:
+        raw.decode()
+    except UnicodeDecodeError:
+        return raw.decode(errors="replace").encode()
+    return raw
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of the ids and of the text decoded from them, made in one pass: neither needs to leave its task."""
     path = tokenizer_path("byte_bpe_50k.json")
 
     def make():
-        encoder = Encoder(path)
+        encoder = encoder_of(path)
         vocabulary = encoder.vocabulary
 
         def work(keys: list, texts: list[str]) -> dict:
@@ -270,10 +290,10 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                     n += len(ids) // 4
                     of_ids.update(ids)
                     decoded.append(vocabulary.decode(np.frombuffer(ids, "<u4")))
-                text = b"".join(decoded).decode(errors="replace")
+                text = _utf8(b"".join(decoded))
                 out["n_tokens"].append(n)
                 out["ids_sha256"].append(of_ids.hexdigest())
-                out["decoded_sha256"].append(hashlib.sha256(text.encode()).hexdigest())
+                out["decoded_sha256"].append(hashlib.sha256(text).hexdigest())
             return out
 
         return work
