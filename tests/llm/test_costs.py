@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from tracewright.llm import bpe
+from tracewright.llm import bpe, language_model
 from tracewright.llm.common import tokenizer_path
 
 
@@ -25,3 +25,12 @@ def test_new_words_of_a_block_are_encoded_at_once(monkeypatch):
     want = [np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in mixed]
     assert again == want and made == want[1 : 1 + len(texts)]
     assert bpe.encoder_of(path) is bpe.encoder_of(path)
+
+
+def test_gradients_by_slot():
+    r = np.random.default_rng(1)
+    at, rows = r.integers(0, 50, 400), r.standard_normal((400, 3)).astype(np.float32)
+    want = np.stack([np.bincount(at, rows[:, c], 60) for c in range(3)], 1)
+    assert np.allclose(language_model._by_slot(at, rows, 60), want, atol=1e-5)
+    path = tokenizer_path("word_bpe_49k.json")
+    assert language_model.coder_of(path) is language_model.coder_of(path)

@@ -22,6 +22,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -58,6 +59,16 @@ def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a.reshape(-1, a.shape[-1]) @ b).reshape(*a.shape[:-1], b.shape[1])
 
 
+def _by_slot(at: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+    """The rows' sums by their slots, of which there are n, fewer than 2**16."""
+    order = np.argsort(at.astype(np.uint16), kind="stable")  # 16 bits are sorted by their digits
+    at = at.take(order)
+    first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
+    out = np.zeros((n, rows.shape[1]), np.float32)
+    out[at.take(first)] = np.add.reduceat(rows.take(order, 0), first, 0)
+    return out
+
+
 #: Which of a window's inputs each scored place may see.
 MASK = np.tril(np.ones((FRESH, WINDOW), np.float32), WINDOW - FRESH)
 
@@ -111,7 +122,7 @@ class Attention:
         each = (scored.astype(np.float32) / np.float32(scored.sum())).reshape(-1, 1)
         p *= each / _sums(p)
         p[np.arange(len(p)), targets.ravel()] -= each.ravel()
-        out = {"out": flat(h).T @ p, "bias": p.sum(0)}
+        out = {"out": flat(h).T @ p, "bias": np.ones(len(p), np.float32) @ p}
         dh = (p @ self.out.T).reshape(fresh.shape)
         k, v = kv[..., :WIDTH], kv[..., WIDTH:]
         dkv = np.empty_like(kv)
@@ -125,8 +136,7 @@ class Attention:
         dx = _times(dkv, self.both.T)
         dx[:, WINDOW - FRESH :] += dh + _times(dq, self.query.T)
         out["places"] = (np.ones(len(dx), np.float32) @ dx.reshape(len(dx), -1)).reshape(self.places.shape)
-        at, dx = slots.ravel(), flat(dx)
-        out["embed"] = np.stack([np.bincount(at, dx[:, c], len(self.embed)) for c in range(WIDTH)], 1).astype(np.float32)
+        out["embed"] = _by_slot(slots.ravel(), flat(dx), len(self.embed))
         return out
 
     def flat(self) -> np.ndarray:
@@ -323,11 +333,17 @@ class Coder:
         return [(h, ids[a:b]) for h, a, b in zip(hashed, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
 
 
+@lru_cache(1)
+def coder_of(path: str) -> Coder:
+    """One for each Python worker, whose tasks share the words that it knows, CACHED_WORDS and a block's at most."""
+    return Coder(path)
+
+
 def coded(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, words (hashes), ids, learn of each row. Both are little-endian, of 64 and 16 bits."""
 
     def make():
-        code = Coder(path)
+        code = coder_of(path)
 
         def work(keys: list, texts: list[str]) -> dict:
             made = code([t.encode() for t in texts])
