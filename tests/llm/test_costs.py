@@ -3,10 +3,31 @@
 from __future__ import annotations
 
 import numpy as np
+import pytest
 
-from tracewright.llm import bpe, language_model
+from tracewright.llm import bpe, language_model, quality
 from tracewright.llm.common import tokenizer_path
 
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet")
+
+
+@pytest.fixture(scope="module")
+def labels(spark):
+    return spark.read.parquet(f"{SF}/labels.parquet")
+
+
+def test_labels_meet_no_texts(docs, labels, monkeypatch):
+    joined, join = [], type(docs).join
+    monkeypatch.setattr(type(docs), "join", lambda self, *a, **b: joined.append(self.columns) or join(self, *a, **b))
+    quality.classify(docs, labels)
+    quality.keep_good(docs, labels)
+    assert len(joined) == 2 and not any("text" in columns for columns in joined)
+
 
 def test_new_words_of_a_block_are_encoded_at_once(monkeypatch):
     calls, plain = [], bpe.Vocabulary.encode_words

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import over_texts, rewrite_texts, table
+from .common import over_texts, rewrite_texts, settled, table
 
 #: A score from here on counts as good.
 THRESHOLD = 0.7
@@ -136,8 +136,17 @@ class Discriminant:
         return 1 / (1 + np.exp(np.clip(logs[0] - logs[1], -50, 50)))
 
 
-def _statistics():
-    return lambda keys, texts: {"y": keys, "x": [statistics(t) for t in texts]}
+def measured(docs: DataFrame) -> DataFrame:
+    """doc_id, x (STATISTICS) of each row: a hundred bytes, where a text has thousands, so that texts stay where they are read."""
+
+    def make():
+        return lambda keys, texts: {"doc_id": keys, "x": [statistics(t) for t in texts]}
+
+    return over_texts(docs, make, "doc_id long, x array<double>", limit=1 << 20)
+
+
+def _rows(x: pa.Array) -> np.ndarray:
+    return x.flatten().to_numpy(zero_copy_only=False).reshape(-1, len(STATISTICS))
 
 
 def learnable(doc_id: Column) -> Column:
@@ -147,39 +156,45 @@ def learnable(doc_id: Column) -> Column:
 
 def fit(docs: DataFrame, labels: DataFrame) -> Discriminant:
     """Learn from all rows of docs that have a label 0 or 1 (column quality) by doc_id; rows with several count each."""
+    return fit_measured(measured(docs), labels)
+
+
+def fit_measured(rows: DataFrame, labels: DataFrame) -> Discriminant:
+    """fit() by measured() rows: they meet the labels, not the texts."""
     size = len(STATISTICS)
     known = labels.where(F.col("quality").isin(0, 1)).select(F.col("doc_id").alias("_of"), F.col("quality").cast("int").alias("y")).distinct()
-    labelled = docs.select("doc_id", "text").join(known, F.col("doc_id") == F.col("_of"))
-    rows = over_texts(labelled, _statistics, "y int, x array<double>", ("y", "text"), 1 << 20)
+    labelled = rows.join(known, F.col("doc_id") == F.col("_of")).select("y", "x")
 
     def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((2, 1 + size + size * size))
         for batch in batches:
             y = batch.column(0).to_numpy(zero_copy_only=False)
-            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
+            x = _rows(batch.column(1))
             for label in (0, 1):
                 own = x[y == label]
                 sums[label] += np.concatenate(([len(own)], own.sum(0), (own.T @ own).ravel()))
         yield pa.RecordBatch.from_pydict({"y": pa.array([0, 1], pa.int32()), "m": pa.array(list(sums), pa.list_(pa.float64()))})
 
-    parts = rows.mapInArrow(moments, "y int, m array<double>").select("y", F.posexplode("m").alias("at", "v"))
+    parts = labelled.mapInArrow(moments, "y int, m array<double>").select("y", F.posexplode("m").alias("at", "v"))
     out = np.zeros((2, 1 + size + size * size))
     for r in parts.groupBy("y", "at").agg(F.sum("v").alias("v")).collect():  # two times 1 + size + size**2 rows
         out[r["y"], r["at"]] = r["v"]
     return Discriminant.fit(list(out[:, 0]), list(out[:, 1 : 1 + size]), [m.reshape(size, size) for m in out[:, 1 + size :]])
 
 
-def score(docs: DataFrame, model: Discriminant, schema: str = "doc_id long, score double") -> DataFrame:
+def score(docs: DataFrame, model: Discriminant) -> DataFrame:
     """doc_id, score of each row; an empty text has one, too."""
+    return score_measured(measured(docs), model)
 
-    def make():
-        def work(keys: list, texts: list[str]) -> dict:
-            x = np.array([statistics(t) for t in texts])
-            return {"doc_id": keys, "score": model.score(x)}
 
-        return work
+def score_measured(rows: DataFrame, model: Discriminant) -> DataFrame:
+    """score() by measured() rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(_rows(batch.column(1))), pa.float64())], ["doc_id", "score"])
 
-    return over_texts(docs, make, schema, limit=1 << 20)
+    return rows.select("doc_id", "x").mapInArrow(run, "doc_id long, score double")
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -189,15 +204,17 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
     scored, not held out; repeated rows are scored each; without labels of both kinds the score is their share of 1
     (0.5 without any); other columns are ignored; an empty table gives no rows.
     """
-    model = fit(docs.where(learnable(F.col("doc_id"))), labels)
+    rows = settled(measured(docs))  # for both passes
+    model = fit_measured(rows.where(learnable(F.col("doc_id"))), labels)
     held_out = ~F.coalesce(learnable(F.col("doc_id")), F.lit(True))
     predicted = (F.col("score") >= threshold).cast("int")
-    return score(docs, model).select("doc_id", held_out.alias("held_out"), "score", predicted.alias("predicted"))
+    return score_measured(rows, model).select("doc_id", held_out.alias("held_out"), "score", predicted.alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs that classify() predicts 1 for, with all their columns."""
-    model = fit(docs.select("doc_id", "text").where(learnable(F.col("doc_id"))), labels)
+    # Settled, so that no task has a Python worker for the statistics and one for their moments.
+    model = fit_measured(settled(measured(docs.where(learnable(F.col("doc_id"))))), labels)
 
     def make():
         def work(texts: list[str]) -> list[str | None]:
