@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pytest
 
-from tracewright.llm import bpe, language_model, quality
+from tracewright.llm import bpe, language_model, near_duplicates, quality
 from tracewright.llm.common import tokenizer_path
 
 SF = "/root/testdata/sf0.001"
@@ -29,6 +29,18 @@ def test_labels_meet_no_texts(docs, labels, monkeypatch):
     assert len(joined) == 2 and not any("text" in columns for columns in joined)
 
 
+def test_a_task_has_one_python_worker(spark, docs, labels, monkeypatch):
+    plans, call = [], type(docs).mapInArrow
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, *a, **b: plans.append(self._jdf.queryExecution().optimizedPlan().toString()) or call(self, *a, **b))
+    quality.keep_good(docs, labels)
+    # A chain of sets of which each shares a rare shingle with the next only, so that its pieces meet in pairs.
+    chain = [" ".join(f"w{i + j}" for j in range(12)) for i in range(0, 60, 6)]
+    texts = spark.createDataFrame(list(enumerate(chain)), "doc_id long, text string")
+    asked = [near_duplicates.near_duplicates(texts, percent=20, piece=p).collect() for p in (2, 4096)]
+    assert sorted(asked[0]) == sorted(asked[1])
+    assert plans and not any("InArrow" in p for p in plans)
+
+
 def test_new_words_of_a_block_are_encoded_at_once(monkeypatch):
     calls, plain = [], bpe.Vocabulary.encode_words
     monkeypatch.setattr(bpe.Vocabulary, "encode_words", lambda self, words: calls.append(1) or plain(self, words))

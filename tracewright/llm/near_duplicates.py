@@ -249,7 +249,7 @@ def classes(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, piece: int
         if not now.isEmpty():
             met = now.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).where("own <> other")
             met = met.select("*", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
-            found = connected_components(edges.unionByName(_compared(met, percent)))
+            found = connected_components(edges.unionByName(settled(_compared(met, percent))))
     named_sets = sets.select("name", "n", "ofs").join(found.withColumnRenamed("node", "name"), "name", "left")
     return named_sets.select(F.explode("ofs").alias("of"), F.col("n").alias("n_shingles"), F.coalesce("root", "name").alias("root"))
 
