@@ -15,7 +15,7 @@ SHOWN = 8
 
 
 def served(records: DataFrame, tombstones: DataFrame) -> DataFrame:
-    """Records that no tombstone hides."""
+    """Records, or other rows with an id, that no tombstone hides."""
     return records.join(tombstones.select("id"), "id", "left_anti")
 
 
@@ -80,7 +80,7 @@ def resolve(asked: DataFrame, records: DataFrame, tombstones: DataFrame, log: Da
 def resolved(asked: DataFrame, named: DataFrame, tombstones: DataFrame) -> DataFrame:
     """resolve() by rows name, id, role (names.py), which may hold more than is asked for."""
     keys = asked.select(F.col("raw").alias("name")).where(is_address(F.col("name"))).distinct()
-    hits = named.where("role <> 'id'").join(keys, "name", "left_semi").join(tombstones.select("id"), "id", "left_anti")
+    hits = served(named.where("role <> 'id'").join(keys, "name", "left_semi"), tombstones)
     # By name and record first, so that of a product that very many records have a task sends one row on.
     is_ = lambda role: F.max(F.col("role") == role)
     each = hits.groupBy("name", "id").agg(is_("digest").alias("d"), is_("logged").alias("l"), is_("product").alias("p"))
@@ -109,7 +109,7 @@ def prefix_candidates(records: DataFrame, tombstones: DataFrame, asked: DataFram
 
 def candidates(named: DataFrame, tombstones: DataFrame, asked: DataFrame, shown: int = SHOWN) -> DataFrame:
     """prefix_candidates() by rows name, id, role (names.py), which may hold more than begins so."""
-    named = named.where("role <> 'logged'").join(tombstones.select("id"), "id", "left_anti").select("name", "id")
+    named = served(named.where("role <> 'logged'"), tombstones).select("name", "id")
     prefixes = asked.select("raw").where("raw is not null").distinct()
     if prefixes.limit(FEW_PREFIXES + 1).count() <= FEW_PREFIXES:
         hits = named.join(F.broadcast(prefixes), F.col("name").startswith(F.col("raw")))
