@@ -67,3 +67,16 @@ def test_gradients_by_slot():
     assert np.allclose(language_model._by_slot(at, rows, 60), want, atol=1e-5)
     path = tokenizer_path("word_bpe_49k.json")
     assert language_model.coder_of(path) is language_model.coder_of(path)
+
+
+def test_frequent_words_stay_known(monkeypatch):
+    code, asked = language_model.Coder(tokenizer_path("word_bpe_49k.json"), size=40), []
+    encode = code.engine.encode
+    monkeypatch.setattr(code.engine, "encode", lambda words: asked.extend(words) or encode(words))
+    common = [f"c{chr(97 + i)}".encode() for i in range(10)]
+    blocks = [[b" ".join([*common, *(f"n{k}x{i}".encode() for i in range(9))])] for k in range(8)]
+    made = [code(block)[0] for block in blocks]
+    assert all(asked.count(w) == 1 for w in common) and len(code.known) <= 60
+    for block, (words, ids) in zip(blocks, made, strict=True):
+        again = language_model.Coder(tokenizer_path("word_bpe_49k.json"), size=1)(block)[0]
+        assert (words == again[0]).all() and (ids == again[1]).all()

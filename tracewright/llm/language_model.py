@@ -20,9 +20,11 @@ them by that definition, go to the tasks; the rest are joined on the word's hash
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
+from itertools import chain, islice
 
 import numpy as np
 import pandas as pd
@@ -42,6 +44,8 @@ TRAINED = 2 << 20
 STEP, SCORED_AT_ONCE = 128, 256
 #: Ids of the texts that a task holds at once, about.
 HELD = 1 << 18
+#: Ids whose words are counted at once: a block's different words are rows, of which larger blocks have fewer.
+COUNTED_AT_ONCE = 1 << 21
 HEAD = 1 << 22
 END_WORD = np.uint64(0x5E17E7C0DE0E7D01)  # no word hashes to it but by a chance of 2**-64
 END_ID = 49407
@@ -59,16 +63,23 @@ def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a.reshape(-1, a.shape[-1]) @ b).reshape(*a.shape[:-1], b.shape[1])
 
 
-def _by_slot(at: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
-    """The rows' sums by their slots, of which there are n, fewer than 2**16."""
-    order = np.argsort(at.astype(np.uint16), kind="stable")  # 16 bits are sorted by their digits
-    at = at.take(order)
-    first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
-    out = np.zeros((n, rows.shape[1]), np.float32)
-    out[at.take(first)] = np.add.reduceat(rows.take(order, 0), first, 0)
+def _wider(a: np.ndarray) -> np.ndarray:
+    """a with a column of zeros after its last."""
+    out = np.zeros((len(a), a.shape[1] + 1), np.float32)
+    out[:, :-1] = a
     return out
 
 
+def _at_most(a: np.ndarray, most: float) -> np.ndarray:
+    """a, in place; hardly ever is there anything to do."""
+    return np.minimum(a, most, out=a) if a.max(initial=0) > most else a
+
+
+def _by_slot(at: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+    """The rows' sums by their slots, of which there are n."""
+    return np.stack([np.bincount(at, column, n) for column in rows.T.astype(float, order="C")], 1, dtype=np.float32, casting="same_kind")
+
+
 #: Which of a window's inputs each scored place may see.
 MASK = np.tril(np.ones((FRESH, WINDOW), np.float32), WINDOW - FRESH)
 
@@ -92,51 +103,59 @@ class Attention:
         embed = np.concatenate((features, np.zeros((1, WIDTH)))).astype(np.float32)
         return cls(embed, w(WINDOW, WIDTH) * np.float32(0.3), w(WIDTH, WIDTH), w(WIDTH, 2 * WIDTH), np.zeros((WIDTH, classes), np.float32), np.zeros(classes, np.float32))
 
-    def hidden(self, slots: np.ndarray) -> tuple[np.ndarray, ...]:
-        """slots: windows x WINDOW. What the scored places have seen, and what training needs."""
-        x = self.embed.take(slots, 0)
-        x += self.places
-        fresh = np.ascontiguousarray(x[:, WINDOW - FRESH :])
-        q, kv = _times(fresh, self.query), _times(x, self.both)
-        weights = q @ kv[..., :WIDTH].transpose(0, 2, 1)
-        np.minimum(weights, 30, out=weights)
-        np.exp(weights, out=weights)
+    def joint(self) -> np.ndarray:
+        """Queries, keys and values as one matrix for _wider() inputs; its last column makes room for ones beside the values."""
+        return _wider(np.concatenate((self.query, self.both, np.zeros((WIDTH, 1), np.float32)), 1).T).T
+
+    @staticmethod
+    def seen(y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """What the scored places see of a window's inputs: weights whose sum isn't 1, what each sum is to be multiplied by,
+        as often as there are columns, and the mean values, with ones beside them.
+
+        y: windows x WINDOW x what joint() makes of the inputs, with ones in its last column."""
+        weights = y[:, WINDOW - FRESH :, :WIDTH] @ y[..., WIDTH : 2 * WIDTH].transpose(0, 2, 1)
+        np.exp(_at_most(weights, 30), out=weights)
         weights *= MASK
-        weights /= _sums(weights) + np.float32(1e-30)
-        h = weights @ kv[..., WIDTH:]
-        h += fresh
-        return h, x, fresh, q, kv, weights
-
-    def raw(self, h: np.ndarray, prior: np.ndarray) -> np.ndarray:
-        """exp of the classes' logits: places x classes; prior: as many."""
-        logits = h.reshape(-1, WIDTH) @ self.out
-        logits += prior
-        logits += self.bias
-        np.minimum(logits, 60, out=logits)
-        return np.exp(logits, out=logits)
+        mean = weights @ y[..., 2 * WIDTH :]
+        share = np.repeat(1 / (mean[..., WIDTH:] + np.float32(1e-30)), WIDTH + 1, -1)
+        mean *= share
+        return weights, share, mean
 
     def gradients(self, slots: np.ndarray, prior: np.ndarray, targets: np.ndarray, scored: np.ndarray) -> dict[str, np.ndarray]:
         flat = lambda a: a.reshape(-1, a.shape[-1])
-        h, x, fresh, q, kv, weights = self.hidden(slots)
-        p = self.raw(h, flat(prior))
-        each = (scored.astype(np.float32) / np.float32(scored.sum())).reshape(-1, 1)
-        p *= each / _sums(p)
-        p[np.arange(len(p)), targets.ravel()] -= each.ravel()
-        out = {"out": flat(h).T @ p, "bias": np.ones(len(p), np.float32) @ p}
-        dh = (p @ self.out.T).reshape(fresh.shape)
-        k, v = kv[..., :WIDTH], kv[..., WIDTH:]
-        dkv = np.empty_like(kv)
-        dkv[..., WIDTH:] = weights.transpose(0, 2, 1) @ dh
-        ds = dh @ v.transpose(0, 2, 1)
+        joint = self.joint()
+        x = _wider(self.embed).take(slots, 0)
+        x += _wider(self.places)
+        y = _times(x, joint)
+        y[..., -1] = 1
+        weights, share, mean = self.seen(y)
+        h = flat(mean + x[:, WINDOW - FRESH :])  # the ones beside it are for the bias
+        p = h @ np.concatenate((self.out, self.bias[None]))
+        p += flat(prior)
+        np.exp(_at_most(p, 60), out=p)
+        each = scored.ravel() / np.float32(scored.sum())
+        p *= each[:, None] / _sums(p)
+        p.reshape(-1)[np.arange(0, p.size, p.shape[1]) + targets.ravel()] -= each
+        of_out = h.T @ p
+        out = {"out": of_out[:-1], "bias": of_out[-1]}
+        dh = (p @ _wider(self.out.T)).reshape(mean.shape)
+        # What goes back through the weights' sum is a column beside the values' own.
+        back = dh * share
+        mean *= back
+        np.negative(_sums(mean)[..., 0], out=back[..., WIDTH])
+        ds = back @ y[..., 2 * WIDTH :].transpose(0, 2, 1)
         ds *= weights
-        ds -= weights * _sums(ds)
-        dq = ds @ k
-        dkv[..., :WIDTH] = ds.transpose(0, 2, 1) @ q
-        out |= {"query": flat(fresh).T @ flat(dq), "both": flat(x).T @ flat(dkv)}
-        dx = _times(dkv, self.both.T)
-        dx[:, WINDOW - FRESH :] += dh + _times(dq, self.query.T)
-        out["places"] = (np.ones(len(dx), np.float32) @ dx.reshape(len(dx), -1)).reshape(self.places.shape)
-        out["embed"] = _by_slot(slots.ravel(), flat(dx), len(self.embed))
+        dy = np.empty_like(y)
+        dy[:, : WINDOW - FRESH, :WIDTH] = 0
+        np.matmul(ds, y[..., WIDTH : 2 * WIDTH], out=dy[:, WINDOW - FRESH :, :WIDTH])
+        np.matmul(ds.transpose(0, 2, 1), y[:, WINDOW - FRESH :, :WIDTH], out=dy[..., WIDTH : 2 * WIDTH])
+        np.matmul(weights.transpose(0, 2, 1), back, out=dy[..., 2 * WIDTH :])
+        of_joint = flat(x).T @ flat(dy)
+        out |= {"query": of_joint[:-1, :WIDTH], "both": of_joint[:-1, WIDTH:-1]}
+        dx = _times(dy, joint.T)
+        dx[:, WINDOW - FRESH :] += dh
+        out["places"] = (np.ones(len(dx), np.float32) @ dx.reshape(len(dx), -1)).reshape(dx.shape[1:])[:, :-1]
+        out["embed"] = _by_slot(slots.ravel(), flat(dx)[:, :-1], len(self.embed))
         return out
 
     def flat(self) -> np.ndarray:
@@ -150,24 +169,35 @@ class Attention:
 
 
 class Adam:
-    """Steps of training on batches of windows."""
+    """Steps of training on batches of windows. The layer's weights become parts of one array of its own."""
 
     def __init__(self, layer: Attention, rate: float = 0.01) -> None:
         self.layer, self.rate, self.step = layer, rate, 0
-        self.first, self.second = ({k: np.zeros_like(v) for k, v in vars(layer).items()} for _ in range(2))
+        self.weights = np.concatenate([w.ravel() for w in vars(layer).values()], dtype=np.float32)
+        self.first, self.second = np.zeros_like(self.weights), np.zeros_like(self.weights)
+        at = 0
+        for name, w in list(vars(layer).items()):
+            setattr(layer, name, self.weights[at : at + w.size].reshape(w.shape))
+            at += w.size
 
     def train(self, slots: np.ndarray, prior: np.ndarray, targets: np.ndarray, scored: np.ndarray) -> None:
         self.step += 1
         rate = self.rate / (1 + self.step / 200) ** 0.5
-        for name, g in self.layer.gradients(slots, prior, targets, scored).items():
-            first, second = self.first[name], self.second[name]
-            first += 0.1 * (g - first)
-            second += 0.01 * (g * g - second)
-            move = np.sqrt(second / np.float32(1 - 0.99**self.step))
-            move += 1e-8
-            np.divide(first, move, out=move)
-            move *= np.float32(rate / (1 - 0.9**self.step))
-            setattr(self.layer, name, getattr(self.layer, name) - move)
+        found = self.layer.gradients(slots, prior, targets, scored)
+        g = np.concatenate([found[name].ravel() for name in vars(self.layer)])
+        move = g - self.first
+        move *= np.float32(0.1)
+        self.first += move
+        np.multiply(g, g, out=g)
+        g -= self.second
+        g *= np.float32(0.01)
+        self.second += g
+        np.divide(self.second, np.float32(1 - 0.99**self.step), out=move)
+        np.sqrt(move, out=move)
+        move += np.float32(1e-8)
+        np.divide(self.first, move, out=move)
+        move *= np.float32(rate / (1 - 0.9**self.step))
+        self.weights -= move
 
 
 def cut_windows(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -187,10 +217,10 @@ def cut_windows(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.nda
     stream[np.arange(len(inside)) + shift] = inside
     of = np.repeat(np.arange(len(texts)), per_text)
     nth = np.arange(len(of)) - np.repeat(np.cumsum(per_text) - per_text, per_text)
-    base = (begins[of] + nth * FRESH)[:, None]
-    targets = stream[base + np.arange(WINDOW - FRESH + 1, WINDOW + 1)]
+    both = np.lib.stride_tricks.sliding_window_view(stream, WINDOW + 1)[begins[of] + nth * FRESH] if len(of) else np.empty((0, WINDOW + 1), np.int64)
+    targets = both[:, WINDOW - FRESH + 1 :]
     scored = nth[:, None] * FRESH + np.arange(FRESH) < sizes[of][:, None]
-    return stream[base + np.arange(WINDOW)], np.where(scored, targets, END_ID), scored, of
+    return both[:, :WINDOW], np.where(scored, targets, END_ID), scored, of
 
 
 def slots_of(counts: np.ndarray, slots: int = SLOTS, shared: int = SHARED) -> np.ndarray:
@@ -238,7 +268,7 @@ class Model:
     def windows(self, texts: list[np.ndarray]) -> tuple[np.ndarray, ...]:
         """As cut_windows(), with slots for inputs."""
         ids, targets, scored, of = cut_windows(texts)
-        return np.where(ids < 0, self.pad, self.slots.take(ids, mode="wrap")), targets, scored, of
+        return np.append(self.slots, self.pad).take(ids), targets, scored, of  # -1, no input, takes the last
 
     def train(self, adam: Adam, texts: list[np.ndarray]) -> int:
         """One pass over the texts; how many ids they have."""
@@ -256,18 +286,33 @@ class Model:
         """log10 of each text's probability, its end included; and what the bigram alone gives."""
         plain, moved = np.zeros(len(texts)), np.zeros(len(texts))
         if texts:
+            layer, slots_too = self.attention, len(self.prior)
+            joint = layer.joint()
+            # What a slot and what a place add to queries, keys, values and logits is worked out once.
+            of_slot, of_place = _wider(layer.embed) @ joint, _wider(layer.places) @ joint
+            of_place[:, -1] = 1
+            of_last = self.prior + layer.embed[:slots_too] @ layer.out + layer.bias
+            of_next, out_of_mean = layer.places[WINDOW - FRESH :] @ layer.out, _wider(layer.out.T).T
             slots, targets, scored, of = self.windows(texts)
             for i in range(0, len(slots), SCORED_AT_ONCE):
                 s = slice(i, i + SCORED_AT_ONCE)
+                y = of_slot.take(slots[s], 0)
+                y += of_place
+                mean = layer.seen(y)[-1]
                 last = np.minimum(slots[s, WINDOW - FRESH :], self.pad - 1)
                 to = self.slots.take(targets[s])
-                kind, own, rows = self.classes.take(to.ravel()), scored[s], np.arange(to.size)
-                prior = self.prior.take(last.ravel(), 0)
-                p = self.attention.raw(self.attention.hidden(slots[s])[0], prior)
-                change = np.log(p[rows, kind] / _sums(p)[:, 0]) - prior[rows, kind]
-                base = self.bigram[last, to] + self.within.take(targets[s])
-                for out, log in ((plain, base), (moved, change.reshape(base.shape))):
-                    out += np.bincount(of[s], np.where(own, log, 0.0).sum(-1, dtype=float), len(texts))
+                kind = self.classes.take(to)
+                logits = _times(mean, out_of_mean)
+                logits += of_last.take(last, 0)
+                logits += of_next
+                _at_most(logits, 60)
+                change = logits.take(np.arange(0, logits.size, CLASSES).reshape(to.shape) + kind)
+                change -= np.log(_sums(np.exp(logits, out=logits))[..., 0])
+                change -= self.prior.take(last * CLASSES + kind)
+                base = self.bigram.take(last * slots_too + to) + self.within.take(targets[s])
+                for out, log in ((plain, base), (moved, change)):
+                    log[~scored[s]] = 0
+                    out += np.bincount(of[s], log.sum(-1, dtype=float), len(texts))
         return (plain + moved) / np.log(10), plain / np.log(10)
 
 
@@ -304,33 +349,49 @@ def learnable(doc_id: Column) -> Column:
 
 
 class Coder:
-    """The word hashes and subword ids of texts. Words are known by their hashes, from block to block."""
+    """The word hashes and subword ids of texts. Words are known from block to block, by their place in arrays of both."""
 
     def __init__(self, path: str, size: int = CACHED_WORDS) -> None:
-        self.hashes, self.engine, self.size, self.known = WordHasher(lower=True), word_ids(path), size, {}
+        self.hasher, self.engine, self.size = WordHasher(lower=True), word_ids(path), size
+        self._keep([], np.empty(0, np.int64))
+
+    def _keep(self, words: list[bytes], places: np.ndarray) -> None:
+        """Know these words only, which are at these places."""
+        if not len(places):
+            self.hashes, self.coded = np.empty(0, np.uint64), []
+        self.hashes, self.coded = self.hashes[places], [self.coded[i] for i in places.tolist()]
+        self.known = defaultdict(None, zip(words, range(len(words)), strict=True))
+        self.known.default_factory = self.known.__len__  # a new word gets the next place
+
+    def _learn(self, new: list[bytes]) -> None:
+        self.hashes = np.concatenate((self.hashes, self.hasher(b" ".join(new))))
+        ids = self.engine.encode(new)
+        self.coded += map(ids.__getitem__, new)
 
     def __call__(self, texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
-        hashed = [self.hashes(t) for t in texts]
-        which, different = pd.factorize(np.concatenate([*hashed, np.empty(0, np.uint64)]))
-        keys = different.tolist()
-        if new := [i for i, h in enumerate(keys) if h not in self.known]:
-            first = np.empty(len(keys), np.int64)
-            first[which[::-1]] = np.arange(len(which))[::-1]
-            spelled = [w for t in texts for w in t.lower().split()]
-            words = [spelled[i] for i in first[new].tolist()]
-            ids = self.engine.encode(words)
-            self.known.update(zip([keys[i] for i in new], map(ids.__getitem__, words), strict=True))
-        coded = list(map(self.known.__getitem__, keys))
-        if len(self.known) > self.size:
-            self.known.clear()
-        flat = np.frombuffer(b"".join(coded), "<u4")
-        sizes = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
-        begins, each = np.cumsum(sizes) - sizes, sizes[which]
-        ends = np.cumsum(each)
-        ids = flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(begins[which] - (ends - each), each)].astype("<u2")
-        places = np.cumsum([0, *map(len, hashed)])
-        cuts = np.concatenate(([0], ends))[places]
-        return [(h, ids[a:b]) for h, a, b in zip(hashed, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+        split = [t.lower().split() for t in texts]
+        sizes = list(map(len, split))
+        which = np.fromiter(map(self.known.__getitem__, chain.from_iterable(split)), np.int64, sum(sizes))
+        if len(self.known) > len(self.coded):
+            self._learn(list(islice(self.known, len(self.coded), None)))
+        used = np.zeros(len(self.coded), bool)
+        used[which] = True
+        used = np.flatnonzero(used)
+        coded = [self.coded[i] for i in used.tolist()]
+        flat = np.frombuffer(b"".join(coded), "<u4").astype("<u2")
+        lengths = np.zeros(len(self.coded), np.int64)
+        lengths[used] = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
+        each = lengths[which]
+        begins, ends = np.cumsum(lengths) - lengths, np.cumsum(each)
+        hashes, ids = self.hashes[which], flat[np.arange(len(each) and ends[-1]) + np.repeat(begins[which] - (ends - each), each)]
+        if len(self.known) > self.size:  # the words of this block stay, if they are few enough: among them are the frequent ones
+            used = used[: len(used) * (2 * len(used) <= self.size)]
+            words = list(self.known)
+            self._keep([words[i] for i in used.tolist()], used)
+        places = np.cumsum([0, *sizes])
+        cuts = np.concatenate(([0], ends))[places].tolist()
+        places = places.tolist()
+        return [(hashes[p:q], ids[a:b]) for p, q, a, b in zip(places[:-1], places[1:], cuts[:-1], cuts[1:], strict=True)]
 
 
 @lru_cache(1)
@@ -354,8 +415,8 @@ def coded(docs: DataFrame, path: str) -> DataFrame:
     return over_texts(docs, make, "doc_id long, words binary, ids binary", limit=1 << 21).withColumn("learn", learnable(F.col("doc_id")))
 
 
-def over_blocks(rows: DataFrame, start: Callable, schema: str, columns: tuple[str, ...]) -> DataFrame:
-    """Apply functions to blocks of binary columns, about HELD ids at a time. start() gives two: one for a block (a list of
+def over_blocks(rows: DataFrame, start: Callable, schema: str, columns: tuple[str, ...], at_once: int = HELD) -> DataFrame:
+    """Apply functions to blocks of binary columns, about `at_once` ids at a time. start() gives two: one for a block (a list of
     bytes for each column), one for the end; either gives rows as arrays for the schema's columns, or None."""
     to = arrow_schema(schema)
 
@@ -373,7 +434,7 @@ def over_blocks(rows: DataFrame, start: Callable, schema: str, columns: tuple[st
                 for into, value in zip(held, values, strict=True):
                     into.append(value.as_py())
                 size += len(held[-1][-1])
-                if size >= 2 * HELD:
+                if size >= 2 * at_once:
                     yield from out(block(*held))
                     held, size = [[] for _ in columns], 0
         if held[0]:
@@ -405,7 +466,7 @@ def corpus_counts(rows: DataFrame) -> DataFrame:
 
         return block, end
 
-    return over_blocks(rows, start, "kind int, key long, n long", ("words", "ids")).groupBy("kind", "key").agg(F.sum("n").alias("n"))
+    return over_blocks(rows, start, "kind int, key long, n long", ("words", "ids"), COUNTED_AT_ONCE).groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
 def slot_pairs(rows: DataFrame, slots: np.ndarray, n_slots: int) -> np.ndarray:
@@ -418,7 +479,7 @@ def slot_pairs(rows: DataFrame, slots: np.ndarray, n_slots: int) -> np.ndarray:
         def block(ids: list[bytes]):
             stop = np.array([END_ID], "<u2").tobytes()
             s = of[np.frombuffer(stop + stop.join(ids) + stop, "<u2")]
-            counts[:] += np.bincount(s[:-1] * n_slots + s[1:], minlength=len(counts))
+            np.add.at(counts, s[:-1] * n_slots + s[1:], 1)
 
         def end():
             seen = np.flatnonzero(counts)
