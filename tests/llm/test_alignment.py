@@ -121,3 +121,11 @@ def test_python_ends_with_the_tokens(spark):
     plan = alignment.aligned(alignment.tokens(docs))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("MapInArrow") == 1 and "Python" not in plan.replace("MapInArrow", "") and all(f in plan for f in ("array_intersect", "transform", "aggregate", "sequence"))
     assert alignment.aligned(alignment.tokens(docs)).select(F.size("links")).first()[0] == 2
+
+
+def test_shared_ends_are_looked_for_only_where_they_differ(spark):
+    """Runs whose tokens end alike, by far the most, need no sets of ends."""
+    docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
+    plan = alignment.aligned(alignment.tokens(docs))._jdf.queryExecution().optimizedPlan().toString()
+    same = plan.find(".a_ends = ")
+    assert 0 <= same < plan.find("array_intersect")

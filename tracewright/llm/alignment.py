@@ -227,6 +227,7 @@ def b_of(pair: Column) -> Column:
 def _aligned_run(run: Column) -> Column:
     """n_groups, groups, links of one run."""
     a, b, a_ends, b_ends = (run[c] for c in ("a_ids", "b_ids", "a_ends", "b_ends"))
+    texts = lambda ids: ids.cast("array<string>")
 
     def groups(cuts: Column, over_a: Column, over_b: Column) -> Column:
         def group(end: Column, g: Column) -> Column:
@@ -243,13 +244,13 @@ def _aligned_run(run: Column) -> Column:
         ends = F.sort_array(F.array_union(a_ends, b_ends))
         return made(F.size(cuts), groups(cuts, over_a, over_b), F.transform(ends, lambda e: pair_of(a[over_a[e - 1]], b[over_b[e - 1]])))
 
-    def by_cuts(cuts: Column) -> Column:
-        one_to_one = (F.size(cuts) == F.size(a)) & (F.size(cuts) == F.size(b))  # by far the most: a token a group
-        text = F.array_join(F.zip_with(a, b, lambda x, y: F.concat(x.cast("string"), F.lit("|"), y.cast("string"))), ";")
-        other = _named(_covering(a_ends), lambda over_a: _named(_covering(b_ends), lambda over_b: all_of(cuts, over_a, over_b)))
-        return F.when(one_to_one, made(F.size(cuts), text, F.zip_with(a, b, pair_of))).otherwise(other)
-
-    return _named(F.array_intersect(a_ends, b_ends), by_cuts)
+    # The same ends are a token a group; only other runs need their shared ends looked for.
+    text = F.array_join(F.zip_with(texts(a), texts(b), lambda x, y: F.concat(x, F.lit("|"), y)), ";")
+    other = _named(
+        F.array_intersect(a_ends, b_ends),
+        lambda cuts: _named(_covering(a_ends), lambda over_a: _named(_covering(b_ends), lambda over_b: all_of(cuts, over_a, over_b))),
+    )
+    return F.when(a_ends == b_ends, made(F.size(a), text, F.zip_with(a, b, pair_of))).otherwise(other)
 
 
 def aligned(blocks: DataFrame, shown: Callable[[Column], Column] = lambda groups: groups) -> DataFrame:
@@ -261,10 +262,12 @@ def aligned(blocks: DataFrame, shown: Callable[[Column], Column] = lambda groups
     """
 
     def text(runs: Column, t: Column) -> Column:
-        groups = F.array_join(F.transform(t["runs"], lambda i: runs[i]["groups"]), ";")
-        links = F.flatten(F.transform(t["runs"], lambda i: runs[i]["links"]))
-        n_groups = F.aggregate(t["runs"], F.lit(0).cast("long"), lambda n, i: n + runs[i]["n_groups"])
-        return F.struct(t["doc_id"].alias("doc_id"), t["n_a"].alias("n_a"), t["n_b"].alias("n_b"), n_groups.alias("n_groups"), shown(groups).alias("groups"), links.alias("links"))
+        def joined(own: Column) -> Column:
+            groups, links = F.array_join(own["groups"], ";"), F.flatten(own["links"])
+            n_groups = F.aggregate(own["n_groups"], F.lit(0).cast("long"), lambda n, of_run: n + of_run)
+            return F.struct(t["doc_id"].alias("doc_id"), t["n_a"].alias("n_a"), t["n_b"].alias("n_b"), n_groups.alias("n_groups"), shown(groups).alias("groups"), links.alias("links"))
+
+        return _named(F.transform(t["runs"], lambda i: runs[i]), joined)
 
     made = _named(F.transform("runs", _aligned_run), lambda runs: F.transform("texts", lambda t: text(runs, t)))
     rows = blocks.select(F.explode(made).alias("t")).select("t.*")
