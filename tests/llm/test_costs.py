@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from tracewright.llm import bpe, language_model, near_duplicates, quality
-from tracewright.llm.common import tokenizer_path
+from tracewright.llm.common import WordHasher, tokenizer_path
 
 SF = "/root/testdata/sf0.001"
 
@@ -80,3 +80,24 @@ def test_frequent_words_stay_known(monkeypatch):
     for block, (words, ids) in zip(blocks, made, strict=True):
         again = language_model.Coder(tokenizer_path("word_bpe_49k.json"), size=1)(block)[0]
         assert (words == again[0]).all() and (ids == again[1]).all()
+
+
+def test_words_used_most_stay_known(monkeypatch):
+    path = tokenizer_path("word_bpe_49k.json")
+    code, asked = language_model.Coder(path, size=40), []
+    encode = code.engine.encode
+    monkeypatch.setattr(code.engine, "encode", lambda words: asked.extend(words) or encode(words))
+    common = [f"c{chr(97 + i)}".encode() for i in range(10)]
+    rare = [[f"n{k}x{i}".encode() for i in range(25)] for k in range(6)]
+    for k in range(6):  # the blocks that fill it up don't hold the common words
+        code([b" ".join(common * 3)])
+        code([b" ".join(rare[k])])
+    assert all(asked.count(w) == 1 for w in common) and len(code.known) <= 40
+    # Texts and words at the borders of what is hashed together are the same as alone.
+    texts = [b"", b" ", *(b" ".join(common + r) for r in rare), b"Ab\x0bab\x0c" + b"x" * 70 + b"\xc2\x85y", b"cd " * 400_000, b"cd", b"ab\n" * 400_000 + b"e"]
+    monkeypatch.undo()
+    for text, (words, ids) in zip(texts, code(texts), strict=True):
+        split = text.lower().split()
+        by_word = encode([*{*split}]) if split else {}
+        assert np.array_equal(words, WordHasher(lower=True)(text)) and len(words) == len(split)
+        assert np.array_equal(ids, np.frombuffer(b"".join(map(by_word.get, split)), "<u4"))

@@ -168,23 +168,27 @@ class WordHasher:
         self.masks = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
 
     def __call__(self, raw: bytes) -> np.ndarray:
-        out = []
+        out = [self.hashed(part, *self.words(part)) for _, part in self.stretches(raw)]
+        return out[0] if len(out) == 1 else np.concatenate([np.empty(0, np.uint64), *out])
+
+    def stretches(self, raw: bytes) -> Iterator[tuple[int, bytes]]:
+        """Where each begins, and its bytes. They end at a space, so that memory doesn't follow a very long text."""
         at = 0
-        while at < len(raw):  # stretches end at a space, so that memory doesn't follow a very long text
+        while at < len(raw):
             end = at + (1 << 20)
             while end < len(raw) and not self.space[raw[end]]:
                 end += 1
-            out.append(self._stretch(raw[at:end]))
+            yield at, raw[at:end].lower() if self.lower else raw[at:end]
             at = end
-        return out[0] if len(out) == 1 else np.concatenate([np.empty(0, np.uint64), *out])
 
-    def _stretch(self, raw: bytes) -> np.ndarray:
-        if self.lower:
-            raw = raw.lower()
+    def words(self, raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Where a stretch's words start and end."""
+        edge = np.diff(np.concatenate(([True], self.space[np.frombuffer(raw, np.uint8)], [True])).view(np.int8))
+        return np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+
+    def hashed(self, raw: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         n = len(raw)
         padded = raw + bytes(8)
-        edge = np.diff(np.concatenate(([True], self.space[np.frombuffer(raw, np.uint8)], [True])).view(np.int8))
-        starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
         eight = np.ndarray((n + 1,), "<u8", padded, strides=(1,))  # the eight bytes from each place on
         size = ends - starts
         out = mix(size.astype(np.uint64) * MULT + np.uint64(self.SEED))

@@ -20,11 +20,9 @@ them by that definition, go to the tasks; the rest are joined on the word's hash
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
-from itertools import chain, islice
 
 import numpy as np
 import pandas as pd
@@ -349,49 +347,73 @@ def learnable(doc_id: Column) -> Column:
 
 
 class Coder:
-    """The word hashes and subword ids of texts. Words are known from block to block, by their place in arrays of both."""
+    """The word hashes and subword ids of texts.
+
+    A block's words are hashed together. Their ids are known from block to block by these 64-bit hashes, as the corpus's
+    counts are, in arrays; only words that aren't known become Python objects. When there are more than `size`, those
+    used most stay.
+    """
 
     def __init__(self, path: str, size: int = CACHED_WORDS) -> None:
-        self.hasher, self.engine, self.size = WordHasher(lower=True), word_ids(path), size
-        self._keep([], np.empty(0, np.int64))
-
-    def _keep(self, words: list[bytes], places: np.ndarray) -> None:
-        """Know these words only, which are at these places."""
-        if not len(places):
-            self.hashes, self.coded = np.empty(0, np.uint64), []
-        self.hashes, self.coded = self.hashes[places], [self.coded[i] for i in places.tolist()]
-        self.known = defaultdict(None, zip(words, range(len(words)), strict=True))
-        self.known.default_factory = self.known.__len__  # a new word gets the next place
-
-    def _learn(self, new: list[bytes]) -> None:
-        self.hashes = np.concatenate((self.hashes, self.hasher(b" ".join(new))))
-        ids = self.engine.encode(new)
-        self.coded += map(ids.__getitem__, new)
+        self.hasher, self.engine, self.size = WordHasher(lower=False), word_ids(path), size
+        self.known, self.place = np.empty(0, np.uint64), np.empty(0, np.int64)  # hashes in order, and where each is in the rest
+        self.ids, self.lengths, self.uses = np.empty(0, "<u2"), np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def _learn(self, hashes: np.ndarray, words: list[bytes]) -> None:
+        ids = self.engine.encode(words)
+        coded = [ids[w] for w in words]
+        order = np.argsort(hashes)
+        at = np.searchsorted(self.known, hashes[order])
+        self.known, self.place = np.insert(self.known, at, hashes[order]), np.insert(self.place, at, len(self.place) + order)
+        self.ids = np.concatenate((self.ids, np.frombuffer(b"".join(coded), "<u4").astype("<u2")))
+        self.lengths = np.concatenate((self.lengths, np.fromiter(map(len, coded), np.int64, len(coded)) // 4))
+        self.uses = np.concatenate((self.uses, np.zeros(len(coded), np.int64)))
+
+    def _forget(self) -> None:
+        """Three quarters of `size` stay. Uses count by half from now on, so that words go that aren't used any more."""
+        most = 3 * self.size // 4
+        stay = np.zeros(len(self.uses), bool)
+        stay[np.argpartition(-self.uses, most)[:most]] = True
+        self.ids = self.ids[np.repeat(stay, self.lengths)]
+        self.lengths, self.uses = self.lengths[stay], self.uses[stay] // 2
+        here = stay[self.place]
+        self.known, self.place = self.known[here], (np.cumsum(stay) - 1)[self.place[here]]
+
+    def _places(self, hashes: np.ndarray) -> np.ndarray:
+        """Of different words; -1 for one that isn't known."""
+        if not len(self.known):
+            return np.full(len(hashes), -1)
+        at = np.minimum(np.searchsorted(self.known, hashes), len(self.known) - 1)
+        return np.where(self.known[at] == hashes, self.place[at], -1)
 
     def __call__(self, texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
-        split = [t.lower().split() for t in texts]
-        sizes = list(map(len, split))
-        which = np.fromiter(map(self.known.__getitem__, chain.from_iterable(split)), np.int64, sum(sizes))
-        if len(self.known) > len(self.coded):
-            self._learn(list(islice(self.known, len(self.coded), None)))
-        used = np.zeros(len(self.coded), bool)
-        used[which] = True
-        used = np.flatnonzero(used)
-        coded = [self.coded[i] for i in used.tolist()]
-        flat = np.frombuffer(b"".join(coded), "<u4").astype("<u2")
-        lengths = np.zeros(len(self.coded), np.int64)
-        lengths[used] = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
+        raw = b" ".join(texts).lower()
+        parts = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64))]
+        for begin, part in self.hasher.stretches(raw):
+            starts, ends = self.hasher.words(part)
+            parts.append((starts + begin, ends + begin, self.hasher.hashed(part, starts, ends)))
+        starts, ends, hashes = map(np.concatenate, zip(*parts, strict=True))
+        which, every = pd.factorize(hashes)
+        places = self._places(every)
+        new = np.flatnonzero(places < 0)
+        if len(new):
+            one = np.empty(len(every), np.int64)
+            one[which] = np.arange(len(which))  # where a word occurs
+            one = one[new]
+            self._learn(every[new], [raw[a:b] for a, b in zip(starts[one].tolist(), ends[one].tolist(), strict=True)])
+            places[new] = np.arange(len(self.lengths) - len(new), len(self.lengths))
+        self.uses[places] += np.bincount(which, minlength=len(every))
+        lengths = self.lengths[places]
+        begins = np.cumsum(self.lengths)[places] - lengths
         each = lengths[which]
-        begins, ends = np.cumsum(lengths) - lengths, np.cumsum(each)
-        hashes, ids = self.hashes[which], flat[np.arange(len(each) and ends[-1]) + np.repeat(begins[which] - (ends - each), each)]
-        if len(self.known) > self.size:  # the words of this block stay, if they are few enough: among them are the frequent ones
-            used = used[: len(used) * (2 * len(used) <= self.size)]
-            words = list(self.known)
-            self._keep([words[i] for i in used.tolist()], used)
-        places = np.cumsum([0, *sizes])
-        cuts = np.concatenate(([0], ends))[places].tolist()
-        places = places.tolist()
-        return [(hashes[p:q], ids[a:b]) for p, q, a, b in zip(places[:-1], places[1:], cuts[:-1], cuts[1:], strict=True)]
+        stops = np.cumsum(each)
+        ids = self.ids[np.arange(each.sum()) + np.repeat(begins[which] - (stops - each), each)]
+        if len(self.lengths) > self.size:
+            self._forget()
+        first = np.searchsorted(starts, np.cumsum([0, *(len(t) + 1 for t in texts)]))  # words before each text
+        cuts = np.concatenate(([0], stops))[first].tolist()
+        first = first.tolist()
+        return [(hashes[p:q], ids[a:b]) for p, q, a, b in zip(first[:-1], first[1:], cuts[:-1], cuts[1:], strict=True)]
 
 
 @lru_cache(1)
