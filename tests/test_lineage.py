@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import collections
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -96,3 +97,49 @@ def test_a_great_circle_is_gone_round_by_doubling(spark, monkeypatch):
     got = lineage.current(edges, edges.select(F.col("a").alias("id"))).select("outcome", F.size(F.split("ids", ",")).alias("n")).groupBy("outcome", "n").count().collect()
     assert [tuple(r) for r in got] == [("cycle", n, 2 * n)]
     assert len(rounds) < 25 and max(df.count() for df in rounds) == 2 * n
+
+
+def estimated_digits(df):
+    """Digits of what Spark takes for df's size in bytes; 0 where it is told in units."""
+    told = df._jdf.queryExecution().optimizedPlan().stats().simpleString()
+    power = re.search(r"sizeInBytes=[0-9.]+E\+(\d+) B", told)
+    return int(power[1]) if power else 0
+
+
+def followed(edges, monkeypatch):
+    """ways() of edges, the rounds that it settled and the digits of their estimates."""
+    rounds = []
+
+    def counted(f):
+        def run(df):
+            rounds.append(out := f(df))
+            return out
+
+        return run
+
+    for name in ("settled", "settled_in_files"):
+        if hasattr(lineage, name):
+            monkeypatch.setattr(lineage, name, counted(getattr(lineage, name)))
+    return *lineage.ways(edges), rounds, max(map(estimated_digits, rounds))
+
+
+def test_many_small_circles_take_as_many_rounds_as_one(spark, monkeypatch):
+    """1,000 circles of 1 to 6, a tail of 3 before each: as in one, eight steps go round all of them and one more round says so."""
+    edges = [e for c in range(1000) for k in [c % 6 + 1] for e in [*((f"n{c}-{i}", f"n{c}-{(i + 1) % k}") for i in range(k)), (f"a{c}", f"z{c}"), (f"z{c}", f"m{c}"), (f"m{c}", f"n{c}-{k // 2}")]]
+    to_tip, to_ring, rounds, _ = followed(spark.createDataFrame(edges, "a string, b string"), monkeypatch)
+    circles = {c: {f"n{c}-{i}" for i in range(c % 6 + 1)} for c in range(1000)}
+    got = [(r["a"], r["on"], r["ring"]) for r in to_ring.collect()]
+    assert to_tip.isEmpty() and len(got) == len(edges)
+    assert all(ring == min(circles[c]) and on in circles[c] for a, on, ring in got for c in [int(re.search(r"\d+", a)[0])])
+    assert {on for _, on, _ in got} == set().union(*circles.values())
+    assert len(rounds) <= 6  # 14 while rounds were as many as all nodes would take in one circle
+
+
+def test_estimates_of_a_long_way_stay_short(spark, monkeypatch):
+    """A chain of 3,000 and a circle of 3,000: twelve rounds, in which an estimate's digits must not double each time."""
+    n = 3000
+    edges = spark.range(n).selectExpr("concat('n', id) as a", f"concat('n', (id + 1) % {n}) as b").unionByName(spark.range(n).selectExpr("concat('c', id) as a", "concat('c', id + 1) as b"))
+    to_tip, to_ring, rounds, most = followed(edges, monkeypatch)
+    assert to_tip.where(f"tip = 'c{n}'").count() == n
+    assert [tuple(r) for r in to_ring.groupBy("ring").agg(F.count("*"), F.count_distinct("on")).collect()] == [("n0", n, n)]
+    assert len(rounds) < 20 and most < 5_000

@@ -6,6 +6,7 @@ import atexit
 import itertools
 import shutil
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,6 +42,18 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def settled_in_files(df: DataFrame) -> DataFrame:
+    """df, computed once and kept as files in shared_folder(), whose sizes Spark goes on with.
+
+    What settled() returns goes on with its plan's estimate of size, and a join's estimate is the product of its sides'. Where
+    rows are joined with themselves round by round, the digits of that number multiply each time: after two dozen rounds
+    they don't fit into a driver's memory.
+    """
+    path = f"{shared_folder(df.sparkSession)}/settled-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """node, least node of its component, for all nodes but the least ones."""
     nodes, at = np.unique(np.concatenate((a, b)), return_inverse=True)

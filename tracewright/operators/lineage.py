@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import itertools
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import settled
+from .components import settled, settled_in_files
+
+#: Every so many rounds of doubling the estimate of size begins again.
+AFRESH = 4
 
 
 def source_edges(records: DataFrame) -> DataFrame:
@@ -108,23 +112,27 @@ def ways(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     First a, tip: those that come to an end. Then a, on, ring: those that come to a circle, with a node on it and its least
     node. Every round doubles the steps that a row spans, so that a chain or circle of n takes about log2 n rounds, and no
-    round has a row a pair. Once a row spans as many steps as there are nodes, it has landed on the circle, and the row of
-    the node there has gone all around, so that the least node that it passed is the circle's. Nodes on the way to a fork
-    have no row.
+    round has a row a pair. A circle has been gone round once the least node that its least node has passed is itself; then
+    so have all its nodes, as their rows span as many steps, and all that passed that node stay where they landed. Rows that
+    land on such a row later follow it. So rounds are as many as the longest way takes, not as all nodes would in one
+    circle. Nodes on the way to a fork have no row.
     """
     edges = edges.select("a", "b").distinct()
     single = edges.groupBy("a").agg(F.count("*").alias("n"), F.min("b").alias("b")).where("n = 1").select("a", "b")
     ends = edges.select(F.col("b").alias("e")).distinct().join(edges.select(F.col("a").alias("e")).distinct(), "e", "left_anti")
-    jump = settled(single.join(ends.select(F.col("e").alias("b"), F.lit(True).alias("done")), "b", "left").select("a", "b", F.col("b").alias("least"), F.coalesce("done", F.lit(False)).alias("done")))
-    for _ in range(jump.count().bit_length()):
-        open_ = jump.where("not done")
+    # ends: true where b is an end, false where it is on the circle of least, null on the way.
+    jump = settled(single.join(ends.select(F.col("e").alias("b"), F.lit(True).alias("ends")), "b", "left").select("a", "b", F.col("b").alias("least"), "ends"))
+    for turn in itertools.count(1):
+        open_ = jump.where("ends is null")
         if open_.isEmpty():
             break
-        on = jump.select(F.col("a").alias("b"), F.col("b").alias("c"), F.col("least").alias("_least"), F.col("done").alias("reached"))
-        jump = settled(jump.where("done").unionByName(open_.join(on, "b").select("a", F.col("c").alias("b"), F.least("least", "_least").alias("least"), F.col("reached").alias("done"))))
-    round_ = jump.where("not done")
-    around = round_.select(F.col("a").alias("on"), F.col("least").alias("ring"))
-    return jump.where("done").select("a", F.col("b").alias("tip")), round_.select("a", F.col("b").alias("on")).join(around, "on").select("a", "on", "ring")
+        rings = open_.where("a = least").select("least", F.lit(True).alias("_ring"))
+        on = jump.select(F.col("a").alias("b"), F.col("b").alias("_b"), F.col("least").alias("_least"), F.col("ends").alias("_ends"))
+        least = F.when(F.col("_ring"), F.col("least")).when(~F.col("_ends"), F.col("_least")).otherwise(F.least("least", "_least"))
+        moved = open_.drop("ends").join(rings, "least", "left").join(on, "b")
+        moved = moved.select("a", F.when(F.col("_ring"), F.col("b")).otherwise(F.col("_b")).alias("b"), least.alias("least"), F.when(F.col("_ring"), False).otherwise(F.col("_ends")).alias("ends"))
+        jump = (settled if turn % AFRESH else settled_in_files)(jump.where("ends is not null").unionByName(moved))
+    return jump.where("ends").select("a", F.col("b").alias("tip")), jump.where("not ends").select("a", F.col("b").alias("on"), F.col("least").alias("ring"))
 
 
 def current(edges: DataFrame, starts: DataFrame) -> DataFrame:
@@ -137,7 +145,6 @@ def current(edges: DataFrame, starts: DataFrame) -> DataFrame:
     edges = settled(edges.select("a", "b").distinct())
     every = starts.select(F.col("id").alias("start")).distinct()
     to_tip, to_ring = ways(edges)
-    to_ring = settled(to_ring)
     found = to_tip.select(F.col("a").alias("start"), "tip", F.lit(None).cast("string").alias("ring")).unionByName(to_ring.select(F.col("a").alias("start"), F.lit(None).cast("string").alias("tip"), F.col("ring").cast("string").alias("ring")))
     straight = settled(every.join(found, "start", "left").join(edges.select(F.col("a").alias("start"), F.lit(True).alias("_on")).distinct(), "start", "left"))
     plain = straight.where("ring is null and (tip is not null or _on is null)").select("start", F.lit("tip").alias("outcome"), F.coalesce("tip", "start").alias("ids"))
